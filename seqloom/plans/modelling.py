@@ -240,7 +240,8 @@ def ensemble_average(spark, folder):
 
 @query(
     "class_balance",
-    f"WITH {LABELED} SELECT CASE WHEN doc_id%3=0 THEN 'test' ELSE 'train' END AS \"Dataset\", quality AS \"CPP\", count(*) AS n_rows FROM labeled GROUP BY 1,2",
+    f"WITH {LABELED} SELECT CASE WHEN d.lang='en' THEN 'train' ELSE 'test' END AS \"Dataset\", quality AS \"CPP\", count(*) AS n_rows "
+    "FROM labeled JOIN documents d USING (doc_id) GROUP BY 1,2",
 )
 def class_balance(spark, folder):
     return M.class_balance(combined(spark, folder), ["Dataset"], "CPP")
@@ -290,16 +291,17 @@ def custom_metric(spark, folder):
 # ---- splits, joins, blocks --------------------------------------------------
 
 def combined(spark, folder):
-    """(ID, Sequence, CPP, Dataset) in the shape of the sequence + label files."""
-    rows = labeled(spark, folder).select(
-        F.col("doc_id").alias("ID"), F.col("seq").alias("Sequence"), F.col("quality").alias("CPP")
+    """(ID, Sequence, CPP, Dataset) as the sequence and label files give it; English texts train, the others test."""
+    langs = read_table(spark, folder, "documents").select("doc_id", "lang")
+    return labeled(spark, folder).join(langs, "doc_id").select(
+        F.col("doc_id").alias("ID"), F.col("seq").alias("Sequence"), F.col("quality").alias("CPP"),
+        F.when(F.col("lang") == "en", "train").otherwise("test").alias("Dataset"),
     )
-    return rows.withColumn("Dataset", F.when(F.col("ID") % 3 == 0, "test").otherwise("train"))
 
 
 COMBINED = (
     f"{LABELED}, comb AS (SELECT doc_id AS \"ID\", seq AS \"Sequence\", quality AS \"CPP\", "
-    "CASE WHEN doc_id%3=0 THEN 'test' ELSE 'train' END AS \"Dataset\" FROM labeled)"
+    "CASE WHEN d.lang='en' THEN 'train' ELSE 'test' END AS \"Dataset\" FROM labeled JOIN documents d USING (doc_id))"
 )
 
 
@@ -435,18 +437,18 @@ def positional_join(spark, folder):
     return T.positional_join(a, b, ["doc_id"], ["place"]).select("doc_id", "len", "quality")
 
 
-HALVES = f"{SEQS}, en AS (SELECT s.doc_id, seq, lang FROM seqs s JOIN documents d USING (doc_id))"
+HALVES = f"{SEQS}, en AS (SELECT s.doc_id, seq, source FROM seqs s JOIN documents d USING (doc_id))"
 
 
 @query(
     "leakage_check",
-    f"WITH {HALVES}, a AS (SELECT * FROM en WHERE doc_id%3<>0), b AS (SELECT * FROM en WHERE doc_id%3=0) "
+    f"WITH {HALVES}, a AS (SELECT * FROM en WHERE source<'src15'), b AS (SELECT * FROM en WHERE source>='src15') "
     "SELECT doc_id, 'shared' AS part FROM a WHERE seq IN (SELECT seq FROM b) "
     "UNION ALL SELECT doc_id, 'own' FROM a WHERE seq NOT IN (SELECT seq FROM b)",
 )
 def leakage_check(spark, folder):
-    rows = seqs(spark, folder)
-    train, test = rows.filter("doc_id % 3 <> 0"), rows.filter("doc_id % 3 = 0")
+    rows = seqs(spark, folder).join(read_table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    train, test = rows.filter("source < 'src15'"), rows.filter("source >= 'src15'")
     shared = T.shared_sequences(train, test, "seq").select("doc_id", F.lit("shared").alias("part"))
     return shared.unionByName(T.unshared_sequences(train, test, "seq").select("doc_id", F.lit("own").alias("part")))
 
@@ -607,7 +609,7 @@ def importances(spark, folder):
     long = rows.select("fold", "y", cells)
     gap = F.avg(F.when(F.col("y") == 1, F.col("x"))) - F.avg(F.when(F.col("y") == 0, F.col("x")))
     # letters that tell little apart count as unused in that fold
-    size = F.floor(F.coalesce(F.abs(gap), F.lit(0.0)) * 200)
+    size = F.floor(F.coalesce(F.abs(gap), F.lit(0.0)) * 40)
     return long.groupBy("fold", "feature").agg(size.cast("double").alias("importance"))
 
 
@@ -615,7 +617,7 @@ IMPORTANCE = (
     f"{LABELED}, f AS (SELECT seq, quality AS y, CAST({fold_sql()} AS INTEGER) AS fold FROM labeled), "
     f"x AS (SELECT fold, y, letter AS feature, (length(seq)-length(replace(seq,letter,'')))/CAST(length(seq) AS DOUBLE) AS x FROM f "
     f"CROSS JOIN (SELECT unnest(string_split('{L.LETTERS}','')) AS letter)), "
-    "imp AS (SELECT fold, feature, CAST(floor(coalesce(abs(avg(x) FILTER (WHERE y=1)-avg(x) FILTER (WHERE y=0)),0)*200) AS DOUBLE) AS importance "
+    "imp AS (SELECT fold, feature, CAST(floor(coalesce(abs(avg(x) FILTER (WHERE y=1)-avg(x) FILTER (WHERE y=0)),0)*40) AS DOUBLE) AS importance "
     "FROM x GROUP BY fold, feature), su AS (SELECT feature, avg(importance) AS mean, stddev_samp(importance) AS std FROM imp GROUP BY feature)"
 )
 

@@ -26,7 +26,7 @@ def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else v + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     return str(v) if not isinstance(v, (int, bool)) else v
