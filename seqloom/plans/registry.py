@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.plans import descriptors, features, modelling  # noqa: F401
+from seqloom.plans import descriptors, features, modelling, searching, training  # noqa: F401
 from seqloom.plans.base import ORACLES, QUERIES  # noqa: F401
 
 
