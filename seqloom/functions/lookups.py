@@ -170,9 +170,14 @@ def recode(seq: Column, classes: list[str] | tuple[str, ...]) -> Column:
     return F.translate(seq, source, target)
 
 
+def array_literal(numbers, kind: str = "double") -> Column:
+    """A constant array, written as one string that the optimizer folds."""
+    return F.split(F.lit(",".join(repr(v) for v in numbers)), ",").cast(f"array<{kind}>")
+
+
 def by_letter_code(row: dict[str, float]) -> Column:
     """An array literal indexed by ``ascii(letter) - 64``, for constant-time lookups."""
-    return F.array(*[F.lit(float(row.get(chr(64 + i), 0.0))) for i in range(1, 27)])
+    return array_literal(float(row.get(chr(64 + i), 0.0)) for i in range(1, 27))
 
 
 def letter_table(spark: SparkSession, rows: dict[str, dict[str, float]]) -> DataFrame:

@@ -14,8 +14,7 @@ def col(c: Column | str) -> Column:
 
 def clean_letters(text: Column | str) -> Column:
     """The letters of a text that belong to the 20-letter alphabet, in upper case."""
-    ascii_only = F.upper(F.regexp_replace(col(text), "[^A-Za-z]", ""))
-    return F.regexp_replace(ascii_only, "[BJOUXZ]", "")
+    return F.upper(F.regexp_replace(col(text), f"[^{L.LETTERS}{L.LETTERS.lower()}]+", ""))
 
 
 def letters(seq: Column | str) -> Column:
@@ -37,23 +36,17 @@ def rest_fraction(seq: Column | str, first: str, second: str) -> Column:
     return 1 - class_fraction(seq, first) - class_fraction(seq, second)
 
 
-def class_positions(seq: Column | str, members: str) -> Column:
-    """1-based positions of the class members, ascending."""
-    wanted = F.array(*[F.lit(m) for m in members])
-    n = F.length(col(seq))
-    hit = F.transform(letters(seq), lambda x, i: F.when(F.array_contains(wanted, x), i + 1))
-    return F.when(n > 0, F.array_compact(hit))
-
-
 def class_quantile_position(seq: Column | str, members: str, share: float) -> Column:
     """Where the member that completes ``share`` of the class sits, in percent of the length.
 
-    ``share`` 0 means the first member.  An absent class gives 0.
+    ``share`` 0 means the first member.  An absent class gives 0.  All members become
+    one mark, and what precedes the n-th mark is cut off and measured.
     """
     n = count_in(seq, members)
     nth = F.greatest(F.lit(1), F.floor(F.lit(share) * n)).cast("int")
-    where = F.get(class_positions(seq, members), nth - 1)
-    return F.when(n == 0, F.lit(0.0)).otherwise(where / F.length(col(seq)) * 100)
+    marked = F.translate(col(seq), members, "*" * len(members))
+    before = F.call_function("substring_index", marked, F.lit("*"), nth)
+    return F.when(n == 0, F.lit(0.0)).otherwise((F.length(before) + 1) / F.length(col(seq)) * 100)
 
 
 def gapped_pair_fraction(seq: Column | str, first: str, second: str, gap: int) -> Column:
@@ -90,41 +83,31 @@ def ordered_pair_fraction(seq: Column | str, first: str, second: str) -> Column:
     return F.when(n >= 2, state["pairs"] / (n * (n - 1) / 2))
 
 
-def property_values(seq: Column | str, row: dict[str, float]) -> Column:
-    """The property of each letter, as an array."""
-    table = L.by_letter_code(row)
-    return F.transform(letters(seq), lambda x: F.element_at(table, F.ascii(x) - 64))
+def letter_codes(seq: Column | str) -> Column:
+    """A = 1 ... Z = 26 per position, as an array of ints."""
+    return F.transform(letters(seq), lambda x: F.ascii(x) - 64)
 
 
-def lagged_mean(values: Column, n: Column, lag: int, combine) -> Column:
-    """Mean of ``combine(v_i, v_{i+lag})``; null when no pair exists."""
-    places = F.greatest(n - lag, F.lit(0))
-    zipped = F.zip_with(F.slice(values, F.lit(1), places), F.slice(values, F.lit(lag + 1), places), combine)
-    total = F.aggregate(zipped, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(n > lag, total / (n - lag))
+def pair_codes(codes: Column | str, n: Column | str, lag: int) -> Column:
+    """One number per position that has a letter ``lag`` places on."""
+    places = F.greatest(col(n) - lag, F.lit(0))
+    first, second = F.slice(codes, F.lit(1), places), F.slice(codes, F.lit(lag + 1), places)
+    return F.zip_with(first, second, lambda a, b: a * 27 + b)
 
 
-def squared_difference(x: Column, y: Column) -> Column:
-    return (x - y) * (x - y)
+def table_sum(numbers: Column | str, table: dict[int, float]) -> Column:
+    """Sum of the table's values over an array of codes."""
+    cells = L.array_literal(float(table.get(i, 0.0)) for i in range(1, max(table) + 1))
+    return F.aggregate(numbers, F.lit(0.0), lambda acc, i: acc + F.element_at(cells, i))
 
 
-def product(x: Column, y: Column) -> Column:
-    return x * y
+def pair_values(combine) -> dict[int, float]:
+    """The value of ``combine(a, b)`` for every letter pair, by pair code."""
+    return {(ord(a) - 64) * 27 + ord(b) - 64: float(combine(a, b)) for a in L.LETTERS for b in L.LETTERS}
 
 
-def pair_distance_sum(seq: Column | str, lag: int, distances: dict[tuple[str, str], float]) -> Column:
-    """Sum of squared letter distances at one lag."""
-    cells = F.array(*[F.lit(float(distances.get((a, b), 0.0)) ** 2) for a in L.LETTERS for b in L.LETTERS])
-    index = L.by_letter_code({a: i for i, a in enumerate(L.LETTERS)})
-    codes = F.transform(letters(seq), lambda x: F.element_at(index, F.ascii(x) - 64).cast("int"))
-    n = F.length(col(seq))
-    places = F.greatest(n - lag, F.lit(0))
-    squares = F.zip_with(
-        F.slice(codes, F.lit(1), places),
-        F.slice(codes, F.lit(lag + 1), places),
-        lambda a, b: F.element_at(cells, a * 20 + b + 1),
-    )
-    return F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)
+def letter_values(row: dict[str, float]) -> dict[int, float]:
+    return {ord(a) - 64: float(v) for a, v in row.items()}
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
@@ -165,52 +148,46 @@ def letter_sum(seq: Column | str, contribution: dict[str, float], constant: floa
     return total
 
 
-def spaced_triple_score(seq: Column | str, groups: dict[str, str], triple: tuple[str, str, str], gap: int) -> Column:
-    """(n - min) / max over all group triples whose letters stand ``gap`` apart; null without triples.
-
-    The triples are sorted and their run lengths folded, so one pass gives the
-    largest, the smallest and the number of different cells.
-    """
-    names = list(groups)
-    digits = letters(L.recode(col(seq), list(groups.values())))
-    wanted = "".join(str(names.index(g) + 1) for g in triple)
-    step = gap + 1
-    places = F.greatest(F.length(col(seq)) - 2 * step, F.lit(0))
-
-    def joined(a, b):
-        return F.concat(a, b)
-
-    tokens = F.zip_with(
-        F.zip_with(F.slice(digits, F.lit(1), places), F.slice(digits, F.lit(1 + step), places), joined),
-        F.slice(digits, F.lit(1 + 2 * step), places),
-        joined,
+def triple_codes(codes: Column | str, n: Column | str, groups: dict[str, str], gap: int) -> Column:
+    """Sorted numbers of the group triples whose letters stand ``gap`` apart."""
+    order = {letter: i for i, members in enumerate(groups.values()) for letter in members}
+    group = L.array_literal((order.get(chr(64 + i), 0) for i in range(1, 27)), "int")
+    size, step = len(groups), gap + 1
+    places = F.greatest(col(n) - 2 * step, F.lit(0))
+    firsts = F.zip_with(
+        F.slice(codes, F.lit(1), places),
+        F.slice(codes, F.lit(1 + step), places),
+        lambda a, b: F.element_at(group, a) * size + F.element_at(group, b),
     )
-
-    def fold(acc, token):
-        same = token == acc["last"]
-        run = F.when(same, acc["run"] + 1).otherwise(F.lit(1))
-        closed = F.when(same | (acc["run"] == 0), acc["least"]).otherwise(F.least(acc["least"], acc["run"]))
-        return F.struct(
-            token.alias("last"),
-            run.alias("run"),
-            F.greatest(acc["most"], run).alias("most"),
-            closed.alias("least"),
-            (acc["kinds"] + F.when(same, 0).otherwise(1)).alias("kinds"),
-            (acc["hits"] + F.when(token == wanted, 1).otherwise(0)).alias("hits"),
-        )
-
-    start = F.struct(
-        F.lit("").alias("last"),
-        F.lit(0).alias("run"),
-        F.lit(0).alias("most"),
-        F.lit(2147483647).alias("least"),
-        F.lit(0).alias("kinds"),
-        F.lit(0).alias("hits"),
+    triples = F.zip_with(
+        firsts, F.slice(codes, F.lit(1 + 2 * step), places), lambda ab, c: ab * size + F.element_at(group, c)
     )
-
-    def finish(acc):
-        # a cell that never occurs makes the minimum zero
-        least = F.when(acc["kinds"] == len(groups) ** 3, F.least(acc["least"], acc["run"])).otherwise(F.lit(0))
-        return F.when(acc["most"] > 0, (acc["hits"] - least) / acc["most"])
-
-    return F.aggregate(F.array_sort(tokens), start, fold, finish)
+    return F.sort_array(triples)
+
+
+def run_starts(ordered: str) -> Column:
+    """Where each run of equal values begins in a sorted array column, and one past the end."""
+    column = F.col(ordered)
+    n = F.size(column)
+    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(column, i) != F.get(column, i - 1)))
+    return F.when(n > 0, F.concat(starts, F.array(n))).otherwise(F.array().cast("array<int>"))
+
+
+def spaced_triple_score(
+    seq: Column | str, starts: Column | str, groups: dict[str, str], triple: tuple[str, str, str], gap: int
+) -> Column:
+    """(n - min) / max over all group triples, of which ``starts`` marks the runs; null without triples."""
+    # only the first letter is consumed, so overlapping triples are all counted
+    between = "." * gap
+    first, second, third = (groups[g] for g in triple)
+    hits = F.regexp_count(col(seq), F.lit(f"[{first}](?={between}[{second}]{between}[{third}])"))
+    kinds = F.size(starts) - 1
+    sizes = F.zip_with(
+        F.slice(starts, F.lit(1), F.greatest(kinds, F.lit(0))),
+        F.slice(starts, F.lit(2), F.greatest(kinds, F.lit(0))),
+        lambda a, b: b - a,
+    )
+    # a cell that never occurs makes the minimum zero
+    least = F.when(kinds == len(groups) ** 3, F.array_min(sizes)).otherwise(F.lit(0))
+    return F.when(kinds > 0, (hits - least) / F.array_max(sizes))

@@ -16,6 +16,9 @@ from pyspark.sql import Window as W
 from seqloom.functions import lookups as L
 from seqloom.functions.sequences import letters
 
+# token numbers count letters from this character on
+FIRST = ord("0")
+
 
 def by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One exchange of the strings, the smallest form the data has."""
@@ -36,12 +39,47 @@ def token_positions(
     return rows.select(*keys, "gap", "places", "pos", F.concat(*parts).alias("token"))
 
 
+def token_codes(
+    df: DataFrame, keys: Sequence[str], k: int = 1, gaps: Sequence[int] = (0,), seq: Column | str = "seq"
+) -> DataFrame:
+    """As `token_positions` with the token as a number, six bits a letter: cheaper to build and to group by."""
+    text = F.col(seq) if isinstance(seq, str) else seq
+    rows = by_key(df.select(*keys, text.alias("_seq")), keys)
+    codes = F.transform(letters("_seq"), lambda x: F.ascii(x) - FIRST)
+    rows = rows.select(*keys, F.length("_seq").alias("_n"), codes.alias("_codes"))
+    rows = rows.withColumn("gap", F.explode(F.array(*[F.lit(g) for g in gaps])))
+    rows = rows.withColumn("places", F.col("_n") - (k - 1) * (F.col("gap") + 1)).filter("places > 0")
+    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("places"))))
+    code = F.element_at("_codes", F.col("pos"))
+    for j in range(1, k):
+        code = code * 64 + F.element_at("_codes", F.col("pos") + j * (F.col("gap") + 1))
+    return rows.select(*keys, "gap", "places", "pos", code.alias("code"))
+
+
+def code_letter(code: Column | str, k: int, j: int) -> Column:
+    """The j-th of the k letters in a token number."""
+    c = F.col(code) if isinstance(code, str) else code
+    return F.chr(F.shiftright(c, 6 * (k - 1 - j)).bitwiseAND(F.lit(63)) + FIRST)
+
+
+def letter_code(letter: str) -> int:
+    return ord(letter) - FIRST
+
+
+def code_counts(
+    df: DataFrame, keys: Sequence[str], k: int = 1, gaps: Sequence[int] = (0,), seq: Column | str = "seq"
+) -> DataFrame:
+    """Occurrences per token number: keys, gap, places, code, n."""
+    rows = token_codes(df, keys, k, gaps, seq)
+    return rows.groupBy(*keys, "gap", "places", "code").agg(F.count("*").alias("n"))
+
+
 def token_counts(
     df: DataFrame, keys: Sequence[str], k: int = 1, gaps: Sequence[int] = (0,), seq: Column | str = "seq"
 ) -> DataFrame:
     """Occurrences per token: keys, gap, places, token, n."""
-    rows = token_positions(df, keys, k, gaps, seq)
-    return rows.groupBy(*keys, "gap", "places", "token").agg(F.count("*").alias("n"))
+    token = F.concat(*[code_letter("code", k, j) for j in range(k)])
+    return code_counts(df, keys, k, gaps, seq).select(*keys, "gap", "places", token.alias("token"), "n")
 
 
 def kmer_frequency(
@@ -116,16 +154,14 @@ def ordered_pairs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     second letter gives all pairs in time proportional to the length, and no pair
     of positions is ever written out.
     """
-    rows = token_positions(df, keys)
+    rows = token_codes(df, keys)
     before = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    prior = [
-        F.coalesce(F.count(F.when(F.col("token") == a, 1)).over(before), F.lit(0)).alias(f"_{a}")
-        for a in L.LETTERS
-    ]
+    prior = [F.count(F.when(F.col("code") == letter_code(a), 1)).over(before).alias(f"_{a}") for a in L.LETTERS]
     sums = (
-        rows.select(*keys, "places", "token", *prior)
-        .groupBy(*keys, "places", F.col("token").alias("second"))
+        rows.select(*keys, "places", "code", *prior)
+        .groupBy(*keys, "places", "code")
         .agg(*[F.sum(f"_{a}").alias(f"_{a}") for a in L.LETTERS])
+        .withColumn("second", code_letter("code", 1, 0))
     )
     cells = F.inline(F.array(*[F.struct(F.lit(a).alias("first"), F.col(f"_{a}").alias("n")) for a in L.LETTERS]))
     n = F.col("places").cast("double")

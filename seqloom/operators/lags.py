@@ -15,33 +15,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seqloom.functions import lookups as L
-from seqloom.operators.composition import token_counts
+from seqloom.operators.composition import code_counts, letter_code, token_counts
+
+
+def pair_code(a: str, b: str) -> int:
+    return letter_code(a) * 64 + letter_code(b)
 
 
 def lag_counts(df: DataFrame, keys: Sequence[str], nlag: int) -> DataFrame:
-    """keys, lag, places, a, b, n for lag 0..nlag."""
-    counts = token_counts(df, keys, 2, range(-1, nlag))
-    return counts.select(
-        *keys,
-        (F.col("gap") + 1).alias("lag"),
-        "places",
-        F.substring("token", 1, 1).alias("a"),
-        F.substring("token", 2, 1).alias("b"),
-        "n",
-    )
+    """keys, lag, places, pair, n for lag 0..nlag; ``pair`` is the two letters' number."""
+    counts = code_counts(df, keys, 2, range(-1, nlag))
+    return counts.select(*keys, (F.col("gap") + 1).alias("lag"), "places", F.col("code").alias("pair"), "n")
 
 
 def _property_pairs(spark, rows: dict[str, dict[str, float]], cross: bool) -> DataFrame:
-    """(prop, prop2, a, b, pa, pb): 400 rows per property pair, so it may be broadcast."""
+    """(prop, prop2, pair, pa, pb): 400 rows per property pair, so it may be broadcast."""
     names = list(rows)
     data = [
-        (p, q, a, b, float(rows[p][a]), float(rows[q][b]))
+        (p, q, pair_code(a, b), float(rows[p][a]), float(rows[q][b]))
         for p in names
         for q in (names if cross else [p])
         for a in L.LETTERS
         for b in L.LETTERS
     ]
-    return spark.createDataFrame(data, "prop string, prop2 string, a string, b string, pa double, pb double")
+    return spark.createDataFrame(data, "prop string, prop2 string, pair int, pa double, pb double")
 
 
 def lag_sums(
@@ -55,7 +52,7 @@ def lag_sums(
     counts = lag_counts(df, keys, nlag)
     n, pa, pb = F.col("n"), F.col("pa"), F.col("pb")
     sums = (
-        counts.join(F.broadcast(pairs), ["a", "b"])
+        counts.join(F.broadcast(pairs), "pair")
         .groupBy(*keys, "prop", "prop2", "lag", "places")
         .agg(
             F.sum(n * pa * pb).alias("s_ab"),
@@ -133,11 +130,11 @@ def auto_cross_covariance(df: DataFrame, keys: Sequence[str], rows, nlag: int) -
 def order_coupling(df: DataFrame, keys: Sequence[str], distances, nlag: int) -> DataFrame:
     """Sum of squared letter distances per lag, and its mean over neighbours (SOCNumber)."""
     table = df.sparkSession.createDataFrame(
-        [(a, b, float(d) ** 2) for (a, b), d in distances.items()], "a string, b string, dd double"
+        [(pair_code(a, b), float(d) ** 2) for (a, b), d in distances.items()], "pair int, dd double"
     )
     counts = lag_counts(df, keys, nlag).filter("lag > 0")
     return (
-        counts.join(F.broadcast(table), ["a", "b"])
+        counts.join(F.broadcast(table), "pair")
         .groupBy(*keys, "lag", "places")
         .agg(F.sum(F.col("n") * F.col("dd")).alias("total"))
         .select(*keys, "lag", "total", (F.col("total") / F.col("places")).alias("value"))

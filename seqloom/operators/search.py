@@ -47,7 +47,7 @@ def _dice(sides: int | Column, *parts) -> Column:
 def variants_random(targets: DataFrame, size: int, change_percent: int = 50, seed: int = 42) -> DataFrame:
     """(target_id, target, member, seq): ``size`` strings per target, each with length * percent / 100
     replacements; a position may be drawn again, and the new letter always differs from the one it replaces."""
-    alphabet = F.array(*[F.lit(a) for a in L.LETTERS])
+    alphabet = F.split(F.lit(L.LETTERS), "")
     code = L.by_letter_code({a: i for i, a in enumerate(L.LETTERS)})
     rows = targets.withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(size))))
     n = F.length("target")
@@ -65,7 +65,7 @@ def variants_random(targets: DataFrame, size: int, change_percent: int = 50, see
 
 def variants_single(targets: DataFrame) -> DataFrame:
     """(target_id, target, pos, letter, seq): every string one replacement away."""
-    alphabet = F.array(*[F.lit(a) for a in L.LETTERS])
+    alphabet = F.split(F.lit(L.LETTERS), "")
     rows = targets.select("target_id", "target", F.posexplode(S.letters("target")).alias("_p", "_old"))
     rows = rows.select("target_id", "target", (F.col("_p") + 1).alias("pos"), "_old", F.explode(alphabet).alias("letter"))
     rows = rows.filter("letter <> _old")
@@ -76,7 +76,7 @@ def variants_single(targets: DataFrame) -> DataFrame:
 
 def crossover(first: Column, second: Column, *salt) -> Column:
     """Per position: 45 in 100 the first parent's letter, 45 the second's, 10 any letter."""
-    alphabet = F.array(*[F.lit(a) for a in L.LETTERS])
+    alphabet = F.split(F.lit(L.LETTERS), "")
     pairs = F.zip_with(S.letters(first), S.letters(second), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def pick(c, place):
@@ -90,7 +90,7 @@ def crossover(first: Column, second: Column, *salt) -> Column:
 def alignment_score(a: Column | str, b: Column | str, scores: dict[tuple[str, str], float] | None = None) -> Column:
     """Sum of the substitution scores of letters at the same place."""
     table = scores or L.similarity_scores()
-    cells = F.array(*[F.lit(float(table[x, y])) for x in L.LETTERS for y in L.LETTERS])
+    cells = L.array_literal(float(table[x, y]) for x in L.LETTERS for y in L.LETTERS)
     code = L.by_letter_code({x: i for i, x in enumerate(L.LETTERS)})
 
     def codes(text):
@@ -124,7 +124,7 @@ def weighted_objective(settings: SearchSettings) -> Column:
 
 def score_candidates(
     candidates: DataFrame,
-    featurize: Callable[[Column], Column],
+    featurize: Callable[[DataFrame], DataFrame],
     predict: Callable[[DataFrame], DataFrame],
     outlier: Callable[[DataFrame], DataFrame],
     settings: SearchSettings = SearchSettings(),
@@ -133,10 +133,10 @@ def score_candidates(
 ) -> DataFrame:
     """Add p, outlier, distance, n_diff and fitness to (target_id, target, self_score, member, seq).
 
-    ``predict`` and ``outlier`` each add their column to rows that have ``features``.
+    ``featurize`` adds ``features`` to rows that have ``seq``; ``predict`` and ``outlier`` each add
+    their column to rows that have ``features``.
     """
-    rows = candidates.withColumn("features", featurize(F.col("seq")))
-    rows = outlier(predict(rows)).drop("features")
+    rows = outlier(predict(featurize(candidates))).drop("features")
     rows = rows.withColumn("distance", similarity_distance("target", "seq", "self_score", scores))
     rows = rows.withColumn("n_diff", S.hamming("target", "seq"))
     return rows.withColumn("fitness", objective(settings))
@@ -200,7 +200,7 @@ class SearchResult:
 
 def evolve(
     targets: DataFrame,
-    featurize: Callable[[Column], Column],
+    featurize: Callable[[DataFrame], DataFrame],
     predict: Callable[[DataFrame], DataFrame],
     outlier: Callable[[DataFrame], DataFrame],
     settings: SearchSettings = SearchSettings(),
@@ -218,7 +218,7 @@ def evolve(
         return score_candidates(rows, featurize, predict, outlier, settings, objective, scores)
 
     prepared = targets.select("target_id", F.trim("target").alias("target"))
-    start = predict(prepared.withColumn("features", featurize(F.col("target")))).select(
+    start = predict(featurize(prepared.withColumn("seq", F.col("target")))).select(
         "target_id", "target", alignment_score("target", "target", scores).alias("self_score"), F.col("p").alias("initial_p")
     )
     start = cut(start)

@@ -36,28 +36,39 @@ def r6(column, name: str | None = None):
 
 # ---- derived views, in Spark ------------------------------------------------
 
+def cleaned(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, seq): texts reduced to the alphabet, at least six letters long.
+
+    The text is cleaned inside a one-element array that is filtered and exploded, so that the
+    length test and everything after it use one cleaning; a plain filter would be
+    pushed below the projection and clean every text again.
+    """
+    kept = F.filter(F.array(clean_letters(text)), lambda s: F.length(s) >= 6)
+    return df.select(*keys, F.explode(kept).alias("seq"))
+
+
 def seqs(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, seq): whole texts reduced to the alphabet."""
     docs = spread_rows(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return docs.select("doc_id", clean_letters("text").alias("seq")).filter(F.length("seq") >= 6)
+    return cleaned(docs, "text", "doc_id")
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """(conv_id, turn, seq): whole conversation turns."""
     rows = spread_rows(read_table(spark, folder, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
-    return rows.select("conv_id", "turn", clean_letters("text").alias("seq")).filter(F.length("seq") >= 6)
+    return cleaned(rows, "text", "conv_id", "turn")
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, seq)."""
     rows = read_table(spark, folder, "benchmark")
-    return rows.select("item_id", clean_letters("text").alias("seq")).filter(F.length("seq") >= 6)
+    return cleaned(rows, "text", "item_id")
 
 
 def names(spark: SparkSession, folder: str) -> DataFrame:
     """(p_partkey, seq): part names, the short strings of the data."""
     rows = read_table(spark, folder, "part").select("p_partkey", "p_name")
-    return rows.select("p_partkey", clean_letters("p_name").alias("seq")).filter(F.length("seq") >= 6)
+    return cleaned(rows, "p_name", "p_partkey")
 
 
 def labeled(spark: SparkSession, folder: str) -> DataFrame:

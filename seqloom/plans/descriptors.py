@@ -597,8 +597,8 @@ def selected_out(prefix: str = "") -> str:
 
 @query("featurize_selected", SELECTED_SQL + f" SELECT doc_id, {selected_out()} FROM g")
 def featurize_selected(spark, folder):
-    feats = X.selected_features()
-    return seqs(spark, folder).select("doc_id", *[r6(c, X.column_name(n)) for n, c in feats.items()])
+    out = X.featurize(seqs(spark, folder), DOC)
+    return out.select("doc_id", *[r6(F.col(f"`{n}`"), X.column_name(n)) for n in SELECTED])
 
 
 @query(
@@ -609,10 +609,9 @@ def featurize_selected(spark, folder):
     + " FROM g JOIN labels l USING (doc_id) GROUP BY l.quality, l.toxic",
 )
 def label_feature_means(spark, folder):
-    feats = X.selected_features()
-    rows = labeled(spark, folder).select("quality", "toxic", *[c.alias(X.column_name(n)) for n, c in feats.items()])
+    rows = X.featurize(labeled(spark, folder), ["quality", "toxic"])
     return rows.groupBy("quality", "toxic").agg(
-        F.count("*").alias("n_rows"), *[r6(F.avg(X.column_name(n)), X.column_name(n)) for n in feats]
+        F.count("*").alias("n_rows"), *[r6(F.avg(F.col(f"`{n}`")), X.column_name(n)) for n in SELECTED]
     )
 
 
@@ -644,5 +643,5 @@ def label_feature_means(spark, folder):
     + " FROM g",
 )
 def featurize_legacy(spark, folder):
-    feats = X.legacy_features()
-    return seqs(spark, folder).select("doc_id", *[r6(c, X.column_name(n)) for n, c in feats.items()])
+    out = X.featurize(seqs(spark, folder), DOC, choose=X.legacy_features)
+    return out.select("doc_id", *[r6(F.col(f"`{n}`"), X.column_name(n)) for n in X.LEGACY_NAMES])

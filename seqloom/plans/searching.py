@@ -216,10 +216,6 @@ def crossover(spark, folder):
     return couples.select("target_id", "member", child.alias("seq"))
 
 
-def featurize(seq):
-    return X.feature_vector(X.selected_features(seq))
-
-
 def trained(spark, folder):
     """predict and outlier functions from the labeled texts."""
     from seqloom.plans.training import labeled_vectors, SETTINGS
@@ -241,7 +237,7 @@ def score_candidates(spark, folder):
     predict, outlier = trained(spark, folder)
     rows = targets(spark, folder).withColumn("self_score", G.alignment_score("target", "target"))
     drawn = G.variants_random(rows, 5).join(rows.select("target_id", "self_score"), "target_id")
-    out = G.score_candidates(drawn, featurize, predict, outlier)
+    out = G.score_candidates(drawn, X.with_vector, predict, outlier)
     return out.select("target_id", "member", "seq", "p", "outlier", "distance", "n_diff", "fitness")
 
 
@@ -252,11 +248,11 @@ def objective(spark, folder):
     rows = targets(spark, folder).withColumn("self_score", G.alignment_score("target", "target"))
     drawn = G.variants_random(rows, 5).join(rows.select("target_id", "self_score"), "target_id")
     own = lambda settings: settings.w1 * F.col("distance") - F.col("p")
-    return G.score_candidates(drawn, featurize, predict, outlier, objective=own).select("target_id", "member", "fitness")
+    return G.score_candidates(drawn, X.with_vector, predict, outlier, objective=own).select("target_id", "member", "fitness")
 
 
 @query("evolve")
 def evolve(spark, folder):
     predict, outlier = trained(spark, folder)
-    found = G.evolve(targets(spark, folder), featurize, predict, outlier, SMALL)
+    found = G.evolve(targets(spark, folder), X.with_vector, predict, outlier, SMALL)
     return found.log.select("target_id", "target", "generation", "initial_p", "seq", "fitness", "p", "outlier", "n_diff")
