@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.plans import descriptors, features, modelling, searching, training  # noqa: F401
+from seqloom.plans import (  # noqa: F401
+    descriptors, event_sequences, features, modelling, searching, training,
+)
 from seqloom.plans.base import ORACLES, QUERIES  # noqa: F401
 
 
