@@ -28,7 +28,7 @@ def count_in(seq: Column | str, members: str) -> Column:
 
 
 def class_fraction(seq: Column | str, members: str) -> Column:
-    return count_in(seq, members) / F.length(col(seq))
+    return F.try_divide(count_in(seq, members), F.length(col(seq)))
 
 
 def rest_fraction(seq: Column | str, first: str, second: str) -> Column:
@@ -55,7 +55,7 @@ def gapped_pair_fraction(seq: Column | str, first: str, second: str, gap: int) -
     places = F.length(s) - gap - 1
     # only the first letter is consumed, so overlapping pairs are all counted
     pattern = f"[{first}](?={'.' * gap}[{second}])"
-    return F.when(places > 0, F.regexp_count(s, F.lit(pattern)) / places).otherwise(F.lit(0.0))
+    return F.when(places > 0, F.try_divide(F.regexp_count(s, F.lit(pattern)), places)).otherwise(F.lit(0.0))
 
 
 def pair_expectation_score(seq: Column | str, first: str, second: str) -> Column:
@@ -63,7 +63,7 @@ def pair_expectation_score(seq: Column | str, first: str, second: str) -> Column
     expected = (L.CODONS[first] / 61) * (L.CODONS[second] / 61)
     places = F.length(col(seq)) - 1
     observed = gapped_pair_fraction(seq, first, second, 0)
-    return (observed - expected) / F.sqrt(F.lit(expected * (1 - expected)) / places)
+    return (observed - expected) / F.sqrt(F.try_divide(F.lit(expected * (1 - expected)), places))
 
 
 def ordered_pair_fraction(seq: Column | str, first: str, second: str) -> Column:

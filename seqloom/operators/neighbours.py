@@ -41,22 +41,59 @@ def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
+def _shortlist(q: np.ndarray, t: np.ndarray, k: int) -> np.ndarray | None:
+    """Columns of t that hold the k nearest of every row of q, and few others; None if ties make that many.
+
+    Euclidean distances from one matrix product are off by rounding only.  Whatever lies
+    within that error of the k-th is kept, so no true neighbour is lost.
+    """
+    norms = (t * t).sum(axis=1)
+    own = (q * q).sum(axis=1)
+    rough = own[:, None] + norms[None, :] - 2 * (q @ t.T)
+    edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    slack = 1e-9 * (own + norms.max()) + 1e-300
+    width = int((rough <= (edge + 2 * slack)[:, None]).sum(axis=1).max())
+    if width > 8 * k + 64 or width >= t.shape[0]:
+        return None
+    return np.argpartition(rough, width - 1, axis=1)[:, :width]
+
+
+def top_k(q: np.ndarray, t: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and exact distances of the k nearest rows of t; equal distances go by column."""
+    k = min(k, len(t))
+    short = _shortlist(q, t, k) if p == 2 and len(t) > 4 * k else None
+    if short is None:
+        d = distances(q, t, p)
+        columns = np.broadcast_to(np.arange(len(t)), d.shape)
+    else:
+        columns = np.sort(short, axis=1)
+        gap = q[:, None, :] - t[columns]
+        d = np.sqrt((gap * gap).sum(axis=2))
+    # columns ascend, and a stable sort leaves equal distances in that order
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(columns, order, 1), np.take_along_axis(d, order, 1)
+
+
 def nearest(qid, q, tid, t, k: int, p: float, skip_self: bool):
     """(query, train, distance) of the k nearest; equal distances go by train id."""
-    picked = []
-    for start in range(0, len(q), 512):
-        ids, d = qid[start : start + 512], distances(q[start : start + 512], t, p)
+    order = np.argsort(tid, kind="stable")
+    tid, t = tid[order], t[order]
+    want = min(len(tid), k + 1 if skip_self else k)
+    queries, trains, gaps = [], [], []
+    for start in range(0, len(q), 256):
+        ids = qid[start : start + 256]
+        columns, d = top_k(q[start : start + 256], t, want, p)
+        found = tid[columns]
+        keep = np.ones(found.shape, dtype=bool)
         if skip_self:
-            d[ids[:, None] == tid[None, :]] = np.inf
-        take = min(k, d.shape[1])
-        edge = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-        for r in range(len(ids)):
-            near = np.nonzero((d[r] <= edge[r]) & np.isfinite(d[r]))[0]
-            near = near[np.lexsort((tid[near], d[r][near]))][:take]
-            picked.append((np.full(len(near), ids[r]), tid[near], d[r][near]))
-    if not picked:
+            keep = found != ids[:, None]
+            keep &= np.cumsum(keep, axis=1) <= k
+        queries.append(np.broadcast_to(ids[:, None], found.shape)[keep])
+        trains.append(found[keep])
+        gaps.append(d[keep])
+    if not queries:
         return None
-    return [np.concatenate(c) for c in zip(*picked)]
+    return [np.concatenate(c) for c in (queries, trains, gaps)]
 
 
 def _batch(found) -> pa.RecordBatch:

@@ -64,14 +64,13 @@ def variants_random(targets: DataFrame, size: int, change_percent: int = 50, see
 
 
 def variants_single(targets: DataFrame) -> DataFrame:
-    """(target_id, target, pos, letter, seq): every string one replacement away."""
+    """The targets' columns and pos, letter, seq: every string one replacement away."""
     alphabet = F.split(F.lit(L.LETTERS), "")
-    rows = targets.select("target_id", "target", F.posexplode(S.letters("target")).alias("_p", "_old"))
-    rows = rows.select("target_id", "target", (F.col("_p") + 1).alias("pos"), "_old", F.explode(alphabet).alias("letter"))
+    kept = targets.columns
+    rows = targets.select(*kept, F.posexplode(S.letters("target")).alias("_p", "_old"))
+    rows = rows.select(*kept, (F.col("_p") + 1).alias("pos"), "_old", F.explode(alphabet).alias("letter"))
     rows = rows.filter("letter <> _old")
-    return rows.select(
-        "target_id", "target", "pos", "letter", F.overlay("target", "letter", F.col("pos"), F.lit(1)).alias("seq")
-    )
+    return rows.select(*kept, "pos", "letter", F.overlay("target", "letter", F.col("pos"), F.lit(1)).alias("seq"))
 
 
 def crossover(first: Column, second: Column, *salt) -> Column:
@@ -278,11 +277,9 @@ def outlier_column(train: DataFrame, key: str, vector: str, k: int = 20, limit:
                 return pd.Series([], dtype="float64")
             q = np.stack(v.to_list())
             out = np.empty(len(q))
-            for s in range(0, len(q), 512):
-                d = N.distances(q[s : s + 512], x, 2)
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                reach = np.maximum(np.take_along_axis(d, near, 1), far[near])
-                out[s : s + 512] = dense[near].mean(axis=1) * (reach.mean(axis=1) + 1e-10)
+            for s in range(0, len(q), 256):
+                near, d = N.top_k(q[s : s + 256], x, k, 2)
+                out[s : s + 256] = dense[near].mean(axis=1) * (np.maximum(d, far[near]).mean(axis=1) + 1e-10)
             return pd.Series(out)
 
         return lambda df: df.withColumn("outlier", score("features"))

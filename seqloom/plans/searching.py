@@ -29,8 +29,7 @@ def targets(spark, folder):
 def candidates(spark, folder):
     """Single replacements of every target with stand-in scores; the replaced place numbers the generation."""
     rows = targets(spark, folder).withColumn("self_score", G.alignment_score("target", "target"))
-    rows = G.variants_single(rows).join(rows.select("target_id", "self_score"), "target_id")
-    rows = rows.select(
+    rows = G.variants_single(rows).select(
         "target_id", "target", "self_score", F.col("pos").alias("generation"), "seq",
         (20 * F.col("pos") + F.instr(F.lit(L.LETTERS), F.col("letter"))).alias("member"),
         F.least(F.lit(1.0), 4 * S.class_fraction("seq", "KR")).alias("p"),
