@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import metrics as M
 from seqloom.operators import neighbours as N
+from seqloom.operators.scaling import fit_vector_scaler
 from seqloom.session import cut
 
 
@@ -99,7 +100,12 @@ def random_draws(space: dict, n: int, seed: int = 0) -> list[dict]:
 
 
 def fit_predict(family: str, setting: dict, train: DataFrame, held: DataFrame) -> DataFrame:
-    """(id, _y, p) of the held rows under a model fitted on the others."""
+    """(id, _y, p) of the held rows under a model fitted on the others.
+
+    Gaps are filled and features scaled by the training rows alone.
+    """
+    scale = fit_vector_scaler(train, "_x")
+    train, held = train.withColumn("_x", scale("_x")), held.withColumn("_x", scale("_x"))
     if family == "knn":
         scored = N.knn_classify(held, train, setting["k"], "id", "_x", "_y", setting["weights"], setting["p"])
         return held.select("id", "_y").join(scored.select(F.col("query_id").alias("id"), F.col("p1").alias("p")), "id")

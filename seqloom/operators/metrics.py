@@ -128,13 +128,10 @@ def evaluate(df: DataFrame, label: str, score: str, metric, threshold: float = 0
 
 
 def r2(df: DataFrame, by: Sequence[str], actual: str, predicted: str, clip: bool = False) -> DataFrame:
-    """1 - SSE/SST per group: the mean first, then squares about it, so nothing cancels."""
-    means = df.groupBy(*by).agg(F.avg(actual).alias("_mean"))
-    rows = df.join(means, list(by)) if by else df.crossJoin(means)
+    """1 - SSE/SST per group in one aggregation; the variance is kept stably, so nothing cancels."""
     err = F.col(actual) - F.col(predicted)
-    dev = F.col(actual) - F.col("_mean")
-    value = 1 - F.sum(err * err) / F.sum(dev * dev)
-    out = rows.groupBy(*by).agg(F.when(F.sum(dev * dev) > 0, value).alias("r2"))
+    total = F.var_pop(actual) * F.count(actual)
+    out = df.groupBy(*by).agg(F.when(total > 0, 1 - F.sum(err * err) / total).alias("r2"))
     return out.withColumn("r2", F.greatest("r2", F.lit(0.0))) if clip else out
 
 

@@ -202,6 +202,7 @@ class Validation:
     forests: list[Forest] = field(default_factory=list)
     refit_model: GBTClassificationModel | None = None
     refit_forest: Forest | None = None
+    custom: DataFrame | None = None  # what the caller's own metric gave
 
 
 def cross_validate(
@@ -214,6 +215,7 @@ def cross_validate(
     settings: BoostSettings,
     scratch: str,
     fold: str = "fold",
+    repeat: str | None = None,
     threshold: float = 0.5,
     refit: bool = True,
     refit_multiplier: float = 1.0,
@@ -223,15 +225,25 @@ def cross_validate(
     """Fit one model per fold, stop all at the shared best iteration, score, average, refit.
 
     The table is written once and read by every fit; fits run side by side, so that
-    executors stay busy while one of them is between jobs.
+    executors stay busy while one of them is between jobs.  With ``repeat`` the table has each
+    row once per repeat; a repeat's folds are numbered on from those before it, and a row's
+    out-of-fold score is the mean over the repeats.
     """
     spark = train.sparkSession
-    data = cut(train.select(*keys, F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("fold")))
-    folds = sorted(r[0] for r in data.select("fold").distinct().collect() if r[0] is not None)
-
-    def fit(f):
-        model = train_boosted(data.filter(F.col("fold") != f), "_x", "_y", settings)
-        nodes = tree_nodes(spark, model, f"{scratch}/fold{f}")
+    once = F.lit(0) if repeat is None else F.col(repeat)
+    data = cut(
+        train.select(
+            *keys, F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("_in"), once.alias("_repeat")
+        )
+    )
+    # one model per pair of these, so there are as many as there are fits
+    pairs = sorted(tuple(r) for r in data.select("_repeat", "_in").distinct().filter("_in is not null").collect())
+    folds = list(enumerate(pairs))
+
+    def fit(job):
+        f, (r, held) = job
+        rows = data.filter((F.col("_repeat") == r) & (F.col("_in") != held))
+        nodes = tree_nodes(spark, train_boosted(rows, "_x", "_y", settings), f"{scratch}/fold{f}")
         return f, Forest.of(nodes), nodes
 
     with ThreadPool(parallelism) as pool:
@@ -239,24 +251,28 @@ def cross_validate(
 
     # tree-prefix scores of each model on every row, and whether the row was held out
     scored = None
-    for f, forest, _ in fitted:
-        part = data.withColumn("_p", forest.prefix_scores("_x")).select(
-            *keys, "_y", F.col("fold").alias("_own"), F.lit(f).alias("fold"), "_p"
+    for (f, forest, _), (_, (r, held)) in zip(fitted, folds):
+        own = data.filter(F.col("_repeat") == r)
+        part = own.withColumn("_p", forest.prefix_scores("_x")).select(
+            *keys, "_y", (F.col("_in") == held).alias("_held"), F.lit(f).alias("fold"), "_p"
         )
         scored = part if scored is None else scored.unionByName(part)
     scored = cut(scored)
-    held = scored.filter("_own = fold").select("fold", "_y", F.posexplode("_p").alias("_i", "p"))
-    curve = M.auroc(held.withColumn("iteration", F.col("_i") + 1), ["fold", "iteration"], "_y", "p")
+    waiting = scored.filter("_held").select("fold", "_y", F.posexplode("_p").alias("_i", "p"))
+    curve = M.auroc(waiting.withColumn("iteration", F.col("_i") + 1), ["fold", "iteration"], "_y", "p")
     chosen = best_iteration(curve.withColumnRenamed("AUROC", "metric"), settings.patience).first()
     best = int(chosen["iteration"]) if chosen and chosen["iteration"] else settings.iterations
 
     p = F.element_at("_p", best).alias("p")
     rows = scored.select(
-        F.when(F.col("_own") == F.col("fold"), "Valid").otherwise("Train").alias("dataset"), "fold", "_y", p
+        F.when(F.col("_held"), "Valid").otherwise("Train").alias("dataset"), "fold", "_y", p
+    )
+    waited = scored.filter("_held").select(*keys, "fold", p)
+    out_of_fold = (
+        data.select(*keys).distinct()
+        .join(waited.groupBy(*keys).agg(F.min("fold").alias("fold"), F.avg("p").alias("p")), list(keys), "left")
+        .withColumn("predicted", M.threshold_label("p", threshold))
     )
-    out_of_fold = data.select(*keys, "fold").join(
-        scored.filter("_own = fold").select(*keys, p), list(keys), "left"
-    ).withColumn("predicted", M.threshold_label("p", threshold))
 
     test_predictions = None
     if test is not None:
@@ -274,7 +290,8 @@ def cross_validate(
     result = Validation(rows, out_of_fold, test_predictions, None, best, [f for _, f, _ in fitted])
     if refit:
         trees = max(1, int(best * refit_multiplier))
-        result.refit_model = train_boosted(data, "_x", "_y", replace(settings, iterations=trees))
+        whole = data if repeat is None else data.filter(F.col("_repeat") == pairs[0][0])
+        result.refit_model = train_boosted(whole, "_x", "_y", replace(settings, iterations=trees))
         result.refit_forest = Forest.of(tree_nodes(spark, result.refit_model, f"{scratch}/refit"))
         if test is not None:
             again = asked.select(

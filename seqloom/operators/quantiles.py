@@ -20,7 +20,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[s
     ties = known.groupBy(*by, value).agg(F.count("*").alias("_n"))
     sizes = ties.groupBy(*by).agg(F.sum("_n").alias("n_rows"))
     placed = running_totals(ties, by, [value], {"_before": "_n"})
-    rows = placed.join(F.broadcast(sizes), list(by)) if by else placed.crossJoin(F.broadcast(sizes))
+    rows = placed.join(sizes, list(by)) if by else placed.crossJoin(F.broadcast(sizes))
     picks = []
     for name, share in shares.items():
         rank = F.lit(share) * (F.col("n_rows") - 1)
@@ -63,7 +63,7 @@ def histogram_entropy(df: DataFrame, by: Sequence[str], value: str) -> DataFrame
     """Shannon entropy of the automatic histogram, in nats."""
     layout = auto_bins(df, by, value)
     known = df.filter(F.col(value).isNotNull())
-    rows = known.join(F.broadcast(layout), list(by)) if by else known.crossJoin(F.broadcast(layout))
+    rows = known.join(layout, list(by)) if by else known.crossJoin(F.broadcast(layout))
     placed = rows.withColumn("_bin", bin_of(F.col(value), F.col("low"), F.col("high"), F.col("bins")))
     counts = placed.groupBy(*by, "bins", "n_rows", "_bin").agg(F.count("*").alias("_n"))
     p = F.col("_n") / F.col("n_rows")

@@ -26,7 +26,7 @@ def split_gains(
         *by, "feature", "_y", bin_of(F.col("value"), F.col("low"), F.col("high"), F.lit(bins)).alias("bin")
     )
     counts = placed.groupBy(*by, "feature", "bin").agg(F.count("*").alias("n"), F.sum("_y").alias("pos"))
-    cells = counts.join(F.broadcast(p0), list(by)) if by else counts.crossJoin(F.broadcast(p0))
+    cells = counts.join(p0, list(by)) if by else counts.crossJoin(F.broadcast(p0))
     cells = cells.withColumn("g", F.col("n") * F.col("_p0") - F.col("pos")).withColumn(
         "h", F.col("n") * F.col("_p0") * (1 - F.col("_p0"))
     )

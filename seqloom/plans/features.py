@@ -11,6 +11,7 @@ from seqloom.operators import metrics as M
 from seqloom.operators import neighbours as N
 from seqloom.operators import quantiles as Q
 from seqloom.operators import stumps as P
+from seqloom.operators.scaling import scaled_features
 from seqloom.plans.base import query, r6, values
 from seqloom.sources.tables import read_table
 
@@ -155,7 +156,7 @@ def impute_scale(spark, folder):
         "l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"),
         F.nullif("l_discount", F.lit(0.0)).alias("b"), F.nullif("l_tax", F.lit(0.0)).alias("c"),
     )
-    out = A.scaled_features(rows, ["a", "b", "c"])
+    out = scaled_features(rows, ["a", "b", "c"])
     return out.select("l_orderkey", "l_linenumber", r6("a"), r6("b"), r6("c"))
 
 

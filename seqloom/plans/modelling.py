@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,12 +21,7 @@ from seqloom.sources.tables import read_table
 
 def scratch(spark) -> str:
     """A new folder below the shared one."""
-    root = checkpoint_folder(spark)
-    if "://" in root and not root.startswith("file:"):
-        import uuid
-
-        return f"{root.rstrip('/')}/seqloom-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="seqloom-", dir=root.removeprefix("file:").replace("///", "/"))
+    return f"{checkpoint_folder(spark).rstrip('/')}/seqloom-{uuid.uuid4().hex}"
 
 
 # ---- the scored rows every metric reads ------------------------------------
@@ -280,12 +275,12 @@ def scoring(spark, folder):
     return out.select("metric", r6("value"))
 
 
-@query("custom_metric")
+@query("custom_metric", f"WITH {SCORED} SELECT 'brier' AS metric, round(avg(pow(y-p,2)),6) AS value FROM score")
 def custom_metric(spark, folder):
     def brier(df, label, score):
         return df.agg(F.lit("brier").alias("metric"), F.avg(F.pow(F.col(label) - F.col(score), 2)).alias("value"))
 
-    return M.evaluate(scored(spark, folder), "y", "p", brier)
+    return M.evaluate(scored(spark, folder), "y", "p", brier).select("metric", r6("value"))
 
 
 # ---- splits, joins, blocks --------------------------------------------------

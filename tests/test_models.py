@@ -79,6 +79,26 @@ def test_cross_validation(spark, data, tmp_path):
     assert len(split) == 12 and max(split, key=split.get) in ("f0", "f1")
 
 
+def test_repeated_cross_validation(spark, data, tmp_path):
+    rows = K.repeated_folds(data, ["id"], "y", 2, 2)
+    r = B.cross_validate(
+        rows, None, ["id"], "x", "y", NAMES, replace(SETTINGS, iterations=2), str(tmp_path), repeat="repeat", refit=False,
+        metric=lambda df, y, p: df.agg(F.count("*").alias("value")),
+    )
+    assert r.scores.filter("dataset = 'Valid'").count() == 4
+    assert r.train_predictions.filter("p is not null").count() == data.count()
+    assert r.custom.first()["value"] == 4 * data.count()
+
+
+def test_scaling_fills_gaps(spark):
+    from seqloom.operators.scaling import fit_vector_scaler
+
+    df = spark.createDataFrame([(0, [1.0, 5.0]), (1, [None, 5.0]), (2, [3.0, 5.0]), (3, [8.0, 5.0])], "id int, x array<double>")
+    got = np.array([r["x"] for r in df.withColumn("x", fit_vector_scaler(df, "x")("x")).orderBy("id").collect()])
+    want = np.array([1.0, 3.0, 3.0, 8.0])
+    assert np.allclose(got[:, 0], (want - want.mean()) / want.std()) and np.allclose(got[:, 1], 0)
+
+
 def test_stopping_rule(spark):
     means = [0.5, 0.6, 0.55, 0.58, 0.59, 0.7, 0.6, 0.6]
     curve = spark.createDataFrame([(f, i + 1, m + f * 0.1) for f in range(2) for i, m in enumerate(means)], "fold int, iteration int, metric double")
