@@ -163,13 +163,13 @@ class Forest:
 
     def score(self, vector: Column | str, upto: int | None = None) -> Column:
         """Probability after ``upto`` trees (all by default)."""
-        last = (len(self.trees) if upto is None else max(1, min(upto, len(self.trees)))) - 1
+        used = Forest(self.trees if upto is None else self.trees[: max(1, upto)])
 
         @pandas_udf("double")
         def scores(v: pd.Series) -> pd.Series:
             if not len(v):
                 return pd.Series([], dtype="float64")
-            return pd.Series(1 / (1 + np.exp(-2 * self.margins(np.stack(v.to_list()))[:, last])))
+            return pd.Series(1 / (1 + np.exp(-2 * used.margins(np.stack(v.to_list()))[:, -1])))
 
         return scores(vector)
 
@@ -249,21 +249,25 @@ def cross_validate(
     with ThreadPool(parallelism) as pool:
         fitted = pool.map(fit, folds)
 
-    # tree-prefix scores of each model on every row, and whether the row was held out
+    # only held-out rows are scored after every tree; their curve sets the shared iteration count
+    waiting = None
+    for (f, forest, _), (_, (r, held)) in zip(fitted, folds):
+        own = data.filter((F.col("_repeat") == r) & (F.col("_in") == held))
+        part = own.select("_y", F.lit(f).alias("fold"), F.posexplode(forest.prefix_scores("_x")).alias("_i", "p"))
+        waiting = part if waiting is None else waiting.unionByName(part)
+    curve = M.auroc(waiting.withColumn("iteration", F.col("_i") + 1), ["fold", "iteration"], "_y", "p")
+    chosen = best_iteration(curve.withColumnRenamed("AUROC", "metric"), settings.patience).first()
+    best = int(chosen["iteration"]) if chosen and chosen["iteration"] else settings.iterations
+
     scored = None
     for (f, forest, _), (_, (r, held)) in zip(fitted, folds):
         own = data.filter(F.col("_repeat") == r)
-        part = own.withColumn("_p", forest.prefix_scores("_x")).select(
-            *keys, "_y", (F.col("_in") == held).alias("_held"), F.lit(f).alias("fold"), "_p"
+        part = own.select(
+            *keys, "_y", (F.col("_in") == held).alias("_held"), F.lit(f).alias("fold"), forest.score("_x", best).alias("p")
         )
         scored = part if scored is None else scored.unionByName(part)
     scored = cut(scored)
-    waiting = scored.filter("_held").select("fold", "_y", F.posexplode("_p").alias("_i", "p"))
-    curve = M.auroc(waiting.withColumn("iteration", F.col("_i") + 1), ["fold", "iteration"], "_y", "p")
-    chosen = best_iteration(curve.withColumnRenamed("AUROC", "metric"), settings.patience).first()
-    best = int(chosen["iteration"]) if chosen and chosen["iteration"] else settings.iterations
-
-    p = F.element_at("_p", best).alias("p")
+    p = "p"
     rows = scored.select(
         F.when(F.col("_held"), "Valid").otherwise("Train").alias("dataset"), "fold", "_y", p
     )

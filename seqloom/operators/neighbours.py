@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.dependence import matrix
 from seqloom.operators.quantiles import exact_quantiles, skewed_lookup
-from seqloom.session import cut
+from seqloom.session import cut, spread_rows
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
@@ -112,7 +112,7 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, train_id, distance, place): the k nearest training rows of every query row."""
-    q = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    q = spread_rows(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")), "id")
     t = train.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     size = t.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     if not size["n"]:

@@ -29,7 +29,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``.  Only a local session may
     fall back to a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
