@@ -121,10 +121,20 @@ def evaluate(df: DataFrame, label: str, score: str, metric, threshold: float = 0
     """One metric by name, or by a callable from (df, label, score) to a one-row frame."""
     if callable(metric):
         return metric(df, label, score)
-    if metric == "AUROC":
-        return auroc(df, [], label, score).select(F.lit("AUROC").alias("metric"), F.col("AUROC").alias("value"))
+    return evaluate_all(df, label, score, [metric], threshold)
+
+
+def evaluate_all(
+    df: DataFrame, label: str, score: str, names: Sequence[str] = tuple(ALL_METRICS), threshold: float = 0.5
+) -> DataFrame:
+    """(metric, value) for any number of names, from one count of the rows and one ranking."""
     counts = confusion(df.withColumn("_predicted", threshold_label(score, threshold)), [], label, "_predicted")
-    return counts.select(F.lit(metric).alias("metric"), score_by(metric)().alias("value"))
+    if "AUROC" in names:
+        counts = counts.crossJoin(auroc(df, [], label, score))
+    cells = [
+        F.struct(F.lit(n).alias("metric"), (F.col("AUROC") if n == "AUROC" else score_by(n)()).alias("value")) for n in names
+    ]
+    return counts.select(F.inline(F.array(*cells)))
 
 
 def r2(df: DataFrame, by: Sequence[str], actual: str, predicted: str, clip: bool = False) -> DataFrame:

@@ -18,9 +18,9 @@ from seqloom.session import cut
 
 
 def numbered_symbols(df: DataFrame, group: str, order: Sequence[str], symbol: str) -> DataFrame:
-    """(group, pos, symbol) with pos 1, 2, ... in the given order."""
+    """(group, pos, symbol) with pos 1, 2, ... in the given order; written once, as joins read it several times."""
     rows = row_ordinals(df.select(group, *order, F.col(symbol).alias("symbol")), [group], order, "pos")
-    return rows.select(group, F.col("pos").cast("long").alias("pos"), "symbol")
+    return cut(rows.select(group, F.col("pos").cast("long").alias("pos"), "symbol"))
 
 
 def symbol_frequency(df: DataFrame, group: str, symbol: str) -> DataFrame:
@@ -48,10 +48,9 @@ def symbol_kmer_frequency(numbered: DataFrame, group: str, k: int, gap: int = 0)
 
 def symbol_gapped_pairs(numbered: DataFrame, group: str, kspace: int) -> DataFrame:
     """As above for pairs at every gap 0..kspace."""
-    rows = cut(numbered)
     out = None
     for gap in range(kspace + 1):
-        part = symbol_kmer_frequency(rows, group, 2, gap).withColumn("gap", F.lit(gap))
+        part = symbol_kmer_frequency(numbered, group, 2, gap).withColumn("gap", F.lit(gap))
         out = part if out is None else out.unionByName(part)
     return out
 

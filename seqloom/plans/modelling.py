@@ -14,7 +14,7 @@ from seqloom.operators import metrics as M
 from seqloom.operators import mutations as U
 from seqloom.operators import tables as T
 from seqloom.plans.base import ITEMS, LABELED, SEQS, TURNS, items, labeled, query, r6, seqs, turns
-from seqloom.session import checkpoint_folder
+from seqloom.session import checkpoint_folder, cut
 from seqloom.sources import tables as IO
 from seqloom.sources.tables import read_table
 
@@ -27,9 +27,9 @@ def scratch(spark) -> str:
 # ---- the scored rows every metric reads ------------------------------------
 
 def scored(spark, folder):
-    """(doc_id, y, p, fold, yhat)."""
-    rows = labeled(spark, folder).select(
-        "doc_id", F.col("quality").alias("y"), S.class_fraction("seq", "KR").alias("p")
+    """(doc_id, y, p, fold, yhat); the texts are read once, for p."""
+    rows = cut(
+        labeled(spark, folder).select("doc_id", F.col("quality").alias("y"), S.class_fraction("seq", "KR").alias("p"))
     )
     rows = K.stratified_folds(rows, ["doc_id"], "y", 10, 42)
     return rows.withColumn("yhat", M.threshold_label("p", 0.08))
@@ -80,7 +80,7 @@ def stratified_folds(spark, folder):
     f"SELECT doc_id, quality AS y, \"repeat\", CAST({fold_sql('CAST(repeat+42 AS VARCHAR)', 'quality', 'repeat, ')} AS INTEGER) AS fold FROM r",
 )
 def repeated_folds(spark, folder):
-    rows = labeled(spark, folder).select("doc_id", F.col("quality").alias("y"))
+    rows = cut(labeled(spark, folder).select("doc_id", F.col("quality").alias("y")))
     return K.repeated_folds(rows, ["doc_id"], "y", 10, 3).select("doc_id", "y", "repeat", "fold")
 
 
@@ -89,7 +89,7 @@ def repeated_folds(spark, folder):
     f"WITH {SEQS} SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':0'), doc_id)-1 AS fold FROM seqs",
 )
 def leave_one_out(spark, folder):
-    return K.leave_one_out(seqs(spark, folder).select("doc_id"), ["doc_id"]).select("doc_id", "fold")
+    return K.leave_one_out(cut(seqs(spark, folder).select("doc_id")), ["doc_id"]).select("doc_id", "fold")
 
 
 @query(
@@ -186,15 +186,14 @@ MODELS_SQL = (
 
 
 def model_scores(spark, folder):
-    rows = labeled(spark, folder).withColumnRenamed("quality", "y")
-    rows = K.stratified_folds(rows, ["doc_id"], "y", 10, 42)
     cells = F.array(
         *[
             F.struct(F.lit(n).alias("model"), M.threshold_label(S.class_fraction("seq", c), t).alias("yhat"))
             for n, (c, t) in MODELS.items()
         ]
     )
-    rows = rows.select("doc_id", "y", "fold", F.inline(cells))
+    rows = cut(labeled(spark, folder).select("doc_id", F.col("quality").alias("y"), cells.alias("cells")))
+    rows = K.stratified_folds(rows, ["doc_id"], "y", 10, 42).select("doc_id", "y", "fold", F.inline("cells"))
     return M.confusion(rows, ["model", "fold"], "y", "yhat").select(
         "model", "fold", M.mcc().alias("MCC"), M.accuracy().alias("ACC")
     )
@@ -267,12 +266,7 @@ def r2(spark, folder):
        "FROM score a JOIN score b ON a.y=1 AND b.y=0) SELECT 'AUROC' AS metric, round(v,6) AS value FROM au"
        + "".join(f" UNION ALL SELECT '{m}', round({m},6) FROM one" for m in METRIC_SQL))
 def scoring(spark, folder):
-    rows = scored(spark, folder)
-    out = None
-    for name in M.ALL_METRICS:
-        one = M.evaluate(rows, "y", "p", name, 0.08)
-        out = one if out is None else out.unionByName(one)
-    return out.select("metric", r6("value"))
+    return M.evaluate_all(scored(spark, folder), "y", "p", M.ALL_METRICS, 0.08).select("metric", r6("value"))
 
 
 @query("custom_metric", f"WITH {SCORED} SELECT 'brier' AS metric, round(avg(pow(y-p,2)),6) AS value FROM score")
@@ -598,14 +592,13 @@ def read_sequences(spark, folder):
 
 def importances(spark, folder):
     """(fold, feature, importance): how far the class means of each letter's share lie apart."""
-    rows = labeled(spark, folder).withColumnRenamed("quality", "y")
-    rows = K.stratified_folds(rows, ["doc_id"], "y", 10, 42)
-    cells = F.inline(F.array(*[F.struct(F.lit(a).alias("feature"), S.class_fraction("seq", a).alias("x")) for a in L.LETTERS]))
-    long = rows.select("fold", "y", cells)
+    cells = F.array(*[F.struct(F.lit(a).alias("feature"), S.class_fraction("seq", a).alias("x")) for a in L.LETTERS])
+    rows = cut(labeled(spark, folder).select("doc_id", F.col("quality").alias("y"), cells.alias("cells")))
+    long = K.stratified_folds(rows, ["doc_id"], "y", 10, 42).select("fold", "y", F.inline("cells"))
     gap = F.avg(F.when(F.col("y") == 1, F.col("x"))) - F.avg(F.when(F.col("y") == 0, F.col("x")))
     # letters that tell little apart count as unused in that fold
     size = F.floor(F.coalesce(F.abs(gap), F.lit(0.0)) * 40)
-    return long.groupBy("fold", "feature").agg(size.cast("double").alias("importance"))
+    return cut(long.groupBy("fold", "feature").agg(size.cast("double").alias("importance")))
 
 
 IMPORTANCE = (
