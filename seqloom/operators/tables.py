@@ -75,6 +75,35 @@ def dense_features(joined: DataFrame, names: Sequence[str]) -> DataFrame:
     return joined.withColumn("features", F.array(*cells))
 
 
+def feature_index(dictionary: DataFrame) -> DataFrame:
+    """(feature, place): the names in sorted order, counted from zero."""
+    names = dictionary.select("feature").distinct()
+    return row_ordinals(names, [], ["feature"], "_o").select("feature", (F.col("_o") - 1).cast("int").alias("place"))
+
+
+def dense_vectors(blocks: DataFrame, index: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, features): sparse long rows as full arrays in the order of ``index``, zeros filled in.
+
+    The cells of a key are sorted by place and the gaps between them filled, so the work per key
+    grows with the array's length.  The index has one small row per feature name.
+    """
+    size = index.count()
+    placed = blocks.join(index, "feature").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("place", F.col("value").cast("double").alias("value")))).alias("_cells")
+    )
+    ends = F.struct(F.lit(size).alias("place"), F.lit(0.0).alias("value"))
+    starts = F.struct(F.lit(-1).alias("place"), F.lit(0.0).alias("value"))
+    placed = placed.select(
+        *keys, F.concat(F.array(starts), "_cells").alias("_from"), F.concat("_cells", F.array(ends)).alias("_to")
+    )
+
+    def gap_and_cell(a, b):
+        zeros = F.array_repeat(F.lit(0.0), b["place"] - a["place"] - 1)
+        return F.when(b["place"] == size, zeros).otherwise(F.concat(zeros, F.array(b["value"])))
+
+    return placed.select(*keys, F.flatten(F.zip_with("_from", "_to", gap_and_cell)).alias("features"))
+
+
 def feature_dictionary(blocks: DataFrame) -> DataFrame:
     """Which features each block has."""
     return blocks.select("block", "feature").distinct()

@@ -375,6 +375,20 @@ def join_blocks(spark, folder):
     )
 
 
+@query(
+    "dense_vectors",
+    f"WITH {BLOCKS}, ix AS (SELECT feature, row_number() OVER (ORDER BY feature)-1 AS place FROM (SELECT DISTINCT feature FROM blocks)) "
+    "SELECT \"ID\", \"Dataset\", CAST((SELECT count(*) FROM ix) AS INTEGER) AS size, round(sum(value),6) AS total, "
+    "round(sum(value*place),4) AS weighted FROM blocks JOIN ix USING (feature) GROUP BY 1,2",
+)
+def dense_vectors(spark, folder):
+    rows = cut(all_blocks(spark, folder))
+    out = T.dense_vectors(rows, T.feature_index(rows), ["ID", "Dataset"])
+    weighted = F.aggregate(F.transform("features", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
+    return out.select("ID", "Dataset", F.size("features").alias("size"), r6(total, "total"), F.round(weighted, 4).alias("weighted"))
+
+
 @query("write_read_block", f"WITH {BLOCKS} SELECT \"ID\", \"Dataset\", block, feature, round(value,6) AS value FROM blocks WHERE block='AAC'")
 def write_read_block(spark, folder):
     path = scratch(spark)

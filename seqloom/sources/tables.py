@@ -33,6 +33,19 @@ def read_lookup(spark: SparkSession, path: str, letters: str, key: str = "prop")
     return long.select(key, "letter", F.regexp_replace("value", "\\s", "").cast("double").alias("value"))
 
 
+def lookup_rows(df: DataFrame, key: str = "prop") -> dict[str, dict[str, float]]:
+    """A lookup as ``{property: {letter: value}}`` for the descriptors; one row per letter and property."""
+    rows: dict[str, dict[str, float]] = {}
+    for r in df.select(key, "letter", "value").collect():
+        rows.setdefault(r[0], {})[r[1]] = r[2]
+    return rows
+
+
+def lookup_pairs(df: DataFrame, key: str = "prop") -> dict[tuple[str, str], float]:
+    """A letter-by-letter matrix as ``{(row, column): value}``: at most one entry per letter pair."""
+    return {(a, b): v for a, row in lookup_rows(df, key).items() for b, v in row.items()}
+
+
 def write_lookup(df: DataFrame, path: str, letters: str, key: str = "prop") -> None:
     """The inverse of `read_lookup`: (key, letter, value) to a tab-separated matrix."""
     wide = df.groupBy(key).pivot("letter", list(letters)).agg(F.first("value"))

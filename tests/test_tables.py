@@ -134,6 +134,18 @@ def test_lookup_with_carriage_returns(spark, tmp_path):
     assert got["P", "R"] == -2.53 and got["Q", "N"] == 0.2 and len(got) == 6
 
 
+def test_a_matrix_of_the_callers_own(spark, tmp_path):
+    from seqloom.functions import lookups as L
+    from seqloom.operators import search as G
+
+    lines = ["Name\t" + "\t".join(L.ROW_ORDER)]
+    lines += [a + "\t" + "\t".join("5" if a == b else "-1" for b in L.ROW_ORDER) for a in L.ROW_ORDER]
+    (tmp_path / "s.txt").write_text("\r\n".join(lines) + "\r\n")
+    scores = IO.lookup_pairs(IO.read_lookup(spark, str(tmp_path / "s.txt"), L.ROW_ORDER))
+    df = spark.createDataFrame([("ACDE", "ACDF")], "a string, b string").withColumn("own", G.alignment_score("a", "a", scores))
+    assert df.select(G.similarity_distance("a", "b", "own", scores).alias("d")).first()["d"] == pytest.approx(1 - 14 / 20)
+
+
 def test_blocks_are_pruned(spark, tmp_path):
     df = spark.createDataFrame([(1, "AAC", "a", 0.5), (1, "DPC", "aa", 0.1)], "ID int, block string, feature string, value double")
     IO.write_block(df, str(tmp_path / "b"))
