@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler  # noqa: F401
+from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

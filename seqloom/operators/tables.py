@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.ordinal import row_ordinals
 
-KEY = ["ID", "Sequence", "CPP", "Dataset"]
-
 
 def tag_split(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("Dataset", F.lit(name))

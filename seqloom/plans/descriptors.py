@@ -10,7 +10,7 @@ from seqloom.operators import composition as C
 from seqloom.operators import lags as G
 from seqloom.operators import selected as X
 from seqloom.plans.base import (
-    ITEMS, NAMES, SEQS, TURNS, LABELED, chars, distance_sql, items, labeled, names, props_sql, query, r6, seqs, turns,
+    ITEMS, SEQS, TURNS, chars, distance_sql, items, labeled, props_sql, query, r6, seqs, turns,
     values,
 )
 

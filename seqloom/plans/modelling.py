@@ -406,9 +406,6 @@ def sorted_names(spark, folder):
     return T.sorted_names(T.feature_dictionary(all_blocks(spark, folder)))
 
 
-VOWEL = "feature LIKE '%A%' AND block='AAC'"
-
-
 @query("select_features", f"WITH {BLOCKS}, keep AS (SELECT DISTINCT feature FROM blocks WHERE block='DPC' AND feature LIKE '%E%') "
        "SELECT \"ID\", feature, round(value,6) AS value FROM blocks WHERE feature IN (SELECT feature FROM keep)")
 def select_features(spark, folder):

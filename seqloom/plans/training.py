@@ -10,7 +10,6 @@ from seqloom.operators import attribution as A
 from seqloom.operators import dependence as D
 from seqloom.operators import folds as K
 from seqloom.operators import hpo as H
-from seqloom.operators import metrics as M
 from seqloom.operators import models as B
 from seqloom.operators import selected as X
 from seqloom.plans.base import labeled, query, r6

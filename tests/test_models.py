@@ -7,7 +7,6 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from conftest import SMALL
 from seqloom.operators import attribution as A
 from seqloom.operators import dependence as D
 from seqloom.operators import folds as K
