@@ -50,8 +50,8 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int) -> Iterator[tuple[list, list]]:
-    """Lists of keys and texts; a group ends when its texts reach ``limit`` characters."""
+def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int) -> Iterator[tuple[pa.Array, list]]:
+    """Keys and texts; a group ends when its texts reach ``limit`` characters."""
     keys, group, size = [], [], 0
     for batch in batches:
         for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
@@ -59,7 +59,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int)
             group.append(t)
             size += len(t)
             if size >= limit:
-                yield keys, group
+                yield pa.array(keys, batch.schema.field(key).type), group
                 keys, group, size = [], [], 0
     if keys:
-        yield keys, group
+        yield pa.array(keys, batch.schema.field(key).type), group

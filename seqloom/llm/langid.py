@@ -122,10 +122,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     A null, empty or letterless text is ``und`` with score 0; so is every text if nothing was learned.
     Equal likelihoods go to the language that sorts first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_languages * buckets
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by max_languages * buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(**shared.value)
         buckets = m.table.shape[1]
         for batch in batches:
             names, scores = [], []
