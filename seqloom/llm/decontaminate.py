@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,7 +107,7 @@ def build_index(docs: DataFrame, items, gap: int, key: str, text: str) -> DataFr
             places = places[np.argsort(ids[places], kind="stable")]
             terms, counts = np.unique(ids[places], return_counts=True)
             steps = np.diff(places, prepend=0).astype(np.int32)
-            digests = [zlib.crc32(one.encode("utf-8")) for one in group]
+            digests = [int.from_bytes(xxhash.xxh3_64_digest(one.encode("utf-8")), "big", signed=True) for one in group]
             packed = [zlib.compress(a.astype(np.int32).tobytes(), 1) for a in (terms, counts, steps)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -270,9 +271,9 @@ def find_leaks(
             F.concat(
                 F.slice(done, F.lit(1), F.size(done) - 1),
                 F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"),
+                    F.named_struct(
+                        F.lit("start"), F.element_at(done, -1)["start"],
+                        F.lit("end"), F.greatest(F.element_at(done, -1)["end"], s["end"]),
                     )
                 ),
             ),
