@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, decontaminate, htmltext, langid, linededup, neighbours, secrets  # noqa: F401
+from seqloom.llm import bpe, decontaminate, htmltext, jaccard, langid, linededup, neighbours, secrets  # noqa: F401
 from seqloom.llm.common import ORACLES, QUERIES  # noqa: F401
