@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.session import cut, spread_rows
+from seqloom.session import checkpoint_folder, cut, spread_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +44,50 @@ def stored(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
+class Scratch:
+    """Tables written to a folder of their own in the shared checkpoint folder.
+
+    For iterations: a checkpoint keeps the optimizer's estimate of its size, which joins multiply in every round
+    until the numbers themselves are too long to handle; a written table has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}"
+        self.paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self._held = [*getattr(self, "_held", []), out]  # keeps the ids apart
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read again."""
+        for one in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(one)])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Tasks whose vectors are added up in one group, before the groups are.
+ADDED = 64
+
+
+def sum_vectors(parts: DataFrame, dtype) -> np.ndarray | None:
+    """The sum of vectors that tasks have cut into compressed parts (part int, vector binary); None without any."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(v), dtype) for v in group.vector)
+        return pd.DataFrame({"part": [int(group.part.iloc[0])], "vector": [zlib.compress(total.tobytes(), 1)]})
+
+    turn = F.spark_partition_id() % ADDED
+    some = parts.select("part", "vector", turn.alias("turn")).groupBy("part", "turn").applyInPandas(add, "part int, vector binary")
+    every = some.groupBy("part").applyInPandas(add, "part int, vector binary").collect()  # one vector
+    return np.concatenate([np.frombuffer(zlib.decompress(v), dtype) for _, v in sorted(every)]) if every else None
+
+
 def id_remainder(key: Column, n: int) -> Column:
     """crc32 of the key's text modulo ``n``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
