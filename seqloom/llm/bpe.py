@@ -17,12 +17,13 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import query, table, texts
+from seqloom.llm.common import fields, query, table, texts
 
 LEAF = 48
 #: Matches of up to so many characters are remembered, as many as fit in MEMORY entries.
@@ -147,8 +148,10 @@ def _lists(ids: list[array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) for every row.
+def encode(
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, columns to keep, ids array<int>) for every row.
 
     A null or empty text has no ids.  Rows with equal keys are encoded one by one; other columns are
     not read.  Special tokens in a text are ordinary text.
@@ -157,22 +160,22 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
+        names = [key, *keep, "ids"]
         for batch in batches:
-            keys, ids, size, start = batch.column(key), [], 0, 0
+            own, ids, size, start = batch.select([key, *keep]), [], 0, 0
             for i, one in enumerate(batch.column(text).to_pylist()):
                 ids.append(encoder.encode(one))
                 size += len(ids[-1])
                 if size >= 2_000_000:
-                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(ids)), _lists(ids)], [key, "ids"])
+                    yield pa.RecordBatch.from_arrays([*own.slice(start, len(ids)).columns, _lists(ids)], names)
                     ids, size, start = [], 0, i + 1
-            yield pa.RecordBatch.from_arrays([keys.slice(start, len(ids)), _lists(ids)], [key, "ids"])
+            yield pa.RecordBatch.from_arrays([*own.slice(start, len(ids)).columns, _lists(ids)], names)
 
-    rows = texts(docs, key, text)
-    return rows.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+    return texts(docs, key, text, keep).mapInArrow(run, f"{fields(docs, key, *keep)}ids array<int>")
 
 
-def decode(ids: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """(key, ids, decoded binary): the bytes of every row's ids; null ids decode to no bytes."""
+def decode(ids: DataFrame, path: str, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, ids, decoded binary): the bytes of every row's ids; null ids decode to no bytes."""
     ranks = ids.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,27 +184,30 @@ def decode(ids: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             column = batch.column("ids")
             decoded = [encoder.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in column]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), column, pa.array(decoded, pa.binary())], [key, "ids", "decoded"]
+                [*map(batch.column, (key, *keep)), column, pa.array(decoded, pa.binary())], [key, *keep, "ids", "decoded"]
             )
 
-    kind = ids.schema[key].dataType.simpleString()
-    return ids.select(key, "ids").mapInArrow(run, f"{key} {kind}, ids array<int>, decoded binary")
+    schema = f"{fields(ids, key, *keep)}ids array<int>, decoded binary"
+    return ids.select(key, *keep, "ids").mapInArrow(run, schema)
 
 
 @query("op1_byte_bpe")
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of the bytes decoded from them."""
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    import public_tokenizers
-
+def round_trip(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, columns to keep, n_tokens, ids_sha256, decoded_sha256, ids)."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(docs, path, public_tokenizers.PATTERN, key, text), path, key)
+    both = decode(encode(docs, path, public_tokenizers.PATTERN, key, text, keep), path, key, keep)
     return both.select(
         key,
+        *keep,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "ids",
     )

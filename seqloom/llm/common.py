@@ -34,9 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) spread over the cores; a null text is the empty text."""
-    return spread_rows(df.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)))
+def texts(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, text, other columns to keep) spread over the cores; a null text is the empty text."""
+    return spread_rows(df.select(key, F.coalesce(F.col(text), F.lit("")).alias(text), *[c for c in keep if c != text]))
+
+
+def fields(df: DataFrame, *names: str) -> str:
+    """The columns as the beginning of a schema string."""
+    return "".join(f"{n} {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
+def with_size_check(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
+    """Join with a table that goes to all tasks if it has at most ``most`` rows, and is shuffled if it has more."""
+    if right.count() <= most:
+        return left.join(F.broadcast(right), on, how)
+    return left.hint("merge").join(right, on, how)
 
 
 def stored(df: DataFrame) -> DataFrame:

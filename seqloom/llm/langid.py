@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import id_remainder, query, table, texts
+from seqloom.llm.common import fields, id_remainder, query, table, texts
 
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -116,8 +116,10 @@ def fit(
     return Model(languages, prior, counts, sizes)
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score): the likeliest language and its posterior probability.
+def predict(
+    docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, columns to keep, lang_pred, score): the likeliest language and its posterior probability.
 
     A null, empty or letterless text is ``und`` with score 0; so is every text if nothing was learned.
     Equal likelihoods go to the language that sorts first.
@@ -143,12 +145,12 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 names.append(m.languages[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [key, "lang_pred", "score"],
+                [*map(batch.column, (key, *keep)), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [key, *keep, "lang_pred", "score"],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return texts(docs, key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
+    schema = f"{fields(docs, key, *keep)}lang_pred string, score double"
+    return texts(docs, key, text, keep).mapInArrow(run, schema)
 
 
 #: Documents whose remainder is HELD_OUT are not learned from.

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import query, stored, table, texts
+from seqloom.llm.common import fields, query, stored, table, texts
 
 LOWER = bytes(b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
 #: Droppable keys in a shard, on average.
@@ -171,17 +171,19 @@ class LineIndex:
     def exact(self) -> DataFrame:
         return self.refs.filter(F.col("refs") >= self.min_docs).select("hi", "lo")
 
-    def drop_lines(self, docs: DataFrame, text: str = "text", key: str = "doc_id", sent: int = SENT) -> DataFrame:
-        """(key, n_lines, n_dropped, kept) for every row: droppable lines go, the others stay as they are.
+    def drop_lines(
+        self, docs: DataFrame, text: str = "text", key: str = "doc_id", sent: int = SENT, keep: tuple[str, ...] = ()
+    ) -> DataFrame:
+        """(key, columns to keep, n_lines, n_dropped, kept) for every row: droppable lines go, the others stay as they are.
 
         A null or empty text is one empty line, and blank lines always stay.  Rows with equal keys are
         treated one by one.
         """
         if self.droppable <= sent:
-            return self._drop_sent(docs, text, key)
-        return self._drop_joined(docs, text, key)
+            return self._drop_sent(docs, text, key, keep)
+        return self._drop_joined(docs, text, key, keep)
 
-    def _drop_sent(self, docs: DataFrame, text: str, key: str) -> DataFrame:
+    def _drop_sent(self, docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> DataFrame:
         """At most ``sent`` keys: filters and exact keys go to every task."""
         exact = self.exact().toArrow().sort_by([("hi", "ascending"), ("lo", "ascending")])
         held = np.rec.fromarrays([exact.column(c).to_numpy() for c in ("hi", "lo")], names="hi,lo")
@@ -193,14 +195,14 @@ class LineIndex:
             exact, packed = shared.value
             filters = {s: _unpacked(*c) for s, c in packed.items()}
             for batch in batches:
-                yield from _dropped(batch, key, text, lambda found: _known(found, filters, shards, exact))
+                yield from _dropped(batch, (key, *keep), text, lambda found: _known(found, filters, shards, exact))
 
-        return texts(docs, key, text).mapInArrow(run, _result(docs, key))
+        return texts(docs, key, text, keep).mapInArrow(run, _result(docs, key, *keep))
 
-    def _drop_joined(self, docs: DataFrame, text: str, key: str) -> DataFrame:
+    def _drop_joined(self, docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> DataFrame:
         """Any number of keys: the lines go to the exact table's rows, the droppable ones back to their texts."""
         kind = docs.schema[key].dataType.simpleString()
-        rows = texts(docs, key, text).withColumn("digest", F.xxhash64(text))
+        rows = texts(docs, key, text, keep).withColumn("digest", F.xxhash64(text))
 
         def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -216,7 +218,7 @@ class LineIndex:
                         [key, "digest", "hi", "lo"],
                     )
 
-        pairs = rows.mapInArrow(lines, f"{key} {kind}, digest long, hi long, lo long")
+        pairs = rows.select(key, text, "digest").mapInArrow(lines, f"{key} {kind}, digest long, hi long, lo long")
         exact = self.exact().hint("merge")
         held = pairs.join(exact, ["hi", "lo"]).groupBy(key, "digest").agg(
             F.collect_set(F.struct("hi", "lo")).alias("held")
@@ -228,9 +230,9 @@ class LineIndex:
             for batch in batches:
                 sets = [{(x["hi"], x["lo"]) for x in one or ()} for one in batch.column("held").to_pylist()]
                 each = iter(sets)
-                yield from _dropped(batch, key, text, lambda found: _member(found, next(each)))
+                yield from _dropped(batch, (key, *keep), text, lambda found: _member(found, next(each)))
 
-        return met.select(key, text, "held").mapInArrow(run, _result(docs, key))
+        return met.select(key, text, *keep, "held").mapInArrow(run, _result(docs, key, *keep))
 
 
 def _member(found: np.ndarray, exact: set) -> np.ndarray:
@@ -250,7 +252,7 @@ def _known(found: np.ndarray, filters: dict, shards: int, exact: set) -> np.ndar
     return maybe
 
 
-def _dropped(batch: pa.RecordBatch, key: str, text: str, known) -> Iterator[pa.RecordBatch]:
+def _dropped(batch: pa.RecordBatch, keep: tuple[str, ...], text: str, known) -> Iterator[pa.RecordBatch]:
     n_lines, n_dropped, kept = [], [], []
     for one in batch.column(text).to_pylist():
         keys = line_keys(one)
@@ -262,13 +264,14 @@ def _dropped(batch: pa.RecordBatch, key: str, text: str, known) -> Iterator[pa.R
             one = "\n".join(line for line, out in zip(one.split("\n"), gone.tolist()) if not out)
         kept.append(one)
     yield pa.RecordBatch.from_arrays(
-        [batch.column(key), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())],
-        [key, "n_lines", "n_dropped", "kept"],
+        [*map(batch.column, keep), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
+         pa.array(kept, pa.string())],
+        [*keep, "n_lines", "n_dropped", "kept"],
     )
 
 
-def _result(docs: DataFrame, key: str) -> str:
-    return f"{key} {docs.schema[key].dataType.simpleString()}, n_lines long, n_dropped long, kept string"
+def _result(docs: DataFrame, *keep: str) -> str:
+    return f"{fields(docs, *keep)}n_lines long, n_dropped long, kept string"
 
 
 def _unpacked(buckets: int, cells: bytes) -> CuckooFilter:

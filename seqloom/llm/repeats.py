@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqloom.llm.common import Scratch, query, table
+from seqloom.llm.common import Scratch, query, table, with_size_check
 from seqloom.llm.hashing import BASE, INVERSE, mix, powers
 from seqloom.session import spread_rows
 
@@ -192,7 +192,7 @@ def resolve(rows: list[tuple], depth: int) -> list[tuple[int, int, int, int]]:
 def _needed(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Texts of the documents in ``keys`` (doc, tag), without shuffling the others where their number allows."""
     keys = keys.select("doc", "tag").distinct()
-    return docs.join(F.broadcast(keys) if keys.count() <= SENT else keys, ["doc", "tag"], "left_semi")
+    return with_size_check(docs, keys, ["doc", "tag"], "left_semi", SENT)
 
 
 def repeated_spans(scratch: Scratch, docs: DataFrame, depth: int, gram: int) -> DataFrame:
