@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import fields, query, table, texts
+from seqloom.llm.common import fields, query, small, table, texts
 
 LEAF = 48
 #: Matches of up to so many characters are remembered, as many as fit in MEMORY entries.
@@ -161,7 +161,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
         names = [key, *keep, "ids"]
-        for batch in batches:
+        for batch in small(batches):
             own, ids, size, start = batch.select([key, *keep]), [], 0, 0
             for i, one in enumerate(batch.column(text).to_pylist()):
                 ids.append(encoder.encode(one))
@@ -180,7 +180,7 @@ def decode(ids: DataFrame, path: str, key: str = "doc_id", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, "")
-        for batch in batches:
+        for batch in small(batches):
             column = batch.column("ids")
             decoded = [encoder.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in column]
             yield pa.RecordBatch.from_arrays(

@@ -105,15 +105,17 @@ def id_remainder(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
 
 
-def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that only those become Python objects at a time."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str, text: str, limit: int) -> Iterator[tuple[pa.Array, list]]:
     """Keys and texts; a group ends when its texts reach ``limit`` characters."""
     keys, group, size = [], [], 0
-    for batch in batches:
+    for batch in small(batches):
         for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
             keys.append(k)
             group.append(t)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqloom.llm.common import query, stored, table
+from seqloom.llm.common import query, small, stored, table
 from seqloom.session import spread_rows
 
 #: Pages of a host that a task aligns, and tasks' wrappers of a host that are aligned: a wrapper settles soon.
@@ -360,7 +360,7 @@ def infer_wrappers(pages: DataFrame, html_column: str = "html", url: str = "url"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
-        for batch in batches:
+        for batch in small(batches):
             for name, page in zip(batch.column("host").to_pylist(), batch.column(html_column).to_pylist()):
                 known = found.setdefault(name, [None, 0])
                 if known[1] < PAGES:
@@ -400,7 +400,7 @@ def regions(wrappers: DataFrame) -> DataFrame:
     """(host, region): where each host's changing text lies, learned from two pages or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [region(json.loads(w)) for w in batch.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], ["host", "region"])
 
@@ -429,7 +429,7 @@ def extract(
         rows = rows.hint("merge").join(where, "_host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             own = batch.column("_host").to_pylist()
             paths = map(shared.value.get, own) if shared else batch.column("_region").to_pylist()
             found = [main_text(p, path) for p, path in zip(batch.column(html_column).to_pylist(), paths)]

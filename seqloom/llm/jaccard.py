@@ -7,9 +7,9 @@ unique, their sets are compared first by how many shingles fall into each range
 filter) and then in full, once.
 
 Classes of one large group of near copies would meet in all pairs.  So pairs are made in two steps that
-lose no link between groups: first the neighbours along each posting list, in order of size; the links
-found among them make groups; then all pairs along the lists whose groups still differ.  A pair inside one
-group cannot change the groups.
+lose no link between groups: first each class with the first of each list, which is one with few shingles of its
+own; the links found among them make groups; then all pairs along the lists whose groups still differ.  A
+pair inside one group cannot change the groups.
 
 Shingles and sets are known by 64-bit hashes.
 """
@@ -20,21 +20,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqloom.llm.common import grouped, query, stored, table, texts
+from seqloom.llm.common import Scratch, grouped, query, stored, sum_vectors, table, texts, with_size_check
 from seqloom.llm.components import components
 from seqloom.llm.hashing import WordHasher, shingle_sets
 
 #: Shingles are counted in so many buckets (a power of two), which a task hands over in parts.
 BUCKETS, PART = 1 << 20, 1 << 14
-#: Tasks whose counts are added up in one group, before the groups are.
-ADDED = 64
 #: Characters of documents that are cut into shingles together.
 TOGETHER = 1 << 20
 #: Up to so many class ids are sent to all tasks to pick the sets to compare; beyond that they are joined.
@@ -96,16 +93,9 @@ def classes_and_counts(docs: DataFrame, size: int, key: str, text: str) -> tuple
 
     both = stored(texts(docs, key, text).mapInArrow(run, f"{key} {kind}, id long, n long, part int, counts binary"))
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in group.counts)
-        return pd.DataFrame({"part": [int(group.part.iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    parts = both.filter("part is not null").select("part", "counts", (F.spark_partition_id() % ADDED).alias("turn"))
-    parts = parts.groupBy("part", "turn").applyInPandas(add, "part int, counts binary")
-    parts = parts.groupBy("part").applyInPandas(add, "part int, counts binary")
-    counts = np.zeros(BUCKETS, np.int64)
-    for part, packed in parts.collect():  # of fixed size
-        counts[part * PART : (part + 1) * PART] = np.frombuffer(zlib.decompress(packed), np.int64)
+    parts = both.filter("part is not null").select("part", F.col("counts").alias("vector"))
+    counts = sum_vectors(parts, np.int64)
+    counts = np.zeros(BUCKETS, np.int64) if counts is None else counts
     return both.filter("part is null").select(key, "id", "n"), counts
 
 
@@ -114,8 +104,16 @@ def needed(n: np.ndarray | int, percent: int):
     return (n * percent + 99) // 100
 
 
+#: A posting's packed place: weight above, then the set's size, then the shingle's place in the set's order.
+BITS = 28
+
+
 def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """(shingle, id, n, place): the prefix of each class, rarest shingles first."""
+    """(shingle, id, packed): the prefix of each class, rarest shingles first.
+
+    Packed postings of a shingle sort by how common even the rarest shingle of the set is: of a group of near copies
+    the one without changes of its own comes first.
+    """
     # fixed size; only the order matters, so that counts beyond 2^32 may be equal
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
@@ -124,98 +122,105 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key:
         out, waiting = [], 0
 
         def flush():
-            ids, n, shingles = zip(*out)
+            ids, shingles, packed = zip(*out)
             lengths = [len(s) for s in shingles]
-            place = np.concatenate([np.arange(k) for k in lengths])
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)),
-                 pa.array(np.repeat(np.array(n, np.int32), lengths)), pa.array(place.astype(np.int32))],
-                ["shingle", "id", "n", "place"],
+                 pa.array(np.concatenate(packed))],
+                ["shingle", "id", "packed"],
             )
 
         for own, one in _new_sets(batches, key, text, size):
-            order = np.argsort(counts[(one >> np.uint64(44)).astype(np.int64)], kind="stable")
-            prefix = one[order[: len(one) - needed(len(one), percent) + 1]]
-            out.append((own, len(one), prefix))
-            waiting += len(prefix)
+            held = counts[(one >> np.uint64(44)).astype(np.int64)]
+            order = np.argsort(held, kind="stable")[: len(one) - needed(len(one), percent) + 1]
+            weight = 63 - int(2 * np.log2(float(held[order[0]]) + 1.0))
+            packed = (weight << 2 * BITS) + (len(one) << BITS) + np.arange(len(order), dtype=np.int64)
+            out.append((own, one[order], packed))
+            waiting += len(order)
             if waiting >= 200_000:
                 yield flush()
                 out, waiting = [], 0
         if out:
             yield flush()
 
-    return texts(docs, key, text).mapInArrow(run, "shingle long, id long, n int, place int")
+    return texts(docs, key, text).mapInArrow(run, "shingle long, id long, packed long")
 
 
-def may_link(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
-    """Length and positional filter for two postings of a shingle, the first of no larger size.
+def may_link(a: Column, b: Column, percent: int) -> Column:
+    """Length and positional filter for two packed postings of a shingle.
 
     Sets that link share at least o = ceil(t (|a| + |b|) / (1 + t)) shingles.  Both have their shingles in one
     order, so that they share at most what stands before this shingle in either, itself, and what stands after it
     in either.
     """
-    small, large = a["n"].cast("long"), b["n"].cast("long")
-    most = F.least(a["place"], b["place"]) + 1 + F.least(small - a["place"], large - b["place"]) - 1
-    return (small * 100 >= large * percent) & (most * (100 + percent) >= (small + large) * percent)
+    field = F.lit((1 << BITS) - 1).cast("long")
+    n_a, n_b = (F.shiftright(x, BITS).bitwiseAND(field) for x in (a, b))
+    at_a, at_b = (x.bitwiseAND(field) for x in (a, b))
+    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
 
 
 def meeting(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key: str, text: str) -> DataFrame:
-    """Postings of the shingles that several classes post, with the posting before in order of size."""
-    order = W.partitionBy("shingle").orderBy("n", "id")
+    """Postings of the shingles that several classes post, each with the first posting of its list."""
+    order = W.partitionBy("shingle").orderBy("packed", "id")
     near = postings(docs, counts, size, percent, key, text).select(
         "*",
-        *[F.lag(c).over(order).alias(f"{c}_before") for c in ("id", "n", "place")],
-        F.lead("id").over(order).alias("id_after"),
+        F.first("id").over(order).alias("first_id"),
+        F.first("packed").over(order).alias("first_packed"),
+        F.lag("id").over(order).alias("before"),
+        F.lead("id").over(order).alias("after"),
     )
-    # a class that several tasks have posted stands beside itself
-    differs = [F.coalesce(F.col(c) != F.col("id"), F.lit(False)) for c in ("id_before", "id_after")]
-    return near.filter(differs[0] | differs[1]).drop("id_after")
+    # a class that several tasks have posted stands beside itself; its last posting stays
+    last = F.col("after").isNull() | (F.col("after") != F.col("id"))
+    several = (F.col("first_id") != F.col("id")) | F.col("after").isNotNull()
+    return near.filter(last & several).select("shingle", "id", "packed", "first_id", "first_packed")
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, key: str, text: str, sent: int = SENT) -> DataFrame:
-    """(a, b, linked): each pair of classes compared in full."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def verified(
+    scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, percent: int, key: str, text: str
+) -> DataFrame:
+    """(a, b, linked): each pair of classes compared in full.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, waiting = [], 0
-        for own, one in _new_sets(batches, key, text, size):
-            out.append((own, one.tobytes()))
-            waiting += len(one)
-            if waiting >= 1 << 18:
-                yield _sets(out)
-                out, waiting = [], 0
-        if out:
-            yield _sets(out)
-
-    sets = texts(docs, key, text).mapInArrow(run, "id long, shingles binary")
-    few = ids.count() <= sent
-    sets = sets.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = stored(sets)
-    first = sets.withColumnsRenamed({"id": "a", "shingles": "of_a"})
-    second = sets.withColumnsRenamed({"id": "b", "shingles": "of_b"})
-    met = pairs.select("a", "b").hint("merge").join(first, "a").hint("merge").join(second, "b")
+    The texts travel, as they are smaller than their sets of hashes.
+    """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = [
-                similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-                for x, y in zip(batch.column("of_a"), batch.column("of_b"))
-            ]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, seen = WordHasher(), {0}
+        for _, group in grouped(batches, key, text, TOGETHER):
+            ids = [set_id(one) for one in shingle_sets(hasher, group, size)]
+            new = [i for i, own in enumerate(ids) if own not in seen and not seen.add(own)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
+                [pa.array([ids[i] for i in new], pa.int64()), pa.array([group[i] for i in new], pa.string())], ["id", "words"]
             )
 
-    return stored(met.mapInArrow(compare, "a long, b long, linked boolean"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    every = texts(docs, key, text).mapInArrow(run, "id long, words string")
+    kept = scratch.keep(with_size_check(every, ids, ["id"], "left_semi", SENT))
+    one = kept.groupBy("id").agg(F.min("words").alias("words"))  # several tasks may have met copies of a class
+    first = one.select(F.col("id").alias("a"), F.col("words").alias("of_a"))
+    second = one.select(F.col("id").alias("b"), F.col("words").alias("of_b"))
+    met = pairs.select("a", "b").hint("merge").join(first, "a").hint("merge").join(second, "b")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                both = [x for c in ("of_a", "of_b") for x in part.column(c).to_pylist()]
+                sets = list(shingle_sets(hasher, both, size))
+                half = len(sets) // 2
+                linked = [similar(x, y, percent) for x, y in zip(sets[:half], sets[half:])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
+                )
 
-def _sets(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([i for i, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["id", "shingles"]
-    )
+    compared = scratch.keep(met.mapInArrow(compare, "a long, b long, linked boolean"))
+    scratch.drop(kept)
+    return compared
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -237,32 +242,34 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     other.  Rows with equal keys are rows of their own; a row whose key is null links others but lends no
     component its key.
     """
+    scratch = Scratch(docs.sparkSession)
     documents, counts = classes_and_counts(docs, size, key, text)
-    near = stored(meeting(docs, counts, size, percent, key, text))
-    one = {c: F.col(f"{c}_before") for c in ("id", "n", "place")}
-    two = {c: F.col(c) for c in ("id", "n", "place")}
-    step = near.filter((one["id"] != two["id"]) & may_link(one, two, percent))
-    first = verified(docs, stored(step.select(*_pair(one["id"], two["id"])).distinct()), size, percent, key, text)
+    near = scratch.keep(meeting(docs, counts, size, percent, key, text))
+    step = near.filter((F.col("id") != F.col("first_id")) & may_link(F.col("packed"), F.col("first_packed"), percent))
+    step = scratch.keep(step.select(*_pair(F.col("id"), F.col("first_id"))).distinct())
+    first = verified(scratch, docs, step, size, percent, key, text)
     links = first.filter("linked").select("a", "b")
     roots = components(links)
 
     # all pairs along the lists whose groups still differ
-    own = near.select("shingle", "id", "n", "place").distinct()
-    known = own.hint("merge").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    known = known.withColumn("root", F.coalesce("root", "id"))
-    mixed = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_lists = stored(known.hint("merge").join(mixed.select("shingle"), "shingle"))
-    x = open_lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "place", "root")])
-    y = open_lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "place", "root")])
-    a, b = ({c: F.col(f"{c}_{s}") for c in ("id", "n", "place")} for s in "xy")
-    smaller = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["id"] < b["id"]))
-    rest = x.hint("merge").join(y, "shingle").filter((F.col("root_x") != F.col("root_y")) & smaller & may_link(a, b, percent))
-    rest = rest.select(*_pair(a["id"], b["id"])).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    rest = stored(rest)
+    named = roots.withColumnRenamed("node", "id")
+    known = with_size_check(near.select("shingle", "id", "packed"), named, ["id"], "left", SENT).withColumn("root", F.coalesce("root", "id"))
+    mixed = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = scratch.keep(mixed.filter("low <> high").select("shingle"))
+    open_lists = scratch.keep(with_size_check(known, mixed, ["shingle"], "left_semi", SENT))
+    x = open_lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "packed", "root")])
+    y = open_lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "packed", "root")])
+    rest = x.hint("merge").join(y, "shingle").filter(
+        (F.col("root_x") != F.col("root_y")) & (F.col("id_x") < F.col("id_y"))
+        & may_link(F.col("packed_x"), F.col("packed_y"), percent)
+    )
+    rest = rest.select(*_pair(F.col("id_x"), F.col("id_y"))).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = scratch.keep(rest)
     if not rest.isEmpty():
-        more = verified(docs, rest, size, percent, key, text).filter("linked").select("a", "b")
+        more = verified(scratch, docs, rest, size, percent, key, text).filter("linked").select("a", "b")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
+    scratch.drop(near, step, first, mixed, open_lists, rest)
 
     least = documents.filter("n > 0").groupBy("id").agg(F.min(key).alias("least"))
     grouped_by = least.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import fields, id_remainder, query, table, texts
+from seqloom.llm.common import fields, id_remainder, query, small, table, texts
 
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -76,7 +76,7 @@ def fit(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in small(batches):
             for one, name in zip(batch.column(text).to_pylist(), batch.column(label).to_pylist()):
                 if not LETTER.search(one):
                     continue
@@ -129,7 +129,7 @@ def predict(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
         buckets = m.table.shape[1]
-        for batch in batches:
+        for batch in small(batches):
             names, scores = [], []
             for one in batch.column(text).to_pylist():
                 if not m.languages or not LETTER.search(one):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import fields, query, stored, table, texts
+from seqloom.llm.common import fields, query, small, stored, table, texts
 
 LOWER = bytes(b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
 #: Droppable keys in a shard, on average.
@@ -111,7 +111,7 @@ def reference_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -
             n = pa.array(list(counts.values()), pa.int64())
             return _halves(np.frombuffer(b"".join(counts), "<i8").reshape(-1, 2), n, ["hi", "lo", "refs"])
 
-        for batch in batches:
+        for batch in small(batches):
             for one in batch.column(text).to_pylist():
                 found = set(line_keys(one))
                 found.discard(b"")
@@ -194,7 +194,7 @@ class LineIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             exact, packed = shared.value
             filters = {s: _unpacked(*c) for s, c in packed.items()}
-            for batch in batches:
+            for batch in small(batches):
                 yield from _dropped(batch, (key, *keep), text, lambda found: _known(found, filters, shards, exact))
 
         return texts(docs, key, text, keep).mapInArrow(run, _result(docs, key, *keep))
@@ -205,7 +205,7 @@ class LineIndex:
         rows = texts(docs, key, text, keep).withColumn("digest", F.xxhash64(text))
 
         def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 for i, one in enumerate(batch.column(text).to_pylist()):
                     found = set(line_keys(one))
                     found.discard(b"")
@@ -227,7 +227,7 @@ class LineIndex:
         met = rows.hint("merge").join(held, rows[key].eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")), "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 sets = [{(x["hi"], x["lo"]) for x in one or ()} for one in batch.column("held").to_pylist()]
                 each = iter(sets)
                 yield from _dropped(batch, (key, *keep), text, lambda found: _member(found, next(each)))

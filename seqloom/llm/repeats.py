@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqloom.llm.common import Scratch, query, table, with_size_check
+from seqloom.llm.common import Scratch, query, small, table, with_size_check
 from seqloom.llm.hashing import BASE, INVERSE, mix, powers
 from seqloom.session import spread_rows
 
@@ -113,7 +113,7 @@ def postings(docs: DataFrame, depth: int, gram: int) -> DataFrame:
                 ["anchor", "whole", "doc", "tag", "place", "far", "near"],
             )
 
-        for batch in batches:
+        for batch in small(batches):
             for doc, tag, one in zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", "text"))):
                 raw = one.encode("utf-8")
                 if len(raw) < depth:
@@ -223,7 +223,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, depth: int, gram: int) ->
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "doc", "tag", "place", "far", "near", "bytes"]
-        for batch in batches:
+        for batch in small(batches):
             for i in range(batch.num_rows):
                 raw = batch.column("text")[i].as_py().encode("utf-8")
                 own = batch.column("anchors")[i].values
@@ -251,7 +251,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, depth: int, gram: int) ->
             found = resolve(held, depth)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names) if found else None
 
-        for batch in batches:
+        for batch in small(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "tag", "place", "far", "near", "bytes"))):
                 if row[0] != last and strings >= SORTED:
                     done = out()
@@ -296,7 +296,7 @@ def remove_repeats(
     met = _needed(rows.select("doc", "tag", "text"), spans).dropDuplicates(["doc", "tag"]).hint("merge").join(held, ["doc", "tag"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n_removed, n_spans, kept = [], [], []
             for one, own in zip(batch.column("text"), batch.column("spans")):
                 raw = np.frombuffer(one.as_py().encode("utf-8"), np.uint8)
