@@ -18,7 +18,8 @@ def clean_letters(text: Column | str) -> Column:
 
 
 def letters(seq: Column | str) -> Column:
-    return F.split(col(seq), "")
+    """The letters as an array; an empty string has none."""
+    return F.when(col(seq) == "", F.array().cast("array<string>")).otherwise(F.split(col(seq), ""))
 
 
 def count_in(seq: Column | str, members: str) -> Column:
@@ -61,7 +62,7 @@ def gapped_pair_fraction(seq: Column | str, first: str, second: str, gap: int) -
 def pair_expectation_score(seq: Column | str, first: str, second: str) -> Column:
     """Deviation of an adjacent pair's share from what codon counts let expect."""
     expected = (L.CODONS[first] / 61) * (L.CODONS[second] / 61)
-    places = F.length(col(seq)) - 1
+    places = F.greatest(F.length(col(seq)) - 1, F.lit(0))
     observed = gapped_pair_fraction(seq, first, second, 0)
     return (observed - expected) / F.sqrt(F.try_divide(F.lit(expected * (1 - expected)), places))
 

@@ -1,79 +1,86 @@
 """Descriptors that compare a letter with the one ``lag`` places on.
 
-Each is a sum of f(a, b) over neighbours.  The neighbours are counted per letter
-pair first and f is applied to the counts, so the lookup runs on at most 400 rows
-per string and lag, not on every position.  Lag 0 pairs every letter with
-itself and so carries the letter counts in the same pass.
+Each is made of sums of f(a, b) over neighbours of one string.  A task looks the letters of a batch of strings up
+once, multiplies shifted arrays and adds up per string, so a string becomes one row and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from seqloom.functions import lookups as L
-from seqloom.operators.composition import code_counts, letter_code, token_counts
+from seqloom.operators.composition import Strings, code_letter, letter_code, lists, per_string
 
+_SUM_FIELDS = ("s_ab", "s_a", "s_b", "s_aa", "s_dd", "mean_a", "mean_b", "s_aa_all")
+_SUMS = "array<struct<prop:string,prop2:string,lag:int,places:int,size:int," + ",".join(f"{f}:double" for f in _SUM_FIELDS) + ">>"
 
-def pair_code(a: str, b: str) -> int:
-    return letter_code(a) * 64 + letter_code(b)
 
+def _letter_lists(s: Strings, which: np.ndarray) -> list[pa.Array]:
+    """Codes and counts of the letters of each string in ``which``, which are those with letters."""
+    cell, n = np.unique(s.row << 6 | s.codes, return_counts=True)
+    sizes = np.unique(cell >> 6, return_counts=True)[1]
+    return [lists(cell & 63, sizes, pa.int32()), lists(n, sizes, pa.int64())]
 
-def lag_counts(df: DataFrame, keys: Sequence[str], nlag: int) -> DataFrame:
-    """keys, lag, places, pair, n for lag 0..nlag; ``pair`` is the two letters' number."""
-    counts = code_counts(df, keys, 2, range(-1, nlag))
-    return counts.select(*keys, (F.col("gap") + 1).alias("lag"), "places", F.col("code").alias("pair"), "n")
 
+def lag_rows(
+    df: DataFrame, keys: Sequence[str], rows: dict[str, dict[str, float]], nlag: int, cross: bool = False
+) -> DataFrame:
+    """One row per string with letters: keys, codes, counts, sums.
 
-def _property_pairs(spark, rows: dict[str, dict[str, float]], cross: bool) -> DataFrame:
-    """(prop, prop2, pair, pa, pb): 400 rows per property pair, so it may be broadcast."""
+    ``sums`` has, for each property pair and each lag that the string is long enough for, the sums every lag
+    descriptor is made of; ``size``, the means and ``s_aa_all`` are whole-string values.
+    """
     names = list(rows)
-    data = [
-        (p, q, pair_code(a, b), float(rows[p][a]), float(rows[q][b]))
-        for p in names
-        for q in (names if cross else [p])
-        for a in L.LETTERS
-        for b in L.LETTERS
-    ]
-    return spark.createDataFrame(data, "prop string, prop2 string, pair int, pa double, pb double")
+    value = np.zeros((len(names), 64))
+    for i, p in enumerate(names):
+        value[i, [letter_code(a) for a in L.LETTERS]] = [rows[p][a] for a in L.LETTERS]
+    pairs = [(i, j) for i in range(len(names)) for j in (range(len(names)) if cross else [i])]
+
+    def run(s: Strings):
+        which = np.flatnonzero(s.n > 0)
+        if not len(which):
+            return
+        v = value[:, s.codes]
+        total = lambda r, x: np.bincount(r, x, len(s.n))
+        whole = [total(s.row, x) for x in v]
+        square = [total(s.row, x * x) for x in v]
+        mean = [x / np.maximum(s.n, 1) for x in whole]
+        columns: dict[str, list] = {c: [] for c in ("row", "prop", "prop2", "lag", "places", "size", *_SUM_FIELDS)}
+        for lag in range(1, nlag + 1):
+            at = s.neighbours(lag)
+            r = s.row[at]
+            long = np.flatnonzero(s.n > lag)
+            for i, j in pairs:
+                a, b = v[i][at], v[j][at + lag]
+                sums = [total(r, x)[long] for x in (a * b, a, b, a * a, (a - b) * (a - b))]
+                sums += [mean[i][long], mean[j][long], square[i][long]]
+                ones = np.ones(len(long), np.int32)
+                for c, x in zip(columns, [long, i * ones, j * ones, lag * ones, s.n[long] - lag, s.n[long], *sums]):
+                    columns[c].append(x)
+        flat = {c: np.concatenate(x) if x else np.zeros(0) for c, x in columns.items()}
+        order = np.argsort(flat["row"], kind="stable")
+        sizes = np.bincount(flat["row"].astype(np.int64), minlength=len(s.n))[which]
+        text = pa.array(names, pa.string())
+        fields = [text.take(pa.array(flat[c][order].astype(np.int64))) for c in ("prop", "prop2")]
+        fields += [pa.array(flat[c][order].astype(np.int32)) for c in ("lag", "places", "size")]
+        fields += [pa.array(flat[c][order].astype(np.float64)) for c in _SUM_FIELDS]
+        struct = pa.StructArray.from_arrays(fields, ["prop", "prop2", "lag", "places", "size", *_SUM_FIELDS])
+        ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        yield which, [*_letter_lists(s, which), pa.ListArray.from_arrays(ends, struct)]
+
+    return per_string(df, keys, "seq", f"codes array<int>, counts array<long>, sums {_SUMS}", run)
 
 
 def lag_sums(
     df: DataFrame, keys: Sequence[str], rows: dict[str, dict[str, float]], nlag: int, cross: bool = False
 ) -> DataFrame:
-    """Per key, property pair and lag: the sums every lag descriptor is made of.
-
-    ``size`` and the ``*_all`` columns are whole-string values taken from lag 0.
-    """
-    pairs = _property_pairs(df.sparkSession, rows, cross)
-    counts = lag_counts(df, keys, nlag)
-    n, pa, pb = F.col("n"), F.col("pa"), F.col("pb")
-    sums = (
-        counts.join(F.broadcast(pairs), "pair")
-        .groupBy(*keys, "prop", "prop2", "lag", "places")
-        .agg(
-            F.sum(n * pa * pb).alias("s_ab"),
-            F.sum(n * pa).alias("s_a"),
-            F.sum(n * pb).alias("s_b"),
-            F.sum(n * pa * pa).alias("s_aa"),
-            F.sum(n * (pa - pb) * (pa - pb)).alias("s_dd"),
-        )
-    )
-    whole = W.partitionBy(*keys, "prop", "prop2")
-
-    def at_zero(name: str) -> Column:
-        return F.max(F.when(F.col("lag") == 0, F.col(name))).over(whole)
-
-    return sums.select(
-        "*",
-        at_zero("places").alias("size"),
-        (at_zero("s_a") / at_zero("places")).alias("mean_a"),
-        (at_zero("s_b") / at_zero("places")).alias("mean_b"),
-        at_zero("s_aa").alias("s_aa_all"),
-    ).filter("lag > 0")
+    """The sums of `lag_rows`, one row per key, property pair and lag."""
+    return lag_rows(df, keys, rows, nlag, cross).select(*keys, F.inline("sums"))
 
 
 def _centred_product() -> Column:
@@ -127,79 +134,105 @@ def auto_cross_covariance(df: DataFrame, keys: Sequence[str], rows, nlag: int) -
     return sums.select(*keys, "prop", "prop2", "lag", _centred_product().alias("value"))
 
 
+def _coupling(df: DataFrame, keys: Sequence[str], distances, nlag: int) -> DataFrame:
+    """One row per string with letters: keys, codes, counts, lags (lag, places, total of squared distances)."""
+    square = np.zeros((64, 64))
+    for (a, b), d in distances.items():
+        square[letter_code(a), letter_code(b)] = float(d) ** 2
+
+    def run(s: Strings):
+        which = np.flatnonzero(s.n > 0)
+        if not len(which):
+            return
+        row, lag, places, total = [], [], [], []
+        for step in range(1, nlag + 1):
+            at = s.neighbours(step)
+            long = np.flatnonzero(s.n > step)
+            row.append(long)
+            lag.append(np.full(len(long), step))
+            places.append(s.n[long] - step)
+            total.append(np.bincount(s.row[at], square[s.codes[at], s.codes[at + step]], len(s.n))[long])
+        row, lag, places, total = map(np.concatenate, (row, lag, places, total))
+        order = np.argsort(row, kind="stable")
+        struct = pa.StructArray.from_arrays(
+            [pa.array(lag[order].astype(np.int32)), pa.array(places[order].astype(np.int32)), pa.array(total[order])],
+            ["lag", "places", "total"],
+        )
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(s.n))[which])).astype(np.int32))
+        yield which, [*_letter_lists(s, which), pa.ListArray.from_arrays(ends, struct)]
+
+    schema = "codes array<int>, counts array<long>, lags array<struct<lag:int,places:int,total:double>>"
+    return per_string(df, keys, "seq", schema, run)
+
+
 def order_coupling(df: DataFrame, keys: Sequence[str], distances, nlag: int) -> DataFrame:
     """Sum of squared letter distances per lag, and its mean over neighbours (SOCNumber)."""
-    table = df.sparkSession.createDataFrame(
-        [(pair_code(a, b), float(d) ** 2) for (a, b), d in distances.items()], "pair int, dd double"
-    )
-    counts = lag_counts(df, keys, nlag).filter("lag > 0")
-    return (
-        counts.join(F.broadcast(table), "pair")
-        .groupBy(*keys, "lag", "places")
-        .agg(F.sum(F.col("n") * F.col("dd")).alias("total"))
-        .select(*keys, "lag", "total", (F.col("total") / F.col("places")).alias("value"))
+    rows = _coupling(df, keys, distances, nlag).select(*keys, F.inline("lags"))
+    return rows.select(*keys, "lag", "total", (F.col("total") / F.col("places")).alias("value"))
+
+
+def _with_letters(rows: DataFrame, keys: Sequence[str], base: Column, name: str, terms: Column) -> DataFrame:
+    """Letter counts over ``base`` and the string's own terms (feature, value), as rows."""
+    letters = F.zip_with(
+        "codes", "counts",
+        lambda c, n: F.struct(F.concat(F.lit(f"{name}."), code_letter(c, 1, 0)).alias("feature"), (n / F.col("_base")).alias("value")),
     )
+    based = rows.select("*", base.alias("_base"))
+    return based.select(*keys, F.inline(F.concat(letters, terms)))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
 
 
 def quasi_sequence_order(
     df: DataFrame, keys: Sequence[str], distances, nlag: int = 3, weight: float = 0.05
 ) -> DataFrame:
     """Letter counts (Xr) and lag terms (Xd) over 1 + weight * sum of the lag totals (QSOrder)."""
-    coupling = order_coupling(df, keys, distances, nlag)
-    total = coupling.groupBy(*keys).agg(F.sum("total").alias("_all"))
-    base = 1 + weight * F.coalesce(F.col("_all"), F.lit(0.0))
-    counts = token_counts(df, keys).select(*keys, "token", "n")
-    by_letter = counts.join(total, list(keys), "left").select(
-        *keys, F.concat(F.lit("Xr."), "token").alias("feature"), (F.col("n") / base).alias("value")
-    )
-    by_lag = coupling.join(total, list(keys)).select(
-        *keys,
-        F.concat(F.lit("Xd."), F.col("lag").cast("string")).alias("feature"),
-        (weight * F.col("total") / base).alias("value"),
+    base = 1 + weight * _total(F.transform("lags", lambda x: x["total"]))
+    terms = F.transform(
+        "lags",
+        lambda x: F.struct(
+            F.concat(F.lit("Xd."), x["lag"].cast("string")).alias("feature"), (weight * x["total"] / F.col("_base")).alias("value")
+        ),
     )
-    return by_letter.unionByName(by_lag)
+    return _with_letters(_coupling(df, keys, distances, nlag), keys, base, "Xr", terms)
 
 
 def pseudo_composition(
     df: DataFrame, keys: Sequence[str], rows, lag: int = 1, weight: float = 0.05
 ) -> DataFrame:
-    """Letter counts over 1 + weight * theta (PAAC); theta averages squared property differences."""
-    sums = lag_sums(df, keys, {p: L.standardized(r) for p, r in rows.items()}, lag)
-    theta = (
-        sums.groupBy(*keys, "lag").agg(F.avg(F.col("s_dd") / F.col("places")).alias("theta"))
-        .groupBy(*keys).agg(F.sum("theta").alias("_all"), F.collect_list(F.struct("lag", "theta")).alias("_lags"))
-    )
-    base = 1 + weight * F.col("_all")
-    counts = token_counts(df, keys).select(*keys, "token", "n")
-    by_letter = counts.join(theta, list(keys)).select(
-        *keys, F.concat(F.lit("Xc1."), "token").alias("feature"), (F.col("n") / base).alias("value")
-    )
-    by_lag = theta.select(*keys, "_all", F.inline("_lags")).select(
-        *keys,
-        F.concat(F.lit("Xc2.lambda"), F.col("lag").cast("string")).alias("feature"),
-        (weight * F.col("theta") / base).alias("value"),
+    """Letter counts over 1 + weight * theta (PAAC); theta averages squared property differences.
+
+    A string of one letter has no theta and no rows.
+    """
+    sums = lag_rows(df, keys, {p: L.standardized(r) for p, r in rows.items()}, lag).filter(F.size("sums") > 0)
+
+    def theta(of: Column) -> Column:
+        return _total(F.transform(of, lambda x: x["s_dd"] / x["places"])) / len(rows)
+
+    reached = F.array_distinct(F.transform("sums", lambda x: x["lag"]))
+    terms = F.transform(
+        reached,
+        lambda n: F.struct(
+            F.concat(F.lit("Xc2.lambda"), n.cast("string")).alias("feature"),
+            (weight * theta(F.filter("sums", lambda x: x["lag"] == n)) / F.col("_base")).alias("value"),
+        ),
     )
-    return by_letter.unionByName(by_lag)
+    return _with_letters(sums, keys, 1 + weight * theta(F.col("sums")), "Xc1", terms)
 
 
 def amphiphilic_pseudo_composition(
     df: DataFrame, keys: Sequence[str], rows, lag: int = 1, weight: float = 0.05
 ) -> DataFrame:
     """As above with products, one theta per property (APAAC)."""
-    sums = lag_sums(df, keys, {p: L.standardized(r) for p, r in rows.items()}, lag)
-    theta = (
-        sums.select(*keys, "prop", "lag", (F.col("s_ab") / F.col("places")).alias("theta"))
-        .groupBy(*keys)
-        .agg(F.sum("theta").alias("_all"), F.collect_list(F.struct("prop", "lag", "theta")).alias("_terms"))
-    )
-    base = 1 + weight * F.col("_all")
-    counts = token_counts(df, keys).select(*keys, "token", "n")
-    by_letter = counts.join(theta, list(keys)).select(
-        *keys, F.concat(F.lit("Pc1."), "token").alias("feature"), (F.col("n") / base).alias("value")
-    )
-    by_term = theta.select(*keys, "_all", F.inline("_terms")).select(
-        *keys,
-        F.concat(F.lit("Pc2."), "prop", F.lit("."), F.col("lag").cast("string")).alias("feature"),
-        (weight * F.col("theta") / base).alias("value"),
+    sums = lag_rows(df, keys, {p: L.standardized(r) for p, r in rows.items()}, lag).filter(F.size("sums") > 0)
+    terms = F.transform(
+        "sums",
+        lambda x: F.struct(
+            F.concat(F.lit("Pc2."), x["prop"], F.lit("."), x["lag"].cast("string")).alias("feature"),
+            (weight * x["s_ab"] / x["places"] / F.col("_base")).alias("value"),
+        ),
     )
-    return by_letter.unionByName(by_term)
+    base = 1 + weight * _total(F.transform("sums", lambda x: x["s_ab"] / x["places"]))
+    return _with_letters(sums, keys, base, "Pc1", terms)

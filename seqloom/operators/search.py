@@ -147,8 +147,11 @@ def ranked(population: DataFrame) -> DataFrame:
     return population.withColumn("place", F.row_number().over(order))
 
 
-def elite(population: DataFrame, size: int, percent: int = 10) -> DataFrame:
-    return ranked(population).filter(F.col("place") <= int(percent * size / 100))
+def elite(population: DataFrame, percent: int = 10) -> DataFrame:
+    """The best ``percent`` of each target's members, rounded down."""
+    size = F.count("*").over(W.partitionBy("target_id"))
+    best = ranked(population.withColumn("_size", size))
+    return best.filter(F.col("place") * 100 <= F.col("_size") * percent).drop("_size")
 
 
 def parents(population: DataFrame, children: int, pool: int, generation: int, seed: int) -> DataFrame:
@@ -236,7 +239,7 @@ def evolve(
         )
         if generation == settings.generations or population.isEmpty():
             break
-        kept = elite(population, settings.population, settings.elite_percent).drop("place")
+        kept = elite(population, settings.elite_percent).drop("place")
         couples = parents(population, children, settings.parents, generation, settings.seed)
         salt = (F.col("target_id"), F.col("member"), F.lit(generation), F.lit(settings.seed))
         born = couples.select(

@@ -29,7 +29,13 @@ def union_splits(train: DataFrame, test: DataFrame) -> DataFrame:
 def positional_join(
     left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]
 ) -> DataFrame:
-    """Line up two tables by row number (for files: by file, split offset, row)."""
+    """Line up two tables by row number (for files: by file, split offset, row).
+
+    Tables of different lengths cannot be lined up and are an error.
+    """
+    lengths = left.count(), right.count()
+    if lengths[0] != lengths[1]:
+        raise ValueError(f"cannot line up {lengths[0]} rows with {lengths[1]}")
     a = row_ordinals(left, [], left_order, "_ordinal").drop(*(set(left_order) & {"file", "block", "row"}))
     b = row_ordinals(right, [], right_order, "_ordinal").drop(*(set(right_order) & {"file", "block", "row"}))
     return a.join(b, "_ordinal").drop("_ordinal")
@@ -124,13 +130,25 @@ def count_features(names: DataFrame) -> DataFrame:
     return names.agg(F.countDistinct("feature").alias("n_features"))
 
 
+def leakage(a: DataFrame, b: DataFrame, column: str = "Sequence") -> DataFrame:
+    """Rows of ``a`` with ``shared``: whether the sequence also occurs in ``b``.  A null sequence is shared with none.
+
+    Digests of 256 bits meet instead of the sequences, those of ``b`` once each; a digest that many rows of ``a``
+    have is split by the adaptive join.
+    """
+    digest = F.sha2(F.col(column).cast("binary"), 256)
+    other = b.select(digest.alias("_digest")).filter("_digest IS NOT NULL").distinct().withColumn("shared", F.lit(True))
+    met = a.withColumn("_digest", digest).join(other, "_digest", "left")
+    return met.withColumn("shared", F.coalesce("shared", F.lit(False))).drop("_digest")
+
+
 def shared_sequences(a: DataFrame, b: DataFrame, column: str = "Sequence") -> DataFrame:
     """Rows of ``a`` whose sequence also occurs in ``b``: leakage between splits."""
-    return a.join(b.select(column).distinct(), column, "left_semi")
+    return leakage(a, b, column).filter("shared").drop("shared")
 
 
 def unshared_sequences(a: DataFrame, b: DataFrame, column: str = "Sequence") -> DataFrame:
-    return a.join(b.select(column).distinct(), column, "left_anti")
+    return leakage(a, b, column).filter("NOT shared").drop("shared")
 
 
 def pairs_to_labeled(pairs: DataFrame, order: Sequence[str], original: str, edited: str) -> DataFrame:

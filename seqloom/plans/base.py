@@ -37,20 +37,24 @@ def r6(column, name: str | None = None):
 # ---- derived views, in Spark ------------------------------------------------
 
 def cleaned(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, seq): texts reduced to the alphabet, at least six letters long.
+    """(keys, seq): texts reduced to the alphabet; every row stays, a null text or one without a letter is empty.
 
-    The text is cleaned inside a one-element array that is filtered and exploded, so that the
-    length test and everything after it use one cleaning; a plain filter would be
-    pushed below the projection and clean every text again.
+    What short strings give: a block has rows only for places that exist, so a string shorter than a token, a lag or a
+    window has none there; a share of nothing, a ratio with a flat property and a quantile of no letter are as each
+    operator says, null unless the published value is zero.
     """
-    kept = F.filter(F.array(clean_letters(text)), lambda s: F.length(s) >= 6)
-    return df.select(*keys, F.explode(kept).alias("seq"))
+    # the array keeps the cleaning from being repeated wherever the string is used
+    return df.select(*keys, F.explode(F.array(F.coalesce(clean_letters(text), F.lit("")))).alias("seq"))
 
 
-def seqs(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, seq): whole texts reduced to the alphabet."""
-    docs = spread_rows(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
-    return cleaned(docs, "text", "doc_id")
+#: Rows of labels that are sent to all tasks; more are joined.
+SENT = 1 << 21
+
+
+def seqs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """(doc_id, other columns, seq): whole texts reduced to the alphabet."""
+    docs = spread_rows(read_table(spark, folder, "documents").select("doc_id", *columns, "text"), "doc_id")
+    return cleaned(docs, "text", "doc_id", *columns)
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,25 +75,23 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned(rows, "p_name", "p_partkey")
 
 
-def labeled(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, seq, quality, toxic)."""
+def labeled(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """(doc_id, other columns, seq, quality, toxic); the texts stay where they are while the labels are few."""
     labels = read_table(spark, folder, "labels")
-    return seqs(spark, folder).join(labels, "doc_id")
+    few = labels.count() <= SENT
+    return seqs(spark, folder, *columns).join(F.broadcast(labels) if few else labels, "doc_id")
 
 
 # ---- the same views, in SQL -------------------------------------------------
 
 def _clean(text: str) -> str:
-    return f"regexp_replace(upper(regexp_replace({text},'[^A-Za-z]','','g')),'[BJOUXZ]','','g')"
+    return f"regexp_replace(upper(regexp_replace(coalesce({text},''),'[^A-Za-z]','','g')),'[BJOUXZ]','','g')"
 
 
-SEQS = f"seqs AS (SELECT doc_id, {_clean('text')} AS seq FROM documents WHERE length({_clean('text')}) >= 6)"
-TURNS = (
-    f"turns AS (SELECT conv_id, turn, {_clean('text')} AS seq FROM conversations "
-    f"WHERE length({_clean('text')}) >= 6)"
-)
-ITEMS = f"items AS (SELECT item_id, {_clean('text')} AS seq FROM benchmark WHERE length({_clean('text')}) >= 6)"
-NAMES = f"names AS (SELECT p_partkey, {_clean('p_name')} AS seq FROM part WHERE length({_clean('p_name')}) >= 6)"
+SEQS = f"seqs AS (SELECT doc_id, {_clean('text')} AS seq FROM documents)"
+TURNS = f"turns AS (SELECT conv_id, turn, {_clean('text')} AS seq FROM conversations)"
+ITEMS = f"items AS (SELECT item_id, {_clean('text')} AS seq FROM benchmark)"
+NAMES = f"names AS (SELECT p_partkey, {_clean('p_name')} AS seq FROM part)"
 LABELED = f"{SEQS}, labeled AS (SELECT s.doc_id, s.seq, l.quality, l.toxic FROM seqs s JOIN labels l USING (doc_id))"
 
 
@@ -97,7 +99,7 @@ def chars(view: str, keys: str) -> str:
     """CTE ``ch``: one row per letter position."""
     return (
         f"ch AS (SELECT {keys}, n, c, pos FROM (SELECT {keys}, length(seq) AS n, "
-        f"unnest(string_split(seq,'')) AS c, unnest(range(1, length(seq)+1)) AS pos FROM {view}))"
+        f"unnest(string_split(seq,'')) AS c, unnest(range(1, length(seq)+1)) AS pos FROM {view} WHERE seq <> ''))"
     )
 
 

@@ -281,8 +281,7 @@ def custom_metric(spark, folder):
 
 def combined(spark, folder):
     """(ID, Sequence, CPP, Dataset) as the sequence and label files give it; English texts train, the others test."""
-    langs = read_table(spark, folder, "documents").select("doc_id", "lang")
-    return labeled(spark, folder).join(langs, "doc_id").select(
+    return labeled(spark, folder, "lang").select(
         F.col("doc_id").alias("ID"), F.col("seq").alias("Sequence"), F.col("quality").alias("CPP"),
         F.when(F.col("lang") == "en", "train").otherwise("test").alias("Dataset"),
     )
@@ -427,12 +426,12 @@ def count_features(spark, folder):
 
 @query(
     "positional_join",
-    f"WITH {SEQS}, a AS (SELECT doc_id, length(seq) AS len, row_number() OVER (ORDER BY doc_id) AS o FROM seqs), "
+    f"WITH {LABELED}, a AS (SELECT doc_id, length(seq) AS len, row_number() OVER (ORDER BY doc_id) AS o FROM labeled), "
     "b AS (SELECT quality, row_number() OVER (ORDER BY doc_id) AS o FROM labels) "
     "SELECT a.doc_id, CAST(len AS INTEGER) AS len, quality FROM a JOIN b ON a.o=b.o",
 )
 def positional_join(spark, folder):
-    a = seqs(spark, folder).select("doc_id", F.length("seq").alias("len"))
+    a = labeled(spark, folder).select("doc_id", F.length("seq").alias("len"))
     b = read_table(spark, folder, "labels").select(F.col("doc_id").alias("place"), "quality")
     return T.positional_join(a, b, ["doc_id"], ["place"]).select("doc_id", "len", "quality")
 
@@ -447,10 +446,10 @@ HALVES = f"{SEQS}, en AS (SELECT s.doc_id, seq, source FROM seqs s JOIN document
     "UNION ALL SELECT doc_id, 'own' FROM a WHERE seq NOT IN (SELECT seq FROM b)",
 )
 def leakage_check(spark, folder):
-    rows = seqs(spark, folder).join(read_table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    rows = seqs(spark, folder, "source")
     train, test = rows.filter("source < 'src15'"), rows.filter("source >= 'src15'")
-    shared = T.shared_sequences(train, test, "seq").select("doc_id", F.lit("shared").alias("part"))
-    return shared.unionByName(T.unshared_sequences(train, test, "seq").select("doc_id", F.lit("own").alias("part")))
+    part = F.when(F.col("shared"), "shared").otherwise("own")
+    return T.leakage(train, test, "seq").select("doc_id", part.alias("part"))
 
 
 @query("trim", "SELECT doc_id, md5(regexp_replace(regexp_replace(text,'^ +',''),' +$','')) AS digest FROM documents")
@@ -552,9 +551,8 @@ FREQ = (
 
 def letter_rates(spark, folder):
     """(prop, letter, value): letters per thousand in each language, all 20 cells."""
-    langs = read_table(spark, folder, "documents").select("doc_id", "lang")
-    df = seqs(spark, folder)
-    counts = df.select("doc_id", *[S.count_in("seq", a).cast("double").alias(a) for a in L.LETTERS]).join(langs, "doc_id")
+    df = seqs(spark, folder, "lang")
+    counts = df.select("lang", *[S.count_in("seq", a).cast("double").alias(a) for a in L.LETTERS])
     sums = counts.groupBy(F.col("lang").alias("prop")).agg(*[F.sum(a).alias(a) for a in L.LETTERS])
     whole = sum((F.col(a) for a in L.LETTERS[1:]), F.col(L.LETTERS[0]))
     return sums.select(

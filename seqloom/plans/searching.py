@@ -91,9 +91,16 @@ def sort_population(spark, folder):
     return G.ranked(candidates(spark, folder)).select("target_id", "member", "place")
 
 
-@query("elite", f"WITH {CAND}, {PLACED} SELECT target_id, member, CAST(place AS INTEGER) AS place FROM pl WHERE place <= 10")
+SIZED = "SELECT target_id AS t, count(*) AS size FROM cand GROUP BY 1"
+
+
+@query(
+    "elite",
+    f"WITH {CAND}, {PLACED} SELECT target_id, member, CAST(place AS INTEGER) AS place FROM pl "
+    f"JOIN ({SIZED}) s ON s.t=pl.target_id WHERE place*10 <= size",
+)
 def elite(spark, folder):
-    return G.elite(candidates(spark, folder), 100, 10).select("target_id", "member", "place")
+    return G.elite(candidates(spark, folder), 10).select("target_id", "member", "place")
 
 
 @query(
@@ -147,11 +154,13 @@ def unfinished(spark, folder):
 
 @query(
     "drop_incomplete",
-    f"WITH {CAND}, {LOGGED}, g AS (SELECT t AS target_id, CAST(unnest(range(1,13)) AS INTEGER) AS generation FROM base) "
+    f"WITH {CAND}, {LOGGED}, g AS (SELECT t AS target_id, CAST(unnest(range(1,(SELECT max(n)+1 FROM base))) AS INTEGER) AS generation FROM base) "
     "SELECT g.target_id, g.generation, round(fitness,6) AS fitness FROM g JOIN log ON log.target_id=g.target_id AND log.generation=g.generation",
 )
 def drop_incomplete(spark, folder):
-    grid = T.product_grid(targets(spark, folder).select("target_id"), 12)
+    rows = targets(spark, folder)
+    longest = rows.agg(F.max(F.length("target"))).first()[0] or 1
+    grid = T.product_grid(rows.select("target_id"), longest)
     log = G.generation_log(candidates(spark, folder)).select("target_id", "generation", r6("fitness"))
     return U.drop_incomplete(grid.join(log, ["target_id", "generation"], "left"))
 
@@ -236,7 +245,7 @@ def score_candidates(spark, folder):
     predict, outlier = trained(spark, folder)
     rows = targets(spark, folder).withColumn("self_score", G.alignment_score("target", "target"))
     drawn = G.variants_random(rows, 5).join(rows.select("target_id", "self_score"), "target_id")
-    out = G.score_candidates(drawn, X.with_vector, predict, outlier)
+    out = G.score_candidates(drawn, X.model_vector, predict, outlier)
     return out.select("target_id", "member", "seq", "p", "outlier", "distance", "n_diff", "fitness")
 
 
@@ -247,11 +256,11 @@ def objective(spark, folder):
     rows = targets(spark, folder).withColumn("self_score", G.alignment_score("target", "target"))
     drawn = G.variants_random(rows, 5).join(rows.select("target_id", "self_score"), "target_id")
     own = lambda settings: settings.w1 * F.col("distance") - F.col("p")
-    return G.score_candidates(drawn, X.with_vector, predict, outlier, objective=own).select("target_id", "member", "fitness")
+    return G.score_candidates(drawn, X.model_vector, predict, outlier, objective=own).select("target_id", "member", "fitness")
 
 
 @query("evolve")
 def evolve(spark, folder):
     predict, outlier = trained(spark, folder)
-    found = G.evolve(targets(spark, folder), X.with_vector, predict, outlier, SMALL)
+    found = G.evolve(targets(spark, folder), X.model_vector, predict, outlier, SMALL)
     return found.log.select("target_id", "target", "generation", "initial_p", "seq", "fitness", "p", "outlier", "n_diff")

@@ -157,3 +157,29 @@ def test_strings_against_each_other(spark):
     assert [r["h"] for r in d] == [0, 1, 4]
     assert all(r["zero"] == 0 for r in d)
     assert [r["t"] for r in d] == ["AACDEF"[0] + "ACDEF", "ADEFKK", "RRRKK"]
+
+
+def test_short_strings(spark):
+    """What strings of zero to five letters give, worked out by hand."""
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate([None, "", "A", "AK", "KKK", "AKAK", "AKRAK"])], "doc_id long, seq string")
+
+    def got(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    def share(k):
+        return [(i, t, round(v, 4)) for i, t, v in got(C.kmer_frequency(rows, ["doc_id"], k))]
+
+    assert share(1) == [(2, "A", 1.0), (3, "A", 0.5), (3, "K", 0.5), (4, "K", 1.0), (5, "A", 0.5), (5, "K", 0.5),
+                        (6, "A", 0.4), (6, "K", 0.4), (6, "R", 0.2)]
+    assert share(2) == [(3, "AK", 1.0), (4, "KK", 1.0), (5, "AK", 0.6667), (5, "KA", 0.3333),
+                        (6, "AK", 0.5), (6, "KR", 0.25), (6, "RA", 0.25)]
+    assert share(3) == [(4, "KKK", 1.0), (5, "AKA", 0.5), (5, "KAK", 0.5),
+                        (6, "AKR", 0.3333), (6, "KRA", 0.3333), (6, "RAK", 0.3333)]
+    pairs = [(i, t, round(v, 4)) for i, t, v in got(C.ordered_pairs(rows, ["doc_id"]))]
+    assert pairs[:5] == [(3, "AK", 1.0), (4, "KK", 1.0), (5, "AA", 0.1667), (5, "AK", 0.5), (5, "KA", 0.1667)]
+    assert {r["doc_id"] for r in C.pair_deviation(rows, ["doc_id"]).collect()} == {3, 4, 5, 6}
+    by_lag = got(G.lag_sums(rows, ["doc_id"], {"one": {a: 1.0 for a in L.LETTERS}}, 3).select("doc_id", "lag", "places", "s_ab"))
+    assert by_lag == [(3, 1, 1, 1.0), (4, 1, 2, 2.0), (4, 2, 1, 1.0), (5, 1, 3, 3.0), (5, 2, 2, 2.0), (5, 3, 1, 1.0),
+                      (6, 1, 4, 4.0), (6, 2, 3, 3.0), (6, 3, 2, 2.0)]
+    vectors = X.model_vector(rows.filter("seq IS NOT NULL")).collect()
+    assert all(v is not None and v == v for r in vectors for v in r["features"])

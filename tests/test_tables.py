@@ -111,6 +111,22 @@ def test_fasta_and_labels_by_position(spark, tmp_path):
     assert T.unshared_sequences(train, test).count() == 2
 
 
+def test_unreadable_labels_and_records_without_an_id_keep_their_places(spark, tmp_path):
+    texts = {
+        "a.fa": ">A\nKK\n>\nRR\n> C note\nLL\n", "a.csv": "CPP\n0\nNA\n1\n\n", "b.fa": ">D\nMM\n", "b.csv": '"CPP"\n1\n',
+        "short.csv": "CPP\n0\n1\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    p = lambda n: str(tmp_path / n)
+    rows = T.create_combined(spark, p("a.fa"), p("a.csv"), p("b.fa"), p("b.csv")).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(
+        [("A", "KK", 0, "train"), (None, "RR", None, "train"), ("C", "LL", 1, "train"), ("D", "MM", 1, "test")], key=str
+    )
+    with pytest.raises(ValueError, match="3 rows with 2"):
+        T.create_combined(spark, p("a.fa"), p("short.csv"), p("b.fa"), p("b.csv"))
+
+
 def test_fasta_over_several_splits(spark, tmp_path):
     records = [(f"s{i}", "ACDEFGHIKLMNPQRSTVWY"[: 6 + i % 14] * 3) for i in range(400)]
     (tmp_path / "big.fa").write_text("".join(f">{i} note\n{s[:9]}\n{s[9:]}\n" for i, s in records))
