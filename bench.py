@@ -25,6 +25,8 @@ HEADLINE = [
     "asdc",
     "featurize_selected",
     "join_blocks",
+    "dense_vectors",
+    "leakage_check",
     "stratified_folds",
     "auroc",
     "mutation_matrix",

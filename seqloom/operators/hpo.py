@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import metrics as M
 from seqloom.operators import neighbours as N
+from seqloom.operators.models import MOST_FITS, refuse_many
 from seqloom.operators.scaling import fit_vector_scaler
 from seqloom.session import cut
 
@@ -44,8 +45,17 @@ def mlp(n: int, d: int, hidden: Sequence[int] = (100,), step: float = 0.03, iter
     return MultilayerPerceptronClassifier(layers=[d, *hidden, 2], stepSize=step, maxIter=iterations, seed=seed)
 
 
-def random_forest(n: int, d: int, trees: int = 100, depth: int = 5, features: str = "sqrt", seed: int = 0):
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, seed=seed)
+def random_forest(
+    n: int, d: int, trees: int = 100, depth: int = 5, features: str | float = "sqrt", leaves: int | None = None, rows: int = 1,
+    seed: int = 0,
+):
+    """A number of leaves becomes the depth that a balanced tree of as many leaves has."""
+    if leaves is not None:
+        depth = max(1, math.ceil(math.log2(leaves)))
+    share = features if isinstance(features, str) else f"{features:.3f}"
+    return RandomForestClassifier(
+        numTrees=trees, maxDepth=depth, featureSubsetStrategy=share, minInstancesPerNode=rows, seed=seed
+    )
 
 
 def boosted(n: int, d: int, trees: int = 100, leaves: int = 31, step: float = 0.1, share: float = 1.0, seed: int = 0):
@@ -65,14 +75,24 @@ FAMILIES: dict[str, Callable] = {
     "boosted": boosted,
 }
 
-# The settings each family is searched over ("log" draws log-uniformly).
+# The published settings each family is searched over ("log" draws log-uniformly), as far as Spark has the
+# setting.  It has no choice of activation, weight decay or step schedule for networks, no unlimited leaves (the 1,000
+# stand for them), and one boosted family.  Searches draw DRAWS settings and use FOLDS folds where nothing else is asked.
+DRAWS, FOLDS = 100, 5
 SPACES: dict[str, dict] = {
     "knn": {"k": [5, 10, 15, 25, 50, 100, 250, 500], "weights": ["uniform", "distance"], "p": [1, 2]},
     "logistic_l2": {"C": [10 ** (-5 + 8 * i / 99) for i in range(100)]},
     "logistic_l1": {"C": [10 ** (-5 + 8 * i / 99) for i in range(100)]},
     "svm": {"C": [10 ** (-2 + 5 * i / 9) for i in range(10)], "degree": [1, 2, 3]},
-    "mlp": {"hidden": [(50,), (100,), (50, 50)], "step": ("log", 1e-4, 1e-1)},
-    "random_forest": {"trees": [3, 10, 30, 100, 200, 300], "depth": [3, 5, 7, 9, 11]},
+    "mlp": {
+        "hidden": [(50,), (100,), (200,), (100, 50), (200, 100), (300, 150), (100, 50, 25), (200, 100, 50), (300, 200, 100)],
+        "step": ("log", 1e-4, 1e-1),
+    },
+    "random_forest": {
+        "features": ["sqrt", "log2", 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
+        "leaves": [10, 100, 1000],
+        "rows": [1, 2, 5, 10, 20, 50, 100],
+    },
     "boosted": {
         "trees": [3, 10, 30, 100, 200, 300],
         "leaves": [2, 4, 8, 12, 16, 24, 31, 32, 48, 64, 96, 128],
@@ -87,7 +107,7 @@ def grid(space: dict) -> list[dict]:
     return [dict(zip(space, combo)) for combo in itertools.product(*space.values())]
 
 
-def random_draws(space: dict, n: int, seed: int = 0) -> list[dict]:
+def random_draws(space: dict, n: int = DRAWS, seed: int = 0) -> list[dict]:
     """``n`` seeded draws: one of a list, or log-uniform between two bounds."""
     draw = random.Random(seed)
 
@@ -104,14 +124,22 @@ def fit_predict(family: str, setting: dict, train: DataFrame, held: DataFrame) -
 
     Gaps are filled and features scaled by the training rows alone.
     """
+    return _fit_predict(family, setting, *_scaled(train, held))
+
+
+def _scaled(train: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """Both sides on the training rows' scale, and the training side's rows and features."""
     scale = fit_vector_scaler(train, "_x")
-    train, held = train.withColumn("_x", scale("_x")), held.withColumn("_x", scale("_x"))
+    shape = train.agg(F.count("*"), F.max(F.size("_x"))).first()
+    return train.withColumn("_x", scale("_x")), held.withColumn("_x", scale("_x")), (shape[0], shape[1])
+
+
+def _fit_predict(family: str, setting: dict, train: DataFrame, held: DataFrame, shape: tuple[int, int]) -> DataFrame:
     if family == "knn":
         scored = N.knn_classify(held, train, setting["k"], "id", "_x", "_y", setting["weights"], setting["p"])
         return held.select("id", "_y").join(scored.select(F.col("query_id").alias("id"), F.col("p1").alias("p")), "id")
     rows = train.select(array_to_vector("_x").alias("features"), F.col("_y").cast("double").alias("label"))
-    shape = train.agg(F.count("*"), F.max(F.size("_x"))).first()
-    model = FAMILIES[family](shape[0], shape[1], **setting).fit(rows)
+    model = FAMILIES[family](*shape, **setting).fit(rows)
     out = model.transform(held.withColumn("features", array_to_vector("_x")))
     if "probability" in out.columns:
         p = F.get(vector_to_array("probability"), F.lit(1))
@@ -125,15 +153,25 @@ def search(
     df: DataFrame, key: str, vector: str, label: str, fold: str, family: str, settings: Sequence[dict],
     parallelism: int = 4,
 ) -> DataFrame:
-    """(model, setting, fold, metrics...) for every setting and fold."""
+    """(model, setting, fold, metrics...) for every setting and fold.
+
+    What depends on the fold only - the scale, the row count, the scaled rows - is made once per fold.
+    """
     data = cut(
         df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("fold"))
     )
-    folds = sorted(r[0] for r in data.select("fold").distinct().collect())
+    folds = sorted(r[0] for r in data.select("fold").distinct().limit(MOST_FITS + 1).collect())
+    refuse_many(len(folds))
+
+    def prepared(f):
+        train, held, shape = _scaled(data.filter(F.col("fold") != f), data.filter(F.col("fold") == f))
+        return cut(train), cut(held), shape
+
+    sides = {f: prepared(f) for f in folds}
 
     def one(job):
         i, f = job
-        scored = fit_predict(family, settings[i], data.filter(F.col("fold") != f), data.filter(F.col("fold") == f))
+        scored = _fit_predict(family, settings[i], *sides[f])
         return scored.select("_y", "p", F.lit(i).alias("setting"), F.lit(f).alias("fold"))
 
     with ThreadPool(parallelism) as pool:

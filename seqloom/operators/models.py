@@ -202,7 +202,16 @@ class Validation:
     forests: list[Forest] = field(default_factory=list)
     refit_model: GBTClassificationModel | None = None
     refit_forest: Forest | None = None
-    custom: DataFrame | None = None  # what the caller's own metric gave
+    custom: DataFrame | None = None  # what the caller's own metric gave for each dataset and fold
+
+
+#: Models that one validation fits; folds of single rows are assigned and scored, not fitted.
+MOST_FITS = 1000
+
+
+def refuse_many(fits: int) -> None:
+    if fits > MOST_FITS:
+        raise ValueError(f"more than {MOST_FITS} folds, each of which needs a fit of its own")
 
 
 def cross_validate(
@@ -237,7 +246,9 @@ def cross_validate(
         )
     )
     # one model per pair of these, so there are as many as there are fits
-    pairs = sorted(tuple(r) for r in data.select("_repeat", "_in").distinct().filter("_in is not null").collect())
+    found = data.select("_repeat", "_in").distinct().filter("_in is not null").limit(MOST_FITS + 1).collect()
+    refuse_many(len(found))
+    pairs = sorted(tuple(r) for r in found)
     folds = list(enumerate(pairs))
 
     def fit(job):
@@ -303,14 +314,18 @@ def cross_validate(
             )
             rows = rows.unionByName(again)
 
-    result.scores = M.metric_report(cut(rows), ["dataset", "fold"], "_y", "p", threshold)
+    rows = cut(rows)
+    result.scores = M.metric_report(rows, ["dataset", "fold"], "_y", "p", threshold)
     importances = None
     for f, _, nodes in fitted:
         part = split_gain_importance(nodes, names, best).withColumn("fold", F.lit(f))
         importances = part if importances is None else importances.unionByName(part)
     result.importances = importances
     if metric is not None:
-        result.custom = metric(rows, "_y", "p")
+        for own, f in sorted(tuple(r) for r in rows.select("dataset", "fold").distinct().collect()):  # as many as fits
+            one = rows.filter((F.col("dataset") == own) & (F.col("fold") == f)).select("_y", "p")
+            part = metric(one, "_y", "p").withColumn("dataset", F.lit(own)).withColumn("fold", F.lit(f))
+            result.custom = part if result.custom is None else result.custom.unionByName(part)
     return result
 
 

@@ -86,7 +86,27 @@ def test_repeated_cross_validation(spark, data, tmp_path):
     )
     assert r.scores.filter("dataset = 'Valid'").count() == 4
     assert r.train_predictions.filter("p is not null").count() == data.count()
-    assert r.custom.first()["value"] == 4 * data.count()
+    sizes = {(c["dataset"], c["fold"]): c["value"] for c in r.custom.collect()}
+    assert set(sizes) == {(d, f) for d in ("Train", "Valid") for f in range(4)}
+    assert sum(sizes.values()) == 4 * data.count()
+    assert all(sizes["Train", f] + sizes["Valid", f] == data.count() for f in range(4))
+
+
+def test_a_custom_metric_agrees_with_the_report(spark, data, tmp_path):
+    rows = K.stratified_folds(data, ["id"], "y", 2)
+    r = B.cross_validate(
+        rows, None, ["id"], "x", "y", NAMES, replace(SETTINGS, iterations=2), str(tmp_path), refit=False,
+        metric=lambda df, y, p: df.agg(F.avg(((F.col(p) > 0.5).cast("int") == F.col(y)).cast("double")).alias("value")),
+    )
+    want = {(s["dataset"], s["fold"]): s["ACC"] for s in r.scores.collect()}
+    assert {(c["dataset"], c["fold"]): c["value"] for c in r.custom.collect()} == pytest.approx(want)
+
+
+def test_folds_of_single_rows_are_not_fitted(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "MOST_FITS", 10)
+    rows = K.leave_one_out(data, ["id"])
+    with pytest.raises(ValueError, match="more than 10 folds"):
+        B.cross_validate(rows, None, ["id"], "x", "y", NAMES, SETTINGS, str(tmp_path))
 
 
 def test_scaling_fills_gaps(spark):
