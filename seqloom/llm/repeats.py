@@ -29,7 +29,7 @@ from seqloom.session import spread_rows
 
 DEPTH, GRAM = 100, 24
 #: Bytes that are looked at together; a longer text is taken in overlapping slices.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 #: Strings that are put in suffix order together, unless one anchor has more.
 SORTED = 1 << 18
 #: Up to so many documents with repeats (12 bytes each) are sent to all tasks; beyond that they are joined.
@@ -94,9 +94,10 @@ def slices(text: bytes, depth: int) -> Iterator[tuple[int, bytes]]:
 
 
 def postings(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(anchor, whole, doc, tag, place, far, near) of every anchor of every text.
+    """(anchor, whole, doc, tag, place, far, near, sure) of every anchor of every text.
 
-    Of equal texts in a task only the first is posted, and those of smaller keys than any before.
+    Of equal texts in a task only the first is posted, and those of smaller keys than any before.  Entries that are
+    known to be repeats are ``sure`` and have anchors of their own, so that a frequent passage does not meet in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +108,17 @@ def postings(docs: DataFrame, depth: int, gram: int) -> DataFrame:
         def out():
             part, place, far, near, anchor, whole = finder.of(parts)
             doc, tag, offset = (np.array(x, np.int64)[part] for x in zip(*owners))
+            place += offset
+            # of equal entries all but the first are repeats whatever else there is: they need not meet their anchor
+            order = np.lexsort((place, doc, whole, anchor))
+            again = order[1:][(np.diff(anchor[order]) == 0) & (np.diff(whole[order]) == 0)]
+            sure = np.zeros(len(order), bool)
+            sure[again] = True
+            anchor[again] = mix(whole[again] + (doc[again] * 0x10001 + place[again]).astype(np.uint64))
             return pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(tag.astype(np.int32)),
-                 pa.array(place + offset), pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32))],
-                ["anchor", "whole", "doc", "tag", "place", "far", "near"],
+                 pa.array(place), pa.array(far.astype(np.int32)), pa.array(near.astype(np.int32)), pa.array(sure)],
+                ["anchor", "whole", "doc", "tag", "place", "far", "near", "sure"],
             )
 
         for batch in small(batches):
@@ -132,7 +140,7 @@ def postings(docs: DataFrame, depth: int, gram: int) -> DataFrame:
         if parts:
             yield out()
 
-    return docs.mapInArrow(run, f"anchor long, whole long, doc long, tag int, {PLACE}")
+    return docs.mapInArrow(run, f"anchor long, whole long, doc long, tag int, {PLACE}, sure boolean")
 
 
 def suffix_order(groups: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -205,10 +213,10 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, depth: int, gram: int) ->
         F.lag("place").over(same).alias("place_before"),
         F.lead("whole").over(same).alias("whole_after"),
     )
-    near = near.filter(F.col("whole_before").isNotNull() | F.col("whole_after").isNotNull())
+    near = near.filter(F.col("whole_before").isNotNull() | F.col("whole_after").isNotNull() | F.col("sure"))
     again = (F.col("doc") == F.col("doc_before")) & (F.col("place") == F.col("place_before"))
     repeats = F.coalesce(F.col("whole") == F.col("whole_before"), F.lit(False))
-    kind = F.when(repeats & again, F.lit(2)).when(repeats, F.lit(1)).otherwise(F.lit(0))
+    kind = F.when(F.col("sure"), F.lit(1)).when(repeats & again, F.lit(2)).when(repeats, F.lit(1)).otherwise(F.lit(0))
     near = scratch.keep(near.select("anchor", "doc", "tag", "place", "far", "near", "whole", kind.alias("kind")))
     start, end = F.col("place") - F.col("far"), F.col("place") - F.col("near") + depth
     plain = near.filter("kind = 1").select("doc", "tag", start.alias("start"), end.alias("end"))
