@@ -27,7 +27,9 @@ from seqloom.llm.common import fields, query, small, table, texts
 
 LEAF = 48
 #: Matches of up to so many characters are remembered, as many as fit in MEMORY entries.
-SHORT, MEMORY = 64, 400_000
+SHORT, MEMORY = 64, 100_000
+#: Ids that are handed over together.
+HANDED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -148,16 +150,7 @@ def _lists(ids: list[array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """(key, columns to keep, ids array<int>) for every row.
-
-    A null or empty text has no ids.  Rows with equal keys are encoded one by one; other columns are
-    not read.  Special tokens in a text are ordinary text.
-    """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a vocabulary: fixed size
-
+def _encoding(ranks, pattern: str, key: str, text: str, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
         names = [key, *keep, "ids"]
@@ -166,18 +159,15 @@ def encode(
             for i, one in enumerate(batch.column(text).to_pylist()):
                 ids.append(encoder.encode(one))
                 size += len(ids[-1])
-                if size >= 2_000_000:
+                if size >= HANDED:
                     yield pa.RecordBatch.from_arrays([*own.slice(start, len(ids)).columns, _lists(ids)], names)
                     ids, size, start = [], 0, i + 1
             yield pa.RecordBatch.from_arrays([*own.slice(start, len(ids)).columns, _lists(ids)], names)
 
-    return texts(docs, key, text, keep).mapInArrow(run, f"{fields(docs, key, *keep)}ids array<int>")
+    return run
 
 
-def decode(ids: DataFrame, path: str, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, columns to keep, ids, decoded binary): the bytes of every row's ids; null ids decode to no bytes."""
-    ranks = ids.sparkSession.sparkContext.broadcast(read_ranks(path))
-
+def _decoding(ranks, key: str, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, "")
         for batch in small(batches):
@@ -187,8 +177,27 @@ def decode(ids: DataFrame, path: str, key: str = "doc_id", keep: tuple[str, ...]
                 [*map(batch.column, (key, *keep)), column, pa.array(decoded, pa.binary())], [key, *keep, "ids", "decoded"]
             )
 
+    return run
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, columns to keep, ids array<int>) for every row.
+
+    A null or empty text has no ids.  Rows with equal keys are encoded one by one; other columns are
+    not read.  Special tokens in a text are ordinary text.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a vocabulary: fixed size
+    schema = f"{fields(docs, key, *keep)}ids array<int>"
+    return texts(docs, key, text, keep).mapInArrow(_encoding(ranks, pattern, key, text, keep), schema)
+
+
+def decode(ids: DataFrame, path: str, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to keep, ids, decoded binary): the bytes of every row's ids; null ids decode to no bytes."""
+    ranks = ids.sparkSession.sparkContext.broadcast(read_ranks(path))
     schema = f"{fields(ids, key, *keep)}ids array<int>, decoded binary"
-    return ids.select(key, *keep, "ids").mapInArrow(run, schema)
+    return ids.select(key, *keep, "ids").mapInArrow(_decoding(ranks, key, keep), schema)
 
 
 @query("op1_byte_bpe")
@@ -202,7 +211,11 @@ def round_trip(
 ) -> DataFrame:
     """(key, columns to keep, n_tokens, ids_sha256, decoded_sha256, ids)."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(docs, path, public_tokenizers.PATTERN, key, text, keep), path, key, keep)
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    there, back = _encoding(ranks, public_tokenizers.PATTERN, key, text, keep), _decoding(ranks, key, keep)
+    schema = f"{fields(docs, key, *keep)}ids array<int>, decoded binary"
+    # both ways in one worker per task
+    both = texts(docs, key, text, keep).mapInArrow(lambda batches: back(there(batches)), schema)
     return both.select(
         key,
         *keep,

@@ -30,12 +30,25 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: Rows of a batch that goes to or comes from Python, where the session has Spark's default of BATCH[0].
+BATCH = "10000", "1000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long rows: a default batch of them is tens of megabytes in each task, twice in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == BATCH[0]:
+        spark.conf.set(name, BATCH[1])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, text, other columns to keep) spread over the cores; a null text is the empty text."""
+    bounded_batches(df.sparkSession)
     return spread_rows(df.select(key, F.coalesce(F.col(text), F.lit("")).alias(text), *[c for c in keep if c != text]))
 
 

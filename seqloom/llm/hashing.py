@@ -10,7 +10,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes that are hashed together; texts beyond that are taken in pieces that end at white space.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
 
