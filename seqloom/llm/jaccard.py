@@ -2,8 +2,8 @@
 
 Documents of one shingle set are one class.  Each class posts the rarest shingles of its set, as many as a
 similar set must share at least one of (prefix filter).  Pairs of classes that meet at a shingle pass
-by their sizes (length filter) and by the places of the shingle in both (positional filter); the pairs left are
-unique, their sets are compared first by how many shingles fall into each range of hashes (suffix
+by their sizes (length filter), by the places of the shingle in both (positional filter) and by how many shingles
+both post; the pairs left are unique, their sets are compared first by how many shingles fall into each range of hashes (suffix
 filter) and then in full, once.
 
 Classes of one large group of near copies would meet in all pairs.  So pairs are made in two steps that
@@ -31,9 +31,10 @@ from seqloom.llm.components import components
 from seqloom.llm.hashing import WordHasher, shingle_sets
 
 #: Shingles are counted in so many buckets (a power of two), which a task hands over in parts.
-BUCKETS, PART = 1 << 20, 1 << 14
+BUCKETS, PART = 1 << 22, 1 << 16
+SHIFT = np.uint64(42)  # the bucket is in the hash's highest bits
 #: Characters of documents that are cut into shingles together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 #: Up to so many class ids are sent to all tasks to pick the sets to compare; beyond that they are joined.
 SENT = 1 << 21
 #: Ranges of hashes that the suffix filter counts in.
@@ -68,7 +69,7 @@ def classes_and_counts(docs: DataFrame, size: int, key: str, text: str) -> tuple
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int32)
         seen = {0}
         names = [key, "id", "n", "part", "counts"]
         key_type = None
@@ -78,13 +79,13 @@ def classes_and_counts(docs: DataFrame, size: int, key: str, text: str) -> tuple
             for own, one in zip(ids, sets):
                 if own not in seen:
                     seen.add(own)
-                    np.add.at(counts, (one >> np.uint64(44)).astype(np.int64), 1)
+                    np.add.at(counts, (one >> SHIFT).astype(np.int64), 1)
             n = pa.array([len(one) for one in sets], pa.int64())
             none = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), n, *none], names)
         if key_type is not None:
             parts = counts.reshape(-1, PART)
-            packed = [zlib.compress(p.tobytes(), 1) for p in parts]
+            packed = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(len(parts), key_type), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()),
                  pa.array(range(len(parts)), pa.int32()), pa.array(packed, pa.binary())],
@@ -104,6 +105,8 @@ def needed(n: np.ndarray | int, percent: int):
     return (n * percent + 99) // 100
 
 
+#: Rounds in which classes meet one other class of a list that their group is not part of, before all pairs do.
+STARS = 2
 #: A posting's packed place: weight above, then the set's size, then the shingle's place in the set's order.
 BITS = 28
 
@@ -111,14 +114,14 @@ BITS = 28
 def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key: str, text: str) -> DataFrame:
     """(shingle, id, packed): the prefix of each class, rarest shingles first.
 
-    Packed postings of a shingle sort by how common even the rarest shingle of the set is: of a group of near copies
-    the one without changes of its own comes first.
+    Packed postings of a shingle sort by how common the prefix is on the whole: of a group of near copies the one with
+    the fewest changes of its own comes first.
     """
     # fixed size; only the order matters, so that counts beyond 2^32 may be equal
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value.astype(np.uint64)
+        counts = shared.value
         out, waiting = [], 0
 
         def flush():
@@ -131,9 +134,9 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key:
             )
 
         for own, one in _new_sets(batches, key, text, size):
-            held = counts[(one >> np.uint64(44)).astype(np.int64)]
+            held = counts[(one >> SHIFT).astype(np.int64)]
             order = np.argsort(held, kind="stable")[: len(one) - needed(len(one), percent) + 1]
-            weight = 63 - int(2 * np.log2(float(held[order[0]]) + 1.0))
+            weight = max(0, 127 - int(4 * np.log2(held[order] + 1.0).mean()))
             packed = (weight << 2 * BITS) + (len(one) << BITS) + np.arange(len(order), dtype=np.int64)
             out.append((own, one[order], packed))
             waiting += len(order)
@@ -146,20 +149,63 @@ def postings(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key:
     return texts(docs, key, text).mapInArrow(run, "shingle long, id long, packed long")
 
 
+FIELD = (1 << BITS) - 1
+
+
+def _unpacked(packed: Column | str) -> tuple[Column, Column]:
+    """Size of the set and place of the shingle in its order."""
+    packed = F.col(packed) if isinstance(packed, str) else packed
+    field = F.lit(FIELD).cast("long")
+    return F.shiftright(packed, BITS).bitwiseAND(field), packed.bitwiseAND(field)
+
+
 def may_link(a: Column, b: Column, percent: int) -> Column:
-    """Length and positional filter for two packed postings of a shingle.
+    """Length and positional filter for two packed postings of a shingle that is the first their sets share.
 
     Sets that link share at least o = ceil(t (|a| + |b|) / (1 + t)) shingles.  Both have their shingles in one
-    order, so that they share at most what stands before this shingle in either, itself, and what stands after it
-    in either.
+    order, so that they share at most this shingle and what stands after it in either.  A pair that links passes
+    at the first shingle it shares, though perhaps at no other.
     """
-    field = F.lit((1 << BITS) - 1).cast("long")
-    n_a, n_b = (F.shiftright(x, BITS).bitwiseAND(field) for x in (a, b))
-    at_a, at_b = (x.bitwiseAND(field) for x in (a, b))
-    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
+    (n_a, at_a), (n_b, at_b) = _unpacked(a), _unpacked(b)
+    most = F.least(n_a - at_a, n_b - at_b)
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
 
 
+def enough(both: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets may link of whose prefixes ``both`` shingles are shared.
+
+    The prefix that ends first in the common order holds all that its set shares up to there; so two sets share at
+    most the shingles that both post and what the larger rest behind a prefix holds.
+    """
+    rest = F.floor((F.greatest(n_a, n_b) * percent + 99) / 100) - 1
+    return (both + rest) * (100 + percent) >= (n_a + n_b) * percent
+
+
+def stars(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the class that stands first in most of its lists, of ``lists`` (id, packed, first_id, first_packed)."""
+    met = lists.filter((F.col("id") != F.col("first_id")) & may_link(F.col("packed"), F.col("first_packed"), percent))
+    met = met.groupBy("id", "first_id").agg(F.count("*").alias("both"))
+    best = met.groupBy("id").agg(F.max(F.struct("both", "first_id")).alias("best")).select("id", F.col("best.first_id").alias("other"))
+    return best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def across(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes from different groups that may link, of ``lists`` (shingle, id, packed, root)."""
+    x = lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "packed", "root")])
+    y = lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "packed", "root")])
+    met = x.hint("merge").join(y, "shingle").filter(
+        (F.col("root_x") != F.col("root_y")) & (F.col("id_x") < F.col("id_y"))
+        & may_link(F.col("packed_x"), F.col("packed_y"), percent)
+    )
+    pairs = met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    # classes of different groups share open lists only, so these hold all that a pair shares
+    held = lists.groupBy("id").agg(F.collect_list("shingle").alias("open"), F.max(_unpacked("packed")[0]).alias("n"))
+    a, b = (held.select(F.col("id").alias(c), F.col("open").alias(f"open_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+    full = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
+    both = F.size(F.array_intersect("open_a", "open_b"))
+    return full.filter(enough(both, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
 def meeting(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key: str, text: str) -> DataFrame:
     """Postings of the shingles that several classes post, each with the first posting of its list."""
     order = W.partitionBy("shingle").orderBy("packed", "id")
@@ -176,10 +222,6 @@ def meeting(docs: DataFrame, counts: np.ndarray, size: int, percent: int, key: s
     return near.filter(last & several).select("shingle", "id", "packed", "first_id", "first_packed")
 
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def verified(
     scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, percent: int, key: str, text: str
 ) -> DataFrame:
@@ -235,6 +277,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both * (100 + percent) >= total * percent
 
 
+def _open(scratch: Scratch, near: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shingle, id, packed, root) of the lists that hold several groups."""
+    named = roots.withColumnRenamed("node", "id")
+    known = with_size_check(near.select("shingle", "id", "packed"), named, ["id"], "left", SENT)
+    known = known.withColumn("root", F.coalesce("root", "id"))
+    mixed = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = scratch.keep(mixed.filter("low <> high").select("shingle"))
+    return scratch.keep(with_size_check(known, mixed, ["shingle"], "left_semi", SENT))
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row; component_id is the smallest key that links reach.
 
@@ -245,31 +297,32 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id",
     scratch = Scratch(docs.sparkSession)
     documents, counts = classes_and_counts(docs, size, key, text)
     near = scratch.keep(meeting(docs, counts, size, percent, key, text))
-    step = near.filter((F.col("id") != F.col("first_id")) & may_link(F.col("packed"), F.col("first_packed"), percent))
-    step = scratch.keep(step.select(*_pair(F.col("id"), F.col("first_id"))).distinct())
-    first = verified(scratch, docs, step, size, percent, key, text)
+    first = verified(scratch, docs, scratch.keep(stars(near, percent)), size, percent, key, text)
     links = first.filter("linked").select("a", "b")
     roots = components(links)
+    order = W.partitionBy("shingle").orderBy("packed", "id")
+    for _ in range(STARS):
+        open_lists = _open(scratch, near, roots)
+        # the first class of the list's first group meets the others
+        again = open_lists.withColumns(
+            {"first_id": F.first("id").over(order), "first_packed": F.first("packed").over(order), "of": F.first("root").over(order)}
+        ).filter("root <> of")
+        step = scratch.keep(stars(again, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+        if step.isEmpty():
+            break
+        more = verified(scratch, docs, step, size, percent, key, text)
+        first = scratch.keep(first.unionByName(more))
+        links = first.filter("linked").select("a", "b")
+        roots = components(links)
 
     # all pairs along the lists whose groups still differ
-    named = roots.withColumnRenamed("node", "id")
-    known = with_size_check(near.select("shingle", "id", "packed"), named, ["id"], "left", SENT).withColumn("root", F.coalesce("root", "id"))
-    mixed = known.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = scratch.keep(mixed.filter("low <> high").select("shingle"))
-    open_lists = scratch.keep(with_size_check(known, mixed, ["shingle"], "left_semi", SENT))
-    x = open_lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "packed", "root")])
-    y = open_lists.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "packed", "root")])
-    rest = x.hint("merge").join(y, "shingle").filter(
-        (F.col("root_x") != F.col("root_y")) & (F.col("id_x") < F.col("id_y"))
-        & may_link(F.col("packed_x"), F.col("packed_y"), percent)
-    )
-    rest = rest.select(*_pair(F.col("id_x"), F.col("id_y"))).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    rest = scratch.keep(rest)
+    open_lists = _open(scratch, near, roots)
+    rest = scratch.keep(across(open_lists, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = verified(scratch, docs, rest, size, percent, key, text).filter("linked").select("a", "b")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    scratch.drop(near, step, first, mixed, open_lists, rest)
+    scratch.drop(near, first, open_lists, rest)
 
     least = documents.filter("n > 0").groupBy("id").agg(F.min(key).alias("least"))
     grouped_by = least.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
