@@ -34,14 +34,12 @@ END = 0x5E4D_0F_D0C
 HEAD = 1 << 20
 #: Modelled words, words in a class, width of the state.
 WORDS, IN_CLASS, WIDTH = 4096, 64, 16
-#: Classes by frequency: one for each power of two of the counts.
-BANDS = 48
-WINDOW, LANES, LANES_IN_TRAINING = 32, 256, 64
+WINDOW, LANES, LANES_IN_TRAINING = 32, 256, 96
 #: Of so many consecutive stretches of STRETCH windows of a document one is trained on, in each round another.
 EVERY, STRETCH, ROUNDS = 4, 2, 2
 RATE, FIRST = 0.03, 1e-6
 #: Characters that are hashed together, tokens that a task holds.
-TOGETHER, HELD = 1 << 20, 1 << 22
+TOGETHER, HELD = 1 << 18, 1 << 22
 PART = 1 << 14
 
 
@@ -83,6 +81,7 @@ class Vocabulary:
     codes: np.ndarray
     logs: np.ndarray
     words: int
+    bands: int  # classes by frequency: one for each power of two of the other counts in the head
     mass: np.ndarray  # of each class: sum of c + 0.5
     word_mass: np.ndarray  # of each modelled word
     tokens: int  # N
@@ -99,7 +98,7 @@ class Vocabulary:
     @property
     def tail(self) -> int:
         """The code of every word outside the head; other codes beyond ``words`` are classes by frequency."""
-        return self.words + BANDS
+        return self.words + self.bands
 
     def code(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code of each token, and its log10(c + 0.5) (0 in the tail)."""
@@ -130,15 +129,17 @@ def head_of(counts: DataFrame) -> tuple[Vocabulary, int]:
     words = min(WORDS, len(h))
     codes = np.empty(len(h), np.int64)
     codes[order] = np.arange(len(h))
-    band = words + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
-    codes = np.where(codes < words, codes, band)
+    band = np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
+    bands = int(band[codes >= words].max(initial=-1)) + 1
+    codes = np.where(codes < words, codes, words + band)
     word_mass = c[order[:words]] + 0.5
     classes = -(-words // IN_CLASS)
-    mass = np.zeros(classes + BANDS + 1)
+    mass = np.zeros(classes + bands + 1)
     np.add.at(mass, np.where(codes < words, codes // IN_CLASS, classes + codes - words), c + 0.5)
     mass[-1] = n + 0.5 * (types + 1) - mass.sum()
     by_hash = np.argsort(h)
-    found = Vocabulary(h[by_hash], codes[by_hash].astype(np.int32), np.log10(c + 0.5)[by_hash], words, mass, word_mass, n, types)
+    known = h[by_hash], codes[by_hash].astype(np.int32), np.log10(c + 0.5)[by_hash]
+    found = Vocabulary(*known, words, bands, mass, word_mass, n, types)
     return found, 1 << 30 if least is None else least
 
 
@@ -148,7 +149,7 @@ class Network:
     def __init__(self, v: Vocabulary, flat: np.ndarray | None = None):
         self.words, self.classes, self.word_classes = v.words, len(v.mass), v.word_classes
         shapes = {
-            "inputs": (v.words + BANDS + 1, 3 * WIDTH),
+            "inputs": (v.words + v.bands + 1, 3 * WIDTH),
             "state": (WIDTH, 3 * WIDTH),
             "to_class": (WIDTH, self.classes),
             "class_bias": (self.classes,),
@@ -194,38 +195,40 @@ class Network:
 
         With ``grads``, also adds the gradients of their negative sum and returns those of ``h``.
         """
+        # classes x rows: sums over classes then run along whole rows
         rows = np.arange(len(codes))
         own = self.class_of(codes)
-        logits = h @ self.to_class + self.class_bias
-        logits -= logits.max(1, keepdims=True)
+        logits = self.to_class.T @ h.T + self.class_bias[:, None]
+        logits -= logits.max(0)
         p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        found = logits[rows, own] - np.log(total[:, 0])
+        total = p.sum(0)
+        found = logits[own, rows] - np.log(total)
         back = None
         if grads is not None:
             p /= total
-            p[rows, own] -= 1.0
-            grads.to_class += h.T @ p
-            grads.class_bias += p.sum(0)
-            back = p @ self.to_class.T
+            p[own, rows] -= 1.0
+            grads.to_class += (p @ h).T
+            grads.class_bias += p.sum(1)
+            back = (self.to_class @ p).T
         order = np.argsort(own, kind="stable")
         ends = np.searchsorted(own[order], np.arange(self.word_classes + 1))
+        sorted_h, word = h[order], codes[order] % IN_CLASS
         for k in range(self.word_classes):
-            at = order[ends[k] : ends[k + 1]]
-            if not len(at):
+            start, end = ends[k], ends[k + 1]
+            if start == end:
                 continue
-            logits = h[at] @ self.to_word[k] + self.word_bias[k]
-            logits -= logits.max(1, keepdims=True)
+            at, of, held = order[start:end], sorted_h[start:end], word[start:end]
+            logits = self.to_word[k].T @ of.T + self.word_bias[k][:, None]
+            logits -= logits.max(0)
             p = np.exp(logits)
-            total = p.sum(1, keepdims=True)
-            word = codes[at] % IN_CLASS
-            found[at] += logits[np.arange(len(at)), word] - np.log(total[:, 0])
+            total = p.sum(0)
+            found[at] += logits[held, rows[: end - start]] - np.log(total)
             if grads is not None:
                 p /= total
-                p[np.arange(len(at)), word] -= 1.0
-                grads.to_word[k] += h[at].T @ p
-                grads.word_bias[k] += p.sum(0)
-                back[at] += p @ self.to_word[k].T
+                p[held, rows[: end - start]] -= 1.0
+                grads.to_word[k] += (p @ of).T
+                grads.word_bias[k] += p.sum(1)
+                back[at] += (self.to_word[k] @ p).T
         return found, back
 
     def backward(self, codes: np.ndarray, first: np.ndarray, keep: list, back: np.ndarray, grads: Network) -> None:
@@ -248,7 +251,7 @@ class Network:
         grads.inputs[flat[order][starts]] += np.add.reduceat(reads.reshape(-1, 3 * WIDTH)[order], starts)
 
 
-def lanes(lists: list[np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def lanes(lists: list[np.ndarray], n: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Windows of lists laid end to end in ``n`` lanes: (codes read, codes to tell, list numbers, list begins).
 
     Steps x lanes; a list number of -1 is padding.  Lists go to the lane that is shortest so far, the longest first.
@@ -261,7 +264,7 @@ def lanes(lists: list[np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndar
         size, lane = heapq.heappop(ends)
         held[lane].append(int(i))
         heapq.heappush(ends, (size + int(sizes[i]), lane))
-    length = -(-max(e for e, _ in ends) // WINDOW) * WINDOW
+    length = -(-max(e for e, _ in ends) // window) * window
     tell = np.zeros((n, length), np.int32)
     owner = np.full((n, length), -1, np.int32)
     first = np.zeros((n, length), bool)
@@ -273,8 +276,8 @@ def lanes(lists: list[np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndar
             first[lane, at] = True
             at += int(sizes[i])
     read = np.roll(tell, 1, axis=1)
-    for start in range(0, length, WINDOW):
-        cut = slice(start, start + WINDOW)
+    for start in range(0, length, window):
+        cut = slice(start, start + window)
         yield read[:, cut].T, tell[:, cut].T, owner[:, cut].T, first[:, cut].T
 
 
@@ -354,7 +357,7 @@ def score_head(docs: DataFrame, v: Vocabulary, flat: np.ndarray, key: str, text:
             codes = [c for _, lists, *_ in held for c in lists]
             score = np.zeros(len(codes))
             state = None
-            for read, tell, owner, first in lanes(codes, LANES):
+            for read, tell, owner, first in lanes(codes, LANES, 4 * WINDOW):
                 read = np.where(first, end, read)
                 state = np.zeros((read.shape[1], WIDTH), np.float32) if state is None else state
                 states = net.run(read, first, state)

@@ -99,7 +99,7 @@ def test_scores_are_those_of_one_step_after_the_other(spark, monkeypatch):
 
 
 def test_gradients():
-    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), 20, np.ones(lm.BANDS + 2), np.ones(20), 60, 20)
+    v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), 20, 2, np.ones(4), np.ones(20), 60, 20)
     dice = np.random.default_rng(0)
     net = lm.Network(v, dice.standard_normal(lm.Network(v).size) * 0.3)
     tell = dice.integers(0, 22, (5, 3)).astype(np.int32)
