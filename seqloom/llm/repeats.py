@@ -8,7 +8,8 @@ belongs to one, and only anchors that occur more than once are looked at.
 An anchor's occurrences with the same bytes around it are one: all but the first are repeats as a whole.  Where
 the bytes around it differ, the strings at the anchor are put in suffix order, which their first DEPTH bytes decide.
 A suffix has a longest previous factor of DEPTH or more if, in that order and without meeting a common prefix
-shorter than DEPTH, there is a smaller position before it or after it.
+shorter than DEPTH, there is a smaller position before it or after it.  An anchor with more than SORTED strings is not
+sorted in one task: its strings are dealt by 128-bit digests of their own, and all but the first of a digest are repeats.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import Window as W
 
 from seqloom.llm.common import Scratch, query, small, table, with_size_check
 from seqloom.llm.hashing import BASE, INVERSE, mix, powers
+from seqloom.operators.quantiles import skewed_lookup
 from seqloom.session import spread_rows
 
 DEPTH, GRAM = 100, 24
 #: Bytes that are looked at together; a longer text is taken in overlapping slices.
 TOGETHER = 1 << 19
-#: Strings that are put in suffix order together, unless one anchor has more.
+#: Strings that are put in suffix order together; an anchor with more has its strings dealt by their digests.
 SORTED = 1 << 18
 #: Up to so many documents with repeats (12 bytes each) are sent to all tasks; beyond that they are joined.
 SENT = 1 << 21
@@ -155,7 +157,8 @@ def has_longer_previous(groups: np.ndarray, words: np.ndarray, position: np.ndar
     in the stretch, or the next smaller one, is then an earlier match.  Positions order all occurrences.
     """
     order = suffix_order(groups, words)
-    w, g, p = words[order], groups[order], position[order]
+    # ranks, so that stretch * span stays below the square of the number of suffixes
+    w, g, p = words[order], groups[order], np.unique(position, return_inverse=True)[1].ravel()[order]
     common = (g[1:] == g[:-1]) & (w[1:] == w[:-1]).all(1)
     stretch = np.cumsum(np.append(True, ~common)) - 1
     span = int(p.max()) + 1 if len(p) else 1
@@ -222,8 +225,18 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, depth: int, gram: int) ->
     plain = near.filter("kind = 1").select("doc", "tag", start.alias("start"), end.alias("end"))
     # first occurrences of different bytes around one anchor
     heads = near.filter("kind = 0")
-    several = heads.groupBy("anchor").count().filter("count > 1").select("anchor")
+    several = heads.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("far") - F.col("near") + 1).alias("strings"))
+    several = several.filter("n > 1").select("anchor", (F.col("strings") > SORTED).alias("frequent"))
     heads = scratch.keep(heads.hint("merge").join(several, "anchor").drop("whole", "kind"))
+    mixed = _sorted_spans(_covered(docs, heads.filter(~F.col("frequent")), depth), depth)
+    frequent = heads.filter("frequent")
+    if frequent.head(1):
+        mixed = mixed.unionByName(_dealt_spans(scratch, _covered(docs, frequent, depth), depth))
+    return plain.unionByName(mixed)
+
+
+def _covered(docs: DataFrame, heads: DataFrame, depth: int) -> DataFrame:
+    """(anchor, doc, tag, place, far, near, bytes): the anchors' occurrences with the bytes that their strings cover."""
     held = heads.groupBy("doc", "tag").agg(
         F.collect_list(F.struct("anchor", "place", "far", "near")).alias("anchors")
     )
@@ -247,7 +260,41 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, depth: int, gram: int) ->
                 )
 
     occurrences = texts.hint("merge").join(held, ["doc", "tag"]).select("doc", "tag", "text", "anchors")
-    occurrences = occurrences.mapInArrow(cover, "anchor long, doc long, tag int, place long, far int, near int, bytes binary")
+    return occurrences.mapInArrow(cover, "anchor long, doc long, tag int, place long, far int, near int, bytes binary")
+
+
+def _dealt_spans(scratch: Scratch, occurrences: DataFrame, depth: int) -> DataFrame:
+    """(doc, tag, start, end) of repeats among the strings of frequent anchors, each string dealt by its digest."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["high", "low", "doc", "tag", "start"]
+        for batch in small(batches):
+            doc, tag, place, far, near = (batch.column(c).to_numpy() for c in ("doc", "tag", "place", "far", "near"))
+            sizes = (far - near + 1).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            covered = batch.column("bytes").to_pylist()
+            digests = b"".join(
+                xxhash.xxh3_128_digest(raw[i : i + depth]) for raw, n in zip(covered, sizes.tolist()) for i in range(n)
+            )
+            both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(doc[row]), pa.array(tag[row]),
+                 pa.array(place[row] - far[row] + nth)],
+                names,
+            )
+
+    strings = scratch.keep(occurrences.mapInArrow(deal, "high long, low long, doc long, tag int, start long"))
+    first = strings.groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
+    first = first.filter("n > 1").drop("n")
+    # a string may be as frequent as its anchor
+    met = skewed_lookup(strings, first, ["high", "low"])
+    met = met.filter(F.struct("doc", "start") > F.col("first"))
+    return met.select("doc", "tag", "start", (F.col("start") + depth).alias("end"))
+
+
+def _sorted_spans(occurrences: DataFrame, depth: int) -> DataFrame:
+    """(doc, tag, start, end) of repeats among the strings of anchors that have at most SORTED."""
     dealt = occurrences.repartition("anchor").sortWithinPartitions("anchor")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +321,7 @@ def repeated_spans(scratch: Scratch, docs: DataFrame, depth: int, gram: int) ->
             if done is not None:
                 yield done
 
-    mixed = dealt.mapInArrow(sort, "doc long, tag int, start long, end long")
-    return plain.unionByName(mixed)
+    return dealt.mapInArrow(sort, "doc long, tag int, start long, end long")
 
 
 def remove_repeats(

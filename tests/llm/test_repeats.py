@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,6 +91,36 @@ def test_longest_previous_factors():
             assert got[i] == any(position[j] < position[i] and text[j : j + depth] == text[i : i + depth] for j in range(60))
 
 
+def test_many_different_strings_with_large_positions():
+    """Every string occurs twice; distinct strings times positions exceed 64 bits."""
+    n = 3000
+    words = np.tile(np.arange(n, dtype=np.uint64), 2)[:, None]
+    position = np.arange(2 * n) * (1 << 42)
+    got = repeats.has_longer_previous(np.zeros(2 * n, int), words, position)
+    assert got.tolist() == [False] * n + [True] * n
+
+
+def test_frequent_anchors_are_not_sorted_in_one_task(spark, monkeypatch):
+    """One passage in many contexts: no call puts more strings in order than its bound, and no repeat is lost."""
+    dice = random.Random(4)
+    passage = "".join(dice.choice("abcdefgh") for _ in range(50))
+    rows = [(i, "".join(dice.choice("xyz") for _ in range(40)) + passage + "".join(dice.choice("xyz") for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][5:100] + "!" * i) for i in range(30)]
+    docs = documents(spark, rows).repartition(4)
+    want = brute(rows, 40)
+    monkeypatch.setattr(repeats, "SORTED", 64)
+
+    def bounded(held, depth, resolve=repeats.resolve):
+        strings = Counter()
+        for r in held:
+            strings[r[0]] += r[4] - r[5] + 1
+        assert max(strings.values()) <= 64 and sum(strings.values()) < 128
+        return resolve(held, depth)
+
+    monkeypatch.setattr(repeats, "resolve", bounded)
+    assert found(repeats.remove_repeats(docs, 40, 12)) == want
+
+
 def test_anchors_hold_every_string_once():
     dice = random.Random(1)
     parts = ["".join(dice.choice("abc") for _ in range(n)).encode() for n in (0, 39, 40, 200, 1000)] + [b"a" * 500]
