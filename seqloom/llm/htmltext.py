@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -27,9 +28,9 @@ from pyspark.sql import Window as W
 from seqloom.llm.common import query, small, stored, table
 from seqloom.session import spread_rows
 
-#: Pages of a host that a task aligns, and tasks' wrappers of a host that are aligned: a wrapper settles soon.
-PAGES, MERGED = 8, 64
-#: Nodes that two wrappers may have for an exact alignment; longer ones are aligned at equal runs first.
+#: Wrappers of a host that are aligned in one group; rounds of groups go on until a host has one.
+MERGED = 64
+#: Nodes that two wrappers may have for an exact alignment; longer ones are split at equal runs first.
 ALIGNED = 400
 #: Up to so many bytes of wrappers are sent to all tasks; beyond that pages and wrappers are joined by host.
 SENT = 32 << 20
@@ -215,8 +216,14 @@ def align(a: list, b: list) -> list:
 
 def _middle(a: list, b: list, x: list, y: list) -> list:
     """Longest common subsequence of shapes; what one side lacks is optional, a lone occurrence joins its repeat."""
-    if not a or not b or len(a) * len(b) > ALIGNED * ALIGNED:
+    if not a or not b:
         return _optional(a) + _optional(b)
+    if len(a) * len(b) > ALIGNED * ALIGNED:
+        i, j, n = _common_run(x, y)
+        if not n:
+            return _unmatched(a, b)
+        out = _middle(a[:i], b[:j], x[:i], y[:j]) + [_both(p, q) for p, q in zip(a[i : i + n], b[j : j + n])]
+        return out + _middle(a[i + n :], b[j + n :], x[i + n :], y[j + n :])
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -234,6 +241,19 @@ def _middle(a: list, b: list, x: list, y: list) -> list:
     return out + _unmatched(a[i0:], b[j0:])
 
 
+def _common_run(x: list, y: list) -> tuple[int, int, int]:
+    """(place in x, place in y, length) of the longest run of shapes that both have, the one nearest the middle of equal ones."""
+    numbers: dict = {}
+    one, other = (np.array([numbers.setdefault(s, len(numbers)) for s in shapes]) for shapes in (x, y))
+    runs, best = np.zeros(len(other) + 1, np.int64), (0, 0, 0, 0)
+    for i, shape in enumerate(one):
+        runs[1:] = np.where(other == shape, runs[:-1] + 1, 0)
+        j = int(runs.argmax())
+        n = int(runs[j])
+        best = max(best, (n, -abs(2 * i - n - len(one)), i + 1 - n, j - n))
+    return best[2], best[3], best[0]
+
+
 def _unmatched(a: list, b: list) -> list:
     """An optional or repeated part of one side may stand plainly on the other; the rest is optional."""
     for one, other in ((a, b), (b, a)):
@@ -354,8 +374,8 @@ def host(url):
 def infer_wrappers(pages: DataFrame, html_column: str = "html", url: str = "url") -> DataFrame:
     """(host, wrapper, pages): one wrapper per host, as JSON.
 
-    A task aligns the first ``PAGES`` different pages it meets of a host; a host's wrapper aligns those of
-    the ``MERGED`` tasks whose wrappers have the smallest digests.  Pages without a host get none.
+    Every page counts: a task aligns all it meets of a host, and the tasks' wrappers of a host are aligned
+    in groups of ``MERGED``, round after round, until one is left.  Pages without a host get none.
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,10 +383,9 @@ def infer_wrappers(pages: DataFrame, html_column: str = "html", url: str = "url"
         for batch in small(batches):
             for name, page in zip(batch.column("host").to_pylist(), batch.column(html_column).to_pylist()):
                 known = found.setdefault(name, [None, 0])
-                if known[1] < PAGES:
-                    own = page_wrapper(page)
-                    known[0] = own if known[0] is None else align(known[0], own)
-                    known[1] += 1
+                own = page_wrapper(page)
+                known[0] = own if known[0] is None else align(known[0], own)
+                known[1] += 1
         wrappers = [json.dumps(w, separators=(",", ":")) for w, _ in found.values()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -379,9 +398,8 @@ def infer_wrappers(pages: DataFrame, html_column: str = "html", url: str = "url"
 
     rows = pages.select(host(F.col(url)).alias("host"), F.coalesce(F.col(html_column), F.lit("")).alias(html_column))
     rows = spread_rows(rows.filter((F.col("host") != "") & (F.col(html_column) != "")))
-    part = rows.mapInArrow(learn, "host string, wrapper string, pages long")
+    part = stored(rows.mapInArrow(learn, "host string, wrapper string, pages long"))
     order = W.partitionBy("host").orderBy(F.xxhash64("wrapper"), "wrapper")
-    part = part.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MERGED)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
@@ -393,7 +411,10 @@ def infer_wrappers(pages: DataFrame, html_column: str = "html", url: str = "url"
             "pages": [int(group.pages.sum())],
         })
 
-    return part.groupBy("host").applyInPandas(merge, "host string, wrapper string, pages long")
+    while part.groupBy("host").count().filter("count > 1").head(1):
+        part = part.withColumn("_n", F.row_number().over(order)).withColumn("_group", F.floor((F.col("_n") - 1) / MERGED))
+        part = stored(part.groupBy("host", "_group").applyInPandas(merge, "host string, wrapper string, pages long"))
+    return part
 
 
 def regions(wrappers: DataFrame) -> DataFrame:

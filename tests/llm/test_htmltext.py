@@ -1,5 +1,6 @@
 import html
 import json
+import random
 import re
 
 import pytest
@@ -63,6 +64,34 @@ def test_alignment():
     assert len(json.dumps(many)) < 600
 
 
+def test_every_page_of_a_host_is_aligned(spark, monkeypatch):
+    """A template of few pages is known whatever comes before it, and rounds leave one wrapper."""
+    monkeypatch.setattr(h, "MERGED", 2)
+    rare = site(0, "").replace("<div class='c1'></div>", "<section class='s'><h2>H {0}</h2><p>rare {0}</p></section>")
+    rows = [(i, "http://a.example/%d" % i, site(i, BODY.format(i))) for i in range(200)]
+    rows += [(200 + i, "http://a.example/r%d" % i, rare.format(i)) for i in range(3)]
+    pages = spark.createDataFrame(rows, PAGES)
+    got = h.infer_wrappers(pages).collect()
+    assert [(r.host, r.pages) for r in got] == [("a.example", 203)] and "section.s" in got[0].wrapper
+    text = {r.page_id: r.text for r in h.extract(pages).collect()}
+    assert text == {i: TEXT.format(i) for i in range(200)} | {200 + i: f"H {i}\n\nrare {i}" for i in range(3)}
+
+
+def test_long_stretches_are_aligned():
+    """Beyond the bound of the exact alignment texts still become slots, and only what one side lacks is optional."""
+    dice = random.Random(3)
+    tags = [dice.choice("bius") for _ in range(700)]
+
+    def page(edge, word, lacks):
+        inner = "".join(f"<{t}>{word} {i}</{t}>" for i, t in enumerate(tags) if i not in lacks)
+        return h.page_wrapper(f"<div><{edge}>{edge}</{edge}>{inner}<{edge}>{edge}</{edge}></div>")
+
+    one, two = page("em", "one", {100, 400}), page("dfn", "two", {250})
+    both = h.align(one, two)
+    slots = sum(n[0] == "#" and n[1] is None for n in both)
+    assert slots > 0.9 * sum(n[0] == "#" for n in one) and len(both) < 1.1 * len(one)
+
+
 @pytest.mark.parametrize(
     "page,want",
     [
