@@ -6,8 +6,9 @@ of the counts.  The output is factored: first the class, then the word in the cl
 update gates reads the words; its state is carried across windows to the end of a document and gradients
 are cut at the windows' beginnings.
 
-Training is by rounds: every task trains a copy on windows of its own documents, Spark averages the copies.  The
-network starts as the count model (its biases), so that it begins where the base score is.
+Training is by rounds: every task trains a copy on whole documents of its own, Spark averages the copies.  Each
+document is learned from in one of the rounds, all its tokens in order.  The network starts as the count model (its
+biases), so that it begins where the base score is.
 
 Words are known by 64-bit hashes.
 """
@@ -35,8 +36,8 @@ HEAD = 1 << 20
 #: Modelled words, words in a class, width of the state.
 WORDS, IN_CLASS, WIDTH = 4096, 64, 16
 WINDOW, LANES, LANES_IN_TRAINING = 32, 256, 96
-#: Of so many consecutive stretches of STRETCH windows of a document one is trained on, in each round another.
-EVERY, STRETCH, ROUNDS = 4, 2, 2
+#: Each document is trained on in one of so many rounds.
+ROUNDS = 2
 RATE, FIRST = 0.03, 1e-6
 #: Characters that are hashed together, tokens that a task holds.
 TOGETHER, HELD = 1 << 18, 1 << 22
@@ -282,7 +283,7 @@ def lanes(lists: list[np.ndarray], n: int, window: int = WINDOW) -> Iterator[tup
 
 
 def train(docs: DataFrame, v: Vocabulary, scratch: Scratch, key: str, text: str) -> np.ndarray:
-    """The parameters after ROUNDS rounds; each round trains on other stretches of every document."""
+    """The parameters after ROUNDS rounds; each round trains on other documents, whole ones, and all rounds on all."""
     spark = docs.sparkSession
     flat = Network(v).flat
     words = spark.sparkContext.broadcast(vars(v))  # at most HEAD words
@@ -314,12 +315,9 @@ def train(docs: DataFrame, v: Vocabulary, scratch: Scratch, key: str, text: str)
 
             for _, lists in tokens(batches, key, text):
                 for one in lists:
-                    width = STRETCH * WINDOW
-                    offset = int(one[0] ^ np.uint64(len(one))) + turn * (EVERY // ROUNDS)
-                    for i in range(0, len(one), width):
-                        if (i // width + offset) % EVERY == 0:
-                            held.append(own.code(one[i : i + width])[0])
-                            n += len(held[-1])
+                    if (int(one[0] ^ np.uint64(len(one))) + turn) % ROUNDS == 0:
+                        held.append(own.code(one)[0])
+                        n += len(one)
                 if n >= HELD // 4:
                     learn()
                     seen, held, n = seen + n, [], 0

@@ -1,5 +1,7 @@
+import json
 import math
 import random
+import uuid
 import zlib
 from collections import Counter
 
@@ -98,6 +100,24 @@ def test_scores_are_those_of_one_step_after_the_other(spark, monkeypatch):
         assert min(abs(row.score - w) for w in want[row.doc_id]) < 1e-3 * max(1.0, abs(row.score))
 
 
+def test_every_token_is_trained_on(spark, monkeypatch, tmp_path):
+    """Over the rounds each document is laid out once, whole, so that its state runs from its beginning to its end."""
+    def noted(lists, n, window=lm.WINDOW, lanes=lm.lanes, folder=str(tmp_path)):
+        with open(f"{folder}/{uuid.uuid4()}", "w") as out:
+            json.dump([x.tolist() for x in lists], out)
+        return lanes(lists, n, window)
+
+    rows = some(1, 40) + [(500, "the of a w1 " * 300), (501, ""), (502, None)]
+    scratch = Scratch(spark)
+    v, _ = lm.head_of(scratch.keep(lm.count_words(documents(spark, rows), "doc_id", "text")))
+    monkeypatch.setattr(lm, "lanes", noted)
+    lm.train(documents(spark, rows).repartition(3), v, scratch, "doc_id", "text")
+    got = [x for file in tmp_path.iterdir() for x in json.loads(file.read_text())]
+    hasher = lm.WordHasher()
+    want = [v.code(np.append(hasher.words([t or ""])[0], np.uint64(lm.END)))[0].tolist() for _, t in rows]
+    assert sorted(got) == sorted(want)
+
+
 def test_gradients():
     v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), 20, 2, np.ones(4), np.ones(20), 60, 20)
     dice = np.random.default_rng(0)
