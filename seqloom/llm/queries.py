@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bpe, decontaminate, htmltext, jaccard, langid, linededup, lm, neighbours, packing, repeats, secrets  # noqa: F401
+from seqloom.llm import bpe, decontaminate, htmltext, jaccard, langid, linededup, lm, mining, neighbours, packing, repeats, resampling, secrets  # noqa: F401
 from seqloom.llm.common import ORACLES, QUERIES  # noqa: F401
