@@ -30,10 +30,20 @@ class Strings:
     """Strings laid end to end: letter numbers, the string and the place of each letter, the lengths."""
 
     def __init__(self, texts: list[str]):
-        self.codes = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).astype(np.int64) - FIRST
-        self.n = np.array([len(t) for t in texts], np.int64)
-        self.row = np.repeat(np.arange(len(texts)), self.n)
-        self.begin = np.cumsum(self.n) - self.n
+        codes = np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8).astype(np.int64) - FIRST
+        self._lay(codes, np.array([len(t) for t in texts], np.int64))
+
+    @classmethod
+    def of(cls, codes: np.ndarray, n: np.ndarray) -> Strings:
+        """Strings whose letters are numbers already."""
+        out = cls.__new__(cls)
+        out._lay(codes, n)
+        return out
+
+    def _lay(self, codes: np.ndarray, n: np.ndarray) -> None:
+        self.codes, self.n = codes, n
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.begin = np.cumsum(n) - n
         self.place = np.arange(len(self.row)) - self.begin[self.row]
 
     def neighbours(self, step: int, k: int = 2) -> np.ndarray:
@@ -49,9 +59,12 @@ def lists(parts: list[np.ndarray] | np.ndarray, sizes: np.ndarray, kind: pa.Data
 
 def per_string(
     df: DataFrame, keys: Sequence[str], seq: Column | str, schema: str,
-    run: Callable[[Strings], Iterator[tuple[np.ndarray, list]]],
+    run: Callable[[Strings], Iterator[tuple[np.ndarray, list]]], rows_together: int | None = None,
 ) -> DataFrame:
-    """``run`` gives (numbers of strings, columns) for strings that were laid end to end; null strings are empty."""
+    """``run`` gives (numbers of strings, columns) for strings that were laid end to end; null strings are empty.
+
+    At most ``rows_together`` strings are laid together, where what ``run`` holds grows with their number.
+    """
     text = F.col(seq) if isinstance(seq, str) else seq
     rows = df.select(*keys, F.coalesce(text, F.lit("")).alias("_seq"))
 
@@ -62,7 +75,7 @@ def per_string(
             start = size = 0
             for i, one in enumerate(texts):
                 size += len(one)
-                if size >= TOGETHER or i + 1 == len(texts):
+                if size >= TOGETHER or i + 1 == len(texts) or i + 1 - start == rows_together:
                     own = held.slice(start, i + 1 - start)
                     for which, columns in run(Strings(texts[start : i + 1])):
                         taken = [c.take(pa.array(which)) for c in own.columns]
@@ -222,6 +235,18 @@ def scaled_triples(
     )
 
 
+def pairs_in_order(s: Strings, i: int) -> np.ndarray:
+    """How often each letter stands before each other one in the i-th string; letters by letters."""
+    own = np.array([letter_code(a) for a in L.LETTERS])
+    pairs, seen = np.zeros((len(own), len(own))), np.zeros(len(own))
+    for start in range(0, int(s.n[i]), 1 << 16):
+        end = min(start + (1 << 16), int(s.n[i]))
+        marks = (s.codes[s.begin[i] + start : s.begin[i] + end, None] == own).astype(np.float64)
+        pairs += (np.cumsum(marks, axis=0) - marks + seen).T @ marks
+        seen += marks.sum(0)
+    return pairs
+
+
 def ordered_pairs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of position pairs i < j per ordered letter pair (ASDC).
 
@@ -234,12 +259,7 @@ def ordered_pairs(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     def run(s: Strings):
         which, counts, codes, sizes = [], [], [], []
         for i in np.flatnonzero(s.n > 1):
-            pairs, seen = np.zeros((len(own), len(own))), np.zeros(len(own))
-            for start in range(0, int(s.n[i]), 1 << 16):
-                end = min(start + (1 << 16), int(s.n[i]))
-                marks = (s.codes[s.begin[i] + start : s.begin[i] + end, None] == own).astype(np.float64)
-                pairs += (np.cumsum(marks, axis=0) - marks + seen).T @ marks
-                seen += marks.sum(0)
+            pairs = pairs_in_order(s, i)
             full = np.flatnonzero(pairs.ravel())
             which.append(i)
             codes.append(code[full])

@@ -293,32 +293,6 @@ COMBINED = (
 )
 
 
-def block_rows(spark, folder):
-    """Long feature rows of three blocks: (ID, Dataset, block, feature, value)."""
-    comb = combined(spark, folder)
-    df = comb.withColumn("seq", F.col("Sequence"))
-    keys = ["ID", "Dataset"]
-    aac = C.kmer_frequency(df, keys, 1).select(*keys, F.lit("AAC").alias("block"), F.concat(F.lit("AAC_"), "token").alias("feature"), "value")
-    dpc = C.kmer_frequency(df, keys, 2).select(*keys, F.lit("DPC").alias("block"), F.concat(F.lit("DPC_"), "token").alias("feature"), "value")
-    ctdc = df.select(*keys, F.lit("CTDC").alias("block"), F.lit("CTDC_charge.G1").alias("feature"), S.class_fraction("seq", "KR").alias("value"))
-    return [aac, dpc, ctdc]
-
-
-BLOCKS = (
-    COMBINED
-    + ", bc AS (SELECT \"ID\", \"Dataset\", length(\"Sequence\") AS n, unnest(string_split(\"Sequence\",'')) AS c, "
-    "unnest(range(1,length(\"Sequence\")+1)) AS pos FROM comb), bp AS (SELECT *, c || lead(c) OVER (PARTITION BY \"ID\" ORDER BY pos) AS pr FROM bc), "
-    "blocks AS (SELECT \"ID\", \"Dataset\", 'AAC' AS block, 'AAC_' || c AS feature, count(*)/CAST(max(n) AS DOUBLE) AS value FROM bc GROUP BY 1,2,3,4 "
-    "UNION ALL SELECT \"ID\", \"Dataset\", 'DPC', 'DPC_' || pr, count(*)/CAST(max(n)-1 AS DOUBLE) FROM bp WHERE pr IS NOT NULL GROUP BY 1,2,3,4 "
-    "UNION ALL SELECT \"ID\", \"Dataset\", 'CTDC', 'CTDC_charge.G1', length(regexp_replace(\"Sequence\",'[^KR]','','g'))/CAST(length(\"Sequence\") AS DOUBLE) FROM comb)"
-)
-
-
-def all_blocks(spark, folder):
-    a, b, c = block_rows(spark, folder)
-    return a.unionByName(b).unionByName(c)
-
-
 @query("tag_split", f"WITH {SEQS} SELECT doc_id, seq, 'train' AS \"Dataset\" FROM seqs")
 def tag_split(spark, folder):
     return T.tag_split(seqs(spark, folder), "train")
@@ -357,73 +331,6 @@ def join_descriptor(spark, folder):
     return T.join_descriptor(base, block).select("ID", "Dataset", F.length("Sequence").cast("bigint").alias("Length"), "charge")
 
 
-@query(
-    "join_blocks",
-    f"WITH {BLOCKS} SELECT \"ID\", \"Dataset\", count(*) AS n_cells, round(sum(value),6) AS total, "
-    "round(coalesce(max(CASE WHEN feature='AAC_A' THEN value END),0),6) AS aac_a, "
-    "round(coalesce(max(CASE WHEN feature='DPC_ER' THEN value END),0),6) AS dpc_er, "
-    "round(max(CASE WHEN feature='CTDC_charge.G1' THEN value END),6) AS charge FROM blocks GROUP BY 1,2",
-)
-def join_blocks(spark, folder):
-    joined = T.join_blocks(block_rows(spark, folder), ["ID", "Dataset"])
-    dense = T.dense_features(joined.withColumn("cells", F.col("features")), ["AAC_A", "DPC_ER", "CTDC_charge.G1"])
-    total = F.aggregate(F.map_values("cells"), F.lit(0.0), lambda a, v: a + v)
-    return dense.select(
-        "ID", "Dataset", F.size("cells").cast("bigint").alias("n_cells"), r6(total, "total"),
-        *[r6(F.col("features")[i], n) for i, n in enumerate(["aac_a", "dpc_er", "charge"])],
-    )
-
-
-@query(
-    "dense_vectors",
-    f"WITH {BLOCKS}, ix AS (SELECT feature, row_number() OVER (ORDER BY feature)-1 AS place FROM (SELECT DISTINCT feature FROM blocks)) "
-    "SELECT \"ID\", \"Dataset\", CAST((SELECT count(*) FROM ix) AS INTEGER) AS size, round(sum(value),6) AS total, "
-    "round(sum(value*place),4) AS weighted FROM blocks JOIN ix USING (feature) GROUP BY 1,2",
-)
-def dense_vectors(spark, folder):
-    rows = cut(all_blocks(spark, folder))
-    out = T.dense_vectors(rows, T.feature_index(rows), ["ID", "Dataset"])
-    weighted = F.aggregate(F.transform("features", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
-    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
-    return out.select("ID", "Dataset", F.size("features").alias("size"), r6(total, "total"), F.round(weighted, 4).alias("weighted"))
-
-
-@query("write_read_block", f"WITH {BLOCKS} SELECT \"ID\", \"Dataset\", block, feature, round(value,6) AS value FROM blocks WHERE block='AAC'")
-def write_read_block(spark, folder):
-    path = scratch(spark)
-    IO.write_block(all_blocks(spark, folder), path)
-    return IO.read_block(spark, path, "AAC type 1").select("ID", "Dataset", "block", "feature", r6("value"))
-
-
-@query("feature_dictionary", f"WITH {BLOCKS} SELECT DISTINCT block, feature FROM blocks")
-def feature_dictionary(spark, folder):
-    return T.feature_dictionary(all_blocks(spark, folder))
-
-
-@query("sorted_names", f"WITH {BLOCKS} SELECT DISTINCT feature FROM blocks")
-def sorted_names(spark, folder):
-    return T.sorted_names(T.feature_dictionary(all_blocks(spark, folder)))
-
-
-@query("select_features", f"WITH {BLOCKS}, keep AS (SELECT DISTINCT feature FROM blocks WHERE block='DPC' AND feature LIKE '%E%') "
-       "SELECT \"ID\", feature, round(value,6) AS value FROM blocks WHERE feature IN (SELECT feature FROM keep)")
-def select_features(spark, folder):
-    rows = all_blocks(spark, folder)
-    keep = T.feature_dictionary(rows).filter("block = 'DPC' AND feature LIKE '%E%'")
-    return T.select_features(rows, keep).select("ID", "feature", r6("value"))
-
-
-@query("feature_difference", f"WITH {BLOCKS} SELECT DISTINCT feature FROM blocks EXCEPT SELECT feature FROM blocks WHERE feature LIKE '%E%'")
-def feature_difference(spark, folder):
-    names = T.feature_dictionary(all_blocks(spark, folder)).select("feature").distinct()
-    return T.feature_difference(names, names.filter("feature LIKE '%E%'"))
-
-
-@query("count_features", f"WITH {BLOCKS} SELECT count(DISTINCT feature) AS n_features FROM blocks")
-def count_features(spark, folder):
-    return T.count_features(T.feature_dictionary(all_blocks(spark, folder)))
-
-
 @query(
     "positional_join",
     f"WITH {LABELED}, a AS (SELECT doc_id, length(seq) AS len, row_number() OVER (ORDER BY doc_id) AS o FROM labeled), "

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from seqloom.plans import (  # noqa: F401
-    descriptors, event_sequences, features, modelling, searching, training,
+    blocks, descriptors, event_sequences, features, modelling, searching, training,
 )
 from seqloom.plans.base import ORACLES, QUERIES  # noqa: F401
 

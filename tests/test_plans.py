@@ -35,3 +35,16 @@ def test_scans_read_what_is_used(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(spark, "dpc")
     text = plan(spark, "r2")
     assert "l_tax" not in text and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["join_blocks", "dense_vectors", "all_blocks"])
+def test_all_blocks_come_from_one_read(spark, name):
+    text = plan(spark, name)
+    assert text.count("documents.parquet") == 1 and text.count("MapInArrow") == 1
+    assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text and "HashAggregate(keys=[ID" not in text
+
+
+def test_stored_blocks_join_without_an_exchange(spark):
+    text = plan(spark, "join_stored_blocks")
+    assert text.count("SortMergeJoin") == 5 and "Exchange hashpartitioning(ID" not in text
+    assert text.count("Bucketed: true") == 6
