@@ -158,7 +158,7 @@ def search(
     What depends on the fold only - the scale, the row count, the scaled rows - is made once per fold.
     """
     data = cut(
-        df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("fold"))
+        df.select(F.col(key).alias("id"), F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("fold"))
     )
     folds = sorted(r[0] for r in data.select("fold").distinct().limit(MOST_FITS + 1).collect())
     refuse_many(len(folds))

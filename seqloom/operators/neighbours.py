@@ -1,9 +1,12 @@
 """Exact nearest neighbours, neighbour votes and local outlier factors.
 
-A training table of a checked small size is broadcast and each task compares its
-queries with it.  A larger one is cut into blocks around pivots; a query visits only the
-blocks that the triangle inequality cannot rule out, and a block meets a bounded
-chunk of queries at a time.  Both ways emit k rows per query, never all pairs.
+Rows are compared in tiles: a block of queries keeps its best k so far, and of the next tile only rows that can still be among
+them are measured exactly.  A training table of a checked small size is broadcast.  A larger one is cut into chunks
+of bounded size around pivots.  A query first meets one chunk near it, which bounds how far its k-th neighbour can be, and
+is then copied only to those chunks that the triangle inequality cannot rule out; a task holds one chunk, and
+the queries pass by.  Both ways emit k rows per query and chunk, never all pairs.
+
+Keys can be of any type that can be ordered; equal distances go by key.  Rows without a vector take no part.
 """
 
 from __future__ import annotations
@@ -13,23 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators.dependence import matrix
 from seqloom.operators.quantiles import exact_quantiles, skewed_lookup
+from seqloom.operators.streams import in_turn, lined_up
 from seqloom.session import cut, spread_rows
 
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 4096
-OUT = "query_id long, train_id long, distance double"
+BLOCK_ROWS = 1 << 15
+#: Pivots at most, and those of them to which every chunk has its least and its largest distance.
+PIVOTS, RINGS = 256, 16
+#: Queries that meet a chunk in one task, queries of a block, rows of a tile, and pairs that are measured together.
+LANE, QUERIES, TILE, PAIRS = 1 << 16, 256, 4096, 1 << 14
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     """Minkowski distance of each row of a to each row of b, in slices that fit the cache."""
     out = np.empty((len(a), len(b)))
-    step = max(1, (4 << 20) // max(1, b.size))
+    step = max(1, (1 << 20) // max(1, b.size))
     for i in range(0, len(a), step):
         gap = np.abs(a[i : i + step, None, :] - b[None, :, :])
         if p == 2:
@@ -41,63 +49,77 @@ def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
-def _shortlist(q: np.ndarray, t: np.ndarray, k: int) -> np.ndarray | None:
-    """Columns of t that hold the k nearest of every row of q, and few others; None if ties make that many.
+def _tile_pairs(q, t, k: int, p: float, limit: np.ndarray, open_: np.ndarray | None):
+    """(row of q, row of t, exact distance) of the pairs that can be among the k nearest, at most ``limit`` apart.
 
-    Euclidean distances from one matrix product are off by rounding only.  Whatever lies
-    within that error of the k-th is kept, so no true neighbour is lost.
+    Euclidean distances from one matrix product are off by rounding only, and whatever lies within that error is measured.
+    """
+    if p == 2:
+        own, theirs = (q * q).sum(axis=1)[:, None], (t * t).sum(axis=1)[None, :]
+        rough = own + theirs - 2 * (q @ t.T)
+        slack = 1e-9 * (own[:, 0] + theirs.max()) + 1e-300
+        edge = limit * limit
+    else:
+        rough, slack, edge = distances(q, t, p), 0.0, limit
+    if open_ is not None:
+        rough[~open_] = np.inf
+    if len(t) > k:
+        edge = np.minimum(edge, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+    i, j = np.nonzero(rough <= (edge + slack)[:, None])
+    if open_ is not None:
+        i, j = i[open_[i, j]], j[open_[i, j]]
+    if p != 2:
+        return i, j, rough[i, j]
+    d = np.empty(len(i))
+    for s in range(0, len(i), PAIRS):
+        gap = q[i[s : s + PAIRS]] - t[j[s : s + PAIRS]]
+        d[s : s + PAIRS] = np.sqrt((gap * gap).sum(axis=1))
+    return i, j, d
+
+
+def nearest(
+    q: np.ndarray, t: np.ndarray, k: int, p: float, limit: np.ndarray | None = None,
+    q_codes: np.ndarray | None = None, t_codes: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of t, distance) of the k nearest rows of t, in order; equal distances go by row of t.
+
+    ``limit`` leaves out what is farther away, equal codes leave out a query's own rows.  Memory is that of a tile.
     """
-    norms = (t * t).sum(axis=1)
-    own = (q * q).sum(axis=1)
-    rough = own[:, None] + norms[None, :] - 2 * (q @ t.T)
-    edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    slack = 1e-9 * (own + norms.max()) + 1e-300
-    width = int((rough <= (edge + 2 * slack)[:, None]).sum(axis=1).max())
-    if width > 8 * k + 64 or width >= t.shape[0]:
-        return None
-    return np.argpartition(rough, width - 1, axis=1)[:, :width]
+    best = np.full(len(q), np.inf) if limit is None else limit.astype(float)
+    row, column, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for start in range(0, len(t), TILE):
+        tile = t[start : start + TILE]
+        open_ = None if q_codes is None else q_codes[:, None] != t_codes[None, start : start + TILE]
+        i, j, d = _tile_pairs(q, tile, k, p, best, open_)
+        near = d <= best[i]
+        row, column, far = np.append(row, i[near]), np.append(column, j[near] + start), np.append(far, d[near])
+        order = np.lexsort((column, far, row))
+        order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+        row, column, far = row[order], column[order], far[order]
+        full = np.flatnonzero(np.bincount(row, minlength=len(q)) == k)
+        # rows of later tiles come after equally distant ones
+        last = np.searchsorted(row, full, "right") - 1
+        best[full] = np.nextafter(far[last], -np.inf)
+    return row, column, far
 
 
 def top_k(q: np.ndarray, t: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and exact distances of the k nearest rows of t; equal distances go by column."""
-    k = min(k, len(t))
-    short = _shortlist(q, t, k) if p == 2 and len(t) > 4 * k else None
-    if short is None:
-        d = distances(q, t, p)
-        columns = np.broadcast_to(np.arange(len(t)), d.shape)
-    else:
-        columns = np.sort(short, axis=1)
-        gap = q[:, None, :] - t[columns]
-        d = np.sqrt((gap * gap).sum(axis=2))
-    # columns ascend, and a stable sort leaves equal distances in that order
-    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(columns, order, 1), np.take_along_axis(d, order, 1)
-
-
-def nearest(qid, q, tid, t, k: int, p: float, skip_self: bool):
-    """(query, train, distance) of the k nearest; equal distances go by train id."""
-    order = np.argsort(tid, kind="stable")
-    tid, t = tid[order], t[order]
-    want = min(len(tid), k + 1 if skip_self else k)
-    queries, trains, gaps = [], [], []
-    for start in range(0, len(q), 256):
-        ids = qid[start : start + 256]
-        columns, d = top_k(q[start : start + 256], t, want, p)
-        found = tid[columns]
-        keep = np.ones(found.shape, dtype=bool)
-        if skip_self:
-            keep = found != ids[:, None]
-            keep &= np.cumsum(keep, axis=1) <= k
-        queries.append(np.broadcast_to(ids[:, None], found.shape)[keep])
-        trains.append(found[keep])
-        gaps.append(d[keep])
-    if not queries:
-        return None
-    return [np.concatenate(c) for c in (queries, trains, gaps)]
-
-
-def _batch(found) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "train_id", "distance"])
+    """Columns and exact distances of the k nearest rows of t, queries by places."""
+    _, columns, d = nearest(q, t, k, p)
+    shape = len(q), min(k, len(t))
+    return columns.reshape(shape), d.reshape(shape)
+
+
+def _codes(keys: pa.Array, of: pa.Array) -> np.ndarray:
+    """Equal numbers for equal keys; -1 for a key that is not among the others."""
+    return pc.fill_null(pc.index_in(keys, value_set=of), -1).to_numpy(zero_copy_only=False)
+
+
+def _sides(queries: DataFrame, train: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    def side(df: DataFrame) -> DataFrame:
+        return df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x is not null")
+
+    return spread_rows(side(queries), "id"), side(train)
 
 
 def knn_join(
@@ -112,121 +134,176 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, train_id, distance, place): the k nearest training rows of every query row."""
-    q = spread_rows(queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")), "id")
-    t = train.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    q, t = _sides(queries, train, key, vector)
     size = t.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     if not size["n"]:
         raise ValueError("no training rows")
     if size["n"] * (size["d"] + 1) * 8 <= broadcast_bytes:
-        found = _against_broadcast(q, t, k, p, skip_self)
-    else:
-        found = _against_blocks(q, t, size["n"], k, p, skip_self, block_rows)
-    return found
+        return _against_broadcast(q, t, k, p, skip_self)
+    return _against_chunks(q, t, k, p, skip_self, block_rows)
+
+
+def _kind(df: DataFrame, column: str = "id") -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _against_broadcast(q: DataFrame, t: DataFrame, k: int, p: float, skip_self: bool) -> DataFrame:
-    table = t.toArrow()
-    held = q.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), matrix(table.column("x"))))
+    table = t.toArrow()  # its size has been checked
+    table = table.take(pc.sort_indices(table.column("id"))).combine_chunks()
+    held = q.sparkSession.sparkContext.broadcast((table.column("id").combine_chunks(), matrix(table.column("x"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tid, tx = held.value
+        keys, x = held.value
+        codes = (lambda own: _codes(own, keys)) if skip_self else (lambda own: None)
+        t_codes = codes(keys)
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                found = nearest(ids, matrix(batch.column(1)), tid, tx, k, p, skip_self)
+            for start in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(start, QUERIES)
+                row, column, d = nearest(matrix(part.column("x")), x, k, p, None, codes(part.column("id")), t_codes)
                 # rows of one query come in order, so the place is known already
-                starts = np.r_[0, np.nonzero(np.diff(found[0]))[0] + 1]
-                sizes = np.diff(np.r_[starts, len(found[0])])
-                place = np.arange(len(found[0])) - np.repeat(starts, sizes) + 1
+                place = np.arange(len(row)) - np.searchsorted(row, row) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in found] + [pa.array(place.astype("int32"))],
+                    [part.column("id").take(pa.array(row)), keys.take(pa.array(column)), pa.array(d), pa.array(place.astype(np.int32))],
                     ["query_id", "train_id", "distance", "place"],
                 )
 
-    return q.mapInArrow(search, OUT + ", place int")
+    return q.mapInArrow(search, f"query_id {_kind(q)}, train_id {_kind(t)}, distance double, place int")
+
+
+class _Directory:
+    """What is known of the chunks without looking into them."""
 
+    def __init__(self, pivots: np.ndarray, parts: np.ndarray, p: float):
+        self.pivots, self.parts, self.p = pivots, parts, p
+        self.first = np.cumsum(parts) - parts
+        self.cell = np.repeat(np.arange(len(parts)), parts)
 
-def _against_blocks(q: DataFrame, t: DataFrame, n_train: int, k: int, p: float, skip_self: bool, block_rows: int) -> DataFrame:
+    def measured(self, chunk: np.ndarray, radius: np.ndarray, low: np.ndarray, high: np.ndarray) -> _Directory:
+        n = len(self.cell)
+        self.radius, self.low, self.high = np.full(n, -np.inf), np.full((n, low.shape[1]), np.inf), np.full((n, low.shape[1]), -np.inf)
+        self.radius[chunk], self.low[chunk], self.high[chunk] = radius, low, high  # a chunk without rows is never visited
+        return self
+
+    def home(self, x: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """A chunk near each row: one of those of the nearest pivot that has any."""
+        d = distances(x, self.pivots, self.p)
+        d[:, self.parts == 0] = np.inf
+        cell = d.argmin(axis=1)
+        return self.first[cell] + number % self.parts[cell]
+
+    def open(self, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Rows by chunks: whether a chunk can hold anything at most ``bound`` away."""
+        d = distances(x, self.pivots, self.p)
+        least = d[:, self.cell] - self.radius
+        rings = d[:, : self.low.shape[1]]
+        for j in range(self.low.shape[1]):
+            least = np.maximum(least, np.maximum(rings[:, j : j + 1] - self.high[:, j], self.low[:, j] - rings[:, j : j + 1]))
+        # a little slack keeps rounding from ruling a chunk out
+        return least <= (bound * (1 + 1e-9) + 1e-12)[:, None]
+
+
+def _against_chunks(q: DataFrame, t: DataFrame, k: int, p: float, skip_self: bool, block_rows: int) -> DataFrame:
     spark = q.sparkSession
-    want = min(256, max(1, math.ceil(n_train / block_rows)))
-    # pivots: the rows with the smallest hashes, at most 256
-    chosen = t.orderBy(F.xxhash64("id"), "id").limit(want).toArrow()
+    q_kind, t_kind = _kind(q), _kind(t)
+    n_train = t.count()
+    # pivots: the rows with the smallest hashes, of bounded number
+    chosen = t.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, math.ceil(n_train / block_rows)))).toArrow()
     pivots = spark.sparkContext.broadcast(matrix(chosen.column("x")))
 
-    def to_cells(batches):
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(matrix(batch.column(1)), pivots.value, p)
+                d = distances(matrix(batch.column("x")), pivots.value, p)
                 cell = d.argmin(axis=1)
+                rings = d[:, :RINGS]
+                ends = pa.array(np.arange(len(d) + 1, dtype=np.int32) * rings.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(cell.astype("int32")), pa.array(d[np.arange(len(cell)), cell])],
-                    ["id", "x", "cell", "off"],
+                    [batch.column("id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell]),
+                     pa.ListArray.from_arrays(ends, pa.array(rings.ravel()))],
+                    ["id", "x", "cell", "off", "rings"],
                 )
 
-    celled = cut(t.mapInArrow(to_cells, "id long, x array<double>, cell int, off double"))
-    stats = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("r")).orderBy("cell").collect()
-    cells = np.array([s["cell"] for s in stats])
-    count = np.array([s["n"] for s in stats])
-    radius = np.array([s["r"] for s in stats])
-    parts = np.maximum(1, np.ceil(count / block_rows)).astype("int64")
-    directory = spark.sparkContext.broadcast((cells, count, radius, parts))
-    per_cell = F.create_map(*[F.lit(int(v)) for c, n in zip(cells, parts) for v in (c, n)])
-    # a crowded cell becomes several blocks of bounded size
-    blocks = celled.select(
-        "cell", F.pmod(F.xxhash64("id"), F.element_at(per_cell, F.col("cell"))).cast("int").alias("part"), "id", "x"
-    )
-    n_queries = q.count()
-    chunks = max(1, math.ceil(n_queries / block_rows))
-    lanes = max(1, math.ceil(chunks / 32))
-
-    def visits(batches):
-        cell_ids, sizes, radii, n_parts = directory.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = distances(matrix(batch.column(1)), pivots.value[cell_ids], p)
-            reach = d + radii
-            rank = np.argsort(reach, axis=1)
-            enough = np.cumsum(sizes[rank], axis=1) >= k + skip_self
-            first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(cell_ids) - 1)
-            bound = np.take_along_axis(np.take_along_axis(reach, rank, 1), first[:, None], 1)
-            bound = np.where(enough.any(axis=1)[:, None], bound, np.inf)
-            # a little slack keeps rounding from ruling a cell out
-            row, col = np.nonzero(d - radii <= bound * (1 + 1e-9) + 1e-12)
-            times = n_parts[col]
-            row = np.repeat(row, times)
-            part = np.concatenate([np.arange(m) for m in times])
-            cell = np.repeat(cell_ids[col], times)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)),
-                    batch.column(1).take(pa.array(row)),
-                    pa.array(cell.astype("int32")),
-                    pa.array(part.astype("int32")),
-                ],
-                ["id", "x", "cell", "part"],
-            )
-
-    asked = q.mapInArrow(visits, "id long, x array<double>, cell int, part int")
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    packed_q = asked.groupBy("cell", "part", "chunk").agg(F.collect_list("id").alias("qi"), F.collect_list("x").alias("qx"))
-    packed_t = blocks.groupBy("cell", "part").agg(F.collect_list("id").alias("ti"), F.collect_list("x").alias("tx"))
-    # every lane has its own copy of a block, so a popular block is not one task's work
-    packed_t = packed_t.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    meetings = packed_q.withColumn("lane", (F.col("chunk") % lanes).cast("int")).join(packed_t, ["cell", "part", "lane"])
-
-    def search(batches):
+    celled = t.mapInArrow(to_cells, f"id {t_kind}, x array<double>, cell int, off double, rings array<double>")
+    celled = cut(celled.withColumn("number", F.monotonically_increasing_id()))
+    counts = dict(tuple(r) for r in celled.groupBy("cell").count().collect())  # one per pivot
+    n_pivots = len(pivots.value)
+    # a crowded cell becomes several chunks of bounded size
+    parts = np.array([math.ceil(counts.get(c, 0) / block_rows) for c in range(n_pivots)])
+    directory = _Directory(pivots.value, parts, p)
+    number = lambda a: F.get(F.array(*[F.lit(int(v)) for v in a]), F.col("cell"))
+    chunk = number(directory.first) + F.pmod("number", number(parts))
+    chunks = celled.withColumn("chunk", chunk.cast("int"))
+    n_rings = min(RINGS, n_pivots)
+    aggs = [f(F.get("rings", F.lit(j))).alias(f"{n}{j}") for n, f in (("low", F.min), ("high", F.max)) for j in range(n_rings)]
+    known = chunks.groupBy("chunk").agg(F.max("off").alias("radius"), *aggs).toArrow()  # one row per chunk
+    column = lambda c: known.column(c).to_numpy()
+    ring = lambda n: np.stack([column(f"{n}{j}") for j in range(n_rings)], 1)
+    ways = spark.sparkContext.broadcast(directory.measured(column("chunk"), column("radius"), ring("low"), ring("high")))
+
+    def go_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                qi, ti = (np.array(batch.column(c)[r].as_py()) for c in (0, 2))
-                qx, tx = (np.array(batch.column(c)[r].as_py(), dtype="float64") for c in (1, 3))
-                found = nearest(qi, qx, ti, tx, k, p, skip_self)
-                if found is not None and len(found[0]):
-                    yield _batch(found)
+            if batch.num_rows:
+                at = ways.value.home(matrix(batch.column("x")), batch.column("q").to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], ["q", "id", "x", "chunk"])
+
+    asked = cut(q.select(F.monotonically_increasing_id().alias("q"), "id", "x"))
+    homes = asked.mapInArrow(go_home, f"q long, id {q_kind}, x array<double>, chunk int")
+
+    def hold(rows: pa.Table) -> tuple:
+        keys = rows.column("id").combine_chunks()
+        return keys, matrix(rows.column("x")), _codes(keys, keys) if skip_self else None
+
+    def found(held: tuple, part: pa.RecordBatch, limit: np.ndarray | None):
+        keys, x, codes = held
+        own = part.column("asked").cast(keys.type) if skip_self else None
+        return nearest(matrix(part.column("x")), x, k, p, limit, None if own is None else _codes(own, keys), codes)
+
+    def at_home(held: tuple, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, at, d = found(held, part, None)
+        sizes = np.bincount(row, minlength=part.num_rows)
+        bound = np.full(part.num_rows, np.inf)
+        bound[sizes == k] = d[np.cumsum(sizes)[sizes == k] - 1]
+        x = matrix(part.column("x"))
+        open_ = ways.value.open(x, bound)
+        open_[np.arange(len(x)), part.column("chunk").to_numpy()] = False
+        ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        visits = pa.array(np.append(0, np.cumsum(open_.sum(axis=1))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("q"), part.column("asked"), part.column("x"), pa.array(bound),
+             pa.ListArray.from_arrays(visits, pa.array(np.nonzero(open_)[1].astype(np.int32))),
+             pa.ListArray.from_arrays(ends, held[0].take(pa.array(at))), pa.ListArray.from_arrays(ends, pa.array(d))],
+            ["q", "asked", "x", "bound", "visits", "train_id", "distance"],
+        )
+
+    def visiting(held: tuple, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, at, d = found(held, part, part.column("bound").to_numpy())
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("q").take(take), part.column("asked").take(take), held[0].take(pa.array(at)), pa.array(d)],
+            ["q", "asked", "train_id", "distance"],
+        )
 
-    near = meetings.select("qi", "qx", "ti", "tx").mapInArrow(search, OUT)
-    best = W.partitionBy("query_id").orderBy("distance", "train_id")
-    return near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    def meet(asking: DataFrame, answer, schema: str) -> DataFrame:
+        """The askers of a chunk in lanes of bounded size, each with a copy of the chunk."""
+        crowds = dict(tuple(r) for r in asking.groupBy("chunk").count().collect())  # one per chunk
+        lanes = [math.ceil(crowds.get(c, 0) / LANE) for c in range(len(directory.cell))]
+        of = F.get(F.array(*[F.lit(n) for n in lanes]), F.col("chunk"))
+        rows = chunks.select("chunk", "id", "x").filter(of > 0).withColumn("lane", F.explode(F.sequence(F.lit(0), of - 1)))
+        asking = asking.withColumn("lane", F.pmod("q", of).cast("int"))
+        return lined_up(rows, asking, ["chunk", "lane"], ["id"]).mapInArrow(
+            lambda batches: in_turn(batches, ["chunk", "lane"], hold, answer, QUERIES), schema
+        )
+
+    lists = f"visits array<int>, train_id array<{t_kind}>, distance array<double>"
+    first = cut(
+        meet(homes.withColumnRenamed("id", "asked"), at_home, f"q long, asked {q_kind}, x array<double>, bound double, {lists}")
+    )
+    near = first.select("q", "asked", F.inline(F.arrays_zip("train_id", "distance")))
+    asking = first.select("q", "asked", "x", "bound", F.explode("visits").alias("chunk"))
+    more = meet(asking, visiting, f"q long, asked {q_kind}, train_id {t_kind}, distance double")
+    best = W.partitionBy("q").orderBy("distance", "train_id")
+    ranked = near.unionByName(more).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    return ranked.select(F.col("asked").alias("query_id"), "train_id", "distance", "place")
 
 
 def knn_classify(
@@ -235,7 +312,7 @@ def knn_classify(
 ) -> DataFrame:
     """(query_id, p1): the share of the vote for label 1."""
     near = knn_join(queries, train, k, key, vector, p, skip_self)
-    labels = train.select(F.col(key).cast("long").alias("train_id"), F.col(label).alias("_y"))
+    labels = train.select(F.col(key).alias("train_id"), F.col(label).alias("_y"))
     rows = skewed_lookup(near, labels, ["train_id"])
     exact = F.max(F.when(F.col("distance") == 0, 1).otherwise(0)).over(W.partitionBy("query_id"))
     if weights == "uniform":

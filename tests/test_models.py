@@ -164,6 +164,63 @@ def test_neighbours_both_ways(spark, p, skip):
         assert {(r["query_id"], r["train_id"], r["place"]) for r in got.collect()} == want
 
 
+def test_text_keys_repeated_keys_and_missing_vectors(spark, monkeypatch):
+    monkeypatch.setattr(N, "LANE", 40)
+    monkeypatch.setattr(N, "QUERIES", 7)
+    monkeypatch.setattr(N, "TILE", 11)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(200, 3)), 1)
+    x[:70] = x[0]
+    rows = [(f"key {i:04d}", [float(v) for v in r], i % 2) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, ("none", None, 1)], "id string, x array<double>, y int").repartition(4)
+    want = {(f"key {i:04d}", f"key {j:04d}", n) for i, j, n in brute(x, 6, 2, True)}
+    for options in ({}, {"broadcast_bytes": 0, "block_rows": 30}):
+        got = N.knn_join(df, df, 6, "id", "x", skip_self=True, **options)
+        assert {(r["query_id"], r["train_id"], r["place"]) for r in got.collect()} == want
+    votes = N.knn_classify(df, df, 6, "id", "x", "y", skip_self=True)
+    assert votes.count() == 200 and dict(votes.dtypes)["query_id"] == "string"
+    fit = N.lof_fit(df, "id", "x", 6)
+    assert fit.count() == 200 and N.lof_score(df, df, fit, "id", "x", 6).count() == 200
+    few = df.filter("x is not null").orderBy("id").limit(3)
+    assert N.knn_join(few, few, 6, "id", "x", skip_self=True, broadcast_bytes=0, block_rows=2).count() == 6
+    twice = few.unionByName(few)
+    assert N.knn_join(few, twice, 9, "id", "x", skip_self=True, broadcast_bytes=0, block_rows=2).count() == 12
+    best = H.search(K.stratified_folds(df.filter("x is not null"), ["id"], "y", 2), "id", "x", "y", "fold", "knn", [{"k": 3, "weights": "uniform", "p": 1}])
+    assert best.count() == 2
+
+
+def test_neighbours_need_the_memory_of_a_tile():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    q, t = rng.normal(size=(256, 64)), rng.normal(size=(100_000, 64))
+    t[::3] = t[0]  # a third of the rows tie
+    tracemalloc.start()
+    row, at, d = N.nearest(q, t, 20, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 128 << 20 and len(row) == 256 * 20
+    exact = np.sqrt(((q[5] - t) ** 2).sum(axis=1))
+    assert at[row == 5].tolist() == np.lexsort((np.arange(len(t)), exact))[:20].tolist()
+
+
+def test_few_chunks_are_visited_where_rows_lie_in_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 8)) * 50
+    x = centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    seen = []
+    plain = N.lined_up
+    N.lined_up = lambda rows, asking, *a: seen.append(asking) or plain(rows, asking, *a)
+    try:
+        got = N.knn_join(df, df, 5, "id", "x", skip_self=True, broadcast_bytes=0, block_rows=64).collect()
+    finally:
+        N.lined_up = plain
+    assert {(r["query_id"], r["train_id"], r["place"]) for r in got} == brute(x, 5, 2, True)
+    copies = seen[1].count()
+    assert copies < 2000 * 12  # of at least 32 chunks
+
+
 def test_outlier_factor_by_loops(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(size=(120, 2)), [[9.0, 9.0]]])
