@@ -9,6 +9,7 @@ features only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -96,64 +97,77 @@ def spearman(df: DataFrame, key: str, vector: str) -> DataFrame:
     return _correlation(cut(rows), "_r")
 
 
-def mutual_information(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Normalized mutual information of the binned features; 1 on the diagonal."""
-    layout = auto_bins(long_features(df, key, vector), ["feature"], "value").orderBy("feature").collect()
-    low = np.array([r["low"] for r in layout])
-    span = np.array([r["high"] - r["low"] for r in layout])
-    bins = np.array([r["bins"] for r in layout])
-    first = np.concatenate([[0], np.cumsum(bins)])
-    p, width = len(bins), int(first[-1])
+#: Bin numbers that a task holds before it counts them.
+HELD = 4 << 20
 
-    def partial(batches):
-        total = None
+
+def _pair_counts(df: DataFrame, vector: str, low: np.ndarray, span: np.ndarray, bins: np.ndarray) -> DataFrame:
+    """(cell, n): how many rows have two features in two bins, for features i <= j and bins that occur together.
+
+    A cell is the number of the pair of features and, within, of the pair of bins.  A task holds the bin numbers of some rows,
+    and counts a pair of features at a time.
+    """
+    p, room = len(bins), int(bins.max()) ** 2
+    names = ["cell", "n"]
+
+    def counted(place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(p):
+            cells, counts = [], []
+            for j in range(i, p):
+                code = place[i] * bins[j] + place[j]
+                if bins[i] * bins[j] <= 4 * len(code):
+                    n = np.bincount(code)
+                    there = np.flatnonzero(n)
+                    n = n[there]
+                else:
+                    there, n = np.unique(code, return_counts=True)
+                cells.append((i * p + j) * room + there)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(counts))], names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column(0))
             scaled = np.divide(x - low, span, out=np.zeros_like(x), where=span > 0)
-            place = np.minimum(np.floor(scaled * bins), bins - 1).astype("int64") + first[:-1]
-            for start in range(0, len(place), 4096):
-                part = place[start : start + 4096]
-                hot = np.zeros((len(part), width), dtype="float32")
-                hot[np.arange(len(part))[:, None], part] = 1
-                gram = (hot.T @ hot).astype("float64")
-                total = gram if total is None else total + gram
-        if total is not None:
-            a, b = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.astype("int32")), pa.array(b.astype("int32")), pa.array(total[a, b])], ["a", "b", "n"]
-            )
+            held.append(np.minimum(np.floor(scaled * bins), bins - 1).astype(np.int64).T)
+            size += x.size
+            if size >= HELD:
+                yield from counted(np.concatenate(held, axis=1))
+                held, size = [], 0
+        if held:
+            yield from counted(np.concatenate(held, axis=1))
 
-    owner = F.array(*[F.lit(int(f)) for f in np.repeat(np.arange(p), bins)])
-    joint = (
-        df.select(vector)
-        .mapInArrow(partial, "a int, b int, n double")
-        .groupBy("a", "b")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("feature_i", F.get(owner, F.col("a")))
-        .withColumn("feature_j", F.get(owner, F.col("b")))
-    )
-    joint = cut(joint)
-    marginal = joint.filter("a = b").select(F.col("a").alias("bin"), F.col("feature_i").alias("f"), F.col("n").alias("m"))
+    parts = df.select(vector).mapInArrow(task, "cell long, n long")
+    total = parts.groupBy("cell").agg(F.sum("n").alias("n"))
+    pair = F.expr(f"cell div {room}")
+    return total.select((pair / p).cast("int").alias("feature_i"), (pair % p).cast("int").alias("feature_j"), "n")
+
+
+def mutual_information(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Normalized mutual information of the binned features; 1 on the diagonal, 0 with a feature that does not vary.
+
+    It is what two entropies leave over the joint one, and entropies are sums over the cells that occur: no table of all
+    pairs of bins is made.
+    """
+    layout = auto_bins(long_features(df, key, vector), ["feature"], "value").orderBy("feature").collect()
+    low = np.array([r["low"] for r in layout])
+    span = np.array([r["high"] - r["low"] for r in layout])
+    bins = np.array([r["bins"] for r in layout])
     rows = float(layout[0]["n_rows"])
-    share = F.col("m") / rows
-    entropy = marginal.groupBy("f").agg((-F.sum(share * F.log(share))).alias("h"))
-    pij = F.col("n") / rows
-    mi = (
-        joint.filter("feature_i < feature_j")
-        .join(marginal.select(F.col("bin").alias("a"), F.col("m").alias("mi")), "a")
-        .join(marginal.select(F.col("bin").alias("b"), F.col("m").alias("mj")), "b")
-        .groupBy("feature_i", "feature_j")
-        .agg(F.sum(pij * F.log(pij / (F.col("mi") / rows * F.col("mj") / rows))).alias("mi"))
-    )
-    value = F.col("mi") / F.sqrt(F.col("hi") * F.col("hj"))
-    upper = (
-        mi.join(entropy.select(F.col("f").alias("feature_i"), F.col("h").alias("hi")), "feature_i")
-        .join(entropy.select(F.col("f").alias("feature_j"), F.col("h").alias("hj")), "feature_j")
-        .select("feature_i", "feature_j", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("value"))
-    )
-    return _mirror(upper, p)
+    cells = _pair_counts(df, vector, low, span, bins)
+    entropy = (math.log(rows) - F.sum(F.col("n") * F.log("n")) / rows).alias("h")
+    joint = cut(cells.groupBy("feature_i", "feature_j").agg(entropy))
+    single = joint.filter("feature_i = feature_j")
+    left = single.select("feature_i", F.col("h").alias("hi"))
+    right = single.select("feature_j", F.col("h").alias("hj"))
+    shared = F.col("hi") + F.col("hj") - F.col("h")
+    both = F.col("hi") * F.col("hj")
+    value = F.when(both > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), shared / F.sqrt(both)))).otherwise(F.lit(0.0))
+    upper = joint.filter("feature_i < feature_j").join(left, "feature_i").join(right, "feature_j")
+    return _mirror(upper.select("feature_i", "feature_j", value.alias("value")), len(bins))
 
 
 def _mirror(upper: DataFrame, p: int) -> DataFrame:

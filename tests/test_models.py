@@ -270,6 +270,31 @@ def test_feature_groups_follow_chains(spark):
         D.redundancy(None, "id", "x", "nonsense")
 
 
+def test_mutual_information_with_many_bins(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 5))
+    x[:, 1] = x[:, 0] ** 2
+    x[:, 4] = 1.0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    bins = np.array([400, 400, 400, 7, 1])
+    low, span = x.min(axis=0), x.max(axis=0) - x.min(axis=0)
+    place = np.minimum(np.floor(np.divide(x - low, span, out=np.zeros_like(x), where=span > 0) * bins), bins - 1).astype(int)
+    want = {}
+    for i in range(5):
+        for j in range(i, 5):
+            _, n = np.unique(place[:, i] * 1000 + place[:, j], return_counts=True)
+            want[i, j] = sorted(n.tolist())
+    for held in (200, 4 << 20):
+        monkeypatch.setattr(D, "HELD", held)
+        got = {}
+        for r in D._pair_counts(df, "x", low, span, bins).collect():
+            got.setdefault((r["feature_i"], r["feature_j"]), []).append(r["n"])
+        assert {k: sorted(v) for k, v in got.items()} == want
+    value = {(r["feature_i"], r["feature_j"]): r["value"] for r in D.mutual_information(df, "id", "x").collect()}
+    assert value[0, 1] > 0.5 > value[0, 2] and value[3, 4] == 0.0 and value[4, 4] == 1.0
+    assert all(value[i, j] == value[j, i] for i, j in value)
+
+
 @pytest.fixture(scope="module")
 def scoring(spark):
     rng = np.random.default_rng(9)
