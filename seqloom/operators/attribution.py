@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import random
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.metrics import auroc
+from seqloom.operators.dependence import matrix
+from seqloom.operators.metrics import auroc_of_histograms
 from seqloom.operators.ordinal import hash_ordinals
 from seqloom.operators.quantiles import exact_quantiles
-from seqloom.session import cut
+from seqloom.session import cut, spread_rows
+
+#: Scores of an array of feature rows.
+Scorer = Callable[[np.ndarray], np.ndarray]
 
 
 def additive_terms(df: DataFrame, keys: Sequence[str], vector: str, stumps: DataFrame) -> DataFrame:
@@ -57,66 +64,106 @@ def attribution_distribution(attributions: DataFrame) -> DataFrame:
     return exact_quantiles(attributions, ["feature"], "attribution", shares)
 
 
+def stump_scorer(stumps: DataFrame) -> Scorer:
+    """The additive model of a stump table, as a function of feature arrays; the table is as long as the model."""
+    rows = [tuple(r) for r in stumps.select("feature", "cut", "low", "high").collect()]
+
+    def score(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for feature, cut_, low, high in rows:
+            total += np.where(x[:, feature] <= cut_, low, high)
+        return total
+
+    return score
+
+
+def background(df: DataFrame, keys: Sequence[str], vector: str, rows: int, seed: int = 42) -> np.ndarray:
+    """A fixed number of rows that stand for all: those with the smallest digests of their keys."""
+    digest = F.md5(F.concat(*[F.concat(F.col(k).cast("string"), F.lit(":")) for k in keys], F.lit(str(seed))))
+    return matrix(df.orderBy(digest, *keys).limit(rows).select(F.col(vector).cast("array<double>")).toArrow().column(0))
+
+
+#: Numbers that are laid out to be scored together.
+LAID_OUT = 1 << 21
+
+
+class Paths:
+    """Orders in which players switch from a background row's values to a row's own, each with its reverse."""
+
+    def __init__(self, players: Sequence[Sequence[int]], permutations: int, seed: int):
+        if permutations < 2 or permutations % 2:
+            raise ValueError("an even number of orders is needed, as each comes with its reverse")
+        draw = random.Random(seed)
+        some = [draw.sample(range(len(players)), len(players)) for _ in range(permutations // 2)]
+        self.orders = [o for order in some for o in (order, order[::-1])]
+        self.players = players
+
+    def own(self, order: Sequence[int], width: int) -> np.ndarray:
+        """steps x features: whether a feature has the row's own value after so many switches."""
+        out = np.zeros((len(order) + 1, width), bool)
+        for step, player in enumerate(order):
+            out[step + 1 :, list(self.players[player])] = True
+        return out
+
+    def gains(self, x: np.ndarray, z: np.ndarray, predict: Scorer) -> np.ndarray:
+        """rows x background x pairs of orders x players: what a player's switch changes, the mean of both orders."""
+        n, width = x.shape
+        out = np.zeros((n, len(z), len(self.orders) // 2, len(self.players)))
+        for o, order in enumerate(self.orders):
+            own = self.own(order, width)
+            points = np.where(own, x[:, None, None, :], z[None, :, None, :]).reshape(-1, width)
+            steps = np.diff(predict(points).reshape(n, len(z), len(order) + 1), axis=2)
+            out[:, :, o // 2, order] += steps / 2
+        return out
+
+
 def sampled_attribution(
     df: DataFrame,
     keys: Sequence[str],
     vector: str,
-    predict: Callable[[DataFrame], DataFrame],
+    predict: Scorer,
     players: Sequence[Sequence[int]],
-    background_rows: int = 8,
-    permutations: int = 4,
+    background_rows: int = 100,
+    permutations: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """(keys, player, attribution): Shapley values sampled over seeded orders and background rows.
+    """(keys, player, attribution, error): Shapley values sampled over seeded orders and background rows.
 
-    ``predict`` adds a column ``p`` to rows with ``vector``.  ``players`` are groups of
-    feature places; one feature each for plain attribution, whole groups for the grouped
-    form.  Each row meets a fixed number of background rows.  For one order and one
-    background row, its players switch from the background's to the row's values one after
-    another, and the change of the prediction is credited to the player that switched.
+    ``predict`` scores an array of feature rows.  ``players`` are groups of feature places; one feature each for plain
+    attribution, whole groups for the grouped form.  A row's players switch from a background row's to the row's own
+    values one after another, and the change of the prediction is credited to the player that switched; every
+    order is also run backwards.  All steps of some rows are scored in one call where the rows are, and one
+    row per player leaves the task.  ``error`` is the standard error over background rows and pairs of orders.
     """
-    # a fixed-size seeded sample: the rows with the smallest hashes
-    background = (
-        df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
-        .limit(background_rows)
-        .select(F.collect_list(vector).alias("_backgrounds"))
-    )
-    import random
-
-    draw = random.Random(seed)
-    orders = [draw.sample(range(len(players)), len(players)) for _ in range(permutations)]
-    dims = sum(len(p) for p in players)
-    owner = {place: i for i, members in enumerate(players) for place in members}
-    # step[o][i]: at which step of order o player i switches
-    steps = F.array(*[F.array(*[F.lit(o.index(i)) for i in range(len(players))]) for o in orders])
-    owner_of = F.array(*[F.lit(owner[place]) for place in range(dims)])
-    rows = (
-        df.select(*keys, F.col(vector).alias("_x"))
-        .crossJoin(F.broadcast(background))
-        .select(*keys, "_x", F.posexplode("_backgrounds").alias("_b", "_z"))
-        .withColumn("_order", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(len(players)))))
-    )
-    when = F.element_at(steps, F.col("_order") + 1)
-    mixed = F.transform(
-        F.arrays_zip(F.col("_x").alias("x"), F.col("_z").alias("z")),
-        lambda c, place: F.when(
-            F.element_at(when, F.element_at(owner_of, place + 1) + 1) < F.col("_step"), c["x"]
-        ).otherwise(c["z"]),
-    )
-    scored = predict(rows.withColumn(vector, mixed).select(*keys, "_b", "_order", "_step", vector))
-    # all steps of one (row, background, order) are few, so they fit one small group
-    path = scored.groupBy(*keys, "_b", "_order").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_step", "p"))), lambda c: c["p"]).alias("_p")
-    )
-    switched = F.array(*[F.array(*[F.lit(i) for i in o]) for o in orders])
-    gains = F.transform(
-        F.element_at(switched, F.col("_order") + 1),
-        lambda player, s: F.struct(
-            player.alias("player"), (F.element_at("_p", s + 2) - F.element_at("_p", s + 1)).alias("gain")
-        ),
-    )
-    return path.select(*keys, F.inline(gains)).groupBy(*keys, "player").agg(F.avg("gain").alias("attribution"))
+    z = df.sparkSession.sparkContext.broadcast(background(df, keys, vector, background_rows, seed))
+    paths = Paths(players, permutations, seed)
+    schema = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_players = len(players)
+        for batch in batches:
+            x = matrix(batch.column("_x"))
+            step = max(1, LAID_OUT // max(1, z.value.size * (n_players + 1)))
+            for start in range(0, len(x), step):
+                part = batch.slice(start, step)
+                gains = paths.gains(x[start : start + step], z.value, predict).reshape(part.num_rows, -1, n_players)
+                n = gains.shape[1]
+                error = gains.std(axis=1, ddof=1) / np.sqrt(n) if n > 1 else np.zeros((part.num_rows, n_players))
+                which = pa.array(np.repeat(np.arange(part.num_rows), n_players))
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(k).take(which) for k in keys], pa.array(np.tile(np.arange(n_players, dtype=np.int32), part.num_rows)),
+                     pa.array(gains.mean(axis=1).ravel()), pa.array(error.ravel())],
+                    [*keys, "player", "attribution", "error"],
+                )
+
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("_x"))
+    return spread_rows(rows).mapInArrow(task, schema + "player int, attribution double, error double")
+
+
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles, of which the leading 16 bits make bins."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits) >> 48
 
 
 def permutation_importance(
@@ -124,29 +171,46 @@ def permutation_importance(
     key: str,
     vector: str,
     label: str,
-    predict: Callable[[DataFrame], DataFrame],
+    predict: Scorer,
     features: Sequence[int],
     seed: int = 42,
 ) -> DataFrame:
     """(feature, drop): how much the AUROC falls when a feature's values change rows.
 
-    Rows are numbered in two independent hash orders; a row receives the value of the row
-    that has its number in the other order.
+    Rows are numbered in two independent hash orders; a row receives the value of the row that has its number in the
+    other order.  A task puts one foreign value at a time into its rows, scores them, and takes it out again, so
+    what leaves it is a histogram of scores per feature: bins, and in them the scores with how many rows of
+    either label have them.  Rows are not copied.
     """
-    base = cut(df.select(key, vector, label))
+    base = cut(df.select(key, F.col(vector).cast("array<double>").alias("_x"), F.col(label).cast("int").alias("_y")))
     digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     plain = hash_ordinals(base.withColumn("_d", F.md5(F.col(key).cast("string"))), [], "_d", [key], name="_at").drop("_d")
-    other = hash_ordinals(base.withColumn("_d", digest), [], "_d", [key], name="_at").select(
-        "_at", F.col(vector).alias("_other")
-    )
-    partners = cut(plain.join(other, "_at"))
-    swapped = partners.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features]))).withColumn(
-        vector,
-        F.transform(
-            F.arrays_zip(F.col(vector).alias("x"), F.col("_other").alias("z")),
-            lambda c, place: F.when(place == F.col("feature"), c["z"]).otherwise(c["x"]),
-        ),
-    )
-    whole = auroc(predict(base), [], label, "p").select(F.col("AUROC").alias("_base"))
-    shuffled = auroc(predict(swapped.select(key, "feature", vector, label)), ["feature"], label, "p")
-    return shuffled.crossJoin(F.broadcast(whole)).select("feature", (F.col("_base") - F.col("AUROC")).alias("drop"))
+    other = hash_ordinals(base.withColumn("_d", digest), [], "_d", [key], name="_at").select("_at", F.col("_x").alias("_other"))
+    partners = plain.join(other, "_at").select("_x", "_other", "_y")
+    whole = -1  # stands for no feature
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, foreign = matrix(batch.column("_x")).copy(), matrix(batch.column("_other"))
+            y = batch.column("_y").to_numpy(zero_copy_only=False)
+            for f in (whole, *features):
+                if f != whole:
+                    own = x[:, f].copy()
+                    x[:, f] = foreign[:, f]
+                score, at = np.unique(predict(x), return_inverse=True)
+                if f != whole:
+                    x[:, f] = own
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(score), f, np.int32)), pa.array(_ordered_bits(score)), pa.array(score),
+                     pa.array(np.bincount(at, y == 1, len(score)).astype(np.int64)),
+                     pa.array(np.bincount(at, y == 0, len(score)).astype(np.int64))],
+                    ["feature", "bin", "score", "pos", "neg"],
+                )
+
+    histograms = cut(partners.mapInArrow(task, "feature int, bin long, score double, pos long, neg long"))
+    found = cut(auroc_of_histograms(histograms, ["feature"]))
+    base_line = found.filter(F.col("feature") == whole).select(F.col("AUROC").alias("_base"))
+    changed = found.filter(F.col("feature") != whole)
+    return changed.crossJoin(F.broadcast(base_line)).select("feature", (F.col("_base") - F.col("AUROC")).alias("drop"))

@@ -77,12 +77,28 @@ def auroc(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame
     ties = df.groupBy(*by, score).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("_pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("_neg")
     )
+    return _auroc_of_ties(ties, by, score)
+
+
+def _auroc_of_ties(ties: DataFrame, by: Sequence[str], score: str) -> DataFrame:
     placed = running_totals(ties, by, [score], {"_lower": "_neg"})
     wins = F.sum(F.col("_pos") * (F.col("_lower") + F.col("_neg") / 2))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg").cast("double")
     return placed.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("AUROC"))
 
 
+def auroc_of_histograms(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """As `auroc`, of (by, bin, score, pos, neg): counts that tasks have made, bins being in the order of the scores.
+
+    A bin in which one label alone occurs is one row, whatever its scores are; only the others are taken apart.
+    """
+    bins = parts.groupBy(*by, "bin").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"), F.min("score").alias("score"))
+    mixed = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+    apart = parts.join(bins.filter(mixed).select(*by, "bin"), [*by, "bin"], "left_semi")
+    apart = apart.groupBy(*by, "score").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    return _auroc_of_ties(bins.filter(~mixed).select(*by, "score", "_pos", "_neg").unionByName(apart), by, "score")
+
+
 # metric name -> expression over the confusion counts
 SCORERS: dict[str, Callable[[], Column]] = {
     "MCC": mcc,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from seqloom.operators import metrics as M
+from seqloom.operators.dependence import matrix
 from seqloom.session import cut
 
 
@@ -139,16 +141,39 @@ class Forest:
         """Weighted tree outputs summed up to and including each tree: rows x trees."""
         out = np.empty((len(x), len(self.trees)))
         for i, t in enumerate(self.trees):
-            at = np.zeros(len(x), dtype="int64")
-            while True:
-                inner = t["left"][at] >= 0
-                if not inner.any():
-                    break
-                go_left = x[np.arange(len(x)), np.maximum(t["feature"][at], 0)] <= t["cut"][at]
-                at = np.where(inner, np.where(go_left, t["left"][at], t["right"][at]), at)
+            at = self.leaves(t, x)
             out[:, i] = t["prediction"][at] * t["weight"]
         return np.cumsum(out, axis=1)
 
+    def contributions(self, x: np.ndarray, upto: int | None = None) -> np.ndarray:
+        """What each feature adds to a row's margin: rows x features.
+
+        At every split on a row's way the step from the node's value to the child's belongs to the split's feature.  A leaf's steps
+        are summed up once, so a row takes one line per tree.  For two-leaf trees this is the exact attribution
+        against the training rows.
+        """
+        out = np.zeros(x.shape)
+        for t in self.trees if upto is None else self.trees[: max(1, upto)]:
+            lines = np.zeros((len(t["left"]), x.shape[1]))
+            for node in np.flatnonzero(t["left"] >= 0):  # parents come before their children
+                for child in (t["left"][node], t["right"][node]):
+                    lines[child] = lines[node]
+                    lines[child, t["feature"][node]] += (t["prediction"][child] - t["prediction"][node]) * t["weight"]
+            out += lines[self.leaves(t, x)]
+        return out
+
+    @staticmethod
+    def leaves(t: dict, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row in one tree."""
+        at = np.zeros(len(x), dtype="int64")
+        while (inner := t["left"][at] >= 0).any():
+            go_left = x[np.arange(len(x)), np.maximum(t["feature"][at], 0)] <= t["cut"][at]
+            at = np.where(inner, np.where(go_left, t["left"][at], t["right"][at]), at)
+        return at
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-2 * self.margins(x)[:, -1]))
+
     def prefix_scores(self, vector: Column | str) -> Column:
         """Probability after each tree, as an array."""
 
@@ -190,6 +215,35 @@ def best_iteration(scores: DataFrame, patience: int = 20) -> DataFrame:
     return held.agg(first).select("_b.iteration", "_b.mean")
 
 
+def mean_attributions(rows: DataFrame, by: str, vector: str, forest: Forest, upto: int | None = None) -> DataFrame:
+    """(by, feature, total, n): the sum of the absolute contributions of each feature, and the rows they are of.
+
+    A task adds up what its rows have; one number per group and feature leaves it.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.abs(forest.contributions(matrix(batch.column("_x")), upto))
+            which = batch.column(by).dictionary_encode()
+            codes = which.indices.to_numpy(zero_copy_only=False)
+            for code, name in enumerate(which.dictionary.to_pylist()):
+                own = size[codes == code]
+                before, n = total.get(name, (0.0, 0))
+                total[name] = before + own.sum(axis=0), n + len(own)
+        for name, (sums, n) in total.items():
+            yield pa.RecordBatch.from_pydict(
+                {by: [name] * len(sums), "feature": np.arange(len(sums), dtype=np.int32), "total": sums, "n": np.full(len(sums), n)}
+            )
+
+    chosen = rows.select(by, F.col(vector).cast("array<double>").alias("_x"))
+    parts = chosen.mapInArrow(task, f"{by} {kind}, feature int, total double, n long")
+    return parts.groupBy(by, "feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
 @dataclass
 class Validation:
     """Everything a cross-validation gives."""
@@ -202,6 +256,7 @@ class Validation:
     forests: list[Forest] = field(default_factory=list)
     refit_model: GBTClassificationModel | None = None
     refit_forest: Forest | None = None
+    attributions: DataFrame | None = None  # dataset, fold, feature, attribution: mean absolute contribution
     custom: DataFrame | None = None  # what the caller's own metric gave for each dataset and fold
 
 
@@ -321,6 +376,16 @@ def cross_validate(
         part = split_gain_importance(nodes, names, best).withColumn("fold", F.lit(f))
         importances = part if importances is None else importances.unionByName(part)
     result.importances = importances
+    each = None
+    for (f, forest, _), (_, (r, held)) in zip(fitted, folds):
+        own = data.filter(F.col("_repeat") == r).select(F.when(F.col("_in") == held, "Valid").otherwise("Train").alias("dataset"), "_x")
+        own = own if test is None else own.unionByName(asked.select(F.lit("Test").alias("dataset"), "_x"))
+        part = mean_attributions(own, "dataset", "_x", forest, best).withColumn("fold", F.lit(f))
+        each = part if each is None else each.unionByName(part)
+    numbered = spark.createDataFrame(list(enumerate(names)), "feature int, name string")
+    result.attributions = each.join(F.broadcast(numbered), "feature").select(
+        "dataset", "fold", F.col("name").alias("feature"), (F.col("total") / F.col("n")).alias("attribution")
+    )
     if metric is not None:
         for own, f in sorted(tuple(r) for r in rows.select("dataset", "fold").distinct().collect()):  # as many as fits
             one = rows.filter((F.col("dataset") == own) & (F.col("fold") == f)).select("_y", "p")
@@ -329,6 +394,12 @@ def cross_validate(
     return result
 
 
+def fold_importances(result: Validation) -> DataFrame:
+    """(fold, feature, split, gain, Train, Valid, Test): every importance a feature has in a fold's model."""
+    wide = result.attributions.groupBy("fold", "feature").pivot("dataset", ["Train", "Valid", "Test"]).agg(F.first("attribution"))
+    return result.importances.join(wide, ["fold", "feature"])
+
+
 def slice_vector(vector: str, places: Sequence[int]) -> Column:
     return F.array(*[F.get(F.col(vector), F.lit(i)) for i in places])
 

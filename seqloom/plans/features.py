@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqloom.operators import attribution as A
@@ -306,3 +307,80 @@ def stump_split(spark, folder):
 @query("stump_split_best", f"WITH {SPLITS} SELECT f AS feature, bin, round(gain,6) AS gain FROM gn ORDER BY round(gain,9) DESC, f, bin LIMIT 1")
 def stump_split_best(spark, folder):
     return P.best_split(P.split_gains(emb(spark, folder), "x", "y", bins=32)).select("feature", "bin", r6("gain"))
+
+
+# ---- sampled attribution and permutations, of the small additive model ------
+
+BACKGROUND, ORDERS, SEED = 50, 8, 42
+BACK = f"bk AS (SELECT vec_id FROM emb ORDER BY md5(CAST(vec_id AS VARCHAR) || ':{SEED}'), vec_id LIMIT {BACKGROUND})"
+
+
+def scorer(spark):
+    """Scores to nine places, so that equal sums are equal in whatever order they were added up."""
+    score = A.stump_scorer(spark.createDataFrame(STUMPS, "feature int, cut double, low double, high double"))
+    return lambda x: np.round(score(x), 9)
+
+
+def sampled_sql(owner: str) -> str:
+    """``owner``: a table expression (f, player).  Every change is the same in all orders of an additive model."""
+    return (
+        f", {BACK}, ow AS ({owner}), gt AS (SELECT vec_id, player, sum(coalesce(term,0)) AS t FROM emb CROSS JOIN ow "
+        "LEFT JOIN tm USING (vec_id, f) GROUP BY vec_id, player), "
+        f"sm AS (SELECT x.vec_id, x.player, x.t-z.t AS gain FROM gt x JOIN (SELECT gt.* FROM gt JOIN bk USING (vec_id)) z USING (player) CROSS JOIN range({ORDERS // 2})) "
+        "SELECT vec_id, CAST(player AS INTEGER) AS player, round(avg(gain),6)+0.0 AS attribution, round(stddev_samp(gain)/sqrt(count(*)),6) AS error FROM sm GROUP BY vec_id, player"
+    )
+
+
+def sampled(spark, folder, players):
+    out = A.sampled_attribution(emb(spark, folder), ["vec_id"], "x", scorer(spark), players, BACKGROUND, ORDERS, SEED)
+    return out.select("vec_id", "player", r6("attribution"), r6("error"))
+
+
+@query("sampled_attribution", f"WITH {TERMS} " + sampled_sql("SELECT f, f AS player FROM (SELECT unnest(range(0,64)) AS f)"))
+def sampled_attribution(spark, folder):
+    return sampled(spark, folder, [[i] for i in range(64)])
+
+
+@query(
+    "grouped_attribution",
+    f"WITH RECURSIVE {TERMS}, co AS (SELECT a.f AS i, b.f AS j, corr(a.v,b.v) AS v FROM lf a JOIN lf b USING (vec_id) GROUP BY 1,2), "
+    f"ed AS (SELECT i, j FROM co WHERE abs(v) >= {GROUP_CUT} AND i<>j), "
+    "reach AS (SELECT DISTINCT i, i AS j FROM co UNION SELECT r.i, e.j FROM reach r JOIN ed e ON e.i=r.j) "
+    + sampled_sql("SELECT f, dense_rank() OVER (ORDER BY g)-1 AS player FROM (SELECT i AS f, min(j) AS g FROM reach GROUP BY i)"),
+)
+def grouped_attribution(spark, folder):
+    """Players are the groups of features that depend on each other."""
+    groups = D.feature_groups(D.pearson(emb(spark, folder), "vec_id", "x"), GROUP_CUT).groupBy("group").agg(
+        F.sort_array(F.collect_list("feature")).alias("members")
+    )
+    return sampled(spark, folder, [r["members"] for r in groups.orderBy("group").collect()])
+
+
+@query(
+    "attribution_background",
+    f"WITH {EMB}, {BACK} SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':{SEED}'), vec_id) AS place, "
+    "round(list_sum(x),6) AS total FROM emb JOIN bk USING (vec_id)",
+)
+def attribution_background(spark, folder):
+    """The rows that stand for all others."""
+    rows = A.background(emb(spark, folder), ["vec_id"], "x", BACKGROUND, SEED)
+    return spark.createDataFrame([(i + 1, float(v.sum())) for i, v in enumerate(rows)], "place long, total double").select("place", r6("total"))
+
+
+@query(
+    "permutation_importance",
+    f"WITH {TERMS}, ra AS (SELECT vec_id, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS num FROM emb), "
+    f"rb AS (SELECT vec_id AS other, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':{SEED}'), vec_id) AS num FROM emb), "
+    "pr AS (SELECT vec_id, other FROM ra JOIN rb USING (num)), mg AS (SELECT vec_id, sum(term) AS m FROM tm GROUP BY vec_id), "
+    "fs AS (SELECT unnest(range(0,64)) AS f), "
+    "sc AS (SELECT -1 AS f, vec_id, y, round(m,9) AS s FROM mg JOIN emb USING (vec_id) UNION ALL "
+    "SELECT fs.f, mg.vec_id, y, round(m-coalesce(a.term,0)+coalesce(b.term,0),9) FROM mg JOIN emb USING (vec_id) JOIN pr USING (vec_id) CROSS JOIN fs "
+    "LEFT JOIN tm a ON a.vec_id=mg.vec_id AND a.f=fs.f LEFT JOIN tm b ON b.vec_id=pr.other AND b.f=fs.f), "
+    "rk AS (SELECT f, y, rank() OVER (PARTITION BY f ORDER BY s)+(count(*) OVER (PARTITION BY f,s)-1)/2.0::DOUBLE AS r FROM sc), "
+    "au AS (SELECT f, (sum(r) FILTER (WHERE y=1)-count(*) FILTER (WHERE y=1)*(count(*) FILTER (WHERE y=1)+1)/2.0::DOUBLE)"
+    "/(CAST(count(*) FILTER (WHERE y=1) AS DOUBLE)*count(*) FILTER (WHERE y=0)) AS v FROM rk GROUP BY f) "
+    "SELECT CAST(f AS INTEGER) AS feature, round((SELECT v FROM au WHERE f=-1)-v,6)+0.0 AS \"drop\" FROM au WHERE f >= 0",
+)
+def permutation_importance(spark, folder):
+    out = A.permutation_importance(emb(spark, folder), "vec_id", "x", "y", scorer(spark), list(range(64)), SEED)
+    return out.select("feature", r6("drop"))

@@ -103,6 +103,14 @@ def split_gain_importance(spark, folder):
     return result.importances
 
 
+@query("fold_importances")
+def fold_importances(spark, folder):
+    """Splits, gains and mean absolute attributions on the training, held-out and test rows of every fold."""
+    train, test = split(spark, folder)
+    result = B.cross_validate(train, test, ["vec_id"], "x", "y", EMB_NAMES, SETTINGS, scratch(spark), refit=False)
+    return B.fold_importances(result)
+
+
 @query("save_load_model")
 def save_load_model(spark, folder):
     path = scratch(spark)
@@ -167,37 +175,6 @@ def random_search(spark, folder):
     return H.best_setting(H.search(rows, "vec_id", "x", "y", "fold", "boosted", H.random_draws(space, 2, 0)))
 
 
-def stump_model(spark, folder):
-    rows = emb(spark, folder)
-    model = B.train_stumps(rows, "x", "y", SETTINGS)
-    forest = B.Forest.of(B.tree_nodes(spark, model, scratch(spark)))
-    return rows, lambda df: df.withColumn("p", forest.score("x"))
-
-
-@query("sampled_attribution")
-def sampled_attribution(spark, folder):
-    rows, predictor = stump_model(spark, folder)
-    players = [list(range(i, i + 8)) for i in range(0, 64, 8)]
-    return A.sampled_attribution(rows, ["vec_id"], "x", predictor, players, background_rows=4, permutations=2)
-
-
-@query("grouped_attribution")
-def grouped_attribution(spark, folder):
-    """Players are the groups of features that depend on each other."""
-    rows, predictor = stump_model(spark, folder)
-    groups = D.feature_groups(D.pearson(rows, "vec_id", "x"), 0.16).groupBy("group").agg(
-        F.sort_array(F.collect_list("feature")).alias("members")
-    )
-    players = [r["members"] for r in groups.orderBy("group").collect()]
-    return A.sampled_attribution(rows, ["vec_id"], "x", predictor, players, background_rows=2, permutations=2)
-
-
-@query("permutation_importance")
-def permutation_importance(spark, folder):
-    rows, predictor = stump_model(spark, folder)
-    return A.permutation_importance(rows, "vec_id", "x", "y", predictor, list(range(64)))
-
-
 @query("model_stump_attribution")
 def model_stump_attribution(spark, folder):
     """Exact attributions of a trained two-leaf model."""

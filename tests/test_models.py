@@ -11,6 +11,7 @@ from seqloom.operators import attribution as A
 from seqloom.operators import dependence as D
 from seqloom.operators import folds as K
 from seqloom.operators import hpo as H
+from seqloom.operators import metrics as M
 from seqloom.operators import models as B
 from seqloom.operators import neighbours as N
 from seqloom.operators import search as G
@@ -78,6 +79,24 @@ def test_cross_validation(spark, data, tmp_path):
     assert len(split) == 12 and max(split, key=split.get) in ("f0", "f1")
 
 
+def test_contributions_add_up_and_are_averaged_per_fold(spark, data, tmp_path):
+    rows = cut(K.stratified_folds(data, ["id"], "y", 3))
+    train, test = rows.filter("fold < 2"), rows.filter("fold = 2")
+    r = B.cross_validate(train, test, ["id"], "x", "y", NAMES, SETTINGS, str(tmp_path), refit=False)
+    x = lambda df: np.stack([q["x"] for q in df.select("x").collect()])
+    got = {(a["dataset"], a["fold"], a["feature"]): a["attribution"] for a in r.attributions.collect()}
+    assert len(got) == 3 * 2 * 12
+    for f, forest in enumerate(r.forests):
+        parts = {"Valid": x(train.filter(F.col("fold") == f)), "Train": x(train.filter(F.col("fold") != f)), "Test": x(test)}
+        roots = sum(t["prediction"][0] * t["weight"] for t in forest.trees[: r.best_iteration])
+        for name, own in parts.items():
+            each = forest.contributions(own, r.best_iteration)
+            assert np.allclose(each.sum(axis=1) + roots, forest.margins(own)[:, r.best_iteration - 1])
+            assert np.allclose([got[name, f, n] for n in NAMES], np.abs(each).mean(axis=0))
+    table = B.fold_importances(r).collect()
+    assert len(table) == 24 and all(t["Train"] > 0 for t in table if t["split"] > 0)
+
+
 def test_repeated_cross_validation(spark, data, tmp_path):
     rows = K.repeated_folds(data, ["id"], "y", 2, 2)
     r = B.cross_validate(
@@ -245,22 +264,48 @@ def test_outlier_factor_by_loops(spark):
     assert np.allclose(small.sort_index(), large.sort_index())
 
 
-def test_sampled_attribution_adds_up(spark, data):
-    predict = lambda df: df.withColumn("p", 2 * F.get("x", F.lit(0)) - F.get("x", F.lit(1)) * F.get("x", F.lit(2)))
+def test_sampled_attribution_adds_up(spark, data, monkeypatch):
+    predict = lambda x: 2 * x[:, 0] - x[:, 1] * x[:, 2]
     players = [[0], [1, 2], list(range(3, 12))]
-    got = A.sampled_attribution(data, ["id"], "x", predict, players, background_rows=3, permutations=4)
-    sums = got.groupBy("id").agg(F.sum("attribution").alias("a"), F.max(F.when(F.col("player") == 2, F.abs("attribution"))).alias("none"))
-    # the sum is the prediction minus the background's mean, the same constant for every row
-    rows = sums.join(predict(data), "id").select((F.col("p") - F.col("a")).alias("c"), "none").toPandas()
-    assert rows["c"].std() < 1e-9 and rows["none"].max() < 1e-12
+    whole = A.sampled_attribution(data, ["id"], "x", predict, players, background_rows=30, permutations=4)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    got = whole.toPandas().pivot(index="id", columns="player", values=["attribution", "error"])
+    x = np.stack(data.orderBy("id").toPandas()["x"].to_list())
+    z = A.background(data, ["id"], "x", 30)
+    assert np.allclose(got["attribution"].sum(axis=1), predict(x) - predict(z).mean())
+    assert np.allclose(got["attribution"][0], 2 * x[:, 0] - 2 * z[:, 0].mean())
+    assert np.allclose(got["error"][0], 2 * np.tile(z[:, 0], 2).std(ddof=1) / np.sqrt(60))
+    assert np.abs(got["attribution"][2]).max() < 1e-12
+    # an order and its reverse give the exact value of two players that multiply
+    exact = A.sampled_attribution(data, ["id"], "x", predict, [[1], [2], [0, *range(3, 12)]], background_rows=30, permutations=2)
+    one = exact.filter("player = 0").orderBy("id").toPandas()["attribution"]
+    want = -np.mean((x[:, None, 1] - z[None, :, 1]) * (x[:, None, 2] + z[None, :, 2]) / 2, axis=1)
+    assert np.allclose(one, want)
+    monkeypatch.setattr(A, "LAID_OUT", 1)
+    again = A.sampled_attribution(data, ["id"], "x", predict, players, background_rows=30, permutations=4)
+    assert np.allclose(again.toPandas().pivot(index="id", columns="player", values="attribution"), got["attribution"])
+    with pytest.raises(ValueError):
+        A.sampled_attribution(data, ["id"], "x", predict, players, permutations=3)
 
 
 def test_permutation_importance(spark, data):
-    predict = lambda df: df.withColumn("p", F.get("x", F.lit(0)))
-    drops = {r["feature"]: r["drop"] for r in A.permutation_importance(data, "id", "x", "y", predict, [0, 1]).collect()}
+    out = A.permutation_importance(data, "id", "x", "y", lambda x: x[:, 0], [0, 1])
+    drops = {r["feature"]: r["drop"] for r in out.collect()}
     assert drops[0] > 0.2 and abs(drops[1]) < 1e-12
 
 
+def test_auroc_of_histograms_is_exact(spark):
+    rng = np.random.default_rng(4)
+    score = np.concatenate([rng.normal(size=300), rng.normal(size=300) + 2, np.repeat([0.5, -0.5, 0.0, -0.0], 20)])
+    y = np.concatenate([np.zeros(300), np.ones(300), rng.integers(0, 2, 80)]).astype(int)
+    rows = [(i % 2, int(b), float(s), int(v), 1 - int(v)) for i, (b, s, v) in enumerate(zip(A._ordered_bits(score), score, y))]
+    assert (np.diff(A._ordered_bits(np.sort(score))) >= 0).all()
+    df = spark.createDataFrame(rows, "g int, bin long, score double, pos long, neg long")
+    got = {r["g"]: r["AUROC"] for r in M.auroc_of_histograms(df, ["g"]).collect()}
+    want = {r["g"]: r["AUROC"] for r in M.auroc(df.withColumn("score", F.col("score") + 0.0), ["g"], "pos", "score").collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
 def test_feature_groups_follow_chains(spark):
     edges = [(0, 1, 0.99), (1, 2, -0.97), (3, 4, 0.96), (4, 5, 0.5)]
     rows = [(a, b, v) for a, b, v in edges] + [(b, a, v) for a, b, v in edges] + [(i, i, 1.0) for i in range(7)]
