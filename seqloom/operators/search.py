@@ -39,9 +39,15 @@ class SearchSettings:
     seed: int = 42
 
 
-def _dice(sides: int | Column, *parts) -> Column:
-    """A reproducible number 0..sides-1."""
-    return F.pmod(F.xxhash64(*parts), F.lit(sides) if isinstance(sides, int) else sides).cast("int")
+def _digest(*parts: Column | int) -> Column:
+    """32 hex digits that depend on the parts alone, so that any engine throws the same dice."""
+    return F.md5(F.concat_ws(":", *[(F.lit(p) if isinstance(p, int) else p).cast("string") for p in parts]))
+
+
+def _dice(digest: Column, first: int, sides: int | Column) -> Column:
+    """A number 0..sides-1 from the eight digits at place ``first``."""
+    number = F.conv(F.substring(digest, first, 8), 16, 10).cast("long")
+    return F.pmod(number, F.lit(sides) if isinstance(sides, int) else sides).cast("int")
 
 
 def variants_random(targets: DataFrame, size: int, change_percent: int = 50, seed: int = 42) -> DataFrame:
@@ -54,9 +60,10 @@ def variants_random(targets: DataFrame, size: int, change_percent: int = 50, see
     draws = F.floor(n * change_percent / 100).cast("int")
 
     def replace(text, j):
-        at = _dice(F.length("target"), F.col("target_id"), F.col("member"), j, F.lit(seed)) + 1
+        digest = _digest(F.col("target_id"), F.col("member"), j, seed)
+        at = _dice(digest, 1, F.length("target")) + 1
         old = F.element_at(code, F.ascii(F.substring(text, at, F.lit(1))) - 64).cast("int")
-        step = _dice(19, F.col("target_id"), F.col("member"), j, F.lit(seed + 1)) + 1
+        step = _dice(digest, 9, 19) + 1
         return F.overlay(text, F.element_at(alphabet, F.pmod(old + step, F.lit(20)) + 1), at, F.lit(1))
 
     edits = F.when(draws > 0, F.sequence(F.lit(1), F.greatest(draws, F.lit(1)))).otherwise(F.array().cast("array<int>"))
@@ -79,8 +86,9 @@ def crossover(first: Column, second: Column, *salt) -> Column:
     pairs = F.zip_with(S.letters(first), S.letters(second), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def pick(c, place):
-        luck = _dice(100, *salt, place, F.lit("side"))
-        other = F.element_at(alphabet, _dice(20, *salt, place, F.lit("letter")) + 1)
+        digest = _digest(*salt, place)
+        luck = _dice(digest, 1, 100)
+        other = F.element_at(alphabet, _dice(digest, 9, 20) + 1)
         return F.when(luck < 45, c["a"]).when(luck < 90, c["b"]).otherwise(other)
 
     return F.concat_ws("", F.transform(pairs, pick))
@@ -163,7 +171,7 @@ def parents(population: DataFrame, children: int, pool: int, generation: int, se
     rows = listed.withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(children))))
 
     def drawn(side: int):
-        at = _dice(F.size("_pool"), F.col("target_id"), F.col("member"), F.lit(generation), F.lit(seed), F.lit(side))
+        at = _dice(_digest(F.col("target_id"), F.col("member"), generation, seed, side), 1, F.size("_pool"))
         return F.element_at("_pool", at + 1)
 
     return rows.select(

@@ -200,28 +200,170 @@ def write_results(spark, folder):
     return rows.groupBy("generation").agg(F.count("*").alias("n_rows"), F.round(F.sum("fitness"), 4).alias("total"))
 
 
-# ---- seeded choices: rows only ----------------------------------------------
+# ---- seeded choices ---------------------------------------------------------
+
+SIZES = replace(G.SearchSettings(), population=50, generations=3, parents=10)
+CHILDREN = G.SearchSettings().population * (100 - G.SearchSettings().elite_percent) // 100
+
+
+def dice_sql(parts: str, first: int, sides: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5({parts}),{first},8) AS BIGINT) % {sides} AS INTEGER)"
 
-SMALL = replace(G.SearchSettings(), population=20, generations=3, parents=10)
 
+def salted(*parts) -> str:
+    return " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+
+
+def variants_sql(size: int, seed: int = 42) -> str:
+    """CTE ``first``: (target_id, target, member, seq)."""
+    key = salted("target_id", "member", "j", seed)
+    at = f"({dice_sql(key, 1, 'length(target)')}+1)"
+    old = f"strpos('{L.LETTERS}', substr(acc,{at},1))"
+    letter = f"substr('{L.LETTERS}', CAST(({old}-1+{dice_sql(key, 9, '19')}+1)%20+1 AS INTEGER), 1)"
+    return (
+        f"first AS (SELECT target_id, target, member, list_reduce(list_prepend(target, list_transform(range(1,length(target)//2+1), lambda q: CAST(q AS VARCHAR))), "
+        f"lambda acc, j: left(acc,{at}-1) || {letter} || substr(acc,{at}+1)) AS seq "
+        f"FROM (SELECT p_partkey AS target_id, seq AS target, unnest(range(1,{size + 1})) AS member FROM names))"
+    )
+
+
+def couples_sql(ranked: str, children: int, pool: int, generation: int, seed: int = 42) -> str:
+    """A table expression (target_id, target, member, first, second) from the rows of a CTE that has ``place``."""
+    key = lambda side: salted("c.target_id", "c.member", generation, seed, side)
+    return (
+        f"SELECT c.target_id, c.target, c.member, x.seq AS first, y.seq AS second FROM (SELECT target_id, any_value(target) AS target, least(count(*),{pool}) AS pool, "
+        f"unnest(range(1,{children + 1})) AS member FROM {ranked} GROUP BY target_id) c "
+        f"JOIN {ranked} x ON x.target_id=c.target_id AND x.place={dice_sql(key(1), 1, 'c.pool')}+1 "
+        f"JOIN {ranked} y ON y.target_id=c.target_id AND y.place={dice_sql(key(2), 1, 'c.pool')}+1"
+    )
+
+
+def child_sql(*salt) -> str:
+    key = salted(*salt, "i")
+    luck = dice_sql(key, 1, "100")
+    letter = f"substr('{L.LETTERS}',{dice_sql(key, 9, '20')}+1,1)"
+    return (
+        "array_to_string(list_transform(range(0,least(length(first),length(second))), lambda i: "
+        f"CASE WHEN {luck} < 45 THEN substr(first,CAST(i+1 AS INTEGER),1) WHEN {luck} < 90 THEN substr(second,CAST(i+1 AS INTEGER),1) ELSE {letter} END),'')"
+    )
 
-@query("variants_random")
+
+@query("variants_random", f"WITH {NAMES}, {variants_sql(50)} SELECT target_id, target, member, seq FROM first")
 def variants_random(spark, folder):
-    return G.variants_random(targets(spark, folder), 20, 50)
+    return G.variants_random(targets(spark, folder), 50, 50).withColumn("member", F.col("member").cast("long"))
 
 
-@query("parents")
+@query("parents", f"WITH {CAND}, {PLACED} SELECT target_id, member, first, second FROM ({couples_sql('pl', CHILDREN, 50, 1)})")
 def parents(spark, folder):
     rows = candidates(spark, folder).withColumn("initial_p", F.lit(0.0))
-    return G.parents(rows, 18, 50, 1, 42).select("target_id", "member", "first", "second")
+    out = G.parents(rows, CHILDREN, 50, 1, 42)
+    return out.select("target_id", F.col("member").cast("long").alias("member"), "first", "second")
 
 
-@query("crossover")
+@query(
+    "crossover",
+    f"WITH {CAND}, {PLACED} SELECT target_id, member, {child_sql('target_id', 'member')} AS seq FROM ({couples_sql('pl', SIZES.population, 50, 1)})",
+)
 def crossover(spark, folder):
     rows = candidates(spark, folder).withColumn("initial_p", F.lit(0.0))
-    couples = G.parents(rows, 18, 50, 1, 42)
+    couples = G.parents(rows, SIZES.population, 50, 1, 42)
     child = G.crossover(F.col("first"), F.col("second"), F.col("target_id"), F.col("member"))
-    return couples.select("target_id", "member", child.alias("seq"))
+    return couples.select("target_id", F.col("member").cast("long").alias("member"), child.alias("seq"))
+
+
+# scores that SQL can say: the share of two letters, and the mean of one property
+
+def share_featurize(df):
+    return df.withColumn("features", F.array(S.class_fraction("seq", "KR"), S.letter_sum("seq", HYDRO["h"]) / F.length("seq")))
+
+
+def share_predict(df):
+    return df.withColumn("p", F.round(F.least(F.lit(1.0), 4 * F.get("features", F.lit(0))), 9))
+
+
+def share_outlier(df):
+    return df.withColumn("outlier", F.round(1 + F.abs(F.get("features", F.lit(1))), 9))
+
+
+def rounded_objective(settings):
+    return F.round(G.weighted_objective(settings), 9)
+
+
+def scored_sql(source: str) -> str:
+    """(target_id, target, member, seq, p, outlier, distance, n_diff, fitness) of the rows of a CTE."""
+    return (
+        "SELECT *, round(distance+greatest((1-p)*(1-p)-0.04::DOUBLE,0)+greatest(outlier*outlier-2.25::DOUBLE,0),9) AS fitness FROM ("
+        "SELECT target_id, any_value(target) AS target, member, any_value(seq) AS seq, round(least(1.0::DOUBLE,4*sum(CASE WHEN s IN ('K','R') THEN 1 ELSE 0 END)/CAST(count(*) AS DOUBLE)),9) AS p, "
+        "round(1+abs(sum(v)/count(*)),9) AS outlier, sum(d)/(100.0::DOUBLE*count(*)) AS distance, CAST(sum(CASE WHEN s<>t THEN 1 ELSE 0 END) AS INTEGER) AS n_diff, row "
+        f"FROM (SELECT target_id, target, member, seq, row_number() OVER () AS row, unnest(string_split(seq,'')) AS s, unnest(string_split(target,'')) AS t FROM {source}) "
+        "JOIN hy ON letter=s JOIN dist ON a=t AND b=s GROUP BY target_id, member, row)"
+    )
+
+
+LOOKUPS = f"{NAMES}, {props_sql(HYDRO, 'hy')}, {distance_sql()}"
+
+
+@query(
+    "score_variants",
+    f"WITH {LOOKUPS}, {variants_sql(20)}, sc AS ({scored_sql('first')}) SELECT target_id, member, seq, round(p,6) AS p, round(outlier,6) AS outlier, round(distance,6) AS distance, n_diff, round(fitness,6) AS fitness FROM sc",
+)
+def score_variants(spark, folder):
+    """Candidates under scores that SQL can say."""
+    rows = targets(spark, folder).withColumn("self_score", G.alignment_score("target", "target"))
+    drawn = G.variants_random(rows, 20).join(rows.select("target_id", "self_score"), "target_id")
+    out = G.score_candidates(drawn, share_featurize, share_predict, share_outlier, objective=rounded_objective)
+    return out.select("target_id", F.col("member").cast("long").alias("member"), "seq", r6("p"), r6("outlier"), r6("distance"), "n_diff", r6("fitness"))
+
+
+@query(
+    "objective_variants",
+    f"WITH {LOOKUPS}, {variants_sql(20)}, sc AS ({scored_sql('first')}) SELECT target_id, member, round(2*distance-p,6) AS fitness FROM sc",
+)
+def objective_variants(spark, folder):
+    """The same under an objective of the caller's own."""
+    rows = targets(spark, folder).withColumn("self_score", G.alignment_score("target", "target"))
+    drawn = G.variants_random(rows, 20).join(rows.select("target_id", "self_score"), "target_id")
+    own = lambda settings: settings.w1 * F.col("distance") - F.col("p")
+    out = G.score_candidates(drawn, share_featurize, share_predict, share_outlier, replace(G.SearchSettings(), w1=2.0), own)
+    return out.select("target_id", F.col("member").cast("long").alias("member"), r6("fitness"))
+
+
+def evolved_sql(settings: G.SearchSettings) -> str:
+    """Populations pop1, pop2, ... and their logs log1, log2, ..."""
+    children = settings.population * (100 - settings.elite_percent) // 100
+    stopped = f"(p > {settings.stop_score} AND outlier < {settings.stop_outlier} AND n_diff <= {settings.stop_diff}) OR n_diff = 0"
+    out = [f"{LOOKUPS}, {variants_sql(settings.population, settings.seed)}, all1 AS ({scored_sql('first')})"]
+    columns = "target_id, target, member, seq, p, outlier, distance, n_diff, fitness"
+    for g in range(1, settings.generations + 1):
+        out.append(f"led{g} AS (SELECT * FROM all{g} QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY fitness, seq, p, outlier, n_diff)=1)")
+        out.append(f"pop{g} AS (SELECT {columns}, row_number() OVER (PARTITION BY target_id ORDER BY fitness, seq, member) AS place FROM all{g} "
+                   f"WHERE target_id NOT IN (SELECT target_id FROM led{g} WHERE {stopped}))")
+        out.append(f"log{g} AS (SELECT {g} AS generation, * FROM pop{g} QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY fitness, seq, p, outlier, n_diff)=1)")
+        if g < settings.generations:
+            out.append(f"born{g} AS (SELECT target_id, target, member, {child_sql('target_id', 'member', g, settings.seed)} AS seq "
+                       f"FROM ({couples_sql(f'pop{g}', children, settings.parents, g, settings.seed)}))")
+            out.append(f"all{g + 1} AS (SELECT {columns} FROM pop{g} JOIN (SELECT target_id AS t, count(*) AS size FROM pop{g} GROUP BY 1) z ON z.t=target_id "
+                       f"WHERE place*100 <= size*{settings.elite_percent} UNION ALL SELECT {columns} FROM ({scored_sql(f'born{g}')}))")
+    return ", ".join(out)
+
+
+@query(
+    "evolve_variants",
+    f"WITH {evolved_sql(SIZES)} "
+    + " UNION ALL ".join(
+        f"SELECT target_id, target, generation, seq, round(fitness,6) AS fitness, round(p,6) AS p, round(outlier,6) AS outlier, n_diff FROM log{g}"
+        for g in range(1, SIZES.generations + 1)
+    ),
+)
+def evolve_variants(spark, folder):
+    """Generations under scores that SQL can say: ranks, elite, parents, children, stopping rule."""
+    found = G.evolve(targets(spark, folder), share_featurize, share_predict, share_outlier, SIZES, rounded_objective)
+    return found.log.select("target_id", "target", "generation", "seq", r6("fitness"), r6("p"), r6("outlier"), "n_diff")
+
+
+# ---- searches with trained models: rows only --------------------------------
+
+SMALL = replace(G.SearchSettings(), population=20, generations=3, parents=10)
 
 
 def trained(spark, folder):
