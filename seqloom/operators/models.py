@@ -228,7 +228,7 @@ def mean_attributions(rows: DataFrame, by: str, vector: str, forest: Forest, upt
             if not batch.num_rows:
                 continue
             size = np.abs(forest.contributions(matrix(batch.column("_x")), upto))
-            which = batch.column(by).dictionary_encode()
+            group, which = batch.column(by).type, batch.column(by).dictionary_encode()
             codes = which.indices.to_numpy(zero_copy_only=False)
             for code, name in enumerate(which.dictionary.to_pylist()):
                 own = size[codes == code]
@@ -236,7 +236,7 @@ def mean_attributions(rows: DataFrame, by: str, vector: str, forest: Forest, upt
                 total[name] = before + own.sum(axis=0), n + len(own)
         for name, (sums, n) in total.items():
             yield pa.RecordBatch.from_pydict(
-                {by: [name] * len(sums), "feature": np.arange(len(sums), dtype=np.int32), "total": sums, "n": np.full(len(sums), n)}
+                {by: pa.array([name] * len(sums), group), "feature": np.arange(len(sums), dtype=np.int32), "total": sums, "n": np.full(len(sums), n)}
             )
 
     chosen = rows.select(by, F.col(vector).cast("array<double>").alias("_x"))

@@ -384,3 +384,58 @@ def attribution_background(spark, folder):
 def permutation_importance(spark, folder):
     out = A.permutation_importance(emb(spark, folder), "vec_id", "x", "y", scorer(spark), list(range(64)), SEED)
     return out.select("feature", r6("drop"))
+
+
+# ---- a small forest, written out --------------------------------------------
+
+# (tree, weight, node, value, left, right, feature, cut); -1 where a node is a leaf
+NODES = [
+    (0, 1.0, 0, 0.05, 1, 2, 3, 0.0), (0, 1.0, 1, -0.4, 3, 4, 10, 0.05), (0, 1.0, 2, 0.5, -1, -1, -1, 0.0),
+    (0, 1.0, 3, -0.7, -1, -1, -1, 0.0), (0, 1.0, 4, 0.2, -1, -1, -1, 0.0),
+    (1, 0.1, 0, -0.02, 1, 2, 41, -0.03), (1, 0.1, 1, 0.9, -1, -1, -1, 0.0), (1, 0.1, 2, -0.8, -1, -1, -1, 0.0),
+    (2, 0.1, 0, 0.01, 1, 2, 10, 0.1), (2, 0.1, 1, -0.3, 3, 4, 3, -0.1), (2, 0.1, 2, 0.6, 5, 6, 63, 0.0),
+    (2, 0.1, 3, -1.1, -1, -1, -1, 0.0), (2, 0.1, 4, 0.4, -1, -1, -1, 0.0), (2, 0.1, 5, 0.2, -1, -1, -1, 0.0), (2, 0.1, 6, 1.3, -1, -1, -1, 0.0),
+]
+
+
+def way_sql(tree: int, leaf, node: int = 0, steps: tuple = ()) -> str:
+    """Nested cases down to the leaves; ``leaf`` says what a leaf and the steps to it give."""
+    found = {n[2]: n for n in NODES if n[0] == tree}
+    _, weight, _, value, left, right, feature, cut_ = found[node]
+    if left < 0:
+        return leaf(value * weight, steps)
+    down = [way_sql(tree, leaf, c, (*steps, (feature, (found[c][3] - value) * weight))) for c in (left, right)]
+    return f"(CASE WHEN x[{feature + 1}] <= {cut_!r}::DOUBLE THEN {down[0]} ELSE {down[1]} END)"
+
+
+def small_forest(spark):
+    from seqloom.operators.models import Forest
+
+    kinds = "tree int, weight double, node int, prediction double, left int, right int, feature int, cut double"
+    return Forest.of(spark.createDataFrame(NODES, kinds))
+
+
+TREES = range(3)
+FOREST_SUM = "+".join(way_sql(t, lambda v, _: f"({v!r}::DOUBLE)") for t in TREES)
+FOREST_STEPS = " || ".join(
+    way_sql(t, lambda _, steps: "[" + ",".join(f"{{'f':{f},'d':{d!r}::DOUBLE}}" for f, d in steps) + "]") for t in TREES
+)
+
+
+@query("forest_scores", f"WITH {EMB} SELECT vec_id, round(1/(1+exp(-2*({FOREST_SUM}))),6) AS p FROM emb")
+def forest_scores(spark, folder):
+    return emb(spark, folder).select("vec_id", r6(small_forest(spark).score("x"), "p"))
+
+
+@query(
+    "forest_attribution",
+    f"WITH {EMB}, st AS (SELECT vec_id, label, unnest({FOREST_STEPS}) AS u FROM emb), ct AS (SELECT vec_id, label, u.f AS f, sum(u.d) AS c FROM st GROUP BY 1,2,3), "
+    "n AS (SELECT label, count(*) AS n FROM emb GROUP BY label) "
+    "SELECT label, CAST(f AS INTEGER) AS feature, round(sum(abs(c))/max(n),6) AS attribution FROM ct JOIN n USING (label) GROUP BY label, f",
+)
+def forest_attribution(spark, folder):
+    """Mean absolute contributions of the features that the forest uses, by label."""
+    from seqloom.operators.models import mean_attributions
+
+    out = mean_attributions(emb(spark, folder), "label", "x", small_forest(spark)).filter("total > 0")
+    return out.select("label", "feature", r6(F.col("total") / F.col("n"), "attribution"))
