@@ -2,12 +2,15 @@
 
 A wrapper is a union-free regular expression over tokens: tags, fixed texts, text slots, optional parts and
 repeated parts.  A page alone is a wrapper whose texts are fixed.  Neighbouring stretches with the same tags
-fold into a repeated part.  Two wrappers are aligned; a mismatch of texts becomes a slot, tokens that
-one side lacks become an optional part, a repeated part takes in its single occurrences.  Alignment is
-applied again and again, first inside a task, then to what the tasks found for a host.
-
-The wrapper tells in which element the host's changing text lies; a page's text is that of this element without
-the parts that are menus, forms, adverts and the like.  An <article> or <main> element says so by itself.
+fold into a repeated part.  Pages of one shape, which differ in texts only, are one wrapper at once: a text that
+changes becomes a slot.  Wrappers of different shapes are aligned; tokens that one side lacks become an optional
+part, a repeated part takes in its single occurrences.  Alignment is applied again and again until a host
+has one wrapper; every page counts, but only its host's shapes are aligned.
+
+The wrapper's slots tell in which element the host's changing text lies, and a page's text is that of this element
+without the parts that are menus, forms, adverts and the like.  Of elements that hold about as much changing text, an
+<article> or <main> is taken.  A page that lacks the element, or whose host has no wrapper to learn (a single
+page, no changing text), gives its <article> or <main>, or else what a class name or the body has.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,16 +39,21 @@ ALIGNED = 400
 #: Up to so many bytes of wrappers are sent to all tasks; beyond that pages and wrappers are joined by host.
 SENT = 32 << 20
 
+# inside a tag, quotes that close within some thousand characters may hold anything; others are plain characters, and the
+# tag ends at the next ">".  A plain "<" begins a new tag, so that no part of a page is looked at again and again.
+INSIDE = r"(?:\"[^\"]{0,4096}+\"|'[^']{0,4096}+'|[^<>])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|object|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"
+    rf"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|object|title)\b{INSIDE}>"
     r".*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<[!?][^>]*>",
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>{INSIDE})>"
+    r"|<[!?][^<>]*+>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that are open inside each other, as far as they are told apart.
+DEEPEST = 256
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -95,6 +104,11 @@ class Element:
             self.main = None  # perhaps
 
 
+@lru_cache(maxsize=1 << 12)
+def element(tag: str, rest: str) -> Element:
+    return Element(tag, rest)
+
+
 def tokens(page: str) -> Iterator[tuple[str, object]]:
     """("text", raw), ("open", (tag, attributes)) and ("close", tag); comments, scripts and the like are left out."""
     at = 0
@@ -115,8 +129,12 @@ def tokens(page: str) -> Iterator[tuple[str, object]]:
 
 
 def placed(page: str) -> Iterator[tuple[str, list[Element], object]]:
-    """Tokens with the elements that are open around them; unclosed elements close as browsers close them."""
+    """Tokens with the elements that are open around them; unclosed elements close as browsers close them.
+
+    Elements that lie deeper than ``DEEPEST`` lie side by side there.
+    """
     stack: list[Element] = []
+    beyond: dict[str, int] = {}  # open elements that are not on the stack
     for kind, value in tokens(page):
         if kind == "text":
             yield kind, stack, value
@@ -130,10 +148,16 @@ def placed(page: str) -> Iterator[tuple[str, list[Element], object]]:
                         break
                     if stack[i].tag in CONTAINERS:
                         break
-            own = Element(tag, rest)
+            own = element(tag, rest)
             yield kind, stack, own
             if tag not in VOID and not rest.rstrip().endswith("/"):
-                stack.append(own)
+                if len(stack) < DEEPEST:
+                    stack.append(own)
+                else:
+                    beyond[tag] = beyond.get(tag, 0) + 1
+        elif len(stack) == DEEPEST and beyond.get(value):
+            beyond[value] -= 1
+            yield kind, stack, value
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == value:
@@ -149,20 +173,29 @@ def placed(page: str) -> Iterator[tuple[str, list[Element], object]]:
 # a slot, ["?", nodes] an optional and ["+", nodes] a repeated part.
 
 
+WIDTHS = 1, 2, 3, 4, 5, 6, 8, 12
+
+
 def page_wrapper(page: str) -> list:
     """The page as a wrapper, its repeated parts folded."""
     nodes: list = []
+    ids: list[int] = []  # the nodes' shapes, numbered
+    numbers: dict = {}
     for kind, _, value in placed(page):
         if kind == "text":
             plain = " ".join(value.split())
-            if plain:
-                nodes.append(["#", xxhash.xxh3_64_hexdigest(plain.encode("utf-8", "surrogatepass")), len(plain)])
-        elif kind == "open":
-            nodes.append(["<", value.sign])
+            if not plain:
+                continue
+            nodes.append(["#", xxhash.xxh3_64_hexdigest(plain.encode("utf-8", "surrogatepass")), len(plain)])
+            ids.append(numbers.setdefault("#", len(numbers)))
         else:
-            nodes.append([">", value])
-        for width in (1, 2, 3, 4, 5, 6, 8, 12):
-            nodes = _folded(nodes, width)
+            node = ["<", value.sign] if kind == "open" else [">", value]
+            nodes.append(node)
+            ids.append(numbers.setdefault(tuple(node), len(numbers)))
+        for width in WIDTHS:
+            if len(ids) <= width:
+                break
+            _fold(nodes, ids, numbers, width)
     return nodes
 
 
@@ -175,20 +208,33 @@ def _shape(node: list):
     return node[0], node[1]
 
 
-def _folded(nodes: list, width: int) -> list:
+def _fold(nodes: list, ids: list[int], numbers: dict, width: int) -> None:
     """Fold the last ``width`` nodes into what stands before them, if it has the same shape."""
+    first = nodes[-width][0]
+    if first not in "<?+" or (width == 1 and first == "<"):
+        return
+    own = ids[-width:]
+    repeat = numbers.get(("+", *own))
+    again = repeat is not None and ids[-width - 1] == repeat
+    if not again and (first == "+" or len(ids) < 2 * width or ids[-2 * width : -width] != own):
+        return
     last = nodes[-width:]
-    if len(last) < width or last[0][0] not in "<?+" or (width == 1 and last[0][0] == "<"):
-        return nodes
     if sum((n[0] == "<" and n[1].partition(".")[0] not in VOID) - (n[0] == ">") for n in last) not in (0, 1):
-        return nodes
-    before = nodes[-width - 1] if len(nodes) > width else None
-    shape = tuple(map(_shape, last))
-    if before is not None and before[0] == "+" and tuple(map(_shape, before[1])) == shape:
-        return nodes[: -width - 1] + [["+", [_both(a, b) for a, b in zip(before[1], last)]]]
-    if len(nodes) >= 2 * width and tuple(map(_shape, nodes[-2 * width : -width])) == shape and last[0][0] != "+":
-        return nodes[: -2 * width] + [["+", [_both(a, b) for a, b in zip(nodes[-2 * width : -width], last)]]]
-    return nodes
+        return
+    before = nodes[-width - 1][1] if again else nodes[-2 * width : -width]
+    gone = width + 1 if again else 2 * width
+    del nodes[-gone:], ids[-gone:]
+    nodes.append(["+", [_one_after_other(a, b) for a, b in zip(before, last)]])
+    ids.append(numbers.setdefault(("+", *own), len(numbers)))
+
+
+def _one_after_other(a: list, b: list) -> list:
+    """A node of a repeated part for two of the same shape: what stands there one after the other is one fixed text of the page."""
+    if a[0] == "#":
+        return ["#", xxhash.xxh3_64_hexdigest(a[1] + b[1]), max(a[2], b[2])]
+    if a[0] in "?+":
+        return [a[0], [_one_after_other(x, y) for x, y in zip(a[1], b[1])]]
+    return a
 
 
 def _both(a: list, b: list) -> list:
@@ -202,7 +248,8 @@ def _both(a: list, b: list) -> list:
 
 def align(a: list, b: list) -> list:
     """The wrapper of all that either wrapper takes."""
-    x, y = [_shape(n) for n in a], [_shape(n) for n in b]
+    numbers: dict = {}
+    x, y = ([numbers.setdefault(_shape(n), len(numbers)) for n in nodes] for nodes in (a, b))
     head = 0
     while head < min(len(a), len(b)) and x[head] == y[head]:
         head += 1
@@ -243,8 +290,7 @@ def _middle(a: list, b: list, x: list, y: list) -> list:
 
 def _common_run(x: list, y: list) -> tuple[int, int, int]:
     """(place in x, place in y, length) of the longest run of shapes that both have, the one nearest the middle of equal ones."""
-    numbers: dict = {}
-    one, other = (np.array([numbers.setdefault(s, len(numbers)) for s in shapes]) for shapes in (x, y))
+    one, other = np.array(x), np.array(y)
     runs, best = np.zeros(len(other) + 1, np.int64), (0, 0, 0, 0)
     for i, shape in enumerate(one):
         runs[1:] = np.where(other == shape, runs[:-1] + 1, 0)
@@ -285,8 +331,12 @@ def _optional(nodes: list) -> list:
 
 
 def region(wrapper: list) -> str | None:
-    """Path of the innermost element that holds most of the changing text outside of asides; null if none does."""
+    """Path of the element that holds most of the changing text outside of asides; null if none does.
+
+    Of those that hold four fifths as much as any, the outermost that is an article by its tag, else the innermost.
+    """
     held: dict[str, int] = {}
+    articles: set[str] = set()
     path: list[tuple[str, bool]] = []
 
     def walk(nodes: list, times: int) -> None:
@@ -306,6 +356,8 @@ def region(wrapper: list) -> str | None:
                     for i in range(1, len(path) + 1):
                         if path[i - 1][0].partition(".")[0] in CONTAINERS:
                             name = "/".join(s for s, _ in path[:i])
+                            if path[i - 1][0].partition(".")[0] in ("article", "main"):
+                                articles.add(name)
                             held[name] = held.get(name, 0) + node[2] * times
             else:
                 walk(node[1], times * (3 if node[0] == "+" else 1))
@@ -314,7 +366,10 @@ def region(wrapper: list) -> str | None:
     if not held:
         return None
     most = max(held.values())
-    return max((p for p, n in held.items() if 5 * n >= 4 * most), key=lambda p: (p.count("/"), p))
+    deep = lambda p: (p.count("/"), p)
+    large = [p for p, n in held.items() if 5 * n >= 4 * most]
+    named = [p for p in large if p in articles]
+    return min(named, key=deep) if named else max(large, key=deep)
 
 
 # ---- text ----------------------------------------------------------------------
@@ -323,8 +378,8 @@ def region(wrapper: list) -> str | None:
 def main_text(page: str, path: str | None = None) -> str:
     """The article's blocks, joined by two newlines.
 
-    The article is the page's <article> or <main>; else the element at ``path``; else one whose name says
-    so; else the whole body.
+    The article is the element at ``path``, which the host's wrapper has found; else the page's <article> or <main>; else
+    one whose name says so; else the whole body.
     """
     blocks: dict[str, list[str]] = {"named": [], "path": [], "perhaps": [], "all": []}
     open_block: dict[str, list[str]] = {k: [] for k in blocks}
@@ -361,7 +416,7 @@ def main_text(page: str, path: str | None = None) -> str:
                 for k in blocks:
                     open_block[k].append(" ")
     end()
-    for k in ("named", "path", "perhaps", "all"):
+    for k in ("path", "named", "perhaps", "all"):
         if blocks[k]:
             return "\n\n".join(blocks[k])
     return ""
@@ -371,50 +426,63 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _packed(wrapper: list) -> str:
+    return json.dumps(wrapper, separators=(",", ":"))
+
+
+WRAPPERS = "host string, shape string, wrapper string, pages long"
+
+
 def infer_wrappers(pages: DataFrame, html_column: str = "html", url: str = "url") -> DataFrame:
     """(host, wrapper, pages): one wrapper per host, as JSON.
 
-    Every page counts: a task aligns all it meets of a host, and the tasks' wrappers of a host are aligned
-    in groups of ``MERGED``, round after round, until one is left.  Pages without a host get none.
+    Every page counts.  Pages of one host and shape become one wrapper in time proportional to their number, first in the task that
+    reads them, then in parts, then whole.  The shapes of a host are aligned in groups of ``MERGED``, round after
+    round, until one is left.  Pages without a host get none.
     """
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
+        found: dict[tuple[str, str], list] = {}
         for batch in small(batches):
             for name, page in zip(batch.column("host").to_pylist(), batch.column(html_column).to_pylist()):
-                known = found.setdefault(name, [None, 0])
                 own = page_wrapper(page)
-                known[0] = own if known[0] is None else align(known[0], own)
-                known[1] += 1
-        wrappers = [json.dumps(w, separators=(",", ":")) for w, _ in found.values()]
+                shape = xxhash.xxh3_128_hexdigest(repr([_shape(n) for n in own]).encode("utf-8", "surrogatepass"))
+                known = found.get((name, shape))
+                if known is None:
+                    found[name, shape] = [own, 1]
+                else:
+                    known[0] = [_both(a, b) for a, b in zip(known[0], own)]
+                    known[1] += 1
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(list(found), pa.string()),
-                pa.array(wrappers, pa.string()),
-                pa.array([n for _, n in found.values()], pa.int64()),
+                pa.array([h for h, _ in found], pa.string()), pa.array([k for _, k in found], pa.string()),
+                pa.array([_packed(w) for w, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64()),
             ],
-            ["host", "wrapper", "pages"],
+            ["host", "shape", "wrapper", "pages"],
         )
 
+    def merged(join):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            wrapper = None
+            for one in map(json.loads, group.sort_values("_n").wrapper):
+                wrapper = one if wrapper is None else join(wrapper, one)
+            row = {"host": group.host.iloc[0], "shape": group["shape"].iloc[0], "wrapper": _packed(wrapper), "pages": int(group.pages.sum())}
+            return pd.DataFrame([row])
+
+        return run
+
+    same = merged(lambda a, b: [_both(p, q) for p, q in zip(a, b)])
     rows = pages.select(host(F.col(url)).alias("host"), F.coalesce(F.col(html_column), F.lit("")).alias(html_column))
     rows = spread_rows(rows.filter((F.col("host") != "") & (F.col(html_column) != "")))
-    part = stored(rows.mapInArrow(learn, "host string, wrapper string, pages long"))
-    order = W.partitionBy("host").orderBy(F.xxhash64("wrapper"), "wrapper")
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper = None
-        for one in group.sort_values("_n").wrapper:
-            one = json.loads(one)
-            wrapper = one if wrapper is None else align(wrapper, one)
-        return pd.DataFrame({
-            "host": [group.host.iloc[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))],
-            "pages": [int(group.pages.sum())],
-        })
-
+    part = rows.mapInArrow(learn, WRAPPERS).withColumn("_n", F.lit(0))
+    for by in (F.spark_partition_id() % MERGED, F.lit(0)):  # any order of these gives the same wrapper
+        part = part.withColumn("_turn", by).groupBy("host", "shape", "_turn").applyInPandas(same, WRAPPERS).withColumn("_n", F.lit(0))
+    part = stored(part)
+    order = W.partitionBy("host").orderBy(F.desc("pages"), "shape", "wrapper")
     while part.groupBy("host").count().filter("count > 1").head(1):
         part = part.withColumn("_n", F.row_number().over(order)).withColumn("_group", F.floor((F.col("_n") - 1) / MERGED))
-        part = stored(part.groupBy("host", "_group").applyInPandas(merge, "host string, wrapper string, pages long"))
-    return part
+        part = stored(part.groupBy("host", "_group").applyInPandas(merged(align), WRAPPERS))
+    return part.select("host", "wrapper", "pages")
 
 
 def regions(wrappers: DataFrame) -> DataFrame:

@@ -132,3 +132,35 @@ def test_the_query_agrees_with_brute_force(spark):
         parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", s)).split()) for s in re.split(r"</?(?:p|h1)>|<br>", article))
         want = "\n\n".join(p for p in parts if p)
         assert (got[row.page_id].text, got[row.page_id].n_chars, got[row.page_id].url) == (want, len(want), row.url)
+
+
+def test_the_wrapper_decides(spark):
+    """Templates that no tag or name tells: without the host's wrapper most pages give something else."""
+    rows = []
+    for i in range(60):
+        menu = "".join(f"<li>Item {j}</li>" for j in range(4))
+        body = f"<body><div class='x1'><ul>{menu}</ul></div><div class='x2'>{BODY.format(i)}</div><div class='x3'>All rights kept</div></body>"
+        rows.append((i, f"http://h{i % 3}.example/{i}", body))
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: TEXT.format(i) for i in range(60)}
+    assert all(h.main_text(page) != got[i] for i, _, page in rows)
+
+
+def test_an_article_is_taken_from_its_place_in_the_wrapper(spark):
+    """Articles elsewhere on the page, such as teasers, are not the host's region."""
+    rows = [
+        (i, f"http://a.example/{i}", f"<body><div class='top'><article>Teaser</article></div><main><article>{BODY.format(i)}</article></main></body>")
+        for i in range(5)
+    ]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: TEXT.format(i) for i in range(5)}
+
+
+@pytest.mark.parametrize("part", ['<a "x', "<a '\"x", "<!x ", "<p '", '"<b>', "<script \"", "</", "<a <b <!-- -"])
+def test_malformed_pages_take_time_in_proportion(part):
+    import time
+
+    start = time.process_time()
+    h.main_text(part * 60_000)
+    assert time.process_time() - start < 10
+    assert "--" in part or "after" in h.main_text(f"<p class=\"open>shown</p><p>{part}</p> > after")

@@ -1,7 +1,7 @@
 import math
 
 import numpy as np
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from seqloom.llm import neighbours as nb
@@ -74,16 +74,54 @@ def test_leading_and_reaching_agree():
         assert sorted(nb.reach(forest, x[i], held, 1e9)) == list(range(len(held)))
 
 
-@pytest.mark.parametrize("folder", ["/root/testdata/sf0.1", "/root/testdata/check_s"])
-def test_recall(spark, folder):
-    got = listed(nb.op7_nearest(spark, folder))
-    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toArrow()
-    x, ids = nb.matrix(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
+def recall(got, x, asked, k=10):
     hit = 0
-    for i in np.flatnonzero(ids % 100 == 0):
+    for i in asked:
         far = np.sqrt(((x - x[i]) ** 2).sum(1))
         far[i] = np.inf
-        best = np.lexsort((ids, far))[:10]
-        hit += len(set(ids[best].tolist()) & {j for _, j in got[ids[i]]})
-        assert all(math.isclose(far[ids == j][0], d, rel_tol=1e-12) for d, j in got[ids[i]])
-    assert len(got) == (ids % 100 == 0).sum() and hit / len(got) / 10 >= 0.92
+        best = np.lexsort((np.arange(len(x)), far))[:k]
+        hit += len(set(best.tolist()) & {j for _, j in got[i]})
+        assert all(math.isclose(far[j], d, rel_tol=1e-9) for d, j in got[i])
+    return hit / len(asked) / k
+
+
+def held_by_leaves(x, share, asked):
+    """The share of all rows that are a query's candidates."""
+    forest = nb.grow(x[: nb.SAMPLE], nb.TREES, nb.LEAF, 7)
+    leaves = np.stack([nb.lead(t, x) for t in forest], 1)
+    held = np.bincount(leaves.ravel(), minlength=sum(map(nb.count_leaves, forest)))
+    enough = max(share * len(x), nb.LEAST)
+    return np.mean([np.isin(leaves, nb.reach(forest, x[i], held, enough)).any(1).mean() for i in asked])
+
+
+def test_recall_without_structure(spark):
+    """64 independent directions, beyond what LEAST covers: the leaves hold a part of the rows, and most neighbours."""
+    x = np.random.default_rng(11).standard_normal((20_000, 64)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(map(np.ndarray.tolist, x))}), "vec_id long, embedding array<float>")
+    asked = list(range(0, 20_000, 400))
+    got = listed(nb.search(df, df.filter("vec_id % 400 = 0")))
+    wide = x.astype(float)
+    assert sorted(got) == asked and recall(got, wide, asked) >= 0.9
+    assert held_by_leaves(wide, nb.SHARE, asked[:10]) < 0.7
+
+
+def test_recall_with_structure(spark):
+    """Rows near surfaces of few dimensions, as learned vectors are: a small part of them is looked at."""
+    dice = np.random.default_rng(12)
+    bases = dice.standard_normal((40, 5, 64))
+    which = dice.integers(0, 40, 20_000)
+    x = np.einsum("nd,ndk->nk", dice.standard_normal((20_000, 5)), bases[which]) + 3 * dice.standard_normal((40, 64))[which]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(map(np.ndarray.tolist, x))}), "vec_id long, embedding array<double>")
+    asked = list(range(0, 20_000, 400))
+    got = listed(nb.search(df, df.filter("vec_id % 400 = 0"), share=0.0))
+    assert sorted(got) == asked and recall(got, x, asked) >= 0.9
+    assert held_by_leaves(x, 0.0, asked[:10]) < 0.1
+
+
+def test_recall_of_the_query(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toArrow()
+    assert rows["vec_id"].to_pylist() == list(range(rows.num_rows))
+    got = listed(nb.op7_nearest(spark, folder))
+    asked = list(range(0, rows.num_rows, 100))
+    assert sorted(got) == asked and recall(got, nb.matrix(rows["embedding"]).astype(float), asked) >= 0.9
