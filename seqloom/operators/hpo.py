@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
@@ -151,11 +152,13 @@ def _fit_predict(family: str, setting: dict, train: DataFrame, held: DataFrame,
 
 def search(
     df: DataFrame, key: str, vector: str, label: str, fold: str, family: str, settings: Sequence[dict],
-    parallelism: int = 4,
+    parallelism: int = 4, ledger: str | None = None,
 ) -> DataFrame:
-    """(model, setting, fold, metrics...) for every setting and fold.
+    """(model, setting, params, fold, metrics...) for every setting and fold.
 
-    What depends on the fold only - the scale, the row count, the scaled rows - is made once per fold.
+    What depends on the fold only - the scale, the row count, the scaled rows - is made once per fold.  A ``ledger`` is a
+    folder of finished reports: each is written as soon as it is known, and a search that is started again with the
+    same ledger fits only what is not there.
     """
     data = cut(
         df.select(F.col(key).alias("id"), F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("fold"))
@@ -174,14 +177,35 @@ def search(
         scored = _fit_predict(family, settings[i], *sides[f])
         return scored.select("_y", "p", F.lit(i).alias("setting"), F.lit(f).alias("fold"))
 
+    jobs = [(i, f) for i in range(len(settings)) for f in folds]
+    text = F.array(*[F.lit(str(s)) for s in settings])
+    columns = [F.lit(family).alias("model"), "setting", F.get(text, F.col("setting")).alias("params"), "fold", *M.ALL_METRICS]
+    if ledger is not None:
+        return _with_ledger(df.sparkSession, ledger, family, [str(s) for s in settings], jobs, one, columns, parallelism)
     with ThreadPool(parallelism) as pool:
-        parts = pool.map(one, [(i, f) for i in range(len(settings)) for f in folds])
+        parts = pool.map(one, jobs)
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    report = M.metric_report(cut(rows), ["setting", "fold"], "_y", "p")
-    text = F.array(*[F.lit(str(s)) for s in settings])
-    return report.select(F.lit(family).alias("model"), "setting", F.get(text, F.col("setting")).alias("params"), "fold", *M.ALL_METRICS)
+    return M.metric_report(cut(rows), ["setting", "fold"], "_y", "p").select(*columns)
+
+
+def _with_ledger(spark, ledger: str, family: str, settings: Sequence[str], jobs, one, columns, parallelism: int) -> DataFrame:
+    """Reports of all jobs, of which those in the ledger are not made again; a report is a folder of its own."""
+    folder = f"{ledger.rstrip('/')}/{family}"
+    place = lambda job: f"{hashlib.md5(settings[job[0]].encode()).hexdigest()}-{job[1]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+    finished = {n for n in there if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))}
+
+    def write(job):
+        report = M.metric_report(cut(one(job)), ["setting", "fold"], "_y", "p")
+        report.select(*columns).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{place(job)}")
+
+    with ThreadPool(parallelism) as pool:
+        pool.map(write, [j for j in jobs if place(j) not in finished])
+    return spark.read.parquet(*[f"{folder}/{place(j)}" for j in jobs])
 
 
 def best_setting(results: DataFrame) -> DataFrame:

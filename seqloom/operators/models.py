@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from seqloom.operators import metrics as M
 from seqloom.operators.dependence import matrix
+from seqloom.operators.quantiles import bin_of
 from seqloom.session import cut
 
 
@@ -244,6 +245,17 @@ def mean_attributions(rows: DataFrame, by: str, vector: str, forest: Forest, upt
     return parts.groupBy(by, "feature").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def stopping_curve(rows: DataFrame, stop_on: str | Callable, threshold: float = 0.5) -> DataFrame:
+    """(fold, iteration, metric) of held-out rows (fold, iteration, _y, p)."""
+    by = ["fold", "iteration"]
+    if callable(stop_on):
+        return stop_on(rows, by, "_y", "p")
+    if stop_on == "AUROC":
+        return M.auroc(rows, by, "_y", "p").withColumnRenamed("AUROC", "metric")
+    counts = M.confusion(rows.withColumn("_predicted", M.threshold_label("p", threshold)), by, "_y", "_predicted")
+    return counts.select(*by, M.score_by(stop_on)().alias("metric"))
+
+
 @dataclass
 class Validation:
     """Everything a cross-validation gives."""
@@ -285,21 +297,25 @@ def cross_validate(
     refit_multiplier: float = 1.0,
     parallelism: int = 4,
     metric: Callable | None = None,
+    stop_on: str | Callable = "AUROC",
+    written: bool = False,
 ) -> Validation:
     """Fit one model per fold, stop all at the shared best iteration, score, average, refit.
 
-    The table is written once and read by every fit; fits run side by side, so that
+    ``stop_on`` is the metric whose mean over the folds chooses the iteration: a name of `metrics`, or a function of
+    (rows, by, label, score) that gives one row with ``metric`` for each group.  High is good.
+
+    The table is written once (or is ``written`` already) and read by every fit; fits run side by side, so that
     executors stay busy while one of them is between jobs.  With ``repeat`` the table has each
     row once per repeat; a repeat's folds are numbered on from those before it, and a row's
     out-of-fold score is the mean over the repeats.
     """
     spark = train.sparkSession
     once = F.lit(0) if repeat is None else F.col(repeat)
-    data = cut(
-        train.select(
-            *keys, F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("_in"), once.alias("_repeat")
-        )
+    data = train.select(
+        *keys, F.col(vector).alias("_x"), F.col(label).alias("_y"), F.col(fold).alias("_in"), once.alias("_repeat")
     )
+    data = data if written else cut(data)
     # one model per pair of these, so there are as many as there are fits
     found = data.select("_repeat", "_in").distinct().filter("_in is not null").limit(MOST_FITS + 1).collect()
     refuse_many(len(found))
@@ -321,8 +337,8 @@ def cross_validate(
         own = data.filter((F.col("_repeat") == r) & (F.col("_in") == held))
         part = own.select("_y", F.lit(f).alias("fold"), F.posexplode(forest.prefix_scores("_x")).alias("_i", "p"))
         waiting = part if waiting is None else waiting.unionByName(part)
-    curve = M.auroc(waiting.withColumn("iteration", F.col("_i") + 1), ["fold", "iteration"], "_y", "p")
-    chosen = best_iteration(curve.withColumnRenamed("AUROC", "metric"), settings.patience).first()
+    curve = stopping_curve(waiting.withColumn("iteration", F.col("_i") + 1), stop_on, threshold)
+    chosen = best_iteration(curve, settings.patience).first()
     best = int(chosen["iteration"]) if chosen and chosen["iteration"] else settings.iterations
 
     scored = None
@@ -404,52 +420,85 @@ def slice_vector(vector: str, places: Sequence[int]) -> Column:
     return F.array(*[F.get(F.col(vector), F.lit(i)) for i in places])
 
 
+def _validated(train, test, keys, vector, label, names, chosen, settings, scratch, **options) -> Validation:
+    part = lambda df: None if df is None else df.withColumn(vector, slice_vector(vector, chosen))
+    return cross_validate(part(train), part(test), keys, vector, label, [names[i] for i in chosen], settings, scratch, **options)
+
+
 def evaluate_candidate(
     train: DataFrame, test: DataFrame | None, keys, vector: str, label: str, names: Sequence[str],
     chosen: Sequence[int], settings: BoostSettings, scratch: str, scoring: str, **options,
 ) -> dict:
     """Scores of a model on the chosen features: train, valid, ensemble, refit."""
-    part = lambda df: None if df is None else df.withColumn(vector, slice_vector(vector, chosen))
-    result = cross_validate(
-        part(train), part(test), keys, vector, label, [names[i] for i in chosen], settings, scratch, **options
-    )
-    means = M.fold_summary(result.scores, [scoring]).collect()
-    return {r["dataset"]: r[scoring] for r in means}
+    result = _validated(train, test, keys, vector, label, names, chosen, settings, scratch, **options)
+    return {r["dataset"]: r[scoring] for r in M.fold_summary(result.scores, [scoring]).collect()}
+
+
+def residual_gains(rows: DataFrame, vector: str, label: str, score: str, bins: int = 32, min_rows: int = 20) -> DataFrame:
+    """(feature, gain): what the best split on each feature would still explain of what ``score`` leaves over.
+
+    One aggregate for all features: sums of gradients and of their weights in equal-width bins.
+    """
+    y, p = F.col(label).cast("double"), F.col(score)
+    long = rows.select((p - y).alias("_g"), (p * (1 - p)).alias("_h"), F.posexplode(vector).alias("feature", "value"))
+    ends = long.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))  # one row per feature
+    placed = long.join(F.broadcast(ends), "feature").withColumn("bin", bin_of(F.col("value"), F.col("low"), F.col("high"), F.lit(bins)))
+    cells = placed.groupBy("feature", "bin").agg(F.count("*").alias("n"), F.sum("_g").alias("g"), F.sum("_h").alias("h"))
+    left, whole = W.partitionBy("feature").orderBy("bin").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("feature")
+    for name in "ngh":
+        cells = cells.withColumn(f"l_{name}", F.sum(name).over(left)).withColumn(f"t_{name}", F.sum(name).over(whole))
+    c = F.col
+    ratio = lambda g, h: F.when(h > 0, g * g / h).otherwise(F.lit(0.0))
+    gain = ratio(c("l_g"), c("l_h")) + ratio(c("t_g") - c("l_g"), c("t_h") - c("l_h")) - ratio(c("t_g"), c("t_h"))
+    enough = (c("l_n") >= min_rows) & (c("t_n") - c("l_n") >= min_rows)
+    return cells.groupBy("feature").agg(F.max(F.when(enough, gain).otherwise(F.lit(0.0))).alias("gain"))
 
 
 def forward_selection(
     train: DataFrame, test: DataFrame | None, keys, vector: str, label: str, names: Sequence[str],
     settings: BoostSettings, scratch: str, scoring: str = "ACC", min_features: int = 1,
-    max_features: int | None = None, candidates: Sequence[int] | None = None, parallelism: int = 4, **options,
+    max_features: int | None = None, candidates: Sequence[int] | None = None, parallelism: int = 4,
+    shortlist: int | None = None, **options,
 ) -> DataFrame:
     """Greedy selection; one row per step: (step, feature, selected, train, valid, ensemble, refit scores).
 
     Every remaining feature is tried with the ones chosen so far and the best mean validation
     score is kept.  A score that does not improve ends the search once the minimum is reached.
     The score to beat starts at zero.
+
+    With a ``shortlist`` every remaining feature is still looked at, by what its best split would explain of what the
+    chosen ones leave over (out of fold, all features in one aggregate), and so many of the best are fitted.
     """
     left = list(range(len(names)) if candidates is None else candidates)
     most = len(left) if max_features is None else max_features
     data = cut(train)
+    rest = data.withColumn("_p", F.lit(data.agg(F.avg(label)).first()[0]).cast("double"))
     chosen: list[int] = []
     current, steps = 0.0, []
     while left and len(chosen) < most:
+        tried = left
+        if shortlist is not None and shortlist < len(left):
+            gains = dict(tuple(r) for r in residual_gains(rest, vector, label, "_p", min_rows=settings.min_rows).collect())  # one per feature
+            tried = sorted(sorted(left, key=lambda i: names[i]), key=lambda i: -gains.get(i, 0.0))[:shortlist]
 
         def attempt(i):
-            return i, evaluate_candidate(
-                data, test, keys, vector, label, names, [*chosen, i], settings,
-                f"{scratch}/step{len(chosen)}_{i}", scoring, **options,
+            result = _validated(
+                data, test, keys, vector, label, names, [*chosen, i], settings, f"{scratch}/step{len(chosen)}_{i}",
+                written=True, **options,
             )
+            return i, {r["dataset"]: r[scoring] for r in M.fold_summary(result.scores, [scoring]).collect()}, result
 
         with ThreadPool(parallelism) as pool:
-            tried = pool.map(attempt, left)
+            found = pool.map(attempt, tried)
         # the first of equal candidates in name order wins
-        best, scores = max(tried, key=lambda t: (t[1]["Valid"], [-ord(c) for c in names[t[0]]]))
+        best, scores, result = max(found, key=lambda t: (t[1]["Valid"], [-ord(c) for c in names[t[0]]]))
         if scores["Valid"] <= current and len(chosen) >= min_features:
             break
         chosen.append(best)
         left.remove(best)
         current = scores["Valid"]
+        if shortlist is not None:
+            rest = data.join(result.train_predictions.select(*keys, F.col("p").alias("_p")), list(keys))
         steps.append(
             (len(chosen), names[best], [names[i] for i in chosen], scores.get("Train"), scores["Valid"],
              scores.get("Test_ensemble"), scores.get("Test_refit"))

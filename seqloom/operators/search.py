@@ -7,7 +7,7 @@ runs again makes the same choices.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,6 +149,19 @@ def score_candidates(
     return rows.withColumn("fitness", objective(settings))
 
 
+def average_of(predictors: Sequence[Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame], DataFrame]:
+    """Several models as one: a function that adds ``p``, the mean of theirs."""
+
+    def predict(df: DataFrame) -> DataFrame:
+        rows = df
+        for i, one in enumerate(predictors):
+            rows = one(rows).withColumnRenamed("p", f"_p{i}")
+        each = [F.col(f"_p{i}") for i in range(len(predictors))]
+        return rows.withColumn("p", sum(each[1:], each[0]) / len(each)).drop(*[f"_p{i}" for i in range(len(each))])
+
+    return predict
+
+
 def ranked(population: DataFrame) -> DataFrame:
     """Rank within each target by fitness; a target has as many rows as the population's set size."""
     order = W.partitionBy("target_id").orderBy("fitness", "seq", "member")

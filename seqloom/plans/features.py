@@ -439,3 +439,20 @@ def forest_attribution(spark, folder):
 
     out = mean_attributions(emb(spark, folder), "label", "x", small_forest(spark)).filter("total > 0")
     return out.select("label", "feature", r6(F.col("total") / F.col("n"), "attribution"))
+
+
+@query(
+    "residual_gains",
+    f"WITH {EMB}, rs AS (SELECT vec_id, y-1/(1+exp(-2*({FOREST_SUM}))) AS r, 1/(1+exp(-2*({FOREST_SUM}))) AS p FROM emb), "
+    "en AS (SELECT f, min(v) AS lo, max(v) AS hi FROM lf GROUP BY f), "
+    "c AS (SELECT lf.f, least(CAST(floor((v-lo)/(hi-lo)*32) AS INTEGER),31) AS bin, count(*) AS n, sum(-r) AS g, sum(p*(1-p)) AS h FROM lf JOIN en USING (f) JOIN rs USING (vec_id) GROUP BY 1,2), "
+    "a AS (SELECT x.f, x.bin, sum(z.n) FILTER (WHERE z.bin<=x.bin) AS ln, sum(z.g) FILTER (WHERE z.bin<=x.bin) AS lg, sum(z.h) FILTER (WHERE z.bin<=x.bin) AS lh, "
+    "sum(z.n) AS tn, sum(z.g) AS tg, sum(z.h) AS th FROM c x JOIN c z ON z.f=x.f GROUP BY 1,2) "
+    "SELECT CAST(f AS INTEGER) AS feature, round(coalesce(max(lg*lg/lh+(tg-lg)*(tg-lg)/(th-lh)-tg*tg/th) FILTER (WHERE ln>=20 AND tn-ln>=20),0),6) AS gain FROM a GROUP BY f",
+)
+def residual_gains(spark, folder):
+    """What each feature would still explain of what a model leaves over."""
+    from seqloom.operators.models import residual_gains as gains
+
+    rows = emb(spark, folder).withColumn("p", small_forest(spark).score("x"))
+    return gains(rows, "x", "y", "p").select("feature", r6("gain"))

@@ -153,6 +153,52 @@ def test_forward_selection_finds_the_signal(spark, data, tmp_path):
     assert steps[0]["feature"] in ("f0", "f1") and len(steps) <= 2
 
 
+def test_a_shortlist_looks_at_all_features(spark, data, tmp_path):
+    rows = K.stratified_folds(data, ["id"], "y", 2)
+    steps = B.forward_selection(
+        rows, None, ["id"], "x", "y", NAMES, replace(SETTINGS, iterations=2, depth=1), str(tmp_path), "AUROC",
+        max_features=2, shortlist=2, refit=False,
+    ).collect()
+    assert {s["feature"] for s in steps} == {"f0", "f1"}
+
+
+def test_stopping_on_other_metrics(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f, i, int(y), float(p)) for f in range(2) for i in range(1, 4) for y, p in zip(rng.integers(0, 2, 50), rng.random(50))]
+    df = spark.createDataFrame(rows, "fold int, iteration int, _y int, p double")
+    mine = lambda df, by, y, p: df.groupBy(*by).agg((1 - F.avg(F.pow(F.col(y) - F.col(p), 2))).alias("metric"))
+    for stop_on in ("AUROC", "MCC", "accuracy", mine):
+        got = {(r["fold"], r["iteration"]): r["metric"] for r in B.stopping_curve(df, stop_on).collect()}
+        assert len(got) == 6
+        if stop_on == "accuracy":
+            own = [(y, p) for f, i, y, p in rows if (f, i) == (0, 2)]
+            assert got[0, 2] == pytest.approx(np.mean([(p >= 0.5) == y for y, p in own]))
+    with pytest.raises(ValueError):
+        B.stopping_curve(df, "nonsense")
+
+
+def test_a_search_goes_on_from_its_ledger(spark, data, tmp_path, monkeypatch):
+    rows = cut(K.stratified_folds(data, ["id"], "y", 2))
+    settings = H.grid({"C": [1e-6, 1.0]})
+    plain = H.search(rows, "id", "x", "y", "fold", "logistic_l2", settings)
+    ledger = str(tmp_path / "ledger")
+    H.search(rows, "id", "x", "y", "fold", "logistic_l2", settings[:1], ledger=ledger)
+    fitted = []
+    fit = H._fit_predict
+    monkeypatch.setattr(H, "_fit_predict", lambda family, setting, *a: fitted.append(setting) or fit(family, setting, *a))
+    whole = H.search(rows, "id", "x", "y", "fold", "logistic_l2", settings, ledger=ledger)
+    assert fitted == [settings[1]] * 2
+    order = ["setting", "fold"]
+    assert whole.orderBy(*order).select("params", "fold", "MCC").collect() == plain.orderBy(*order).select("params", "fold", "MCC").collect()
+    assert H.search(rows, "id", "x", "y", "fold", "logistic_l2", settings, ledger=ledger).count() == 4 and len(fitted) == 2
+
+
+def test_several_predictors_are_averaged(spark):
+    df = spark.createDataFrame([(1, 0.2)], "id int, x double")
+    one, two = (lambda df: df.withColumn("p", F.col("x"))), (lambda df: df.withColumn("p", F.lit(0.6)))
+    assert G.average_of([one, two])(df).first().asDict() == {"id": 1, "x": 0.2, "p": 0.4}
+
+
 def test_search_over_settings(spark, data):
     rows = K.stratified_folds(data, ["id"], "y", 2)
     best = H.best_setting(H.search(rows, "id", "x", "y", "fold", "logistic_l2", H.grid({"C": [1e-6, 1.0]}))).first()
