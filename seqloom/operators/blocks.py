@@ -511,6 +511,53 @@ def dense_blocks(
     return per_string(df, keys, seq, "features array<double>", run, ROWS)
 
 
+#: Blocks that have a value, if only zero, for strings of any length.
+ANY_LENGTH = frozenset({"CTDD", "CKSAAP", "CKSAAGP", "QSOrder"})
+
+
+def least_length(block: str, feature: str) -> int:
+    """The shortest string that has the feature."""
+    if block in ANY_LENGTH:
+        return 0
+    if block == "KSCTriad":
+        return 2 * int(feature.rpartition(".gap")[2]) + 3
+    return {"DDE": 2, "ASDC": 2, "PAAC": 2, "APAAC": 2, "DPC": 2, "GDPC": 2, "CTDT": 2, "TPC": 3, "GTPC": 3, "CTriad": 3}.get(block, 1)
+
+
+def named_features(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], seq: str = "seq", out: str = "features", p: Parameters | None = None
+) -> DataFrame:
+    """(keys, out): the named features of every string as an array, null where a string is too short or a value undefined.
+
+    The blocks they belong to are counted in one pass over the strings.
+    """
+    own, where = p or Parameters(), {}
+    for block in descriptors(p).values():
+        where |= {f: (block, i) for i, f in enumerate(block.features)}
+    places = [where[f] for f in features]
+    least = np.array([least_length(b.name, f) for (b, _), f in zip(places, features)])
+    blocks = {b.name: b for b, _ in places}
+    columns = {}
+    for name, block in blocks.items():
+        columns[name] = np.full(len(block.features), -1)
+        for column, (b, i) in enumerate(places):
+            if b.name == name:
+                columns[name][i] = column
+
+    def run(s: Strings):
+        t = Tally(s, own)
+        m = np.zeros((len(s.n), len(places)))
+        for name, block in blocks.items():
+            row, place, value = block.cells(t)
+            column = columns[name][place]
+            m[row[column >= 0], column[column >= 0]] = value[column >= 0]
+        m[s.n[:, None] < least] = np.nan
+        ends = pa.array(np.arange(len(s.n) + 1, dtype=np.int32) * len(places))
+        yield np.arange(len(s.n)), [pa.ListArray.from_arrays(ends, pa.array(m.ravel(), pa.float64(), from_pandas=True))]
+
+    return per_string(df, keys, seq, f"{out} array<double>", run, ROWS)
+
+
 def long_cells(cells: DataFrame, keys: Sequence[str], names: DataFrame) -> DataFrame:
     """(keys, block, feature, value), one row per cell; ``names`` is the `dictionary`, whose size the blocks fix."""
     rows = cells.select(*keys, "block", F.inline(F.arrays_zip(F.col("places").alias("place"), F.col("values").alias("value"))))

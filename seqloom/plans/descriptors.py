@@ -597,7 +597,7 @@ def selected_out(prefix: str = "") -> str:
 
 @query("featurize_selected", SELECTED_SQL + f" SELECT doc_id, {selected_out()} FROM g")
 def featurize_selected(spark, folder):
-    out = X.featurize(seqs(spark, folder), DOC)
+    out = X.counted_features(seqs(spark, folder), DOC)
     return out.select("doc_id", *[r6(F.col(f"`{n}`"), X.column_name(n)) for n in SELECTED])
 
 
@@ -609,7 +609,7 @@ def featurize_selected(spark, folder):
     + " FROM g JOIN labels l USING (doc_id) GROUP BY l.quality, l.toxic",
 )
 def label_feature_means(spark, folder):
-    rows = X.featurize(labeled(spark, folder), ["quality", "toxic"])
+    rows = X.counted_features(labeled(spark, folder), ["quality", "toxic"])
     return rows.groupBy("quality", "toxic").agg(
         F.count("*").alias("n_rows"), *[r6(F.avg(F.col(f"`{n}`")), X.column_name(n)) for n in SELECTED]
     )

@@ -24,7 +24,7 @@ SETTINGS = B.BoostSettings(iterations=6, depth=3, min_rows=5, patience=3, positi
 
 def labeled_vectors(spark, folder):
     """(doc_id, features, y, fold): the selected features of every labeled text."""
-    rows = cut(X.model_vector(labeled(spark, folder)).select("doc_id", F.col("quality").alias("y"), "features"))
+    rows = cut(X.counted_vector(labeled(spark, folder)).select("doc_id", F.col("quality").alias("y"), "features"))
     return cut(K.stratified_folds(rows, ["doc_id"], "y", 3))
 
 

@@ -10,6 +10,7 @@ from seqloom.functions import lookups as L
 from seqloom.operators import blocks as B
 from seqloom.operators import composition as C
 from seqloom.operators import lags as G
+from seqloom.operators import selected as X
 from seqloom.operators import tables as T
 
 STD = L.standardized_rows()
@@ -95,6 +96,21 @@ def test_store(spark, strings, tmp_path):
         assert "Exchange" not in text and "PartitionFilters: [isnotnull(block" in text
 
 
+def test_selected_features_by_counts_and_by_expressions(spark):
+    strings = ["ACDEFGHIKLMNPQRSTVWYKRKR"[:i] for i in range(24)] + ["KKRRSS" * 9, "LLAALP"]
+    df = spark.createDataFrame(list(enumerate(strings)), "ID long, seq string")
+    want = {r["ID"]: r for r in X.featurize(df, ["ID"]).collect()}
+    got = X.counted_features(df, ["ID"]).collect()
+    assert len(got) == len(strings)
+    for r in got:
+        for name in X.SELECTED_NAMES:
+            assert r[name] == (None if want[r["ID"]][name] is None else pytest.approx(want[r["ID"]][name], abs=1e-9)), (r["ID"], name)
+    one, other = X.counted_vector(df), X.model_vector(df)
+    assert one.columns == other.columns
+    a, b = ({r["ID"]: r["features"] for r in rows.collect()} for rows in (one, other))
+    assert all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+
+
 def test_long_blocks_of_other_makers_still_join(spark):
     rows = spark.createDataFrame([(1, "b", 0.5), (1, "a", 2.0), (2, "a", 1.0)], "ID int, feature string, value double")
     joined = T.join_blocks([rows.filter("ID = 1"), rows.filter("ID = 2")], ["ID"])
