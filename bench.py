@@ -26,12 +26,15 @@ HEADLINE = [
     "featurize_selected",
     "join_blocks",
     "dense_vectors",
+    "all_blocks",
     "leakage_check",
     "stratified_folds",
     "auroc",
     "mutation_matrix",
     "pearson_matrix",
     "nmi_matrix",
+    "sampled_attribution",
+    "permutation_importance",
     "lof_score",
     "elite",
     "generation_log",

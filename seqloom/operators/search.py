@@ -170,8 +170,9 @@ def ranked(population: DataFrame) -> DataFrame:
 
 def elite(population: DataFrame, percent: int = 10) -> DataFrame:
     """The best ``percent`` of each target's members, rounded down."""
-    size = F.count("*").over(W.partitionBy("target_id"))
-    best = ranked(population.withColumn("_size", size))
+    order = W.partitionBy("target_id").orderBy("fitness", "seq", "member")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # in the same order, so one sort does
+    best = population.select("*", F.row_number().over(order).alias("place"), F.count("*").over(whole).alias("_size"))
     return best.filter(F.col("place") * 100 <= F.col("_size") * percent).drop("_size")
 
 
