@@ -22,6 +22,8 @@ from seqloom.functions.sequences import letters
 FIRST = ord("0")
 #: Letters that are counted together; a longer string is counted by itself.
 TOGETHER = 1 << 21
+#: Strings of a batch that become Python's at a time.
+SLICE = 256
 #: Rows of a lookup that is sent to all tasks; a longer one is joined.
 SENT = 1 << 20
 
@@ -70,17 +72,19 @@ def per_string(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.select(list(keys))
-            texts = batch.column("_seq").to_pylist()
-            start = size = 0
-            for i, one in enumerate(texts):
-                size += len(one)
-                if size >= TOGETHER or i + 1 == len(texts) or i + 1 - start == rows_together:
-                    own = held.slice(start, i + 1 - start)
-                    for which, columns in run(Strings(texts[start : i + 1])):
-                        taken = [c.take(pa.array(which)) for c in own.columns]
-                        yield pa.RecordBatch.from_arrays([*taken, *columns], [*keys, *names])
-                    start, size = i + 1, 0
+            held, column = batch.select(list(keys)), batch.column("_seq")
+            texts, size, done = [], 0, 0
+            for at in range(0, batch.num_rows, SLICE):  # only these become Python strings at a time
+                for one in column.slice(at, SLICE).to_pylist():
+                    texts.append(one)
+                    size += len(one)
+                    end = done + len(texts)
+                    if size >= TOGETHER or end == batch.num_rows or len(texts) == rows_together:
+                        own = held.slice(done, len(texts))
+                        for which, columns in run(Strings(texts)):
+                            taken = [c.take(pa.array(which)) for c in own.columns]
+                            yield pa.RecordBatch.from_arrays([*taken, *columns], [*keys, *names])
+                        texts, size, done = [], 0, end
 
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
