@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import fields, query, small, table, texts
 
-LEAF = 48
-#: Matches of up to so many characters are remembered, as many as fit in MEMORY entries.
+#: Bytes that are merged outright; longer matches are joined from halves.
+LEAF = 4
+#: Matches of up to so many characters, leaves and pairs of tokens are remembered, as many as fit in MEMORY entries each.
 SHORT, MEMORY = 64, 100_000
+#: Bytes up to which the lowest rank is looked for among all, without a heap.
+SCANNED = 64
 #: Ids that are handed over together.
 HANDED = 500_000
 
@@ -44,7 +47,8 @@ class Encoder:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
+        self.leaves: dict[bytes, list[int]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, part: bytes) -> list[int]:
@@ -53,6 +57,8 @@ class Encoder:
         n = len(part)
         if n < 2:
             return [ranks[part]] if n else []
+        if n <= SCANNED:
+            return self._scanned(part)
         ends = list(range(1, n + 1))  # token i covers part[i:ends[i]]
         before = list(range(-1, n - 1))
         alive = [True] * n
@@ -85,21 +91,41 @@ class Encoder:
             i = ends[i]
         return out
 
-    def settled(self, a: int, b: int) -> bool:
-        """Whether the merges keep ``a`` and ``b`` apart when they stand alone."""
+    def _scanned(self, part: bytes) -> list[int]:
+        ranks, none = self.ranks, 1 << 40
+        tokens = [part[i : i + 1] for i in range(len(part))]
+        own = [ranks.get(part[i : i + 2], none) for i in range(len(part) - 1)]
+        while own and (least := min(own)) < none:
+            i = own.index(least)
+            tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
+            del own[i]
+            if i:
+                own[i - 1] = ranks.get(tokens[i - 1] + tokens[i], none)
+            if i < len(own):
+                own[i] = ranks.get(tokens[i] + tokens[i + 1], none)
+        return [ranks[token] for token in tokens]
+
+    def pair(self, a: int, b: int) -> list[int]:
+        """What the merges make of the bytes of two tokens."""
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) > MEMORY:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b])
         return found
 
+    def settled(self, a: int, b: int) -> bool:
+        """Whether the merges keep ``a`` and ``b`` apart when they stand alone."""
+        return self.pair(a, b) == [a, b]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes together."""
+        if not left or not right:
+            return left + right
         size = 1
         while True:
             i, j = max(0, len(left) - size), min(len(right), size)
-            window = self.merge(self.decode(left[i:] + right[:j]))
+            window = self.pair(left[-1], right[0]) if size == 1 else self.merge(self.decode(left[i:] + right[:j]))
             if (i == 0 or self.settled(left[i - 1], window[0])) and (
                 j == len(right) or self.settled(window[-1], right[j])
             ):
@@ -108,7 +134,12 @@ class Encoder:
 
     def tree(self, part: bytes) -> list[int]:
         if len(part) <= LEAF:
-            return self.merge(part)
+            found = self.leaves.get(part)
+            if found is None:
+                if len(self.leaves) > MEMORY:
+                    self.leaves.clear()
+                found = self.leaves[part] = self.merge(part)
+            return found
         half = len(part) // 2
         return self.join(self.tree(part[:half]), self.tree(part[half:]))
 

@@ -70,3 +70,18 @@ def test_a_table_agrees_with_the_library(spark, library):
     for row in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
         ids = library.encode_ordinary(row.text or "")
         assert got[row.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_the_tree_joins_most_documents(spark, library):
+    from conftest import SMALL
+
+    encoder, joined, entered = bpe.Encoder(bpe.read_ranks(PATH), public_tokenizers.PATTERN), 0, []
+    join = encoder.join
+    encoder.join = lambda left, right: entered.append(1) or join(left, right)
+    texts = [row.text for row in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if row.text]
+    for text in texts:
+        encoder.known.clear()
+        entered.clear()
+        assert list(encoder.encode(text)) == library.encode_ordinary(text)
+        joined += bool(entered)
+    assert joined > 0.5 * len(texts)
