@@ -28,24 +28,34 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 #: (class, what a candidate of the class consists of, bits a window must reach); the first that fits holds.
 CLASSES = (
-    ("digits", r"^[0-9]+$", 9.0),
+    ("digits", r"^[0-9]+$", 2.6),
     ("hex", r"^[0-9a-fA-F]+$", 3.0),
-    ("letters", r"^[A-Za-z]+$", 4.1),
+    ("one case", r"^([a-z]+|[A-Z]+)$", 3.6),
+    ("letters", r"^[A-Za-z]+$", 3.7),
     ("alphanumeric", r"^[A-Za-z0-9]+$", 3.7),
     ("base64", r"^.*$", 3.8),
 )
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|1234567890|abcdefghij",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # identifiers of records, not keys
-    r"^[A-Za-z]+([/_=+-]+[A-Za-z]*)+$",  # words joined by signs: paths, headings, rules
+    # words joined by signs: paths, headings, rules; a word has one case, or humps of three letters and more
+    r"^(?=[A-Za-z/_=+-]*$)(?=.*[/_=+-])(?!.*([a-z][A-Z](?![a-z]{2})|[A-Z]{2}[a-z]))",
     r"^([^A-Za-z0-9]*)$",
 )
 
 _SPANS = "array<struct<start:int,end:int,piece:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: a lambda's variable is."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _placed(text: Column, matches: Column, pattern: str) -> Column:
-    """(start, end, piece) of each match, in code points."""
+    """(start, end, piece) of each match, in code points.
+
+    Lengths are summed within blocks of about the root of the number of matches, then over the blocks.
+    """
     pieces = F.zip_with(
         F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)),
         matches,
@@ -59,7 +69,30 @@ def _placed(text: Column, matches: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    placed = F.aggregate(pieces, zero, step, lambda done: done["spans"])
+
+    def in_blocks(pieces: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(pieces), width)
+        return F.transform(starts, lambda i: F.aggregate(F.slice(pieces, i, width), zero, step))
+
+    def moved(blocks: Column) -> Column:
+        begins = F.aggregate(
+            blocks,
+            F.array(F.lit(0)),
+            lambda done, block: F.concat(done, F.array(F.element_at(done, -1) + block["at"])),
+        )
+        return F.flatten(
+            F.zip_with(
+                blocks,
+                F.slice(begins, F.lit(1), F.size(blocks)),
+                lambda block, by: F.transform(
+                    block["spans"],
+                    lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["piece"].alias("piece")),
+                ),
+            )
+        )
+
+    placed = _bound(_bound(pieces, in_blocks), moved)
     return F.when(F.size(matches) > 0, placed).otherwise(F.array().cast(_SPANS))
 
 
@@ -67,38 +100,47 @@ def _nlogn(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
 
-def _count(window: Column, letter: Column) -> Column:
-    return F.size(F.filter(window, lambda x: x == letter))
-
-
 def highest_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """Bits of the window with the highest Shannon entropy; null for a candidate shorter than a window.
 
-    For window counts n that sum to w, the entropy is log2(w) - sum(n log2 n) / w, and the sum over characters
-    of n log2 n is the sum over positions of log2 n.
+    For window counts n that sum to w, the entropy is log2(w) - sum(n log2 n) / w.  The counts of the candidate's
+    characters are carried from window to window: one falls by one, one rises by one.
     """
 
     def of(letters: Column) -> Column:
-        first = F.slice(letters, 1, window)
-        start = F.aggregate(first, F.lit(0.0), lambda s, x: s + F.log2(_count(first, x).cast("double")))
+        return _bound(F.array_distinct(letters), lambda kinds: slid(kinds, letters))
 
-        def step(done: Column, i: Column) -> Column:
-            between = F.slice(letters, i + 1, F.lit(window - 1))
-            out = _count(between, F.element_at(letters, i)).cast("double")
-            into = _count(between, F.element_at(letters, i + window)).cast("double")
-            now = done["now"] - _nlogn(out + 1) + _nlogn(out) - _nlogn(into) + _nlogn(into + 1)
-            return F.struct(now.alias("now"), F.least(done["least"], now).alias("least"))
+    def slid(kinds: Column, letters: Column) -> Column:
+        codes = F.transform(letters, lambda x: F.array_position(kinds, x).cast("int"))
+        return _bound(codes, lambda codes: least_of(kinds, codes))
 
-        slides = F.when(F.size(letters) > window, F.sequence(F.lit(1), F.size(letters) - window)).otherwise(
+    def least_of(kinds: Column, codes: Column) -> Column:
+        first = F.slice(codes, 1, window)
+        counts = F.transform(kinds, lambda _, k: F.size(F.filter(first, lambda x: x == k + 1)))
+        return _bound(counts, lambda counts: bits(codes, counts))
+
+    def bits(codes: Column, counts: Column) -> Column:
+        start = F.aggregate(counts, F.lit(0.0), lambda s, n: s + _nlogn(n))
+
+        def step(done: Column, i: Column) -> Column:
+            gone, come = F.element_at(codes, i), F.element_at(codes, i + window)
+            out, into = F.element_at(done["counts"], gone), F.element_at(done["counts"], come)
+            now = done["now"] - _nlogn(out) + _nlogn(out - 1) - _nlogn(into) + _nlogn(into + 1)
+            moved = F.transform(
+                done["counts"], lambda n, k: n - (gone == k + 1).cast("int") + (come == k + 1).cast("int")
+            )
+            return F.when(gone == come, done).otherwise(
+                F.struct(now.alias("now"), F.least(done["least"], now).alias("least"), moved.alias("counts"))
+            )
+
+        slides = F.when(F.size(codes) > window, F.sequence(F.lit(1), F.size(codes) - window)).otherwise(
             F.array().cast("array<int>")
         )
-        least = F.aggregate(
-            slides, F.struct(start.alias("now"), start.alias("least")), step, lambda done: done["least"]
-        )
-        return F.when(F.size(letters) >= window, F.log2(F.lit(float(window))) - least / window)
+        zero = F.struct(start.alias("now"), start.alias("least"), counts.alias("counts"))
+        least = F.aggregate(slides, zero, step, lambda done: done["least"])
+        return F.when(F.size(codes) >= window, F.log2(F.lit(float(window))) - least / window)
 
-    # a lambda's variable is worked out once
-    return F.transform(F.array(F.split(candidate, "")), of)[0]
+    return _bound(F.split(candidate, ""), of)
 
 
 def _secretive(piece: Column) -> Column:

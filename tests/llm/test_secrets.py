@@ -100,3 +100,28 @@ def test_a_table(spark):
     assert len(got) == len(docs)
     for row in docs:
         check(got[row.doc_id], row.text)
+
+
+def test_many_matches_and_long_stretches(spark):
+    dice = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    text = " ".join(f"secret=abcdef{i} é" for i in range(40_000))
+    blob = "".join(dice.choice(letters) for _ in range(50_000))
+    got = {r.doc_id: r for r in secrets.find_secrets(documents(spark, [(1, text), (2, blob)])).collect()}
+    assert [(s.start, s.end) for s in got[1].assign] == [m.span() for m in ASSIGN.finditer(text)]
+    assert [(s.start, s.end) for s in got[2].entropy] == [(0, 50_000)]
+
+
+def test_every_class_reports_most_random_keys_and_no_words(spark):
+    dice = random.Random(4)
+    alphabets = {
+        "digits": ("0123456789", 0.1), "hex": ("0123456789abcdefABCDEF", 0.02), "lower": ("abcdefghijklmnopqrstuvwxyz", 0.5),
+        "mixed": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.12),
+        "base64": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 0.15),
+    }
+    for letters, share in alphabets.values():
+        keys = [(i, "".join(dice.choice(letters) for _ in range(20))) for i in range(1000)]
+        missed = sum(not r.entropy for r in secrets.find_secrets(documents(spark, keys)).collect() if not r.hex)
+        assert missed <= share * len(keys)
+    words = ["src/main/java/com/internationalization", "HTTP_RESPONSE_CODE_NOT_FOUND", "some-very-long-heading-of-a-page", "my/filePath/toSomething/Else"]
+    assert not any(r.entropy for r in secrets.find_secrets(documents(spark, list(enumerate(words)))).collect())
