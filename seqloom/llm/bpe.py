@@ -28,7 +28,7 @@ from seqloom.llm.common import fields, query, small, table, texts
 #: Bytes that are merged outright; longer matches are joined from halves.
 LEAF = 4
 #: Matches of up to so many characters, leaves and pairs of tokens are remembered, as many as fit in MEMORY entries each.
-SHORT, MEMORY = 64, 100_000
+SHORT, MEMORY = 64, 400_000
 #: Bytes up to which the lowest rank is looked for among all, without a heap.
 SCANNED = 64
 #: Ids that are handed over together.
@@ -40,6 +40,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Remembered(dict):
+    """Matches and their ids; one that is not known is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        return self.encode(match)
+
+
 class Encoder:
     """Merges, joins and decodes by one rank table."""
 
@@ -49,7 +60,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], list[int]] = {}
         self.leaves: dict[bytes, list[int]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Remembered(self.encode_match)
 
     def merge(self, part: bytes) -> list[int]:
         """Merge the neighbours of lowest rank, leftmost first, until none is in the table."""
@@ -122,48 +133,47 @@ class Encoder:
         """The encoding of two neighbours' bytes together."""
         if not left or not right:
             return left + right
+        window = self.pairs.get((left[-1], right[0])) or self.pair(left[-1], right[0])
         size = 1
         while True:
             i, j = max(0, len(left) - size), min(len(right), size)
-            window = self.pair(left[-1], right[0]) if size == 1 else self.merge(self.decode(left[i:] + right[:j]))
             if (i == 0 or self.settled(left[i - 1], window[0])) and (
                 j == len(right) or self.settled(window[-1], right[j])
             ):
                 return left[:i] + window + right[j:]
             size *= 2
+            window = self.merge(self.decode(left[-size:] + right[:size]))
 
     def tree(self, part: bytes) -> list[int]:
-        if len(part) <= LEAF:
-            found = self.leaves.get(part)
-            if found is None:
-                if len(self.leaves) > MEMORY:
-                    self.leaves.clear()
-                found = self.leaves[part] = self.merge(part)
-            return found
-        half = len(part) // 2
-        return self.join(self.tree(part[:half]), self.tree(part[half:]))
+        if len(part) > LEAF:
+            half = len(part) // 2
+            return self.join(self.tree(part[:half]), self.tree(part[half:]))
+        found = self.leaves.get(part)
+        if found is None:
+            if len(self.leaves) > MEMORY:
+                self.leaves.clear()
+            found = self.leaves[part] = self.merge(part)
+        return found
 
     def encode_match(self, match: str) -> tuple[int, ...]:
-        found = self.known.get(match)
-        if found is None:
-            part = match.encode("utf-8")
-            whole = self.ranks.get(part)
-            found = (whole,) if whole is not None else tuple(self.tree(part))
-            if len(match) <= SHORT:
-                if len(self.known) > MEMORY:
-                    self.known.clear()
-                self.known[match] = found
+        part = match.encode("utf-8")
+        whole = self.ranks.get(part)
+        found = (whole,) if whole is not None else tuple(self.tree(part))
+        if len(match) <= SHORT:
+            if len(self.known) > MEMORY:
+                self.known.clear()
+            self.known[match] = found
         return found
 
     def encode(self, text: str) -> array:
         """The ids of a text of any length; matches are taken in blocks."""
         out = array("i")
         if len(text) <= 1 << 20:
-            out.extend(chain.from_iterable(map(self.encode_match, self.pattern.findall(text))))
+            out.extend(chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text))))
             return out
         matches = self.pattern.finditer(text)
         while block := [m.group() for m in islice(matches, 1 << 16)]:
-            out.extend(chain.from_iterable(map(self.encode_match, block)))
+            out.extend(chain.from_iterable(map(self.known.__getitem__, block)))
         return out
 
     def decode(self, ids) -> bytes:
