@@ -428,7 +428,7 @@ def physicochemical(spark, folder):
         "doc_id",
         F.length(s).alias("Length"),
         r6(S.class_fraction(s, "FWY"), "Aromaticity"),
-        r6(S.letter_sum(s, L.hydropathy()) / F.length(s), "Hydrophobicity"),
+        r6(F.try_divide(S.letter_sum(s, L.hydropathy()), F.length(s)), "Hydrophobicity"),
         r6(S.net_charge(s, 7.4), "NetC"),
         F.round(S.letter_sum(s, L.residue_masses(), L.WATER_MASS), 4).alias("MW"),
     )

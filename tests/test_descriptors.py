@@ -13,6 +13,7 @@ from seqloom.operators import lags as G
 from seqloom.operators import search as E
 from seqloom.operators import selected as X
 from seqloom.operators.titration import charge_zero
+from seqloom.plans import descriptors as D
 
 STRINGS = ["RKKRRQARR", "A", "AS", "WFWFY", "LALPLAASDMDMTTR", "KRRKAKRKRR", "MKVLAAGIVGLLLAQWERTYIPASDFGHKLCVNM" * 3]
 
@@ -183,3 +184,20 @@ def test_short_strings(spark):
                       (6, 1, 4, 4.0), (6, 2, 3, 3.0), (6, 3, 2, 2.0)]
     vectors = X.model_vector(rows.filter("seq IS NOT NULL")).collect()
     assert all(v is not None and v == v for r in vectors for v in r["features"])
+
+
+@pytest.fixture(scope="module")
+def empty_texts(spark, tmp_path_factory):
+    """A folder whose documents have texts without a letter of the alphabet, or none."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    texts = [None, "", "123 !", "KRA", "AKRAKLLW"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_physicochemical_of_empty_texts(spark, empty_texts):
+    found = {r["doc_id"]: r for r in D.physicochemical(spark, empty_texts).collect()}
+    assert sorted(found) == [0, 1, 2, 3, 4]
+    assert all(found[i]["Length"] == 0 and found[i]["Hydrophobicity"] is None for i in (0, 1, 2))
+    mean = sum(L.hydropathy()[a] for a in "KRA") / 3
+    assert found[3]["Hydrophobicity"] == pytest.approx(mean, abs=1e-6)
