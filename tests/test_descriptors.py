@@ -201,3 +201,11 @@ def test_physicochemical_of_empty_texts(spark, empty_texts):
     assert all(found[i]["Length"] == 0 and found[i]["Hydrophobicity"] is None for i in (0, 1, 2))
     mean = sum(L.hydropathy()[a] for a in "KRA") / 3
     assert found[3]["Hydrophobicity"] == pytest.approx(mean, abs=1e-6)
+
+
+def test_legacy_features_of_empty_texts(spark, empty_texts):
+    texts = spark.read.parquet(f"{empty_texts}/documents.parquet")
+    rows = texts.select("doc_id", F.coalesce(S.clean_letters("text"), F.lit("")).alias("seq"))
+    found = {r["doc_id"]: r for r in X.featurize(rows, ["doc_id"], choose=X.legacy_features).collect()}
+    assert sorted(found) == [0, 1, 2, 3, 4]
+    assert all(found[i]["Geary.lag2"] is None for i in (0, 1, 2)) and found[4]["Geary.lag2"] is not None
