@@ -60,5 +60,7 @@ def at_generation(log: DataFrame, generation: int) -> DataFrame:
 
 def last_generation(log: DataFrame, target: str = "target_id") -> DataFrame:
     """Each target's last logged row, including those that stopped early."""
-    last = log.groupBy(F.col(target)).agg(F.max("generation").alias("generation"))
-    return log.join(last, [target, "generation"], "left_semi")
+    # a window, so that the log is made once
+    last = F.max("generation").over(W.partitionBy(target))
+    rows = log.filter(F.col(target).isNotNull()).withColumn("_last", last)
+    return rows.filter(F.col("generation") == F.col("_last")).drop("_last")

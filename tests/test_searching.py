@@ -1,7 +1,14 @@
-"""The search queries: what must not reach the driver."""
+"""The search queries: what must not reach the driver, how work spreads, and the batched forms of the string scores."""
+
+import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 
+from seqloom.functions import flat
+from seqloom.functions import lookups as L
+from seqloom.functions import sequences as S
+from seqloom.operators import search as G
 from seqloom.plans import searching as P
 
 
@@ -11,3 +18,51 @@ def plan(df):
 
 def test_incomplete_rows_are_found_without_a_broadcast(spark):
     assert "Broadcast" not in plan(P.drop_incomplete(spark, SMALL))
+
+
+@pytest.mark.parametrize("query", [P.unfinished, P.last_generation, P.log_mutations])
+def test_logs_are_joined_without_a_broadcast(spark, query):
+    assert "Broadcast" not in plan(query(spark, SMALL))
+
+
+def test_the_log_is_made_once(spark):
+    assert plan(P.last_generation(spark, SMALL)).count("SortAggregate") <= 2
+
+
+def test_candidates_spread_with_the_targets(spark, monkeypatch):
+    monkeypatch.setattr(P, "TARGETS_AT_ONCE", 5)
+    rows = P.targets(spark, SMALL)
+    n = rows.count()
+    assert rows.rdd.getNumPartitions() == max(8, -(-n // 5)) > 8
+    assert P.candidates(spark, SMALL).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+PAIRS = [("AC", "AD"), ("AC", "ACD"), ("", ""), ("", "A"), (None, "A"), (None, ""), (None, None), ("A", None), ("KKKK", "RKRK")]
+
+
+@pytest.mark.parametrize("extra", [[], [("äc", "aç"), ("日本", "日木語")]])
+def test_batched_strings_give_what_the_expressions_give(spark, extra, monkeypatch):
+    monkeypatch.setattr(flat, "LETTERS_AT_ONCE", 6)
+    df = spark.createDataFrame(PAIRS + extra, "a string, b string").coalesce(1)
+    values = L.hydropathy()
+    got = df.select(
+        S.hamming("a", "b").alias("h"), S.letter_sum("a", values, 0.5).alias("s"),
+        S.hamming("a", "b", batched=True).alias("hb"), S.letter_sum("a", values, 0.5, batched=True).alias("sb"),
+    ).collect()
+    assert [r["h"] for r in got] == [r["hb"] for r in got]
+    assert [r["s"] for r in got] == [r["sb"] for r in got]
+
+
+def test_alignment_of_unequal_strings_is_null(spark):
+    table = L.similarity_scores()
+    got = [r["s"] for r in spark.createDataFrame(PAIRS, "a string, b string").select(G.alignment_score("a", "b").alias("s")).collect()]
+    want = [None if a is None or b is None or len(a) != len(b) else float(sum(table[x, y] for x, y in zip(a, b))) for a, b in PAIRS]
+    assert got == want
+
+
+def test_a_target_without_letters_is_searched_without_an_error(spark, tmp_path):
+    rows = [(1, "salmon green"), (2, ""), (3, None), (4, "123")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["target_id"] for r in P.evolve_variants(spark, str(tmp_path)).collect()} <= {1}
+    kept = {r["target_id"] for r in P.drop_incomplete(spark, str(tmp_path)).collect()}
+    assert kept == {1}
