@@ -187,3 +187,29 @@ def test_skewed_lookup_equals_a_join(spark, monkeypatch):
     plain = sorted(map(tuple, rows.join(table, "k").collect()))
     monkeypatch.setattr(Q, "max", lambda a, b: b, raising=False)
     assert sorted(map(tuple, Q.skewed_lookup(rows, table, ["k"]).select("k", "id", "v").collect())) == plain
+
+
+def test_the_layout_of_a_histogram_is_not_joined_by_sorting_all_rows(spark):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.integers(0, 50, 4000) / 7, "b": rng.normal(size=300)}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "grp string, v double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = Q.histogram_entropy(df, ["grp"], "v")
+        got = {r["grp"]: (r["bins"], r["entropy"]) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    assert set(got) == {"a", "b"}
+    for g, v in values.items():
+        n = np.histogram(v, bins=got[g][0])[0] / len(v)
+        assert abs(got[g][1] + (n[n > 0] * np.log(n[n > 0])).sum()) < 0.02
+    # more groups than are sent
+    held, Q.GROUPS = Q.GROUPS, 1
+    try:
+        assert {r["grp"]: r["bins"] for r in Q.histogram_entropy(df, ["grp"], "v").collect()} == {g: b for g, (b, _) in got.items()}
+    finally:
+        Q.GROUPS = held
