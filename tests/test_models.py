@@ -425,3 +425,76 @@ def test_crossover_shares(spark):
     text = "".join(r[0] for r in df.select(G.crossover(F.col("a"), F.col("c"), F.col("id"))).collect())
     assert len(text) == 20000
     assert abs(text.count("A") / 20000 - 0.455) < 0.02 and abs(text.count("C") / 20000 - 0.455) < 0.02
+
+
+def test_votes_search_the_neighbours_once(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(v) for v in r], i % 2) for i, r in enumerate(rng.normal(size=(60, 3)))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    looked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            looked.add(batch.num_rows)
+            yield batch
+
+    asking = df.mapInArrow(count, df.schema)
+    assert len(N.knn_classify(asking, df, 5, "id", "x", "y", skip_self=True).collect()) == 60
+    assert looked.value == 60
+
+
+def test_queries_are_copied_to_groups_of_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(400, 32))  # every chunk can hold a neighbour
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    seen, plain = [], N.lined_up
+    monkeypatch.setattr(N, "HELD", 100)
+    monkeypatch.setattr(N, "LEAST", 30)
+    monkeypatch.setattr(N, "lined_up", lambda rows, asking, *a: seen.append(asking) or plain(rows, asking, *a))
+    for p in (1, 2):
+        got = N.knn_join(df, df, 5, "id", "x", p, True, broadcast_bytes=0, block_rows=8).collect()
+        assert {(r["query_id"], r["train_id"], r["place"]) for r in got} == brute(x, 5, p, True)
+    # groups of 12 chunks, and chunks around 50 pivots are half empty
+    assert len(seen) == 4 and seen[1].count() < 400 * 12
+
+
+@pytest.mark.parametrize("p", [1, 2])
+@pytest.mark.parametrize("kind", ["plain", "far off", "heavy tails", "flat", "one value", "tiny", "queries far out", "not finite"])
+def test_short_numbers_lose_no_neighbour(p, kind, monkeypatch):
+    if kind == "not finite" and p == 2:
+        pytest.skip("squares of rows that are not finite tell nothing; measured as before")
+    monkeypatch.setattr(N, "TILE", 64)
+    rng = np.random.default_rng(14)
+    q, t = rng.normal(size=(40, 16)), rng.normal(size=(500, 16))
+    if kind == "far off":
+        q, t = q * 1e-3 + 1e6, t * 1e-3 + 1e6
+    elif kind == "heavy tails":
+        q, t = q**9, t**9
+    elif kind == "flat":
+        q[:, 1:], t[:, 1:] = 0, 0
+    elif kind == "one value":
+        t[:] = 3.0
+    elif kind == "tiny":
+        q, t = q * 1e-20, t * 1e-20
+        t[0] = 1.0
+    elif kind == "queries far out":
+        q *= 1e9
+    elif kind == "not finite":
+        t[3, 2] = np.inf
+        t[7, 1] = np.nan
+    codes = np.arange(500) // 3
+    held = N.Held(t, p, codes)
+    own = rng.integers(0, 160, 40)
+    for part in (np.arange(500), np.arange(5, 500, 2)):
+        row, at, d = N.nearest(q, held, 6, p, None, own, rows=part)
+        with np.errstate(invalid="ignore"):
+            gap = q[:, None] - t[None, part]
+            far = np.abs(gap).sum(axis=2) if p == 1 else np.sqrt((gap * gap).sum(axis=2))
+        for i in range(40):
+            open_ = np.flatnonzero((codes[part] != own[i]) & ~np.isnan(far[i]))
+            want = part[open_[np.lexsort((open_, far[i][open_]))[:6]]]
+            assert at[row == i].tolist() == want.tolist()
+        limit = np.sort(far, axis=1)[:, 3]
+        row, at, d = N.nearest(q, t, 6, p, limit, rows=part)
+        within = [part[np.flatnonzero(far[i] <= limit[i])] for i in range(40)]
+        assert all(set(at[row == i]) <= set(within[i]) and (row == i).sum() == min(6, len(within[i])) for i in range(40))
