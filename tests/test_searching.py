@@ -1,5 +1,7 @@
 """The search queries: what must not reach the driver, how work spreads, and the batched forms of the string scores."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,44 @@ def test_a_target_without_letters_is_searched_without_an_error(spark, tmp_path):
     assert {r["target_id"] for r in P.evolve_variants(spark, str(tmp_path)).collect()} <= {1}
     kept = {r["target_id"] for r in P.drop_incomplete(spark, str(tmp_path)).collect()}
     assert kept == {1}
+
+
+def test_scores_are_made_with_the_variants(spark):
+    found = plan(P.fitness(spark, SMALL))
+    assert "MapInArrow" in found and "differing" not in found and "total_of" not in found
+
+
+@pytest.mark.parametrize("texts", [["ACD", "", None, "A", "zB", "WY" * 9], ["Aä", "日本C", None]])
+def test_single_variants_of_a_batch(texts, monkeypatch):
+    monkeypatch.setattr(flat, "LETTERS_AT_ONCE", 60)
+    got = [
+        x for row, place, letter, seq in flat.single_variants(pa.array(texts, pa.string()), L.LETTERS)
+        for x in zip(row.tolist(), place.tolist(), letter.tolist(), seq.to_pylist())
+    ]
+    assert got == [
+        (r, i, j, t[:i] + a + t[i + 1 :])
+        for r, t in enumerate(texts) for i, old in enumerate(t or "") for j, a in enumerate(L.LETTERS) if a != old
+    ]
+
+
+def test_variants_keep_their_targets_columns(spark):
+    rows = spark.createDataFrame([(None, "AC", "x"), (2, "", None), (3, None, "y")], "target_id int, target string, other string")
+    got = G.variants_single(rows)
+    assert got.columns == ["target_id", "target", "other", "pos", "letter", "seq"]
+    assert {(r["target_id"], r["other"], r["pos"]) for r in got.collect()} == {(None, "x", 1), (None, "x", 2)}
+    assert got.count() == 38
+
+
+def test_numbers_of_a_batch_are_rounded_as_columns_are(spark):
+    ties = [k / 1024 for k in range(-40, 40)] + [0.0009765625, 2.0000000005, 1.0000000015, -0.0, 1e-300, 3e15 + 0.5, 1e300]
+    x = np.array(ties + [float("nan"), float("inf")] + np.random.default_rng(1).normal(size=500).tolist())
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 9)).collect()]
+    assert np.array_equal(flat.half_up(x, 9), np.array(want), equal_nan=True)
+
+
+def test_distances_of_a_batch(spark):
+    rows = [("AC", "AD", 200.0), ("AC", "AD", 0.0), ("AC", "AD", None), ("AC", "A", 200.0), (None, "A", 1.0)]
+    df = spark.createDataFrame(rows, "a string, b string, s double").coalesce(1)
+    want = [r[0] for r in df.select(G.similarity_distance("a", "b", "s")).collect()]
+    a, b, s = (pa.array(list(x), k) for x, k in zip(zip(*rows), (pa.string(), pa.string(), pa.float64())))
+    assert G.similarity_distances()(a, b, s).to_pylist() == want
