@@ -1,5 +1,7 @@
 """The search queries: what must not reach the driver, how work spreads, and the batched forms of the string scores."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 
-from seqloom.functions import flat
+from seqloom.functions import digests, flat
 from seqloom.functions import lookups as L
 from seqloom.functions import sequences as S
 from seqloom.operators import search as G
@@ -109,3 +111,26 @@ def test_distances_of_a_batch(spark):
     want = [r[0] for r in df.select(G.similarity_distance("a", "b", "s")).collect()]
     a, b, s = (pa.array(list(x), k) for x, k in zip(zip(*rows), (pa.string(), pa.string(), pa.float64())))
     assert G.similarity_distances()(a, b, s).to_pylist() == want
+
+
+def test_digests_of_many_texts():
+    prefixes = [b"", b"1:", b"12:", b"12345678:", b"x" * 47, b"y" * 48, b"z" * 70, "ä:".encode()]
+    suffixes = [f"{m}:1:42:2".encode() for m in (1, 22, 333)]
+    want = [[int(hashlib.md5(p + s).hexdigest()[:8], 16) for s in suffixes] for p in prefixes]
+    assert digests.first_digits(prefixes, suffixes).tolist() == want
+
+
+def test_couples_are_drawn_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(G, "COUPLES", 8)
+    ids = [None, "7", "a long name " * 6]
+    rows = [(t, "AC", 200.0, None, m, s, float(m)) for t in ids for m, s in enumerate(["AA", "CC", None, "DD"])]
+    df = spark.createDataFrame(rows, "target_id string, target string, self_score double, initial_p double, member int, seq string, fitness double")
+    couples = G.parents(df, 5, 3, 2, 42)
+    assert "md5" not in plan(couples)
+    got = {(r["target_id"], r["member"]): (r["first"], r["second"]) for r in couples.collect()}
+
+    def draw(t, m, side):
+        text = f"{'' if t is None else t + ':'}{m}:2:42:{side}"
+        return ["AA", "CC", None][int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % 3]
+
+    assert got == {(t, m): (draw(t, m, 1), draw(t, m, 2)) for t in ids for m in range(1, 6)}
