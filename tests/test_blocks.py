@@ -6,12 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
+
 from seqloom.functions import lookups as L
 from seqloom.operators import blocks as B
 from seqloom.operators import composition as C
 from seqloom.operators import lags as G
 from seqloom.operators import selected as X
 from seqloom.operators import tables as T
+from seqloom.plans import blocks as PB
 
 STD = L.standardized_rows()
 STRINGS = ["ACDEFGHIKLMNPQRSTVWY" * 3, "AAAAAAAA", "KRKRDE", "AC", "W", "", None, "MKVLAAGIVGKRRDEWYFHH", "ACXBZ", "G" * 3000 + "KLMDE"]
@@ -117,3 +120,13 @@ def test_long_blocks_of_other_makers_still_join(spark):
     assert {r["ID"]: r["features"] for r in T.dense_features(joined, ["a", "b", "c"]).collect()} == {1: [2.0, 0.5, 0.0], 2: [1.0, 0.0, 0.0]}
     dense = T.dense_vectors(rows, T.feature_index(rows), ["ID"])
     assert {r["ID"]: r["features"] for r in dense.collect()} == {1: [2.0, 0.5], 2: [1.0, 0.0]}
+
+
+def test_full_rows_are_summed_in_batches(spark):
+    rows = [(1, [0.1, 0.2, 0.3]), (2, [None, 1.0, None]), (3, [1e16, 1.0, -1e16])]
+    df = spark.createDataFrame(rows, "id int, values array<double>")
+    got = df.select("id", PB.dense_sums([1, 2, 3])("values").alias("s"))
+    assert "zip_with" not in PB.dense_vectors(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: (r["s"]["total"], r["s"]["weighted"]) for r in got.collect()} == {
+        1: (0.1 + 0.2 + 0.3, 0.1 + 2 * 0.2 + 3 * 0.3), 2: (1.0, 2.0), 3: (1e16 + 1.0 - 1e16, 1e16 + 2.0 - 3e16),
+    }
