@@ -19,7 +19,8 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ RATE, FIRST = 0.03, 1e-6
 #: Characters that are hashed together, tokens that a task holds.
 TOGETHER, HELD = 1 << 18, 1 << 22
 PART = 1 << 14
+#: Tokens whose outputs are worked out together where no gradients are asked for, so that they stay in a core's cache.
+OUTPUTS = 1 << 10
 
 
 def tokens(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -49,7 +52,9 @@ def tokens(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[t
     hasher = WordHasher()
     for keys, group in grouped(batches, key, text, TOGETHER):
         words, begins = hasher.words(group)
-        yield keys, [np.append(words[a:b], np.uint64(END)) for a, b in zip(begins[:-1], begins[1:])]
+        words = np.insert(words, begins[1:], np.uint64(END))
+        begins = (begins + np.arange(len(begins))).tolist()
+        yield keys, [words[a:b] for a, b in zip(begins[:-1], begins[1:])]
 
 
 def count_words(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -101,13 +106,50 @@ class Vocabulary:
         """The code of every word outside the head; other codes beyond ``words`` are classes by frequency."""
         return self.words + self.bands
 
+    @property
+    def stored(self) -> dict:
+        """The fields alone, to be sent to tasks."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    @cached_property
+    def slots(self) -> tuple[np.uint64, np.ndarray]:
+        """A shift, and for each value of a hash's bits above it where such hashes begin: about one hash each."""
+        bits = len(self.hashes).bit_length()
+        shift = np.uint64(64 - bits)
+        held = np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << bits)
+        return shift, np.minimum(np.cumsum(held) - held, len(self.hashes) - 1).astype(np.int32)
+
+    def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the head each token would be, and whether it is there."""
+        shift, begins = self.slots
+        at = begins[found >> shift]
+        later = np.flatnonzero((self.hashes[at] < found) & (at < len(self.hashes) - 1))
+        while len(later):
+            at[later] += 1
+            later = later[(self.hashes[at[later]] < found[later]) & (at[later] < len(self.hashes) - 1)]
+        return at, self.hashes[at] == found
+
     def code(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code of each token, and its log10(c + 0.5) (0 in the tail)."""
         if not len(self.hashes):
             return np.full(len(found), self.tail, np.int32), np.zeros(len(found))
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        known = self.hashes[at] == found
-        return np.where(known, self.codes[at], self.tail).astype(np.int32), np.where(known, self.logs[at], 0.0)
+        at, known = self.find(found)
+        return np.where(known, self.codes[at], self.tail).astype(np.int32, copy=False), np.where(known, self.logs[at], 0.0)
+
+    def code_lists(self, lists: list[np.ndarray]) -> list[np.ndarray]:
+        """The codes alone of each list, looked up together."""
+        found = np.concatenate(lists)
+        codes = np.full(len(found), self.tail, np.int32)
+        if len(self.hashes):
+            at, known = self.find(found)
+            codes[known] = self.codes[at[known]]
+        return parted(codes, lists)
+
+
+def parted(values: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    """The values in stretches as long as the lists."""
+    ends = np.cumsum([0] + [len(x) for x in like]).tolist()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def head_of(counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -144,6 +186,46 @@ def head_of(counts: DataFrame) -> tuple[Vocabulary, int]:
     return found, 1 << 30 if least is None else least
 
 
+def cuts(n: int, most: int) -> Iterator[tuple[int, int]]:
+    """Begins and ends of even shares of ``n`` things, each of at most ``most``."""
+    k = -(-n // most)
+    for i in range(k):
+        yield i * n // k, (i + 1) * n // k
+
+
+def side_by_side(ends: list[int], most: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Stretches (number, begin, end) of at most ``most`` things between the ends, in groups of at most as many."""
+    held, n = [], 0
+    for k, (start, end) in enumerate(zip(ends[:-1], ends[1:])):
+        for a, b in ((0, end - start),) if 0 < end - start <= most else cuts(end - start, most):
+            if held and n + b - a > most:
+                yield held
+                held, n = [], 0
+            held.append((k, start + a, start + b))
+            n += b - a
+    if held:
+        yield held
+
+
+def softmax(logits: np.ndarray, own: np.ndarray, back: bool, alone: tuple[int, ...] = ()) -> np.ndarray:
+    """Natural log of the probability of row ``own`` in each column, each of which is a distribution of its own.
+
+    The logits are used up; with ``back`` they become the gradients of the negative sum.  Columns ``alone`` are added
+    up in pairs, as numpy adds an array of one column, the others row by row.
+    """
+    at = np.arange(len(own))
+    logits -= logits.max(0)
+    found = logits[own, at]
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    for i in alone:
+        total[i] = logits[:, i].sum()
+    if back:
+        logits /= total
+        logits[own, at] -= 1.0
+    return found - np.log(total)
+
+
 class Network:
     """A gated recurrent unit with a class-factored softmax; all parameters are views of one vector."""
 
@@ -173,20 +255,42 @@ class Network:
             self.word_bias[:] = np.log(padded.reshape(-1, IN_CLASS))
 
     def run(self, codes: np.ndarray, first: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step; ``codes`` and ``first`` (state starts anew) are steps x lanes."""
-        out = np.empty((len(codes), len(h), WIDTH), np.float32)
-        reads = self.inputs[codes]
-        for t in range(len(codes)):
-            h = h * ~first[t][:, None]
-            u = h @ self.state
-            gates = 0.5 + 0.5 * np.tanh(0.5 * (reads[t, :, : 2 * WIDTH] + u[:, : 2 * WIDTH]))
-            z, r = gates[:, :WIDTH], gates[:, WIDTH:]
-            n = np.tanh(reads[t, :, 2 * WIDTH :] + r * u[:, 2 * WIDTH :])
-            if keep is not None:
-                keep.append((h, u[:, 2 * WIDTH :], z, r, n))
-            h = n + z * (h - n)
-            out[t] = h
-        return out
+        """States after each step; ``codes`` and ``first`` (state starts anew) are steps x lanes.
+
+        Inside, lanes are columns, so that each gate lies in whole rows.
+        """
+        steps, n = codes.shape
+        held = 1 if keep is None else steps  # without gradients all steps share their room
+        out = np.empty((steps, WIDTH, n), np.float32)
+        told, gates = np.empty((held, 3 * WIDTH, n), np.float32), np.empty((held, 2 * WIDTH, n), np.float32)
+        news, less = np.empty((2, held, WIDTH, n), np.float32)
+        rooms = list(zip(told, told[:, : 2 * WIDTH], told[:, 2 * WIDTH :], gates, gates[:, :WIDTH], gates[:, WIDTH:], news, less))
+        rooms *= steps // held
+        state, on, anew, h = self.state.T.copy(), (~first).astype(np.float32), first.any(1).tolist(), np.ascontiguousarray(h.T)
+        state[: 2 * WIDTH] *= 0.5  # a gate is 0.5 + 0.5 tanh of half its sum
+        if keep is not None:
+            keep.append((h, out, told, gates, news, less))
+        for start in range(0, steps, WINDOW):
+            reads = np.ascontiguousarray(np.take(self.inputs, codes[start : start + WINDOW], axis=0).transpose(0, 2, 1))
+            reads[:, : 2 * WIDTH] *= 0.5
+            for t, (to_gates, to_new) in enumerate(zip(reads[:, : 2 * WIDTH], reads[:, 2 * WIDTH :]), start):
+                u, u_gates, u_new, g, z, r, new, change = rooms[t]
+                after = out[t]
+                if anew[t]:
+                    h = h * on[t]
+                np.matmul(state, h, out=u)
+                np.add(to_gates, u_gates, out=g)
+                np.tanh(g, out=g)
+                g *= 0.5
+                g += 0.5
+                np.multiply(r, u_new, out=new)
+                new += to_new
+                np.tanh(new, out=new)
+                np.subtract(h, new, out=change)
+                np.multiply(z, change, out=after)
+                after += new
+                h = after
+        return out.transpose(0, 2, 1)
 
     def class_of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < self.words, codes // IN_CLASS, self.word_classes + codes - self.words)
@@ -194,62 +298,102 @@ class Network:
     def log_probabilities(self, h: np.ndarray, codes: np.ndarray, grads: Network | None = None):
         """Natural log of P(class) P(word in class) of each row; a class by frequency counts as one word.
 
-        With ``grads``, also adds the gradients of their negative sum and returns those of ``h``.
+        With ``grads``, which holds zeros, also puts the gradients of their negative sum there and returns those of ``h``.
         """
         # classes x rows: sums over classes then run along whole rows
-        rows = np.arange(len(codes))
+        found, back = np.empty(len(codes), np.float32), None
+        most = OUTPUTS if grads is None else max(1, len(codes))
         own = self.class_of(codes)
-        logits = self.to_class.T @ h.T + self.class_bias[:, None]
-        logits -= logits.max(0)
-        p = np.exp(logits)
-        total = p.sum(0)
-        found = logits[own, rows] - np.log(total)
-        back = None
-        if grads is not None:
-            p /= total
-            p[own, rows] -= 1.0
-            grads.to_class += (p @ h).T
-            grads.class_bias += p.sum(1)
-            back = (self.to_class @ p).T
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(self.word_classes + 1))
-        sorted_h, word = h[order], codes[order] % IN_CLASS
-        for k in range(self.word_classes):
-            start, end = ends[k], ends[k + 1]
-            if start == end:
-                continue
-            at, of, held = order[start:end], sorted_h[start:end], word[start:end]
-            logits = self.to_word[k].T @ of.T + self.word_bias[k][:, None]
-            logits -= logits.max(0)
-            p = np.exp(logits)
-            total = p.sum(0)
-            found[at] += logits[held, rows[: end - start]] - np.log(total)
+        for a, b in cuts(len(codes), most):
+            p = self.to_class.T @ h[a:b].T
+            p += self.class_bias[:, None]
+            found[a:b] = softmax(p, own[a:b], grads is not None)
             if grads is not None:
-                p /= total
-                p[held, rows[: end - start]] -= 1.0
-                grads.to_word[k] += (p @ of).T
-                grads.word_bias[k] += p.sum(1)
-                back[at] += (self.to_word[k] @ p).T
+                grads.to_class += (p @ h).T
+                grads.class_bias += p.sum(1)
+                back = np.ascontiguousarray((self.to_class @ p).T)
+        order = np.argsort(own.astype(np.min_scalar_type(self.classes)), kind="stable")
+        ends = np.searchsorted(own[order], np.arange(self.word_classes + 1)).tolist()
+        order = order[: ends[-1]]
+        sorted_h, word = np.take(h, order, axis=0), codes[order] % IN_CLASS
+        for group in side_by_side(ends, most):
+            start, end = group[0][1], group[-1][2]
+            p = np.empty((end - start, IN_CLASS), np.float32)
+            for k, a, b in group:
+                q = p[a - start : b - start]
+                np.matmul(sorted_h[a:b], self.to_word[k], out=q)
+                q += self.word_bias[k]
+            p = np.ascontiguousarray(p.T)
+            alone = tuple(a - start for _, a, b in group if b == a + 1)
+            found[order[start:end]] += softmax(p, word[start:end], grads is not None, alone)
+            if grads is not None:
+                of_h = np.empty((WIDTH, end - start), np.float32)
+                for k, a, b in group:
+                    q = p[:, a:b]
+                    np.matmul(sorted_h[a:b].T, q.T, out=grads.to_word[k])
+                    np.add.reduce(q, 1, out=grads.word_bias[k])
+                    np.matmul(self.to_word[k], q, out=of_h[:, a:b])
+                back[order] += of_h.T
         return found, back
 
-    def backward(self, codes: np.ndarray, first: np.ndarray, keep: list, back: np.ndarray, grads: Network) -> None:
-        """Gradients through the window's steps."""
-        d = np.zeros_like(back[0])
-        reads = np.empty((len(codes), back.shape[1], 3 * WIDTH), np.float32)
-        for t in range(len(codes) - 1, -1, -1):
-            d = d + back[t]
-            h, un, z, r, n = keep[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            reads[t] = np.concatenate([dz, dr, dn], 1)
-            du = np.concatenate([dz, dr, dn * r], 1)
-            grads.state += h.T @ du
-            d = (d * z + du @ self.state.T) * ~first[t][:, None]
+    def backward(self, codes: np.ndarray, first: np.ndarray, keep: list, back: np.ndarray, grads: Network) -> np.ndarray:
+        """Gradients through the window's steps, put where ``grads`` holds zeros; returns the codes read: other inputs have none."""
+        h, out, told, gates, news, less = keep[0]
+        steps, n = codes.shape
+        on, anew = (~first).astype(np.float32), first.any(1).tolist()
+        back, others, slopes = np.ascontiguousarray(back.transpose(0, 2, 1)), 1 - gates, 1 - news * news
+        du, ahead = np.empty((steps, 3 * WIDTH, n), np.float32), np.empty((steps, WIDTH, n), np.float32)
+        rows, (d, of_state) = np.empty((steps, n, 3 * WIDTH), np.float32), np.zeros((2, WIDTH, n), np.float32)
+        parts = (back, rows, less, told[:, 2 * WIDTH :], gates, gates[:, :WIDTH], gates[:, WIDTH:], others, others[:, :WIDTH], slopes, ahead,
+                 du, du[:, :WIDTH], du[:, WIDTH : 2 * WIDTH], du[:, : 2 * WIDTH], du[:, 2 * WIDTH :])
+        steps_back = zip(range(steps - 1, -1, -1), *(x[::-1] for x in parts))
+        for t, told_back, row, change, un, g, z, r, not_g, not_z, slope, dn, own, dz, dr, pair, dun in steps_back:
+            d += told_back
+            np.multiply(d, not_z, out=dn)
+            dn *= slope
+            np.multiply(d, change, out=dz)
+            np.multiply(dn, un, out=dr)
+            pair *= g
+            pair *= not_g
+            np.multiply(dn, r, out=dun)
+            row[:] = own.T
+            np.matmul(self.state, row.T, out=of_state)
+            d *= z
+            d += of_state
+            if anew[t]:
+                d *= on[t]
+        before = np.empty((steps, n, WIDTH), np.float32)
+        before[0], before[1:] = h.T, out[:-1].transpose(0, 2, 1)
+        before *= on[:, :, None]
+        grads.state += np.ascontiguousarray(np.matmul(du, before)[::-1]).sum(0).T  # the last step first
+        rows[:, :, 2 * WIDTH :] = ahead.transpose(0, 2, 1)
         flat = codes.ravel()
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads.inputs[flat[order][starts]] += np.add.reduceat(reads.reshape(-1, 3 * WIDTH)[order], starts)
+        order = np.argsort(flat.astype(np.min_scalar_type(len(self.inputs))), kind="stable")
+        read = flat[order]
+        starts = np.flatnonzero(np.diff(read, prepend=-1))
+        sizes, rows = np.diff(starts, append=len(read)), rows.reshape(-1, 3 * WIDTH)
+        sums, many = np.take(rows, order[starts], axis=0), sizes > 1  # most codes are read once
+        if many.any():
+            again = np.take(rows, order[np.repeat(many, sizes)], axis=0)
+            sums[many] = np.add.reduceat(again, np.cumsum(sizes[many]) - sizes[many])
+        grads.inputs[read[starts]] = sums
+        return read[starts]
+
+    def descend(self, grads: Network, squares: np.ndarray, read: np.ndarray, n: int) -> None:
+        """A step against the gradients over ``n`` tokens, which become zeros; of the inputs, only those read have any."""
+        n, size = np.float32(n), self.inputs.size
+        g, own = grads.inputs[read] / n, squares[:size].reshape(self.inputs.shape)
+        sums = own[read] + g * g
+        own[read] = sums
+        self.inputs[read] -= RATE * g / np.sqrt(sums)
+        grads.inputs[read] = 0
+        g, own = grads.flat[size:], squares[size:]
+        g /= n
+        own += g * g
+        g *= RATE
+        g /= np.sqrt(own)
+        self.flat[size:] -= g
+        g[:] = 0
 
 
 def lanes(lists: list[np.ndarray], n: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -286,14 +430,14 @@ def train(docs: DataFrame, v: Vocabulary, scratch: Scratch, key: str, text: str)
     """The parameters after ROUNDS rounds; each round trains on other documents, whole ones, and all rounds on all."""
     spark = docs.sparkSession
     flat = Network(v).flat
-    words = spark.sparkContext.broadcast(vars(v))  # at most HEAD words
+    words = spark.sparkContext.broadcast(v.stored)  # at most HEAD words
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Vocabulary(**words.value)
             net, seen = Network(own, start.value), 0
-            squares = np.full(net.size, FIRST, np.float32)
+            squares, grads = np.full(net.size, FIRST, np.float32), Network(own, np.zeros(net.size, np.float32))
             held, n = [], 0
 
             def learn():
@@ -302,22 +446,23 @@ def train(docs: DataFrame, v: Vocabulary, scratch: Scratch, key: str, text: str)
                 for read, tell, owner, first in lanes(held, LANES_IN_TRAINING):
                     read = np.where(first, end, read)
                     state = np.zeros((read.shape[1], WIDTH), np.float32) if state is None else state
-                    grads, keep = Network(own, np.zeros(net.size, np.float32)), []
+                    keep: list = []
                     states = net.run(read, first, state, keep)
                     live = owner.ravel() >= 0
-                    back = np.zeros((live.size, WIDTH), np.float32)
+                    tokens_here = int(live.sum())
+                    if tokens_here == live.size:
+                        live = slice(None)
+                    back = np.zeros((owner.size, WIDTH), np.float32)
                     _, back[live] = net.log_probabilities(states.reshape(-1, WIDTH)[live], tell.ravel()[live], grads)
-                    net.backward(read, first, keep, back.reshape(states.shape), grads)
-                    grads.flat /= live.sum()
-                    squares[:] += grads.flat * grads.flat
-                    net.flat -= RATE * grads.flat / np.sqrt(squares)
+                    codes = net.backward(read, first, keep, back.reshape(states.shape), grads)
+                    net.descend(grads, squares, codes, tokens_here)
                     state = states[-1]
 
             for _, lists in tokens(batches, key, text):
-                for one in lists:
-                    if (int(one[0] ^ np.uint64(len(one))) + turn) % ROUNDS == 0:
-                        held.append(own.code(one)[0])
-                        n += len(one)
+                some = [x for x in lists if (int(x[0] ^ np.uint64(len(x))) + turn) % ROUNDS == 0]
+                if some:
+                    held += own.code_lists(some)
+                    n += sum(map(len, some))
                 if n >= HELD // 4:
                     learn()
                     seen, held, n = seen + n, [], 0
@@ -340,7 +485,7 @@ def train(docs: DataFrame, v: Vocabulary, scratch: Scratch, key: str, text: str)
 def score_head(docs: DataFrame, v: Vocabulary, flat: np.ndarray, key: str, text: str) -> DataFrame:
     """For each row what the head and the network say, and the words that are left to the tail's counts."""
     kind = docs.schema[key].dataType.simpleString()
-    words, parameters = (docs.sparkSession.sparkContext.broadcast(x) for x in (vars(v), flat))
+    words, parameters = (docs.sparkSession.sparkContext.broadcast(x) for x in (v.stored, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(**words.value)
@@ -350,9 +495,27 @@ def score_head(docs: DataFrame, v: Vocabulary, flat: np.ndarray, key: str, text:
         end = own.code(np.array([END], np.uint64))[0][0]
         held: list = []
 
+        def counted(lists):
+            """Codes of a group's texts, and what the head's counts say of each: base, known, shares of classes; the tail's words."""
+            h, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
+            code, log = own.code(h)
+            of = np.repeat(np.arange(len(lists)), sizes)
+            tail = np.flatnonzero(code == own.tail)
+            rare = np.flatnonzero((code >= own.words) & (code != own.tail))
+            base = np.add.reduceat(log, np.cumsum(sizes) - sizes) - sizes * math.log10(own.total)
+            tails = np.bincount(of[tail], minlength=len(lists))
+            # inside a class by frequency a word has its share of the class
+            shares = np.bincount(of[rare], log[rare] - log_mass[own.word_classes + code[rare] - own.words], len(lists))
+            of, h = of[tail], h[tail]
+            order = np.lexsort((h, of))
+            of, h = of[order], h[order]
+            begins = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1]))[: len(h)])
+            words, times = h[begins].view(np.int64), np.diff(begins, append=len(h))
+            return parted(code, lists), base, sizes - tails, shares - tails * log_mass[-1], words, times, np.bincount(of[begins], minlength=len(lists))
+
         def out():
-            keys = pa.concat_arrays([k for k, *_ in held])
-            codes = [c for _, lists, *_ in held for c in lists]
+            keys, rids, lists, base, known, shares, words, times, distinct = zip(*held)
+            codes = [c for group in lists for c in group]
             score = np.zeros(len(codes))
             state = None
             for read, tell, owner, first in lanes(codes, LANES, 4 * WINDOW):
@@ -364,45 +527,26 @@ def score_head(docs: DataFrame, v: Vocabulary, flat: np.ndarray, key: str, text:
                 found, _ = net.log_probabilities(states.reshape(-1, WIDTH)[live], tell.ravel()[live])
                 score += np.bincount(owner.ravel()[live], found.astype(np.float64), len(codes))
             score *= tenth
-            base, known, left, times, ends = np.zeros(len(codes)), [], [], [], [0]
-            i = 0
-            for _, lists, hashes, logs in held:
-                for code, h, log in zip(lists, hashes, logs):
-                    tail = code == own.tail
-                    rare = (code >= own.words) & ~tail
-                    base[i] = log.sum() - len(code) * math.log10(own.total)
-                    # inside a class by frequency a word has its share of the class
-                    score[i] += log[rare].sum() - log_mass[own.word_classes + code[rare] - own.words].sum()
-                    score[i] -= tail.sum() * log_mass[-1]
-                    some, n = np.unique(h[tail], return_counts=True)
-                    left.append(some)
-                    times.append(n)
-                    ends.append(ends[-1] + len(some))
-                    known.append(len(code) - int(tail.sum()))
-                    i += 1
-            where = pa.array(np.array(ends, np.int32))
+            score += np.concatenate(shares)
+            where = pa.array(np.append(0, np.cumsum(np.concatenate(distinct))).astype(np.int32))
             return pa.RecordBatch.from_arrays(
-                [keys, pa.concat_arrays(rids),
-                 pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score),
-                 pa.ListArray.from_arrays(where, pa.array(np.concatenate(left).view(np.int64))),
+                [pa.concat_arrays(keys), pa.concat_arrays(rids), pa.array([len(c) for c in codes], pa.int64()),
+                 pa.array(np.concatenate(known).astype(np.int64)), pa.array(np.concatenate(base)), pa.array(score),
+                 pa.ListArray.from_arrays(where, pa.array(np.concatenate(words))),
                  pa.ListArray.from_arrays(where, pa.array(np.concatenate(times).astype(np.int64)))],
                 [key, "rid", "n_tokens", "known", "base", "score", "words", "times"],
             )
 
-        rids: list = []
         n = 0
         for batch in batches:
             start = 0
             for keys, lists in tokens(iter([batch]), key, text):
-                coded = [own.code(x) for x in lists]
-                held.append((keys, [c for c, _ in coded], lists, [g for _, g in coded]))
-                rids.append(batch.column("rid").slice(start, len(lists)))
+                held.append((keys, batch.column("rid").slice(start, len(lists)), *counted(lists)))
                 start += len(lists)
                 n += sum(map(len, lists))
                 if n >= HELD:
                     yield out()
                     held.clear()
-                    rids.clear()
                     n = 0
         if held:
             yield out()

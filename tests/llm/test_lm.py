@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter
@@ -144,6 +145,56 @@ def test_gradients():
         assert math.isclose((up - down) / (2 * step), getattr(grads, name).reshape(-1)[where], rel_tol=0.02, abs_tol=1e-3)
 
 
+def small_vocabulary(words=40, bands=3, classes=5):
+    return lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0), words, bands, np.ones(classes), np.ones(words), 60, 20)
+
+
+def test_a_step_moves_what_has_gradients():
+    """The inputs of words that were not read keep their place, and every value moves as in a step over all of them."""
+    v = small_vocabulary()
+    dice = np.random.default_rng(3)
+    net = lm.Network(v, dice.standard_normal(lm.Network(v).size) * 0.3)
+    read = np.array([0, 7, 42])
+    grads = lm.Network(v, dice.standard_normal(net.size))
+    grads.inputs[np.setdiff1d(np.arange(len(grads.inputs)), read)] = 0
+    squares = np.full(net.size, 1e-6, np.float32)
+    g = grads.flat / np.float32(9)
+    sums = squares + g * g
+    want = net.flat - lm.RATE * g / np.sqrt(sums)
+    net.descend(grads, squares, read, 9)
+    assert np.array_equal(net.flat, want) and np.array_equal(squares, sums) and not grads.flat.any()
+
+
+def test_codes_are_those_of_a_search():
+    dice = np.random.default_rng(5)
+    crowd = np.uint64(1 << 63) + dice.integers(0, 1 << 20, 300).astype(np.uint64)  # all in one slot
+    hashes = np.unique(np.concatenate([crowd, dice.integers(0, 1 << 64, 700, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+    for known in (hashes, hashes[1:-1], hashes[:1], hashes[-1:]):
+        codes, logs = dice.permutation(len(known)).astype(np.int32), dice.random(len(known))
+        v = lm.Vocabulary(known, codes, logs, len(known), 0, np.ones(1), np.ones(1), 1, 1)
+        found = np.concatenate([hashes, hashes + np.uint64(1), hashes - np.uint64(1), dice.integers(0, 1 << 64, 500, np.uint64)])
+        where = {int(h): i for i, h in enumerate(known)}
+        want = [(codes[where[int(h)]], logs[where[int(h)]]) if int(h) in where else (v.tail, 0.0) for h in found]
+        code, log = v.code(found)
+        assert [*zip(code.tolist(), log.tolist())] == want
+        assert np.concatenate(v.code_lists([found[:9], found[9:9], found[9:]])).tolist() == code.tolist()
+
+
+def test_outputs_of_many_rows_are_worked_out_a_few_at_a_time():
+    """The softmax of all rows at once leaves a core's cache: 20,000 rows would take over 3 MB for each of its arrays."""
+    v = small_vocabulary()
+    dice = np.random.default_rng(2)
+    net = lm.Network(v, dice.standard_normal(lm.Network(v).size) * 0.3)
+    h, codes = dice.standard_normal((20_000, lm.WIDTH)).astype(np.float32), np.append(np.full(16_000, 3), dice.integers(0, 44, 4_000))
+    net.log_probabilities(h[:2], codes[:2])
+    tracemalloc.start()
+    found, _ = net.log_probabilities(h, codes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4e6
+    assert np.allclose(found[::500], [net.log_probabilities(h[i : i + 1], codes[i : i + 1])[0][0] for i in range(0, 20_000, 500)], atol=1e-5)
+
+
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert lm.score(none, none).count() == 0
