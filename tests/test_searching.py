@@ -1,6 +1,7 @@
 """The search queries: what must not reach the driver, how work spreads, and the batched forms of the string scores."""
 
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from conftest import SMALL
 from seqloom.functions import digests, flat
 from seqloom.functions import lookups as L
 from seqloom.functions import sequences as S
+from seqloom.operators import models as B
 from seqloom.operators import search as G
 from seqloom.plans import searching as P
 
@@ -134,3 +136,15 @@ def test_couples_are_drawn_in_batches(spark, monkeypatch):
         return ["AA", "CC", None][int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % 3]
 
     assert got == {(t, m): (draw(t, m, 1), draw(t, m, 2)) for t in ids for m in range(1, 6)}
+
+
+def test_the_search_learns_with_the_default_settings(spark, monkeypatch):
+    used, train = [], B.train_stumps
+
+    def few(rows, vector, label, settings):
+        used.append(settings)
+        return train(rows, vector, label, replace(settings, iterations=2))
+
+    monkeypatch.setattr(B, "train_stumps", few)
+    P.trained(spark, SMALL)
+    assert used == [B.BoostSettings()]
