@@ -130,3 +130,23 @@ def test_full_rows_are_summed_in_batches(spark):
     assert {r["id"]: (r["s"]["total"], r["s"]["weighted"]) for r in got.collect()} == {
         1: (0.1 + 0.2 + 0.3, 0.1 + 2 * 0.2 + 3 * 0.3), 2: (1.0, 2.0), 3: (1e16 + 1.0 - 1e16, 1e16 + 2.0 - 3e16),
     }
+
+
+def test_some_cells_of_a_block():
+    rng = np.random.default_rng(4)
+    texts = ["", "A", "AC", "ACD", "XBX"] + ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWYX"), n)) for n in rng.integers(0, 40, 40)] + ["ACDGILMS" * 900]
+    strings, p = C.Strings(texts), B.Parameters()
+    for block in B.descriptors().values():
+        row, place, value = block.cells(B.Tally(strings, p))
+        whole = np.zeros((len(texts), len(block.features)))
+        whole[row, place] = value
+        for n in (1, 3, len(block.features)):
+            some = np.sort(rng.choice(len(block.features), min(n, len(block.features)), replace=False))
+            got = block.values(B.Tally(strings, p, few=True), some)
+            assert np.allclose(got, whole[:, some], rtol=1e-12, atol=1e-12, equal_nan=True), block.name
+
+
+def test_named_features_do_not_count_every_cell():
+    where = {f: b for b in B.descriptors().values() for f in b.features}
+    wide = {where[f].name for f in X.SELECTED_NAMES if len(where[f].features) > 100}
+    assert wide and all(B.descriptors()[name].some for name in wide)

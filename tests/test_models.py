@@ -498,3 +498,34 @@ def test_short_numbers_lose_no_neighbour(p, kind, monkeypatch):
         row, at, d = N.nearest(q, t, 6, p, limit, rows=part)
         within = [part[np.flatnonzero(far[i] <= limit[i])] for i in range(40)]
         assert all(set(at[row == i]) <= set(within[i]) and (row == i).sum() == min(6, len(within[i])) for i in range(40))
+
+
+def test_boxes_give_the_nearest_rows():
+    rng = np.random.default_rng(6)
+    near = np.round(rng.normal(size=(700, 6)) * [30, 1, 9, 0, 100, 2])
+    rows = np.vstack([near, near[:50], np.repeat(near[:1], 60, axis=0)])
+    for x, k in ((rows, 20), (rows, 1), (rows[:25], 20), (rows[:25], 40), (np.vstack([near[:100], np.full((1, 6), np.inf)]), 5)):
+        for q in (np.round(rng.normal(size=(600, 6)) * 20), rows[:90], rows[:0]):
+            got, want = N.Boxed(x).top_k(q, k), N.top_k(q, x, k, 2)
+            assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    boxed, looked = N.Boxed(near), []
+    whole = N.Held.pairs
+    N.Held.pairs = lambda *a: looked.append(1) or whole(*a)
+    try:
+        boxed.top_k(near[:300], 20)
+    finally:
+        N.Held.pairs = whole
+    assert not looked and len(boxed.rows) > 16
+
+
+def test_two_leaf_trees_are_steps():
+    rng = np.random.default_rng(7)
+    leaf = {"left": np.array([-1]), "right": np.array([-1]), "feature": np.array([-1]), "cut": np.zeros(1)}
+    trees = [
+        {"prediction": rng.normal(size=3), "left": np.array([2, -1, -1]), "right": np.array([1, -1, -1]), "weight": 0.1,
+         "feature": np.array([rng.integers(4), -1, -1]), "cut": np.array([rng.integers(6) / 2, 0, 0])} for _ in range(200)
+    ] + [leaf | {"prediction": rng.normal(size=1), "weight": 1.0}]
+    x = rng.integers(0, 8, (300, 4)) / 2
+    x[0, :2] = np.nan
+    forest = B.Forest(trees)
+    assert np.allclose(forest.total(x), forest.margins(x)[:, -1], rtol=0, atol=1e-12)

@@ -148,3 +148,61 @@ def test_the_search_learns_with_the_default_settings(spark, monkeypatch):
     monkeypatch.setattr(B, "train_stumps", few)
     P.trained(spark, SMALL)
     assert used == [B.BoostSettings()]
+
+
+@pytest.fixture
+def few_trees(monkeypatch):
+    train = B.train_stumps
+    monkeypatch.setattr(B, "train_stumps", lambda rows, vector, label, settings: train(rows, vector, label, replace(settings, iterations=2)))
+
+
+@pytest.mark.parametrize("query", [P.score_candidates, P.objective])
+def test_candidates_are_scored_without_a_join(spark, few_trees, query):
+    found = plan(query(spark, SMALL))
+    assert "Join" not in found and found.count("Exchange") == 1
+
+
+def test_a_target_that_comes_twice_meets_both(spark):
+    rows = spark.createDataFrame([(1, "AC", 1.0), (1, "DE", 2.0), (2, "F", 3.0), (None, "G", 4.0)], "target_id int, target string, s double")
+    want = rows.select("target_id", "target").join(rows.select("target_id", "s"), "target_id")
+    assert sorted(map(tuple, G.with_each(rows, "s").collect())) == sorted(map(tuple, want.collect()))
+
+
+def dice(text, first, sides):
+    return int(hashlib.md5(text.encode()).hexdigest()[first - 1 : first + 7], 16) % sides
+
+
+def test_random_variants_throw_the_dice_of_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(G, "THROWN", 40)
+    rows = [("7", "ACDEFG"), (None, "WYWYWYWYW"), ("a long name " * 6, "KR"), ("8", "A"), ("9", ""), ("10", None), ("11", "BACD")]
+    got = G.variants_random(spark.createDataFrame(rows, "target_id string, target string").coalesce(1), 12, 50, 3).collect()
+
+    def variant(t, text, m):
+        for j in range(1, len(text) // 2 + 1):
+            salt = f"{'' if t is None else t + ':'}{m}:{j}:3"
+            at = dice(salt, 1, len(text))
+            old = max(0, L.LETTERS.find(text[at]))
+            text = text[:at] + L.LETTERS[(old + dice(salt, 9, 19) + 1) % 20] + text[at + 1 :]
+        return text
+
+    want = {(t, m): text and variant(t, text, m) for t, text in rows for m in range(1, 13)}
+    assert {(r["target_id"], r["member"]): r["seq"] for r in got} == want and len(got) == len(want)
+
+
+def test_children_throw_the_dice_of_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(G, "THROWN", 30)
+    same = [("1", "ACDEFGHIKL", "WYWYWYWYWY"), (None, "AAAAA", "CCCCC"), ("3", "", ""), ("4", "DEFGHIKLMN", "PQRSTVWYAC")]
+    other = [("5", "ACD", "WYWYWYWYWY"), ("6", None, "AC"), ("7", "AC", None)]
+
+    def child(t, a, b):
+        out = ""
+        for i in range(max(len(a or ""), len(b or "")) if a is not None and b is not None else 0):
+            salt = f"{'' if t is None else t + ':'}2:{i}"
+            luck = dice(salt, 1, 100)
+            out += a[i : i + 1] if luck < 45 else b[i : i + 1] if luck < 90 else L.LETTERS[dice(salt, 9, 20)]
+        return out
+
+    for rows in (same, same + other):
+        df = spark.createDataFrame(rows, "t string, a string, b string").coalesce(1)
+        got = df.select(G.crossover(F.col("a"), F.col("b"), F.col("t"), F.lit(2))).collect()
+        assert [r[0] for r in got] == [child(*r) for r in rows]
