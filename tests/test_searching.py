@@ -206,3 +206,17 @@ def test_children_throw_the_dice_of_their_keys(spark, monkeypatch):
         df = spark.createDataFrame(rows, "t string, a string, b string").coalesce(1)
         got = df.select(G.crossover(F.col("a"), F.col("b"), F.col("t"), F.lit(2))).collect()
         assert [r[0] for r in got] == [child(*r) for r in rows]
+
+
+def test_a_search_in_rounds_leaves_no_population_behind(spark, monkeypatch):
+    want = sorted(map(tuple, P.evolve_variants(spark, SMALL).collect()))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+
+    def there():
+        return {f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+
+    before = there()
+    monkeypatch.setattr(G, "HELD", 4000)
+    found = P.evolve_variants(spark, SMALL)
+    assert not {f for f in there() - before if f.startswith("rdd-")}
+    assert sorted(map(tuple, found.collect())) == want
